@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from textloom.plans import alignment_queries, retrieval_queries, serving_queries, streaming_queries, text_queries  # noqa: F401  registers
+from textloom.plans.base import QUERIES, SQL, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
