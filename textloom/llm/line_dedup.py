@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import cut
 from textloom.llm.quality_rules import let
 
 #: Leading tokens on the path, stretches of the rest that may vary, and the least tokens for such templates.
@@ -48,7 +49,9 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
     each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(lines)).alias("__l"))
-    keyed = each.select("__d", F.xxhash64("__l").alias("__h"), F.explode(templates(F.col("__l"))).alias("__k"))
+    # computed once, although two joins read it: parsing lines is what costs here
+    parsed = cut(each.select("__d", F.xxhash64("__l").alias("__h"), templates(F.col("__l")).alias("__ks")))
+    keyed = parsed.select("__d", "__h", F.explode("__ks").alias("__k"))
     common = keyed.groupBy("__k").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").select("__k", "__first")
     # a hot template is one row on the right, and the adaptive planner splits its rows on the left
     hit = keyed.join(common, "__k").where("__d <> __first")
