@@ -24,9 +24,11 @@ from textloom.llm.common import batches_in
 
 #: Python's str.split() also splits at these four, which are not white space for the vocabulary's patterns.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Words remembered at a time; the older half is dropped when both halves are full.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: ASCII marks that end words and are neither letters nor digits, nor begin a contraction.
+ENDINGS = ".,;:!?)]}\"|#*$%&"
 
 
 def default_path() -> str:
@@ -53,6 +55,10 @@ def packed(ids: list[int]) -> bytes:
     return words.tobytes()
 
 
+#: Bits for a symbol's place in the queue's numbers: few for all but monstrous pieces, so that the numbers stay small.
+SHORT, LONG = 12, 40
+
+
 class Memo(dict):
     """A bounded memory of a function: a full half becomes the older half, and what is used of it moves back."""
 
@@ -82,30 +88,35 @@ class Codec:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.made = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges]  # by rank
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.made)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.any_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.letters = byte_letters()
-        self.piece_ids = Memo(self._merge)
-        self.chunk_ids = Memo(self._chunk)
+        self.piece_ids = Memo(self._merge, REMEMBERED)
+        self.chunk_ids = Memo(self._chunk, REMEMBERED // 2)
 
     def _merge(self, piece: str) -> bytes:
         """Ids of one piece, as bytes, by merging its symbols in the order of rank, the leftmost first among equals."""
-        symbols = [self.letters[b] for b in piece.encode("utf-8")]
+        symbols = list(map(self.letters.__getitem__, piece.encode("utf-8")))
         symbols[-1] += self.suffix
-        known = [self.vocab.get(s) for s in symbols]
-        ids = [i for i in known if i is not None]  # letters that the vocabulary lacks are dropped
+        ids = list(map(self.vocab.get, symbols))
+        if None in ids:
+            ids = [i for i in ids if i is not None]  # letters that the vocabulary lacks are dropped
         n = len(ids)
         if n < 2:
             return packed(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(r[0], k, r[1], ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get((ids[k], ids[k + 1])))]
+        # an entry is the rank of a pair (which names the pair and what it becomes) and its left place, in one number
+        ranks, made, bits = self.ranks.get, self.made, SHORT if n < 1 << SHORT else LONG
+        queue = [(r << bits) + k for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := ranks(pair)) is not None]
         heapify(queue)
         while queue:
-            _, k, merged, left, right = heappop(queue)
+            top = heappop(queue)
+            left, right, merged = made[top >> bits]
+            k = top & ((1 << bits) - 1)
             nxt = after[k]
             if ids[k] != left or nxt < 0 or ids[nxt] != right:
                 continue  # stale
@@ -113,11 +124,11 @@ class Codec:
             after[k] = nxt = after[nxt]
             if nxt >= 0:
                 before[nxt] = k
-                if r := ranks.get((merged, ids[nxt])):
-                    heappush(queue, (r[0], k, r[1], merged, ids[nxt]))
+                if (r := ranks((merged, ids[nxt]))) is not None:
+                    heappush(queue, (r << bits) + k)
             prev = before[k]
-            if prev >= 0 and (r := ranks.get((ids[prev], merged))):
-                heappush(queue, (r[0], prev, r[1], ids[prev], merged))
+            if prev >= 0 and (r := ranks((ids[prev], merged))) is not None:
+                heappush(queue, (r << bits) + prev)
         out, k = [], 0
         while k >= 0:
             out.append(ids[k])
@@ -129,9 +140,16 @@ class Codec:
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space, as little-endian unsigned 32-bit integers."""
-        found = self.pieces.findall(chunk.lower() if chunk.isascii() else self.normal(chunk))
-        return self.piece_ids[found[0]] if len(found) == 1 else b"".join([self.piece_ids[p] for p in found])
+        """Ids of a run without white space, as little-endian unsigned 32-bit integers.
+
+        Most are a word of letters and perhaps final punctuation, two pieces, which needs no pattern.
+        """
+        word = chunk.rstrip(ENDINGS)
+        if word.isalpha() and (word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word))):
+            low = word.lower()
+            if low.isalpha():
+                return self.piece_ids[low] if len(word) == len(chunk) else self.piece_ids[low] + self.piece_ids[chunk[len(word) :]]
+        return b"".join([self.piece_ids[p] for p in self.pieces.findall(self.normal(chunk))])
 
     def chunks(self, text: str) -> list[str]:
         if any(s in text for s in SEPARATORS):
