@@ -19,14 +19,19 @@ from textloom.operators import chunking, retrieval
 QUOTA_TTL, ANSWER_TTL, FEEDBACK_TTL = 25 * 3600, 7 * 86400, 400 * 86400
 
 
+def stamped(events: DataFrame, ts: str) -> DataFrame:
+    """events with ts as a timestamp, which watermarks ask for."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def daily_counts(events: DataFrame, principal: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Requests of each UTC day and principal; state is dropped when the watermark has passed the day."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("day"), principal).agg(F.count("*").alias("n"))
+    return stamped(events, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("day"), principal).agg(F.count("*").alias("n"))
 
 
 def quota(events: DataFrame, limit: int, principal: str = "user_id", ts: str = "ts", order: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Each request with nth and accepted, decided as it comes; a day's counter goes once the watermark is 25 hours past the day's start."""
-    out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in events.schema), "nth int, accepted boolean"])
+    out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in stamped(events, ts).schema), "nth int, accepted boolean"])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,7 +45,7 @@ def quota(events: DataFrame, limit: int, principal: str = "user_id", ts: str = "
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1000))
         yield rows.assign(accepted=rows["nth"] <= limit, nth=rows["nth"].astype("int32")).drop(columns="__day")
 
-    keyed = events.withWatermark(ts, late).withColumn("__day", F.to_date(ts))
+    keyed = stamped(events, ts).withWatermark(ts, late).withColumn("__day", F.to_date(ts))
     return keyed.groupBy("__day", principal).applyInPandasWithState(step, out, "n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
