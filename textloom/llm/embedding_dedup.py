@@ -19,9 +19,9 @@ from textloom.llm.common import by_group, components, cut, merge_labels
 
 COSINE = 0.98
 #: Vectors of a label for each shard on average, and the sample of a label that its shard centres are fitted on.
-SHARD, SAMPLE, MOST_SHARDS = 1024, 8192, 256
+SHARD, SAMPLE, MOST_SHARDS = 8192, 8192, 256
 #: Members of a shard in one task: larger shards are dealt to parts, and queries visit each.
-PART = 4096
+PART = 16384
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
 #: Range expansion passes through vectors up to this many times the link distance.
 SLACK = 1.5
