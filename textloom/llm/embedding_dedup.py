@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by a robust-pruned flat graph.
 
 Vectors of a label are dealt to cluster shards that overlap: a vector also goes to every shard whose cell is within the
-link radius, so each linked pair meets in a shard that is home to one and holds the other. Each shard builds a graph (greedy
+link radius (the nearest OVERLAP of them), so a linked pair meets in a shard that is home to one and holds the other. Each shard builds a graph (greedy
 search for neighbours, robust pruning, reverse edges); adjacency lists of a vector from all its shards are united; then each
 shard's home vectors search its part of the united graph from the medoids and expand the range found until nothing new is
 in it. Recall is audited on every twentieth query against brute force, and a shard that falls short searches wider. What is
@@ -20,6 +20,9 @@ from textloom.llm.common import by_group, components, cut, merge_labels
 COSINE = 0.98
 #: Vectors of a label for each shard on average, and the sample of a label that its shard centres are fitted on.
 SHARD, SAMPLE, MOST_SHARDS = 8192, 8192, 256
+#: Shards of a vector at most, the nearest ones. Up to so many shards no pair can be missed for being dealt apart; beyond, a pair
+#: is missed if the home of neither is among the other's, which the recall measured by tests includes.
+OVERLAP = 4
 #: Members of a shard in one task: larger shards are dealt to parts, and queries visit each.
 PART = 16384
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
@@ -300,7 +303,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 gap = np.sqrt(((c[home][:, None, :] - c[None, :, :]) ** 2).sum(2))
                 # how far the vector is from the cell of each other centre
                 far = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * gap, 1e-12)
-                k, j = np.nonzero(far <= r + 1e-6)
+                k, j = np.nonzero((far <= r + 1e-6) & (d.argsort(1, kind="stable").argsort(1) < OVERLAP))
                 out.append(pd.DataFrame({"cell": base + j, "home": home[k] == j, "node": g["node"].to_numpy()[k], "n": g["n"].to_numpy()[k], "v": [x[i] for i in k]}))
             if out:
                 yield pd.concat(out, ignore_index=True)

@@ -21,9 +21,9 @@ from textloom.llm.common import batches_in, cut
 #: Categories in the order of the chain, each as a condition over the columns of the label table that means yes.
 CATEGORIES: dict[str, str] = {"junk": "quality = 0", "toxic": "toxic = 1"}
 #: The category whose probability of THRESHOLD or more rejects a document.
-DECIDES, THRESHOLD = "toxic", 0.5
+DECIDES, THRESHOLD = "toxic", 0.4
 #: Bounds of the fit: labelled documents, words of the vocabulary.
-SAMPLE, WORDS = 8000, 2000
+SAMPLE, WORDS = 16000, 2000
 #: A word enters the vocabulary if it occurs in so many groups of near copies, with such a log-likelihood ratio.
 LEAST_GROUPS, LEAST_RATIO = 5, 16.0
 FOLDS, PENALTY, STEPS = 4, 1.0, 120
@@ -105,8 +105,8 @@ def fit_chain(rows, cols, dense, labels: list[np.ndarray], weight, fold, size: i
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: dict[str, str], sample: int) -> DataFrame:
     """group, words (distinct), shape and y of about sample labelled documents: those whose hashed id is least.
 
-    The ids of the sample, bounded like it, are broadcast to the documents. Texts with the same two least word hashes, near
-    copies for the most part, make a group.
+    The ids of the sample, bounded like it, are broadcast to the documents. Texts with the same two least hashes of neighbouring
+    words, near copies for the most part, make a group.
     """
     n = labels.count()
     ids = labels.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col, F.lit("toxicity")), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)))
@@ -118,9 +118,10 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, cate
         for f in frames:
             rows = []
             for text, y in zip(f["__t"], f["__y"], strict=True):
-                words = sorted(marks(text.lower()))
-                h = np.array([hashed[w] for w in words] or [0], np.uint64)
-                rows.append((f"{h.min()} {(h * np.uint64(0x9E3779B97F4A7C15)).min()}", words, shape(text), y))
+                h = np.fromiter(map(hashed.__getitem__, text.lower().split()), np.uint64)
+                pairs = (h[:-1] ^ (h[1:] >> np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15) if len(h) > 1 else np.append(h, np.uint64(0))
+                group = f"{pairs.min()} {(pairs ^ (pairs >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).min()}"
+                rows.append((group, sorted(marks(text.lower())), shape(text), y))
             yield pd.DataFrame(rows, columns=["group", "words", "shape", "y"])
 
     return cut(batches_in(train).mapInPandas(run, "group string, words array<string>, shape array<double>, y array<int>"))
