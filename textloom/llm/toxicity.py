@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scored = found.where(F.col("df") >= LEAST_GROUPS).select("w", F.greatest(*[ratio(k) for k in ys], F.lit(0.0)).alias("g"))
     chosen = scored.where(F.col("g") >= LEAST_RATIO).orderBy(F.desc(F.round("g", 6)), "w").limit(WORDS).collect()
     vocabulary = {r["w"]: k for k, r in enumerate(chosen)}
-    kept = F.filter("words", lambda w: F.array_contains(F.lit(list(vocabulary)), w)) if vocabulary else F.array().cast("array<string>")
+    kept = F.array_intersect("words", F.lit(list(vocabulary))) if vocabulary else F.array().cast("array<string>")
     got = weighted.select("group", kept.alias("words"), "shape", "y", "weight").collect()  # bounded by sample and WORDS
     got = sorted(([r["group"], sorted(vocabulary[w] for w in r["words"]), r["shape"], r["y"], r["weight"]] for r in got), key=repr)
     codes = pd.Series([g[0] for g in got]).factorize()[0]
