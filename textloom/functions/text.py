@@ -97,7 +97,7 @@ def is_subsequence(short: Column | str, long: Column | str, least: int = 6) -> C
 def looks_like_title(x: Column | str, categories: str = "书|论|序|记|疏|跋") -> Column:
     """Whether the text, without parentheses and final numerals, ends as titles do."""
     base = _re(strip_parens(x), "[一二三四五六七八九十廿卅]+$")
-    return (base != "") & (F.instr(F.lit(TITLE_ENDS), F.right(base, F.lit(1))) > 0 | base.startswith("挽") | base.rlike(f"^({categories})[一二三四]?$"))
+    return (base != "") & ((F.instr(F.lit(TITLE_ENDS), F.right(base, F.lit(1))) > 0) | base.startswith("挽") | base.rlike(f"^({categories})[一二三四]?$"))
 
 
 def num_to_cn(n: Column | str) -> Column:
