@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ LEAST_GROUPS, LEAST_RATIO = 5, 16.0
 FOLDS, PENALTY, STEPS = 4, 1.0, 120
 SHAPE = 6
 LETTERS = regex.compile(r"\p{L}+")
+ENDS = ".,;:!?()[]{}\"|#*$%&"
 
 
 def shape(text: str) -> list[float]:
@@ -48,8 +50,9 @@ def shape(text: str) -> list[float]:
 
 def marks(text: str) -> set[str]:
     """The words of a lower-case text, and the beginnings of its longer words, which inflected and compound words share."""
-    words = set(LETTERS.findall(text))
-    return words | {f"{w[:n]}-" for w in words for n in (5, 7) if len(w) > n}
+    word = text.strip(ENDS)
+    words = {word} if word.isalpha() else set(LETTERS.findall(text))
+    return words.union([f"{w[:n]}-" for w in words for n in (5, 7) if len(w) > n])
 
 
 class Features:
@@ -114,7 +117,7 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, cate
     train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(ids), id_col).select("__t", "__y")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = Memo(hash_word)
+        hashed = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
         for f in frames:
             rows = []
             for text, y in zip(f["__t"], f["__y"], strict=True):
@@ -151,9 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scored = found.where(F.col("df") >= LEAST_GROUPS).select("w", F.greatest(*[ratio(k) for k in ys], F.lit(0.0)).alias("g"))
     chosen = scored.where(F.col("g") >= LEAST_RATIO).orderBy(F.desc(F.round("g", 6)), "w").limit(WORDS).collect()
     vocabulary = {r["w"]: k for k, r in enumerate(chosen)}
-    kept = F.array_intersect("words", F.lit(list(vocabulary))) if vocabulary else F.array().cast("array<string>")
-    got = weighted.select("group", kept.alias("words"), "shape", "y", "weight").collect()  # bounded by sample and WORDS
-    got = sorted(([r["group"], sorted(vocabulary[w] for w in r["words"]), r["shape"], r["y"], r["weight"]] for r in got), key=repr)
+
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda words: np.array(sorted(vocabulary[w] for w in words if w in vocabulary), "<u2").tobytes())
+
+    ids = F.pandas_udf(places, "binary")("words").alias("ids")
+    got = weighted.select("group", ids, "shape", "y", "weight").collect()  # two bytes a word: bounded by SAMPLE and WORDS
+    got = sorted((r["group"], np.frombuffer(r["ids"], "<u2").tolist(), r["shape"], r["y"], r["weight"]) for r in got)
     codes = pd.Series([g[0] for g in got]).factorize()[0]
     rows = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
     cols = np.array([w for g in got for w in g[1]], np.int64)
@@ -163,13 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"vocabulary": vocabulary, "models": models, "categories": list(categories)}
 
 
-def hash_word(word: str) -> int:
-    h = 14695981039346656037
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with p_<category> for each category (double) and rejected (boolean), in place of columns of such names.
 
