@@ -19,10 +19,10 @@ from textloom.llm.common import by_group, components, cut, merge_labels
 
 COSINE = 0.98
 #: Vectors of a label for each shard on average, and the sample of a label that its shard centres are fitted on.
-SHARD, SAMPLE, MOST_SHARDS = 8192, 8192, 256
-#: Shards of a vector at most, the nearest ones. Up to so many shards no pair can be missed for being dealt apart; beyond, a pair
-#: is missed if the home of neither is among the other's, which the recall measured by tests includes.
-OVERLAP = 4
+SHARD, SAMPLE, MOST_SHARDS = 512, 8192, 256
+#: Shards of a vector at most, the nearest ones. A linked pair is found if the home of either is among the other's, which nearness
+#: makes all but sure; tests measure the recall over several shards.
+OVERLAP = 2
 #: Members of a shard in one task: larger shards are dealt to parts, and queries visit each.
 PART = 16384
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
@@ -44,8 +44,11 @@ def distances(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of q: the beam nearest nodes that greedy search finds, and their squared distances (-1, inf: none)."""
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of q: the beam nearest nodes that greedy search finds, and their squared distances (-1, inf: none).
+
+    It starts at the given nodes, the medoids, and at a row's own node if it has one (own, -1: none).
+    """
     n, rows = len(x), len(q)
     ids = np.full((rows, beam + graph.shape[1]), -1, np.int64)
     dist = np.full(ids.shape, np.inf, np.float32)
@@ -55,6 +58,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndar
     ids[:, :k] = starts[:k]
     dist[:, :k] = distances(x, ids[:, :k], q)
     seen[:, starts[:k]] = True
+    if own is not None and k < ids.shape[1]:
+        fresh = (own >= 0) & ~seen[np.arange(rows), np.maximum(own, 0)]
+        ids[fresh, k], dist[fresh, k] = own[fresh], 0
+        seen[np.flatnonzero(fresh), own[fresh]] = True
+        order = np.argsort(dist, axis=1, kind="stable")
+        ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
     at = np.arange(rows)
     while len(at):
         open_at = np.where(done[at, :beam] | (ids[at, :beam] < 0), np.inf, dist[at, :beam])
@@ -137,13 +146,39 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.nda
             t = np.array([t for t, _ in full])
             graph[t] = robust_prune(x, t, pools, degree)
         have += len(batch)
-    return graph, medoid
+    return connected(graph, medoid), medoid
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, r: float, beam: int, slack: float) -> np.ndarray:
+def connected(graph: np.ndarray, start: int) -> np.ndarray:
+    """The graph with edges added until every node can be reached: pruning may have taken all edges to a node.
+
+    Each node out of reach gets one from the nearest of its own neighbours that is in reach, or from the start.
+    """
+    while True:
+        seen = np.zeros(len(graph), bool)
+        front = np.array([start])
+        while len(front):
+            seen[front] = True
+            to = graph[front].ravel()
+            front = np.unique(to[(to >= 0) & ~seen[np.maximum(to, 0)]])
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return graph
+        near = graph[lost]
+        good = (near >= 0) & seen[np.maximum(near, 0)]
+        source = np.where(good.any(1), near[np.arange(len(lost)), good.argmax(1)], start)
+        order = np.argsort(source, kind="stable")
+        source, lost = source[order], lost[order]
+        column = np.arange(len(source)) - np.searchsorted(source, source)
+        more = np.full((len(graph), int(column.max()) + 1), -1, np.int64)
+        more[source, column] = lost
+        graph = np.concatenate([graph, more], axis=1)
+
+
+def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, r: float, beam: int, slack: float, own: np.ndarray | None = None) -> np.ndarray:
     """(rows of q, nodes) that are within r * slack as far as the search finds: beam search, then expansion of all found."""
     found = np.zeros((len(q), len(x)), bool)
-    ids, dist = beam_search(x, graph, starts, q, min(beam, len(x)))
+    ids, dist = beam_search(x, graph, starts, q, min(beam, len(x)), own)
     limit = (r * slack) ** 2
     row, col = np.nonzero(dist <= limit)
     front_r, front_n = row, ids[row, col]
@@ -202,7 +237,7 @@ def link_group(cosine: float):
             return maybe
 
         def search(rows: np.ndarray, beam: int, slack: float) -> np.ndarray:
-            return linked(rows, range_search(x, graph, starts, q[rows], r, beam, slack))
+            return linked(rows, range_search(x, graph, starts, q[rows], r, beam, slack, me[rows]))
 
         beam, slack, step = BEAM, SLACK, max(1, (1 << 20) // len(x))
         truth = [linked(rows, q64[rows] @ x64.T >= cosine - 1e-9) for a in range(0, len(sample), step) if len(rows := sample[a : a + step])]
@@ -243,7 +278,7 @@ def build_group(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": group["cell"], "part": group["part"], "node": node, "near": near, "medoid": np.arange(len(node)) == medoid})
 
 
-def centres(vectors: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
+def centres(vectors: DataFrame, shard: int, apart: float) -> dict[tuple, np.ndarray]:
     """(label, width) -> shard centres, by k-means on a bounded sample of the label's vectors."""
     counts = {(r["label"], r["w"]): r["m"] for r in vectors.groupBy("label", "w").agg(F.count("*").alias("m")).collect()}
     if not counts:
@@ -266,7 +301,13 @@ def centres(vectors: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
         for _ in range(10):
             near = (2 * x @ c.T - (c**2).sum(1)).argmax(1)
             c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
-        out[key] = c
+        # a dense group may have drawn several centres, which would deal it apart: of close ones the largest stays
+        size = np.bincount((2 * x @ c.T - (c**2).sum(1)).argmax(1), minlength=k)
+        stay: list[int] = []
+        for j in np.argsort(-size, kind="stable").tolist():
+            if all(((c[j] - c[i]) ** 2).sum() > apart * apart for i in stay):
+                stay.append(j)
+        out[key] = c[stay]
     return out
 
 
@@ -288,9 +329,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first(F.struct("label", "e", "norm")).alias("f"))
         .select("node", "n", "least", "f.label", F.size("f.e").alias("w"), F.transform("f.e", lambda x: x.cast("double") / F.col("f.norm")).alias("v"))
     )
-    middle = centres(nodes, shard)
+    middle = centres(nodes, shard, 1.5 * radius(cosine))
     cells = {key: k for k, key in enumerate(sorted(middle))}
     r = radius(cosine)
+    # groups are small in bytes and long in work, so their number decides, not their size
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8192, sum(map(len, middle.values()))))
 
     def assign(frames):
         for f in frames:
@@ -312,7 +355,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dealt = cut(nodes.select("node", "n", "label", "w", "v").mapInPandas(assign, member))
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.ceil(F.count_if("home") / PART).cast("int").alias("blocks"))
     placed = cut(dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")))  # a row for each of MOST_SHARDS cells of a label
-    built = placed.select("cell", "part", "node", "v").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    built = placed.select("cell", "part", "node", "v").repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part")
     lists = cut(built.mapInPandas(by_group(["cell", "part"], build_group), "cell long, part int, node long, near array<long>, medoid boolean"))
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     medoids = lists.where("medoid").select("cell", "part", "node", "medoid")
@@ -323,7 +366,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     queries = placed.where("home").select("cell", each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("medoid"))
     keys = ["cell", "part", "qblock"]
-    grouped = members.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys)
+    grouped = members.unionByName(queries).repartition(tasks, *keys).sortWithinPartitions(*keys)
     found = cut(grouped.mapInPandas(by_group(keys, link_group(cosine)), "node long, links long, root long, audited long, missed long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select("node", "root"), "node", "root")
