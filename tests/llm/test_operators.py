@@ -65,9 +65,11 @@ def test_bpe_agrees_with_the_library(texts):
     rng = random.Random(9)
     letters = "aAbBzéÉΣσ'sdlmtrev 0½²<|>\n\t\x1c\x85　日한́‍🙂İẞǅ#-_."
     noise = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["x" * 5000]
-    for text in [t or "" for t in texts] + noise:
+    everything = [t or "" for t in texts] + noise
+    for text, packed in zip(everything, own.encode_many(everything), strict=True):
         ids = reference.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids
+        assert np.frombuffer(packed, "<u4").tolist() == ids
         assert own.decode(ids) == reference.decode(ids, skip_special_tokens=False)
 
 
@@ -77,6 +79,18 @@ def test_bpe_memory_is_bounded():
     assert len(memo) <= 3 and len(memo.older) <= 3
 
 
+def test_word_table_starts_anew_when_full(texts, monkeypatch):
+    own = bpe.Codec()
+    many = [t for t in texts if t]
+    want = [own.encode_bytes(t) for t in many]
+    monkeypatch.setattr(bpe.WordTable, "MOST", 30)
+    monkeypatch.setattr(bpe.WordTable, "BLOCK", 3000)
+    for _ in range(3):
+        assert own.encode_many(many) == want
+    monkeypatch.setattr(bpe.WordTable, "SLOTS", 1 << 20)
+    assert own.merge_in_step([]) == [] and own.encode_many([]) == []
+
+
 def test_bpe_digests(spark, docs, texts):
     got = bpe.digests(docs).collect()
     assert len(got) == len(texts) + 2

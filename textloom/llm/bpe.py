@@ -8,6 +8,7 @@ Words repeat, so each worker remembers what it has encoded, up to a fixed number
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -24,11 +25,20 @@ from textloom.llm.common import batches_in
 
 #: Python's str.split() also splits at these four, which are not white space for the vocabulary's patterns.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: Words remembered at a time; the older half is dropped when both halves are full.
-REMEMBERED = 500_000
-#: ASCII marks that end words and are neither letters nor digits, nor begin a contraction.
-ENDINGS = ".,;:!?)]}\"|#*$%&"
+SPACE = regex.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in SEPARATORS)) + "]+")
+#: Keys that a worker remembers at a time, in each of two halves; the older half is dropped when the newer one is full.
+REMEMBERED = 100_000
+TOKENS_REMEMBERED = 250_000
+#: A full stop or comma after another mark, which together are one piece.
+AFTER_MARK = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])")
+#: Bits for a symbol's place in the queue's numbers: few for all but monstrous pieces, so that the numbers stay small.
+SHORT, LONG = 12, 40
+
+
+#: No rank; no pair.
+NONE, ABSENT = (1 << 31) - 1, (1 << 64) - 1
+#: Pieces of more bytes are merged one by one.
+IN_STEP = 48
 
 
 def default_path() -> str:
@@ -55,10 +65,6 @@ def packed(ids: list[int]) -> bytes:
     return words.tobytes()
 
 
-#: Bits for a symbol's place in the queue's numbers: few for all but monstrous pieces, so that the numbers stay small.
-SHORT, LONG = 12, 40
-
-
 class Memo(dict):
     """A bounded memory of a function: a full half becomes the older half, and what is used of it moves back."""
 
@@ -70,12 +76,140 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         if len(key) <= 64:
             self[key] = value
-        return value
+
+    def lacks(self, keys) -> list:
+        return [k for k in keys if k not in self and k not in self.older]
+
+
+class PairTable:
+    """Ranks of symbol pairs for whole arrays: hash tables, each for what collided in the one before."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
+        keys, ranks = pairs.astype(np.uint64), np.arange(len(pairs), dtype=np.int32)
+        while len(keys):
+            bits = max(8, int(len(keys) * 8).bit_length()) + len(self.levels)  # another shift, so what collided parts
+            at, table, rank = self._slots(keys, np.uint64(64 - bits)), np.full(1 << bits, ABSENT, np.uint64), np.full(1 << bits, NONE, np.int32)
+            table[at], rank[at] = keys, ranks
+            self.levels.append((table, rank, np.uint64(64 - bits)))
+            lost = table[at] != keys
+            keys, ranks = keys[lost], ranks[lost]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> shift
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where there is none or a symbol is -1."""
+        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        out = np.full(keys.shape, NONE, np.int32)
+        for table, rank, shift in self.levels:
+            at = self._slots(keys, shift)
+            hit = table[at] == keys
+            out[hit] = rank[at[hit]]
+        return out
+
+
+class WordTable:
+    """Ids of words, looked up for whole batches of texts at once by a 64-bit hash of each word.
+
+    Words are found, hashed (a polynomial over code points, by prefix sums) and looked up (open addressing) with arrays; only
+    words that are not known yet become strings. A full table starts anew. Two words of one hash would get one's
+    ids: among as many words as a table holds, that is one chance in 10**8.
+    """
+
+    SLOTS, MOST, BLOCK = 1 << 20, 400_000, 1 << 20
+
+    def __init__(self, encode_words):
+        self.encode_words = encode_words
+        points = np.arange(0x3002)
+        self.space = np.array([chr(c).isspace() for c in points.tolist()])
+        with np.errstate(over="ignore"):
+            base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.BLOCK - 1, base))])
+            self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.BLOCK - 1, inverse))])
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), 0
+        self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's word; -1 if it is not known."""
+        out, slot = np.full(len(keys), -1, np.int64), (keys >> np.uint64(44)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot[left]]
+            same = held == keys[left]
+            out[left[same]] = self.at[slot[left[same]]]
+            left = left[~same & (held != 0)]
+            slot[left] = (slot[left] + 1) % self.SLOTS
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New keys, all different, with their words' ids."""
+        number, slot, left = self.n + np.arange(len(keys)), (keys >> np.uint64(44)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]], self.at[slot[free]] = keys[free], number[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) % self.SLOTS
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(b) // 4 for b in ids])])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.n += len(keys)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        a = 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a]) + 1
+            while b < len(texts) and size + len(texts[b]) + 1 <= self.BLOCK:
+                size += len(texts[b]) + 1
+                b += 1
+            out += self.block(texts[a:b]) if size <= self.BLOCK else [b"".join(self.encode_words(texts[a].split()))]
+            a = b
+        return out
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        whole = "\n".join(texts) + "\n"
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        solid = ~self.space[np.minimum(code, 0x3001)]
+        edge = np.flatnonzero(np.diff(solid, prepend=False))
+        first, end = edge[::2], edge[1::2]
+        if not len(first):
+            return [b""] * len(texts)
+        with np.errstate(over="ignore"):
+            mixed = (code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * self.power[: len(code)]
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+            keys = (total[end] - total[first]) * self.back[first] + (end - first).astype(np.uint64)
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys = np.maximum(keys ^ (keys >> np.uint64(29)), np.uint64(1))  # 0 marks a free slot
+        number = self.find(keys)
+        lost = np.flatnonzero(number < 0)
+        if len(lost):
+            new, where = np.unique(keys[lost], return_index=True)
+            if self.n + len(new) > self.MOST and self.n:
+                self.clear()
+                return self.block(texts)
+            where = lost[where]
+            self.add(new, self.encode_words([whole[i:j] for i, j in zip(first[where].tolist(), end[where].tolist(), strict=True)]))
+            number[lost] = self.find(keys[lost])
+        at, size = self.start[number], self.start[number + 1] - self.start[number]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(at - before[:-1], size) + np.arange(before[-1])].astype("<u4").tobytes()
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        bound = [0, *before[np.searchsorted(first, stops)].tolist()]
+        return [ids[4 * i : 4 * j] for i, j in zip(bound, bound[1:], strict=False)]
 
 
 class Codec:
@@ -95,8 +229,9 @@ class Codec:
         self.any_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.letters = byte_letters()
-        self.piece_ids = Memo(self._merge, REMEMBERED)
-        self.chunk_ids = Memo(self._chunk, REMEMBERED // 2)
+        self.known = Memo(self._token, TOKENS_REMEMBERED)
+        self.words: WordTable | None = None
+        self._tables: tuple | None = None
 
     def _merge(self, piece: str) -> bytes:
         """Ids of one piece, as bytes, by merging its symbols in the order of rank, the leftmost first among equals."""
@@ -139,32 +274,100 @@ class Codec:
         """NFC, then each letter in lower case by itself (a final sigma is not special)."""
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space, as little-endian unsigned 32-bit integers.
-
-        Most are a word of letters and perhaps final punctuation, two pieces, which needs no pattern.
+    def _token(self, token: str) -> bytes:
+        """Ids of a normalised run without white space, as little-endian unsigned 32-bit integers."""
+        return self._merge(token) if token.isalpha() else b"".join([self._merge(p) for p in self.pieces.findall(token)])
+
+    def merge_in_step(self, pieces: list[str]) -> list[bytes]:
+        """What _merge gives for each piece, by array operations: each round makes the first merge of least rank in every piece."""
+        if self._tables is None:
+            first = np.array([self.vocab.get(self.letters[b], -1) for b in range(256)], np.int64)
+            last = np.array([self.vocab.get(self.letters[b] + self.suffix, -1) for b in range(256)], np.int64)
+            made = np.array(self.made, np.int64).reshape(-1, 3)
+            self._tables = first, last, made[:, 2], PairTable((made[:, 0] << 32) | made[:, 1])
+        first, last, merged, table = self._tables
+        raw = [p.encode("utf-8") for p in pieces]
+        size = np.array([len(r) for r in raw], np.int64)
+        out: list[bytes | None] = [None] * len(pieces)
+        for low, width in ((0, 6), (6, 10), (10, 16), (16, 28), (28, IN_STEP)):
+            rows = np.flatnonzero((size > low) & (size <= width))
+            if not len(rows):
+                continue
+            n = size[rows]
+            code = np.frombuffer(b"".join([raw[k].ljust(width, b"\0") for k in rows.tolist()]), np.uint8).reshape(len(rows), width)
+            column = np.arange(width)
+            s = np.where(column < n[:, None] - 1, first[code], np.where(column == n[:, None] - 1, last[code], -1))
+            good = (s >= 0).sum(1) == n  # the others have letters that the vocabulary lacks
+            rank = np.full((len(rows), width), NONE, np.int32)
+            rank[:, :-1] = table.ranks(s[:, :-1], s[:, 1:])
+            at = np.arange(len(rows))
+            while True:
+                k = rank[at].argmin(1)
+                best = rank[at, k]
+                going = best < NONE
+                if not going.any():
+                    break
+                at, k, best = at[going], k[going], best[going]
+                source = np.minimum(column + (column > k[:, None]), width - 1)
+                t = np.take_along_axis(s[at], source, 1)
+                r = np.take_along_axis(rank[at], np.minimum(column + (column >= k[:, None]), width - 1), 1)
+                t[:, -1], r[:, -1] = -1, NONE
+                i = np.arange(len(at))
+                t[i, k] = merged[best]
+                r[i, k] = table.ranks(t[i, k], np.where(k + 1 < width, t[i, np.minimum(k + 1, width - 1)], -1))
+                before = np.flatnonzero(k > 0)
+                r[before, k[before] - 1] = table.ranks(t[before, k[before] - 1], t[before, k[before]])
+                s[at], rank[at] = t, r
+            ids, left = s.astype("<u4").tobytes(), (s >= 0).sum(1)
+            for j, row in enumerate(rows.tolist()):
+                if good[j]:
+                    out[row] = ids[4 * width * j : 4 * (width * j + int(left[j]))]
+        return [self._merge(p) if o is None else o for p, o in zip(pieces, out, strict=True)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """encode_bytes of each text, by array operations over all of them; texts out of the ordinary go one by one."""
+        plain = [None if self.any_special is not None and self.any_special.search(t) else self.spaced(t) for t in texts]
+        if self.words is None:
+            self.words = WordTable(self._new_words)
+        made = iter(self.words.encode([p for p in plain if p is not None]))
+        return [self.encode_bytes(t) if p is None else next(made) for t, p in zip(texts, plain, strict=True)]
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        parts = [[w] if w.isalpha() else self.pieces.findall(w) for w in words]
+        pieces = list({p for ps in parts for p in ps})
+        made = dict(zip(pieces, self.merge_in_step(pieces), strict=True))
+        return [b"".join([made[p] for p in ps]) for ps in parts]
+
+    def spaced(self, text: str) -> str | None:
+        """A text normalised, with full stops and commas at word ends set apart; None if that takes more than a few passes."""
+        if any(s in text for s in SEPARATORS) or "Σ" in text or not unicodedata.is_normalized("NFC", text):
+            return None
+        low = text.lower()
+        if not AFTER_MARK.search(low):
+            for mark in ".,":
+                low = low.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+        return low
+
+    def tokens(self, text: str) -> list[str]:
+        """A text's runs without white space, normalised: NFC, then each letter in lower case by itself (a final sigma is no exception).
+
+        Full stops and commas at the end of words are pieces of their own and split off, so fewer different runs are to be remembered.
         """
-        word = chunk.rstrip(ENDINGS)
-        if word.isalpha() and (word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word))):
-            low = word.lower()
-            if low.isalpha():
-                return self.piece_ids[low] if len(word) == len(chunk) else self.piece_ids[low] + self.piece_ids[chunk[len(word) :]]
-        return b"".join([self.piece_ids[p] for p in self.pieces.findall(self.normal(chunk))])
-
-    def chunks(self, text: str) -> list[str]:
-        if any(s in text for s in SEPARATORS):
-            return [c for c in SPACE.split(text) if c]
-        return text.split()
+        plain = self.spaced(text)
+        if plain is not None:
+            return plain.split()
+        odd = any(s in text for s in SEPARATORS)
+        return [self.normal(c) for c in (SPACE.split(text) if odd else text.split()) if c]
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; a special token's string stands for that token."""
         if self.any_special is None or not self.any_special.search(text):
-            return b"".join(map(self.chunk_ids.__getitem__, self.chunks(text)))
+            return b"".join(map(self.known.__getitem__, self.tokens(text)))
         out, at = [], 0
         for m in self.any_special.finditer(text):
-            out += [*map(self.chunk_ids.__getitem__, self.chunks(text[at : m.start()])), packed([self.special[m[0]]])]
+            out += [*map(self.known.__getitem__, self.tokens(text[at : m.start()])), packed([self.special[m[0]]])]
             at = m.end()
-        return b"".join([*out, *map(self.chunk_ids.__getitem__, self.chunks(text[at:]))])
+        return b"".join([*out, *map(self.known.__getitem__, self.tokens(text[at:]))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -139,8 +139,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         end = np.array([END_ID], "<u4").tobytes()
         for f in frames:
             rows, ids_of = [], f[id_col].tolist()
-            for k, text in enumerate(f["__t"]):
-                ids = c.encode_bytes(text or "") + end
+            for k, ids in enumerate(c.encode_many([t or "" for t in f["__t"]])):
+                ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part_ids = ids[4 * start : 4 * (start + capacity)]
