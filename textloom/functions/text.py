@@ -119,10 +119,15 @@ def cn_to_num(x: Column | str) -> Column:
 
 
 def bigrams(x: Column | str) -> Column:
-    """Tokens: runs of letters and digits in lower case; runs with Han characters as overlapping pairs; single ones as they are."""
-    runs = F.array_remove(F.split(_re(F.coalesce(_c(x), F.lit("")), r"[^\p{IsHan}\p{L}\p{N}]+", " "), " +"), "")
+    """Tokens: runs of letters and digits in lower case; runs with Han characters as overlapping pairs; single ones as they are.
+
+    Texts without Han characters, which need no look at each run, take one split.
+    """
+    plain = _re(F.coalesce(_c(x), F.lit("")), r"[^\p{IsHan}\p{L}\p{N}]+", " ")
+    runs = F.array_remove(F.split(plain, " +"), "")
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda t: F.when(~t.rlike(r"\p{IsHan}"), F.array(F.lower(t))).when(F.length(t) == 1, F.array(t)).otherwise(pairs(t))))
+    mixed = F.flatten(F.transform(runs, lambda t: F.when(~t.rlike(r"\p{IsHan}"), F.array(F.lower(t))).when(F.length(t) == 1, F.array(t)).otherwise(pairs(t))))
+    return F.when(_c(x).rlike(r"\p{IsHan}"), mixed).otherwise(F.array_remove(F.split(F.lower(plain), " +"), ""))
 
 
 def lex_text(x: Column | str) -> Column:

@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, terms: DataFrame, query_key: str = "item_id", key: str
     exploded tokens before anything is shuffled, when Spark finds it small enough to broadcast.
     """
     wanted = terms.select("token").distinct()
-    sized = docs.select(key, T.bigrams(text).alias("t"))
+    sized = docs.select(key, F.explode(F.array(T.bigrams(text))).alias("t"))  # explode keeps the planner from computing it for each use
     stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     tf = sized.select(key, F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token").groupBy("token", key, "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))

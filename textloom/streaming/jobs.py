@@ -30,23 +30,30 @@ def daily_counts(events: DataFrame, principal: str = "user_id", ts: str = "ts",
 
 
 def quota(events: DataFrame, limit: int, principal: str = "user_id", ts: str = "ts", order: str = "event_id", late: str = "1 hour") -> DataFrame:
-    """Each request with nth and accepted, decided as it comes; a day's counter goes once the watermark is 25 hours past the day's start."""
+    """Each request with nth (of its UTC day) and accepted, decided as it comes.
+
+    A principal's state is a counter for each day; a day's counter goes once the watermark is 25 hours past its start.
+    """
     out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in stamped(events, ts).schema), "nth int, accepted boolean"])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        now = state.getCurrentWatermarkMs() // 1000
         if state.hasTimedOut:
+            held = {day: n for day, n in held.items() if day * 86400 + QUOTA_TTL > now}
+        else:
+            rows = pd.concat(list(frames)).sort_values(order)
+            rows["nth"] = (rows.groupby("__day").cumcount() + 1 + rows["__day"].map(held).fillna(0)).astype("int32")
+            held |= {int(day): int(n) for day, n in rows.groupby("__day")["nth"].max().items()}
+            yield rows.assign(accepted=rows["nth"] <= limit).drop(columns="__day")
+        if not held:
             state.remove()
             return
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(order)
-        rows = rows.assign(nth=range(n + 1, n + len(rows) + 1))
-        state.update((n + len(rows),))
-        ends = (pd.Timestamp(key[0]).value // 1_000_000_000 + QUOTA_TTL) * 1000
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1000))
-        yield rows.assign(accepted=rows["nth"] <= limit, nth=rows["nth"].astype("int32")).drop(columns="__day")
-
-    keyed = stamped(events, ts).withWatermark(ts, late).withColumn("__day", F.to_date(ts))
-    return keyed.groupBy("__day", principal).applyInPandasWithState(step, out, "n int", "append", GroupStateTimeout.EventTimeTimeout)
+        state.update((list(held), list(held.values())))
+        state.setTimeoutTimestamp(max((min(held) * 86400 + QUOTA_TTL) * 1000, state.getCurrentWatermarkMs() + 1000))
+
+    keyed = stamped(events, ts).withWatermark(ts, late).withColumn("__day", F.unix_date(F.to_date(ts)))
+    return keyed.groupBy(principal).applyInPandasWithState(step, out, "days array<int>, counts array<int>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def answer_cache(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", seconds: int = ANSWER_TTL) -> DataFrame:
