@@ -382,6 +382,26 @@ def test_embedding_links_are_brute_force(spark, shard, part, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [16384, 100])
+def test_embedding_links_over_many_cells_are_exact(spark, part, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", part)
+    rng = np.random.default_rng(5)
+    blob = rng.normal(size=6)
+    blob *= np.sqrt(6) / np.linalg.norm(blob)
+    # a dense group, wider than the centres' least distance, so that vectors reach more cells than hold them in their graphs
+    vectors = [blob + rng.normal(size=6) * 0.3 for _ in range(700)]
+    rows = [(k, np.float32(v).tolist(), 0) for k, v in enumerate(vectors)]
+    x = np.float64([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = [np.flatnonzero(row).tolist() for row in near]
+    least = closure(links)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, shard=10).collect()}
+    assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (len(links[k]), least[k], least[k] == k) for k, _, _ in rows)
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 32)).astype(np.float32)

@@ -1,7 +1,8 @@
 """Near duplicates among embeddings by a robust-pruned flat graph.
 
-Vectors of a label are dealt to cluster shards that overlap: a vector also goes to every shard whose cell is within the
-link radius (the nearest OVERLAP of them), so a linked pair meets in a shard that is home to one and holds the other. Each shard builds a graph (greedy
+Vectors of a label are dealt to cluster shards that overlap: a vector is in the graphs of the nearest OVERLAP shards whose cells are
+within the link radius; the other shards within it get the vector too, and compare it with all their home vectors in blocks. So each
+vector's home shard sees all that it links with. Each shard builds a graph (greedy
 search for neighbours, robust pruning, reverse edges); adjacency lists of a vector from all its shards are united; then each
 shard's home vectors search its part of the united graph from the medoids and expand the range found until nothing new is
 in it. Recall is audited on every twentieth query against brute force, and a shard that falls short searches wider. What is
@@ -14,14 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from textloom.llm.common import by_group, components, cut, merge_labels
 
 COSINE = 0.98
 #: Vectors of a label for each shard on average, and the sample of a label that its shard centres are fitted on.
 SHARD, SAMPLE, MOST_SHARDS = 512, 8192, 256
-#: Shards of a vector at most, the nearest ones. A linked pair is found if the home of either is among the other's, which nearness
-#: makes all but sure; tests measure the recall over several shards.
+#: Shards of a vector that hold it in their graphs, the nearest ones. Any others in reach compare it exactly.
 OVERLAP = 2
 #: Members of a shard in one task: larger shards are dealt to parts, and queries visit each.
 PART = 16384
@@ -201,6 +202,37 @@ def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.nda
     return found
 
 
+def units(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows of length one, in double precision."""
+    x = np.stack(vectors.tolist()).astype(np.float64)
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def exact_group(cosine: float):
+    """For by_group over (cell, part, qblock): rows with role 0 are vectors beyond the cell's graph, with role 1 the queries."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        members, asked = group[group["role"] == 0], group[group["role"] == 1]
+        if not len(members) or not len(asked):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "links", "root", "audited", "missed")})
+        x, q, many = units(members["v"]), units(asked["v"]), members["n"].to_numpy()
+        links, labels, step = np.zeros(len(q), np.int64), np.arange(len(x) + len(q)), max(1, (1 << 20) // len(x))
+        for a in range(0, len(q), step):
+            k, j = np.nonzero(q[a : a + step] @ x.T >= cosine - 1e-9)
+            for b in range(0, len(k), 1 << 15):
+                kk, jj = a + k[b : b + (1 << 15)], j[b : b + (1 << 15)]
+                good = (q[kk] * x[jj]).sum(1) >= cosine
+                np.add.at(links, kk[good], many[jj[good]])
+                merge_labels(labels, len(x) + kk[good], jj[good])
+        name = np.concatenate([members["node"].to_numpy(), asked["node"].to_numpy()])
+        tied = np.flatnonzero(labels != np.arange(len(labels)))
+        edges = pd.DataFrame({"node": name[tied], "links": 0, "root": name[labels[tied]], "audited": 0, "missed": 0})
+        counts = pd.DataFrame({"node": asked["node"].to_numpy(), "links": links, "root": asked["node"].to_numpy(), "audited": 0, "missed": 0})
+        return pd.concat([counts[links > 0], edges], ignore_index=True)
+
+    return run
+
+
 def link_group(cosine: float):
     """For by_group over (cell, part, qblock): rows with role 0 are the part's members, with role 1 the queries."""
     r = radius(cosine)
@@ -211,8 +243,7 @@ def link_group(cosine: float):
         if not len(members) or not len(asked):
             return empty
         node, many = members["node"].to_numpy(), members["n"].to_numpy()
-        x64 = np.stack(members["v"].tolist()).astype(np.float64)
-        q64 = np.stack(asked["v"].tolist()).astype(np.float64)
+        x64, q64 = units(members["v"]), units(asked["v"])
         x, q = x64.astype(np.float32), q64.astype(np.float32)
         lists = [np.asarray(v, np.int64) for v in members["near"]]
         graph = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int64)
@@ -273,7 +304,7 @@ def build_group(group: pd.DataFrame) -> pd.DataFrame:
     """For by_group over (cell, part): adjacency lists of the part's members, by node."""
     group = group.sort_values("node", ignore_index=True)
     node = group["node"].to_numpy()
-    graph, medoid = build(np.stack(group["v"].tolist()).astype(np.float32))
+    graph, medoid = build(units(group["v"]).astype(np.float32))
     near = [node[row[row >= 0]] for row in graph]
     return pd.DataFrame({"cell": group["cell"], "part": group["part"], "node": node, "near": near, "medoid": np.arange(len(node)) == medoid})
 
@@ -296,7 +327,7 @@ def centres(vectors: DataFrame, shard: int, apart: float) -> dict[tuple, np.ndar
         if k < 2:
             out[key] = np.zeros((1, key[1]), np.float32)
             continue
-        x = np.array([v for _, v in own], np.float32)
+        x = units(pd.Series([v for _, v in own])).astype(np.float32)
         c = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
         for _ in range(10):
             near = (2 * x @ c.T - (c**2).sum(1)).argmax(1)
@@ -318,7 +349,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Vectors of different widths never link. Equal vectors of a label are one node with a count; a repeated row counts as another vector. A row
     with a null id has itself as component unless linked. Other columns are not read; an empty table gives an empty result.
     """
-    raw = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("e"), F.col(label_col).alias("label"))
+    # vectors travel as they are, since floats take half the room, and are brought to length one where they are compared
+    kind = "float" if vectors.select(vec_col).schema[0].dataType == ArrayType(FloatType()) else "double"
+    raw = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("e"), F.col(label_col).alias("label"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     good = F.col("e").isNotNull() & F.col("label").isNotNull() & F.coalesce(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     raw = raw.withColumn("norm", F.when(good, norm)).withColumn("node", F.when(F.col("norm") > 0, F.xxhash64("label", "e")))
@@ -326,8 +359,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = cut(
         raw.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first(F.struct("label", "e", "norm")).alias("f"))
-        .select("node", "n", "least", "f.label", F.size("f.e").alias("w"), F.transform("f.e", lambda x: x.cast("double") / F.col("f.norm")).alias("v"))
+        .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first(F.struct("label", "e")).alias("f"))
+        .select("node", "n", "least", "f.label", F.size("f.e").alias("w"), F.col("f.e").alias("v"))
     )
     middle = centres(nodes, shard, 1.5 * radius(cosine))
     cells = {key: k for k, key in enumerate(sorted(middle))}
@@ -335,23 +368,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # groups are small in bytes and long in work, so their number decides, not their size
     tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8192, sum(map(len, middle.values()))))
 
-    def assign(frames):
+    def assign(frames, beyond=False):
         for f in frames:
             out = []
             for (label, w), g in f.groupby(["label", "w"], sort=False):
                 c, base = middle[(label, w)], cells[(label, w)] * MOST_SHARDS
-                x = np.stack(g["v"].tolist())
+                x, v = units(g["v"]), g["v"].to_numpy()
                 d = ((c**2).sum(1) - 2 * x @ c.T).astype(np.float64)
                 home = d.argmin(1)
                 gap = np.sqrt(((c[home][:, None, :] - c[None, :, :]) ** 2).sum(2))
                 # how far the vector is from the cell of each other centre
                 far = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * gap, 1e-12)
-                k, j = np.nonzero((far <= r + 1e-6) & (d.argsort(1, kind="stable").argsort(1) < OVERLAP))
-                out.append(pd.DataFrame({"cell": base + j, "home": home[k] == j, "node": g["node"].to_numpy()[k], "n": g["n"].to_numpy()[k], "v": [x[i] for i in k]}))
+                k, j = np.nonzero((far <= r + 1e-6) & ((d.argsort(1, kind="stable").argsort(1) >= OVERLAP) == beyond))
+                out.append(pd.DataFrame({"cell": base + j, "home": home[k] == j, "node": g["node"].to_numpy()[k], "n": g["n"].to_numpy()[k], "v": v[k]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    member = "cell long, home boolean, node long, n long, v array<double>"
+    member = f"cell long, home boolean, node long, n long, v array<{kind}>"
     dealt = cut(nodes.select("node", "n", "label", "w", "v").mapInPandas(assign, member))
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.ceil(F.count_if("home") / PART).cast("int").alias("blocks"))
     placed = cut(dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")))  # a row for each of MOST_SHARDS cells of a label
@@ -367,7 +400,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     queries = placed.where("home").select("cell", each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("medoid"))
     keys = ["cell", "part", "qblock"]
     grouped = members.unionByName(queries).repartition(tasks, *keys).sortWithinPartitions(*keys)
-    found = cut(grouped.mapInPandas(by_group(keys, link_group(cosine)), "node long, links long, root long, audited long, missed long"))
+    # pairs of a home vector and one beyond the graph of its shard
+    outer = nodes.select("node", "n", "label", "w", "v").mapInPandas(lambda frames: assign(frames, True), member)
+    width = outer.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    blocks = F.broadcast(cut(width.join(sizes.select("cell", "blocks"), "cell")))
+    compared = outer.select("cell", "node", "n", "v").join(blocks, "cell").select("cell", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"), each_block.alias("qblock"), F.lit(0).alias("role"), "node", "n", "v")
+    asking = placed.where("home").select("cell", "node", "n", "v").join(blocks, "cell").select("cell", each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v")
+    pairs = compared.unionByName(asking).repartition(tasks, *keys).sortWithinPartitions(*keys)
+    result = "node long, links long, root long, audited long, missed long"
+    found = cut(grouped.mapInPandas(by_group(keys, link_group(cosine)), result).union(pairs.mapInPandas(by_group(keys, exact_group(cosine)), result)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select("node", "root"), "node", "root")
     by_node = nodes.select("node", "n", "least").join(links, "node", "left").join(classes, "node", "left")
