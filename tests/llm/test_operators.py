@@ -91,6 +91,18 @@ def test_word_table_starts_anew_when_full(texts, monkeypatch):
     assert own.merge_in_step([]) == [] and own.encode_many([]) == []
 
 
+def test_words_of_one_hash_keep_their_own_ids():
+    """A Thue-Morse word and its complement meet in every polynomial hash modulo a power of two."""
+    own, word = bpe.Codec(), "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        many = [word, other, f"{other} x {word}", word]
+        for _ in range(2):
+            assert own.encode_many(many) == [own.encode_bytes(t) for t in many]
+    assert own.words.odd
+
+
 def test_bpe_digests(spark, docs, texts):
     got = bpe.digests(docs).collect()
     assert len(got) == len(texts) + 2
@@ -132,27 +144,38 @@ def test_packing_plan_uses_each_length_exactly(seed):
     capacity = int(rng.integers(5, 60))
     lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 400)))
     histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
-    runs = packing.plan(histogram, capacity)
+    runs, rests = packing.plan(histogram, capacity)
     used = {}
     for pattern, k in runs:
         assert sum(n * m for n, m in pattern.items()) <= capacity and k > 0
         for n, m in pattern.items():
             used[n] = used.get(n, 0) + k * m
     assert used == histogram
-    assert sum(k for _, k in runs) <= 1.5 * -(-int(lengths.sum()) // capacity) + 1
+    assert rests["sequences"] == sum(k for _, k in runs) <= 1.05 * rests["program"] + 3
+    assert rests["bound"] <= rests["program"] + 1e-6 and rests["by_pattern"] <= rests["pieces"] == len(lengths)
+
+
+def test_packing_program_places_nearly_all():
+    """Lengths like those of documents: the patterns of the solved program place them, best fit only what rounding leaves."""
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(4096, rng.lognormal(6.3, 1.0, 12000).astype(int) + 1)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    _, rests = packing.plan(histogram)
+    assert rests["program"] <= (1 + packing.GAP) * rests["bound"] and rests["by_pattern"] >= 0.9 * rests["pieces"]
+    assert rests["sequences"] <= 1.002 * -(-int(lengths.sum()) // 4096) + 2
 
 
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(20):
         lengths = np.unique(rng.integers(2, 12, 4))
-        values = rng.random(len(lengths))
+        values, limits = rng.random(len(lengths)), rng.integers(1, 5, len(lengths))
         best = [0.0] * 31
-        for c in range(1, 31):
-            best[c] = max([best[c - 1], *(v + best[c - n] for n, v in zip(lengths.tolist(), values.tolist(), strict=True) if n <= c)])
-        pattern = packing.best_pattern(lengths, values, 30)
-        worth = sum(m * values[list(lengths).index(n)] for n, m in pattern.items())
-        assert abs(worth - best[30]) < 1e-9
+        for n, v, m in zip(lengths.tolist(), values.tolist(), limits.tolist(), strict=True):
+            best = [max(j * v + best[c - j * n] for j in range(m + 1) if j * n <= c) for c in range(31)]
+        pattern, worth = packing.price_pattern(lengths, values, limits, 30)
+        assert abs(worth - best[30]) < 1e-9 and abs(sum(m * values[k] for k, m in pattern.items()) - worth) < 1e-9
+        assert all(m <= limits[k] for k, m in pattern.items()) and sum(m * int(lengths[k]) for k, m in pattern.items()) <= 30
 
 
 def brute_links(texts):

@@ -120,14 +120,14 @@ class PairTable:
 
 
 class WordTable:
-    """Ids of words, looked up for whole batches of texts at once by a 64-bit hash of each word.
+    """Ids of words, looked up for whole batches of texts at once.
 
     Words are found, hashed (a polynomial over code points, by prefix sums) and looked up (open addressing) with arrays; only
-    words that are not known yet become strings. A full table starts anew. Two words of one hash would get one's
-    ids: among as many words as a table holds, that is one chance in 10**8.
+    words that are not known yet become strings. The hash only names a slot: the code points of every word found are compared with
+    those stored there, and a word that differs from its slot's is kept by its string. A full table starts anew.
     """
 
-    SLOTS, MOST, BLOCK = 1 << 20, 400_000, 1 << 20
+    SLOTS, MOST, MOST_POINTS, BLOCK = 1 << 20, 400_000, 1 << 24, 1 << 20
 
     def __init__(self, encode_words):
         self.encode_words = encode_words
@@ -142,9 +142,11 @@ class WordTable:
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), 0
         self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.spelt, self.points = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.odd: dict[str, int] = {}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key's word; -1 if it is not known."""
+        """The number of the word in each key's slot; -1 if there is none."""
         out, slot = np.full(len(keys), -1, np.int64), (keys >> np.uint64(44)).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
@@ -155,17 +157,35 @@ class WordTable:
             slot[left] = (slot[left] + 1) % self.SLOTS
         return out
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """New keys, all different, with their words' ids."""
+    def add(self, keys: np.ndarray) -> None:
+        """Slots for new keys, all different, of the words about to be learned in this order."""
         number, slot, left = self.n + np.arange(len(keys)), (keys >> np.uint64(44)).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             self.keys[slot[free]], self.at[slot[free]] = keys[free], number[free]
             left = left[self.keys[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) % self.SLOTS
+
+    def learn(self, words: list[str]) -> None:
+        """The next numbers for these words, with their ids and code points."""
+        ids = self.encode_words(words)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(b) // 4 for b in ids])])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-        self.n += len(keys)
+        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum([len(w) for w in words])])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")])
+        self.n += len(words)
+
+    def differing(self, number: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of the words (their code points one after the other in text) that aren't spelt as the numbered words are."""
+        long = self.spelt[number + 1] - self.spelt[number] == size
+        if not long.all():
+            text, size = text[np.repeat(long, size)], size[long]
+        own = self.spelt[number[long]] - (np.cumsum(size) - size)
+        wrong = np.flatnonzero(text != self.points[np.repeat(own, size) + np.arange(len(text))])
+        bad = ~long
+        if len(wrong):
+            bad[np.flatnonzero(long)[np.searchsorted(np.cumsum(size), wrong, side="right")]] = True
+        return np.flatnonzero(bad)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -179,6 +199,15 @@ class WordTable:
             a = b
         return out
 
+    def hashes(self, code: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = (code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * self.power[: len(code)]
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+            keys = (total[end] - total[first]) * self.back[first] + (end - first).astype(np.uint64)
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            return np.maximum(keys ^ (keys >> np.uint64(29)), np.uint64(1))  # 0 marks a free slot
+
     def block(self, texts: list[str]) -> list[bytes]:
         whole = "\n".join(texts) + "\n"
         code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -187,23 +216,25 @@ class WordTable:
         first, end = edge[::2], edge[1::2]
         if not len(first):
             return [b""] * len(texts)
-        with np.errstate(over="ignore"):
-            mixed = (code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * self.power[: len(code)]
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
-            keys = (total[end] - total[first]) * self.back[first] + (end - first).astype(np.uint64)
-            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys = np.maximum(keys ^ (keys >> np.uint64(29)), np.uint64(1))  # 0 marks a free slot
+        word = lambda k: whole[first[k] : end[k]]
+        keys = self.hashes(code, first, end)
         number = self.find(keys)
         lost = np.flatnonzero(number < 0)
         if len(lost):
             new, where = np.unique(keys[lost], return_index=True)
-            if self.n + len(new) > self.MOST and self.n:
+            if self.n and (self.n + len(new) > self.MOST or len(self.points) > self.MOST_POINTS):
                 self.clear()
                 return self.block(texts)
-            where = lost[where]
-            self.add(new, self.encode_words([whole[i:j] for i, j in zip(first[where].tolist(), end[where].tolist(), strict=True)]))
+            self.add(new)
+            self.learn([word(k) for k in lost[where].tolist()])
             number[lost] = self.find(keys[lost])
+        other = {int(k): word(k) for k in self.differing(number, code[solid], end - first)}
+        if other:
+            unknown = sorted(set(other.values()) - self.odd.keys())
+            self.odd |= {w: self.n + k for k, w in enumerate(unknown)}
+            if unknown:
+                self.learn(unknown)
+            number[list(other)] = [self.odd[w] for w in other.values()]
         at, size = self.start[number], self.start[number + 1] - self.start[number]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - before[:-1], size) + np.arange(before[-1])].astype("<u4").tobytes()

@@ -9,6 +9,7 @@ their length by counting, not sorting, and each finds its place by one search in
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,96 +24,201 @@ from textloom.llm.common import batches_in, cut
 CAPACITY = 4096
 #: Added after the ids of each document.
 END_ID = 1
-#: Rounds of multiplicative weights, and their rate.
-ROUNDS, RATE = 200, 0.5
+#: Size classes that the program works with, at most: a length counts as the multiple of capacity / CLASSES nearest to it.
+CLASSES = 256
+#: Share of a class that one round of multiplicative weights covers, the rate of the weights, and the passes over all classes.
+STEP, RATE, PASSES = 0.1, 0.1, 4
+#: How often the program is solved for what rounding left over, at most.
+ROUNDS = 4
+#: The program is solved when its value is within this share of the bound that the weights prove.
+GAP = 0.01
 
 Run = tuple[dict[int, int], int]
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of greatest value that fits (unbounded knapsack, by capacity); length -> how many."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    reach = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        gain = values[: reach[c]] + best[c - lengths[: reach[c]]]
-        k = int(gain.argmax())
-        best[c], last[c] = gain[k], k
-        if best[c - 1] >= best[c]:
-            best[c], last[c] = best[c - 1], -1
+def price_pattern(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The multiset of sizes of greatest value that fits, each at most limits times: place -> how many, and the value.
+
+    Bounded knapsack by dynamic programming; so many copies of a size are a few items of 1, 2, 4, ... copies.
+    """
+    best = np.zeros(capacity + 1)
+    taken: list[tuple[int, int, np.ndarray]] = []
+    for k in np.argsort(sizes, kind="stable").tolist():
+        size, left, copies = int(sizes[k]), min(int(limits[k]), capacity // int(sizes[k])), 1
+        while left > 0:
+            n = min(copies, left)
+            gain = best[: capacity + 1 - n * size] + n * values[k]
+            better = gain > best[n * size :] + 1e-12
+            np.copyto(best[n * size :], gain, where=better)
+            taken.append((k, n, better))
+            left, copies = left - n, copies * 2
     pattern: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            n = int(lengths[last[c]])
-            pattern[n] = pattern.get(n, 0) + 1
-            c -= n
-    return pattern
+    for k, n, better in reversed(taken):
+        size = n * int(sizes[k])
+        if c >= size and better[c - size]:
+            pattern[k] = pattern.get(k, 0) + n
+            c -= size
+    return pattern, float(best[capacity])
+
+
+def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float, float]:
+    """(patterns over the places of sizes with fractional counts, in the order found; their sum; a lower bound of any such sum).
+
+    The sum of the counts is least possible up to GAP, and they use each size exactly as often as counts says. A size's weight
+    falls by a factor with each share of it that is covered; each round takes the pattern of greatest weight, so often as
+    covers STEP of its scarcest size. All weights over that of the best pattern are a solution of the dual program, so
+    every round proves a bound. A further pass starts from weights that are raised where sizes went into patterns with room left.
+    """
+    start, bound, best = sizes.astype(float), 0.0, ([], np.inf)
+    for _ in range(PASSES):
+        left, weight, found, used = counts.astype(float), start.copy(), {}, np.zeros(len(sizes))
+        while (live := np.flatnonzero(left > 1e-9)).size:
+            local, value = price_pattern(sizes[live], weight[live], counts[live], capacity)
+            bound = max(bound, float(counts[live] @ weight[live]) / value)
+            pattern = {int(live[k]): m for k, m in local.items()}
+            at, m = np.array(list(pattern)), np.array(list(pattern.values()), float)
+            step = float(min((np.maximum(STEP * counts[at], 1.0) / m).min(), (left[at] / m).min()))
+            key = tuple(sorted(pattern.items()))
+            found[key] = found.get(key, 0.0) + step
+            left[at] -= step * m
+            weight[at] *= np.exp(-RATE * step * m / counts[at])
+            used[at] += step * m * capacity / float(sizes[at] @ m)
+        value = sum(found.values())
+        if value < best[1]:
+            best = [(dict(k), x) for k, x in found.items()], value
+        if best[1] <= (1 + GAP) * bound:
+            break
+        start *= used / counts
+    return best[0], best[1], bound
+
+
+class Rooms:
+    """Groups of sequences by the room they have left; the least room that holds a length is found by one search."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.groups, self.sizes = capacity, {}, []
+
+    def add(self, room: int, pattern: dict[int, int], n: int) -> None:
+        if room not in self.groups:
+            self.groups[room] = []
+            insort(self.sizes, room)
+        self.groups[room].append((pattern, n))
+
+    def take(self, length: int) -> tuple[int, dict[int, int], int] | None:
+        k = bisect_left(self.sizes, length)
+        if k == len(self.sizes):
+            return None
+        room = self.sizes[k]
+        pattern, n = self.groups[room].pop()
+        if not self.groups[room]:
+            del self.groups[room], self.sizes[k]
+        return room, pattern, n
+
+    def fill(self, histogram: dict[int, int]) -> None:
+        """Best fit decreasing, a group of equal lengths at a time; new sequences where no room is left."""
+        for length in sorted(histogram, reverse=True):
+            left = histogram[length]
+            while left:
+                room, pattern, n = self.take(length) or (self.capacity, {}, left)
+                per = min(room // length, left)
+                some = min(n, left // per)
+                self.add(room - per * length, pattern | {length: pattern.get(length, 0) + per}, some)
+                if some < n and pattern:
+                    self.add(room, pattern, n - some)
+                left -= per * some
+
+    def runs(self) -> list[Run]:
+        return [(pattern, n) for groups in self.groups.values() for pattern, n in groups]
+
+
+class Stock:
+    """What is left of each length, and the lengths left in order."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.left, self.lengths = dict(histogram), sorted(histogram)
+
+    def largest(self, low: int, high: int, taken: dict[int, int]) -> int | None:
+        """The greatest length from low to high of which there is more than what is taken."""
+        k = bisect_right(self.lengths, high) - 1
+        while k >= 0 and self.lengths[k] >= low:
+            length = self.lengths[k]
+            if self.left[length] > taken.get(length, 0):
+                return length
+            k -= 1
+        return None
+
+    def put(self, taken: dict[int, int], times: int) -> None:
+        for length, m in taken.items():
+            if length not in self.left:
+                insort(self.lengths, length)
+            self.left[length] = self.left.get(length, 0) + m * times
+
+    def remove(self, taken: dict[int, int], times: int) -> None:
+        for length, m in taken.items():
+            self.left[length] -= m * times
+            if not self.left[length]:
+                del self.left[length], self.lengths[bisect_left(self.lengths, length)]
+
+
+def fill_slots(stock: Stock, slots: list[int], capacity: int, unit: int) -> tuple[dict[int, int], int]:
+    """(length -> how many, room left) of a sequence with lengths near these classes, as far as they are in stock."""
+    taken: dict[int, int] = {}
+    room = capacity
+    for j, size in enumerate(slots):
+        low, high = (size * unit - unit // 2 if size > 1 else 1), size * unit + unit // 2
+        if j == len(slots) - 1:
+            low, high = low - len(slots) * unit, high + len(slots) * unit
+        if (length := stock.largest(low, min(room, high), taken)) is not None:
+            taken[length] = taken.get(length, 0) + 1
+            room -= length
+    return taken, room
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Patterns with fractional counts, in the order found; divided by the greatest coverage they are a packing.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], dict[str, float]]:
+    """Runs (pattern, how many sequences) that use each length exactly as often as the histogram says, and what they rest on.
 
-    Lengths that are covered little so far weigh more; each round takes the pattern of greatest weight per sequence, as
-    often as its scarcest length allows. Rounding takes what of each is still there, so no division is needed.
+    The counts of the program's patterns are rounded, what is cut off one being carried to the next. A pattern's places are then
+    filled with lengths of their classes, the greatest first, and the last place with the greatest length that still fits: so what
+    classes misjudge is made good. Sequences that stay less than full, since rounding used a length up, are dissolved, and the
+    program is solved again for what is left, until that is too little to fill any. It goes by best fit, into rooms first.
     """
-    lengths = np.array(sorted(histogram))
-    counts = np.array([histogram[n] for n in lengths.tolist()], float)
-    place = {n: k for k, n in enumerate(lengths.tolist())}
-    weight = 1.0 + 0.1 * lengths / capacity  # of two full sequences, that of longer pieces, which are harder to place
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        # weights start in proportion to length, so that full sequences are worth most
-        pattern = best_pattern(lengths, weight * lengths, capacity)
-        step = min(counts[place[n]] / m for n, m in pattern.items())
-        key = tuple(sorted(pattern.items()))
-        found[key] = found.get(key, 0.0) + step
-        for n, m in pattern.items():
-            weight[place[n]] *= np.exp(-rate * step * m / counts[place[n]])
-    return [(dict(k), x) for k, x in found.items()]
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[Run]:
-    """Best fit decreasing, a group of equal lengths at a time: at most two more groups of sequences for each length."""
-    groups: list[list] = []  # [room, pattern, how many sequences]
-    for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        while left:
-            fits = [g for g in groups if g[0] >= n]
-            if not fits:
-                per = capacity // n
-                full, rest = divmod(left, per)
-                if full:
-                    groups.append([capacity - per * n, {n: per}, full])
-                if rest:
-                    groups.append([capacity - rest * n, {n: rest}, 1])
-                break
-            g = min(fits, key=lambda g: g[0])
-            per = min(g[0] // n, left)
-            take = min(g[2], left // per)
-            if take < g[2]:
-                groups.append([g[0], dict(g[1]), g[2] - take])
-            g[0], g[1], g[2] = g[0] - per * n, g[1] | {n: per}, take
-            left -= per * take
-    return [(p, k) for _, p, k in groups]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """Runs (pattern, how many sequences) that use each length exactly as often as the histogram says."""
+    rests = {"pieces": sum(histogram.values()), "by_pattern": 0, "program": 0.0, "bound": 0.0, "sequences": 0}
     if not histogram:
-        return []
-    left = dict(histogram)
-    runs: list[Run] = []
-    for pattern, x in configuration_lp(histogram, capacity):
-        k = min([int(x + 1e-9), *(left[n] // m for n, m in pattern.items())])
-        if k > 0:
-            runs.append((pattern, k))
-            for n, m in pattern.items():
-                left[n] -= k * m
-    runs += best_fit({n: c for n, c in left.items() if c}, capacity)
-    plain = best_fit(histogram, capacity)
-    return runs if sum(k for _, k in runs) <= sum(k for _, k in plain) else plain
+        return [], rests
+    unit = -(-capacity // CLASSES)
+    stock, rooms = Stock(histogram), Rooms(capacity)
+    for round_ in range(ROUNDS):
+        counts = np.bincount([max(1, (n + unit // 2) // unit) for n in stock.left], list(stock.left.values())).astype(np.int64)
+        sizes = np.flatnonzero(counts)
+        solution, value, bound = configuration_lp(counts[sizes], sizes, capacity // unit)
+        if not round_:
+            rests |= {"program": value, "bound": bound}
+        full, loose, carried = 0, [], 0.5
+        for pattern, x in solution:
+            carried += x
+            want, carried = int(carried), carried % 1.0
+            slots = [int(sizes[k]) for k in sorted(pattern, reverse=True) for _ in range(pattern[k])]
+            while want > 0:
+                taken, room = fill_slots(stock, slots, capacity, unit)
+                if not taken:
+                    break
+                times = min(want, *(stock.left[n] // m for n, m in taken.items()))
+                stock.remove(taken, times)
+                want -= times
+                if room < unit:
+                    rooms.add(room, taken, times)
+                    full += times * sum(taken.values())
+                else:
+                    loose.append((taken, times))
+        for taken, times in loose:
+            stock.put(taken, times)
+        rests["by_pattern"] += full
+        if not full or not stock.left:
+            break
+    rooms.fill(stock.left)
+    runs = rooms.runs()
+    return runs, rests | {"sequences": sum(n for _, n in runs)}
 
 
 def places(runs: list[Run]) -> dict[int, np.ndarray]:
@@ -165,7 +271,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     made = cut(pieces(docs, id_col, text_col, path, capacity))
     counts = cut(made.groupBy("length", "__part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    at = places(plan(histogram, capacity))
+    at = places(plan(histogram, capacity)[0])
     # one row for each partition and length, so a window holds as many rows as there are partitions
     first = counts.select("length", "__part", (F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")).alias("__first"))
     ranked = made.join(first, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__first"))
