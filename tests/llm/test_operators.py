@@ -196,9 +196,10 @@ def closure(links):
     return least
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 600])
-def test_ngram_join_is_brute_force(spark, texts, block, monkeypatch):
+@pytest.mark.parametrize(("block", "members"), [(ngram_join.BLOCK, ngram_join.MEMBERS), (600, 256), (1 << 20, 3)])
+def test_ngram_join_is_brute_force(spark, texts, block, members, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks split the near copies over several tasks
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n string")
     links = brute_links(texts)
     least = closure(links)
@@ -215,6 +216,18 @@ def test_ngram_join_edges(spark, docs):
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** ngram_join.bands_for() >= ngram_join.RECALL
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(9)
+    x, y, z, w = (sentence(rng, 60) for _ in range(4))
+    rows = [(2, x), (5, x), (5, y), (7, f"{y} end"), (9, z), (9, z), (None, w), (None, w), (None, x), (11, None), (11, None), (12, ""), (13, f"{z} a1")]
+    df = spark.createDataFrame([(k, t, "c") for k, t in rows], "doc_id long, text string, node string")
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(2, x), (5, y), (9, z), (None, w), (11, None), (11, None), (12, "")], key=str)
+    assert ngram_join.keep_one(df).columns == df.columns and ngram_join.keep_one(df.limit(0)).count() == 0
+    plain = df.where("doc_id in (2, 7, 12)")
+    assert ngram_join.keep_one(plain).count() == 3
+
+
 def test_line_dedup(spark):
     boiler = "All rights reserved by the owner of site %d today"
     long = "one two three four five six seven eight nine ten eleven %s thirteen fourteen fifteen"

@@ -1,9 +1,10 @@
 """Near-duplicate join: five-word shingles, Jaccard similarity of 0.8 or more, found by MinHash banding.
 
 Copies (equal shingle sets) are one node from the start, with a count. Band hashes of nodes are shuffled; nodes that share
-one are candidates and get into one candidate component. A component is split into blocks, and each pair of blocks is one
-task's work: pairs that share a band are verified there on their full shingle sets. Tasks return sums of links and spanning edges
-for each node, never pairs, so a group of thousands of near copies gives thousands of rows.
+one are candidates and get into one candidate component. A component is split into blocks of a bounded number of nodes, those of
+an equal first band together. Two blocks meet in a task only if some band hash occurs in both: pairs of nodes that share
+one are verified there on their full shingle sets. Tasks return sums of links and spanning edges for each node, never pairs,
+so a group of thousands of near copies gives thousands of rows, and a chain of groups is compared link by link.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ N, THRESHOLD = 5, 0.8
 #: The share of pairs just at the threshold that must meet in a band; more similar pairs are missed far less.
 RECALL = 0.9995
 ROWS = 7
-#: Shingles in a block of a candidate component: a task holds two blocks.
-BLOCK = 1 << 20
+#: Shingles and nodes in a block of a candidate component, on average: a task holds two blocks at a time.
+BLOCK, MEMBERS = 1 << 20, 256
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -39,17 +40,17 @@ def _constants(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's n-word shingles; words are lower-cased and split at white space.
+    """Sorted distinct 64-bit hashes of a text's n-word shingles; words are lower-cased and split at ASCII white space.
 
     A text of fewer than n words, but one at least, has a single shingle of all its words.
     """
 
     def __init__(self, n: int = N):
         self.n = n
-        self.word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        self.word = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
+        words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
         h = np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
@@ -80,18 +81,20 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) ->
     return h.view(np.int64)
 
 
+def node_of(shingles: np.ndarray) -> np.int64 | None:
+    """The name of a shingle set; None for an empty one."""
+    return np.int64(xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)) if len(shingles) else None
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, rows: int, bands: int) -> DataFrame:
     """(id, node, bands): node is a hash of the shingle set, null where there is none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, (a, b) = Shingler(), _constants(bands, rows)
         for f in frames:
-            node, found = [], []
-            for text in f["__t"]:
-                s = shingler(text)
-                node.append(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)) if len(s) else None)
-                found.append(signature(s, a, b, bands) if len(s) else None)
-            yield pd.DataFrame({"id": f["id"], "node": pd.array(node, "Int64"), "bands": found})
+            sets = [shingler(text) for text in f["__t"]]
+            found = [signature(s, a, b, bands) if len(s) else None for s in sets]
+            yield pd.DataFrame({"id": f["id"], "node": pd.array(list(map(node_of, sets)), "Int64"), "bands": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return batches_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))).mapInPandas(run, f"id {kind}, node long, bands array<long>")
@@ -148,14 +151,34 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"comp": group["comp"][has].to_numpy(), "node": node[has], "links": links[has], "root": node[labels[has]]})
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """(id, n_links, class_id, kept) for each row.
+def dealt_to_blocks(members: DataFrame) -> DataFrame:
+    """A row (comp, i, j, block, node, n, bands, shingles) of each member for each pair i <= j of blocks of its component to be compared.
 
-    n_links is the number of other rows whose shingle sets have a Jaccard similarity of 0.8 or more with this row's;
-    class_id is the smallest id that a chain of links reaches, its own included; kept says that the id is the class_id.
-    Null and empty texts, and those of white space, have no shingles and link with nothing. Repeated rows are copies of
-    each other. A null id is kept, is nobody's class_id unless all its class has null ids, and counts as a link. Other columns are not read.
+    A block is a hash of the first band, so that what is alike lies together; nodes of a crowded first band are spread over
+    several. Pairs of blocks come from the band hashes they have in common, by distinct (hash, block), never from pairs of members.
     """
+    sums = members.groupBy("comp").agg(F.sum(F.length("shingles") / 8).alias("s"), F.count("*").alias("m"))
+    sums = sums.select("comp", F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("m") / MEMBERS)).cast("int").alias("nb"))
+    small = members.join(sums, "comp")
+    large = cut(small.where("nb > 1"))
+    zero = F.lit(0).cast("int")
+    alone = small.where("nb = 1").select("comp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "node", "n", "bands", "shingles")
+    if large.isEmpty():
+        return alone
+    first = F.get("bands", F.lit(0))
+    crowds = large.groupBy("comp", first.alias("first")).agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    placed = large.withColumn("first", first).join(crowds, ["comp", "first"])
+    placed = cut(placed.select("comp", F.pmod(F.xxhash64("first", part), F.col("nb")).cast("int").alias("block"), "node", "n", "bands", "shingles"))
+    keyed = cut(placed.select("comp", "block", F.explode("bands").alias("k")).distinct())
+    other = keyed.select("comp", F.col("block").alias("j"), "k")
+    pairs = cut(keyed.withColumnRenamed("block", "i").join(other, ["comp", "k"]).where("i <= j").select("comp", "i", "j").distinct())
+    sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return alone.unionByName(sides.join(placed, ["comp", "block"]))
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, recall: float, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, and (node, n_links, root, class_id) of every node; nodes of a class have equal roots."""
     bands = bands_for(THRESHOLD, recall, rows)
     signed = cut(signatures(docs, id_col, text_col, rows, bands))
     nodes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("bands").alias("bands")))
@@ -172,24 +195,59 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shingler = Shingler()
         for f in frames:
             found = [shingler(t) for t in f["__t"]]
-            yield pd.DataFrame({"node": pd.array([np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)) if len(s) else None for s in found], "Int64"), "shingles": [s.tobytes() for s in found]})
+            yield pd.DataFrame({"node": pd.array(list(map(node_of, found)), "Int64"), "shingles": [s.tobytes() for s in found]})
 
     full = batches_in(shingled.select("__t")).mapInPandas(sets, "node long, shingles binary").where("node IS NOT NULL").dropDuplicates(["node"])
     members = cut(full.join(active, "node").select("comp", "node", "n", "bands", "shingles"))
-    sums = members.groupBy("comp").agg(F.sum(F.length("shingles") / 8).alias("s"))
-    nb = F.ceil(F.col("s") / BLOCK).cast("int")
-    dealt = members.join(sums, "comp").withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "bands", "shingles")
     keys = ["comp", "i", "j"]
-    grouped = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    grouped = dealt_to_blocks(members).repartition(*keys).sortWithinPartitions(*keys)
     verified = cut(batches_in(grouped).mapInPandas(by_group(keys, verify), "comp long, node long, links long, root long"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(verified.select("node", "root"), "node", "root")
-    by_node = nodes.select("node", "n", "least").join(links, "node", "left").join(classes, "node", "left")
+    joined = components(verified.select("node", "root"), "node", "root")
+    by_node = nodes.select("node", "n", "least").join(links, "node", "left").join(joined, "node", "left")
     by_node = by_node.select("node", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     least = by_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    result = by_node.join(least, "root").select("node", "n_links", "class_id")
-    some = signed.where("node IS NOT NULL").select("id", "node").join(result, "node").select("id", "n_links", "class_id")
+    return signed.select("id", "node"), by_node.join(least, "root").select("node", "n_links", "root", "class_id")
+
+
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """(id, n_links, class_id, kept) for each row.
+
+    n_links is the number of other rows whose shingle sets have a Jaccard similarity of 0.8 or more with this row's;
+    class_id is the smallest id that a chain of links reaches, its own included; kept says that the id is the class_id.
+    Null and empty texts, and those of white space, have no shingles and link with nothing. Repeated rows are copies of
+    each other. A null id is kept, is nobody's class_id unless all its class has null ids, and counts as a link. Other columns are not read.
+    """
+    signed, found = classes(docs, id_col, text_col, recall, rows)
+    some = signed.where("node IS NOT NULL").join(found, "node").select("id", "n_links", "class_id")
     none = signed.where("node IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
     return some.unionByName(none).select(F.col("id").alias(id_col), "n_links", "class_id", F.expr("id IS NULL OR id = class_id").alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """docs with one row of each class of near duplicates, that of the smallest id; all columns stay.
+
+    Rows without shingles are in no class and stay, each of them. Of rows that share the smallest id of their class one stays, any
+    of them; rows that share an id but have different texts are judged each in its own class. A null id counts as greater than any.
+    """
+    signed, found = classes(docs, id_col, text_col, recall, rows)
+    found = cut(found.select("node", "root", "class_id"))
+    gone = signed.join(found, "node").where("id IS NOT NULL AND id <> class_id").select(F.col("id").alias("__id"))
+    # ids that say which row is meant, and those that don't
+    shared = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias("__id")))
+    aside = broadcast_if_small(cut(gone.union(shared).where("__id IS NOT NULL").distinct()), 16)
+    kept = docs.where(F.col(id_col).isNotNull()).join(aside, F.col(id_col) == F.col("__id"), "left_anti")
+    if shared.isEmpty():
+        return kept
+
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler()
+        for batch in batches:
+            yield pd.Series(pd.array([node_of(shingler(t)) for t in batch], "Int64"))
+
+    odd = docs.join(broadcast_if_small(shared, 16), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    odd = odd.select(whole.alias("row"), F.pandas_udf(named, "long")(F.col(text_col)).alias("node"))
+    judged = odd.where("node IS NOT NULL").join(found, "node").where(F.col("row")[id_col].eqNullSafe(F.col("class_id")))
+    one = judged.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+    return kept.unionByName(odd.where("node IS NULL").select("row.*")).unionByName(one)
