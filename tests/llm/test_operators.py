@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +250,32 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_variable_fields_and_short_lines(spark):
+    rng = random.Random(8)
+    names, days, parts = "Anna Boris Clara Dmitri Eva Farid Grace".split(), "Monday Tuesday Friday Sunday".split(), "News Sports Culture".split()
+    rows = []
+    for k in range(40):
+        lines = [f"{sentence(rng, 7)} {k}", f"Posted by {rng.choice(names)} on {rng.choice(days)} in {rng.choice(parts)}", "Share this article", "   ", *[sentence(rng, rng.randint(2, 4)) for _ in range(12)], "the of"]
+        rows.append((k, "\n".join(lines), "clash", "clash"))
+    rows += [(2, rows[2][1], "again", "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __drop string, f string")
+    got = line_dedup.dedup_lines(df).collect()
+    assert len(got) == 41 and all(r["__drop"] in ("clash", "again") for r in got)
+    for r in got:
+        own = r["text"].split("\n")
+        assert any(x.startswith("Posted by") for x in own) == ("Share this article" in own) == (r["doc_id"] == 0)
+        assert "   " in own and "the of" in own  # two common words meet by chance
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"a line of its own called {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)} here" for k in range(80_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines[:40_000])), (2, "\n".join(lines) + "\nlast")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1]["n_dropped_lines"] == 0 and got[2]["n_dropped_lines"] == 40_000
+    assert got[2]["text"].split("\n") == [*lines[40_000:], "last"] and time.time() - began < 60
+
+
 def test_quality_rules(spark, docs, texts):
     import re
 

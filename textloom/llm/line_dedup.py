@@ -1,12 +1,15 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line goes down the tree by its token count, then by its leading tokens (tokens with a digit are the variable field
-<*>). A leaf holds templates: the line itself, and, for lines of LONG tokens or more, the line with one of FIELDS
-neighbouring stretches of its further tokens replaced by <*>. A template that lines of two or more documents share is recurring, and its lines
-are dropped everywhere but in the document of the smallest id, so that no passage is lost altogether.
-
-Nothing is compared pair by pair and no leaf is gathered: a template is a key, and whether it recurs is the least and the
-greatest document id of that key, which Spark aggregates before it shuffles.
+<*>). A leaf holds templates of three kinds: the line itself; for lines of LONG tokens or more, the line with one of FIELDS
+neighbouring stretches of its further tokens replaced by <*>; for shorter ones, the tokens that most lines of the leaf have in
+their places, and <*> in all others, where those are at least half of the line and two besides the leading ones. A template is recurring if lines of two
+or more documents share it, and its lines are dropped everywhere but in the document of the smallest id, so that no passage
+is lost altogether. Two kinds need more than two documents, since chance makes them too: the leaf's template needs
+FIELD_DOCS, and lines of fewer than LEAST tokens need SHORT_DOCS and RATIO times as many as their tokens would meet by chance.
+
+Nothing is compared pair by pair and no leaf is gathered: a template is a key, and whether it recurs is what Spark
+aggregates for that key before it shuffles. A leaf's template is an aggregate over (leaf, place, token).
 """
 
 from __future__ import annotations
@@ -14,61 +17,124 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import broadcast_if_small, cut
 from textloom.llm.quality_rules import let
 
 #: Leading tokens on the path, stretches of the rest that may vary, and the least tokens for such templates.
 DEPTH, FIELDS, LONG = 2, 3, 12
-#: Shorter lines are never dropped: a few words recur in clean prose by chance.
-LEAST = 5
+#: Documents that the common template of a leaf needs.
+FIELD_DOCS = 5
+#: Lines of fewer tokens are judged by how much oftener they occur than by chance, and in how many documents.
+LEAST, SHORT_DOCS, RATIO = 5, 10, 50.0
+#: Up to so many lines to drop are looked up one by one, more by bisection.
+FEW = 24
 
 
-def templates(line: Column) -> Column:
-    """Keys of the templates that a line is an instance of: path and template as one 64-bit hash each; none for short lines."""
+def tokens(line: Column) -> Column:
+    """Lower-case tokens of a line; those with a digit are <*>."""
     masked = F.regexp_replace(F.lower(line), r"[^\s]*\d[^\s]*", "<*>")
-    tokens = F.array_remove(F.split(masked, r"\s+"), "")
+    return F.array_remove(F.split(masked, r"\s+"), "")
 
-    def keys(t: Column) -> Column:
-        n = F.size(t)
-        lead, rest = F.array_join(F.slice(t, 1, DEPTH), " "), n - DEPTH
-        exact = F.xxhash64(n, lead, F.lit(0), F.array_join(t, " "))
-        varied = []
-        for k in range(FIELDS):
-            a, b = DEPTH + (rest * k / FIELDS).cast("int"), DEPTH + (rest * (k + 1) / FIELDS).cast("int")
-            varied.append(F.xxhash64(n, lead, F.lit(k + 1), F.array_join(F.slice(t, F.lit(1), a), " "), F.array_join(F.slice(t, b + 1, n), " ")))
-        none = F.array().cast("array<bigint>")
-        return F.when(n < LEAST, none).when(n < LONG, F.array(exact)).otherwise(F.array(exact, *varied))
 
-    return let(tokens, keys)
+def lead(t: Column) -> Column:
+    return F.array_join(F.slice(t, 1, DEPTH), " ")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, drop: hashes of the lines to drop), for documents that have any.
+def templates(t: Column) -> Column:
+    """Keys of the templates that a line of these tokens is an instance of by itself: path and template as one 64-bit hash each."""
+    n, own = F.size(t), lead(t)
+    rest = n - DEPTH
+    exact = F.xxhash64(n, own, F.lit(0), F.array_join(t, " "))
+    varied = []
+    for k in range(FIELDS):
+        a, b = DEPTH + (rest * k / FIELDS).cast("int"), DEPTH + (rest * (k + 1) / FIELDS).cast("int")
+        varied.append(F.xxhash64(n, own, F.lit(k + 1), F.array_join(F.slice(t, F.lit(1), a), " "), F.array_join(F.slice(t, b + 1, n), " ")))
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < LONG, F.array(exact)).otherwise(F.array(exact, *varied))
 
-    A line is dropped if one of its templates occurs in a document of smaller id.
-    """
+
+def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__d, __h, __n, __ks, __t) for each document and different line: hash, token count, keys, and the tokens of short lines."""
     lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
     each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(lines)).alias("__l"))
-    # computed once, although two joins read it: parsing lines is what costs here
-    parsed = cut(each.select("__d", F.xxhash64("__l").alias("__h"), templates(F.col("__l")).alias("__ks")))
-    keyed = parsed.select("__d", "__h", F.explode("__ks").alias("__k"))
-    common = keyed.groupBy("__k").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").select("__k", "__first")
+    made = let(tokens(F.col("__l")), lambda t: F.struct(F.size(t).alias("n"), templates(t).alias("ks"), F.when(F.size(t) < LONG, t).alias("t")))
+    # computed once, although several joins read it: parsing lines is what costs here
+    return cut(each.select("__d", F.xxhash64("__l").alias("__h"), made.alias("m")).select("__d", "__h", F.col("m.n").alias("__n"), F.col("m.ks").alias("__ks"), F.col("m.t").alias("__t")))
+
+
+def beyond_chance(parsed: DataFrame) -> DataFrame:
+    """(__k, __first) of the short lines that recur: in SHORT_DOCS documents, and RATIO times as many as by chance.
+
+    By chance, so many lines of n tokens consist of given tokens as there are such lines, times the share of each token among
+    those of all short lines that are last in their line, or not last, as it is. Rows that share an id count once.
+    """
+    short = cut(parsed.where(f"__n BETWEEN 1 AND {LEAST - 1}").select("__d", "__n", F.get("__ks", F.lit(0)).alias("__k"), "__t").dropDuplicates(["__d", "__k"]))
+    each = short.select("__n", F.posexplode("__t").alias("i", "w")).groupBy((F.col("i") + 1 == F.col("__n")).alias("last"), "w").agg(F.count("*").alias("c"))
+    whole = each.groupBy("last").agg(F.sum("c").alias("all"))  # two rows
+    shares = cut(each.join(F.broadcast(whole), "last").select("last", "w", (F.col("c") / F.col("all")).alias("p")))
+    lines = cut(short.groupBy("__k").agg(F.count("*").alias("docs"), F.min("__d").alias("__first"), F.first("__t").alias("t"), F.first("__n").alias("n")).where(F.col("docs") >= SHORT_DOCS))
+    totals = short.groupBy(F.col("__n").alias("n")).agg(F.count("*").alias("m"))  # LEAST - 1 rows
+    spread = lines.select("__k", "__first", "docs", "n", F.posexplode("t").alias("i", "w")).withColumn("last", F.col("i") + 1 == F.col("n"))
+    chance = spread.join(broadcast_if_small(shares, 64), ["last", "w"]).groupBy("__k", "__first", "docs", "n").agg(F.sum(F.log("p")).alias("lp"))
+    return chance.join(F.broadcast(totals), "n").where(F.log("docs") >= F.log("m") + F.col("lp") + F.log(F.lit(RATIO))).select("__k", "__first")
+
+
+def leaf_templates(parsed: DataFrame) -> DataFrame:
+    """(__d, __h, __k) of the lines that are instances of their leaf's common template, for leaves where it generalises."""
+    middle = parsed.where(f"__n BETWEEN {LEAST} AND {LONG - 1}").select("__d", "__h", "__n", F.xxhash64("__n", lead(F.col("__t"))).alias("leaf"), "__t")
+    sizes = middle.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= FIELD_DOCS)
+    sizes = broadcast_if_small(cut(sizes), 16)
+    within = cut(middle.join(sizes, "leaf"))
+    places = within.select("leaf", "__n", "m", F.posexplode("__t").alias("i", "w")).groupBy("leaf", "__n", "m", "i", "w").agg(F.count("*").alias("c")).where("2 * c > m")
+    # at most one token for each place of a line of fewer than LONG
+    common = places.groupBy("leaf", "__n").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("fixed")).where(f"2 * size(fixed) >= __n AND size(fixed) BETWEEN {DEPTH + 2} AND __n - 1")
+    fits = F.forall("fixed", lambda x: F.get("__t", x["i"]) == x["w"])
+    return within.join(broadcast_if_small(cut(common.select("leaf", "fixed")), 256), "leaf").where(fits).select("__d", "__h", F.xxhash64("leaf", F.lit("leaf")).alias("__k"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__d: id, __drop: sorted hashes of the lines to drop), for documents that have any.
+
+    A line is dropped if one of its templates recurs and occurs in a document of smaller id.
+    """
+    parsed = parsed_lines(docs, id_col, text_col)
+    keyed = parsed.select("__d", "__h", "__n", F.explode("__ks").alias("__k"))
+    plain = keyed.where(F.col("__n") >= LEAST).groupBy("__k").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").select("__k", "__first")
+    leaves = cut(leaf_templates(parsed))
+    fields = leaves.select("__d", "__k").distinct().groupBy("__k").agg(F.count("*").alias("n"), F.min("__d").alias("__first")).where(F.col("n") >= FIELD_DOCS).select("__k", "__first")
+    common = plain.union(fields).union(beyond_chance(parsed))
     # a hot template is one row on the right, and the adaptive planner splits its rows on the left
-    hit = keyed.join(common, "__k").where("__d <> __first")
-    return hit.groupBy("__d").agg(F.collect_set("__h").alias("__drop"))
+    hit = keyed.select("__d", "__h", "__k").union(leaves.select("__d", "__h", "__k")).join(common, "__k").where("__d <> __first")
+    return hit.groupBy("__d").agg(F.array_sort(F.collect_set("__h")).alias("__drop"))
+
+
+def among(value: Column, ordered: Column) -> Column:
+    """Whether value is in a sorted array, by bisection: a long text with as many lines to drop takes n log n steps."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    at = F.struct(F.lit(0).alias("a"), F.size(ordered).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        left = F.get(ordered, middle) > value
+        return F.struct(F.when(left, s["a"]).otherwise(middle).alias("a"), F.when(left, middle).otherwise(s["b"]).alias("b"))
+
+    return F.when(F.size(ordered) <= FEW, F.array_contains(ordered, value)).otherwise(F.get(ordered, F.aggregate(steps, at, halve)["a"]) == value)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with recurring lines taken out of the text, and n_dropped_lines (long); no row is dropped.
 
     Rows with a null id or text stay as they are, count nothing, and have 0. Rows that share an id count as one document. The lines
-    that stay keep their order and line feeds. An empty table stays empty. Other columns are kept, but for one named n_dropped_lines.
+    that stay keep their order and line feeds; an empty line or one of white space always stays. A text of any length is one row's
+    work, in n log n steps of its lines. An empty table stays empty. Other columns are kept, but for one named n_dropped_lines.
     """
     columns = [c for c in docs.columns if c != "n_dropped_lines"]
-    found = recurring_lines(docs, id_col, text_col)
-    joined = docs.select(*columns).join(found, docs[id_col] == found["__d"], "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(x)))
-    text = F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], n.alias("n_dropped_lines"))
+    found = recurring_lines(docs, id_col, text_col).select(F.struct("__d", "__drop").alias("f"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"))
+    joined = left.join(found, F.col("r")[id_col] == F.col("f.__d"), "left")
+    text, drop = F.col("r")[text_col], F.col("f.__drop")
+    split = F.split(text, "\n")
+    kept = F.filter(split, lambda x: ~among(F.xxhash64(x), drop))
+    touched = drop.isNotNull() & text.isNotNull()
+    n = F.when(touched, F.size(split) - F.size("k")).otherwise(0).cast("long")
+    out = joined.select("r", "f", F.when(touched, kept).alias("k"))
+    return out.select(*[F.when(touched, F.array_join("k", "\n")).otherwise(text).alias(c) if c == text_col else F.col("r")[c].alias(c) for c in columns], n.alias("n_dropped_lines"))
