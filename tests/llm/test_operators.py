@@ -401,6 +401,50 @@ def test_warc_round_trip(spark):
     assert apart[3] == apart[4] == "response" and apart[1] == "revisit"
 
 
+def test_warc_is_read_by_byte_ranges(spark, tmp_path):
+    """Ranges of a few hundred bytes begin anywhere: within the magic, headers and payloads that hold the magic."""
+    rng = random.Random(6)
+    rows = [(k, f"http://{k}", "".join(rng.choice(["WARC/1.0\r\n", "\r\n\r\n", "text ", "WARC/1.0\r\nContent-Length: 5\r\n\r\n"]) for _ in range(rng.randint(0, 200)))) for k in range(60)]
+    path = str(tmp_path / "a")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, records_per_file=40)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for size in ("100000000", "777", "10001"):
+            spark.conf.set(name, size)
+            got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+            assert len(got) == 60 and all(r["sound"] for r in got.values())
+            import base64
+
+            for k, _, html in rows:
+                assert got[k]["payload_bytes"] == len(html.encode()) and got[k]["payload_digest"] == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    finally:
+        spark.conf.set(name, before)
+    assert warc.damage(spark, path).count() == 0
+
+
+def test_warc_damage_is_told(spark, tmp_path):
+    path = tmp_path / "a"
+    warc.write(spark.createDataFrame([(k, f"http://{k}", f"page {k} " * 50) for k in range(40)], "page_id long, url string, html string").coalesce(1), str(path), records_per_file=1000)
+    file = next(path.glob("part-*"))
+    whole = file.read_bytes()
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    at = whole.index(b"Content-Length: ", 9 * len(whole) // 40) + len(b"Content-Length: ")
+    file.write_bytes(whole[:at] + b"7" + whole[at + 1 :])
+    with pytest.raises(warc.DamagedArchive, match="records end at byte"):
+        warc.read(spark, str(path))
+    told = warc.damage(spark, str(path)).first()
+    some = warc.read(spark, str(path), strict=False)
+    assert 0 < told["read_to"] != told["size"] == len(whole) and 5 < some.count() < 15 and some.where("sound").count() >= some.count() - 1
+    for other in (whole[:-7], whole + b"more", b"no record at all", b"x" + whole):
+        file.write_bytes(other)
+        with pytest.raises(warc.DamagedArchive):
+            warc.read(spark, str(path))
+    file.write_bytes(whole)
+    assert warc.read(spark, str(path)).count() == 40
+
+
 def test_warc_long_chain(spark):
     jumps = spark.createDataFrame([("f", 10 * k, 10 * k + 10) for k in range(700)] + [("f", 10 * k + 5, 10 * k + 35) for k in range(50)], "file string, off long, next long")
     assert warc.reachable(jumps).where("off % 10 = 5").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,16 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
+    """The folder all machines see: spark.checkpoint.dir, or, where it is unset and all runs on this machine, a temporary one."""
     context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
-        path = context.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        path = tempfile.mkdtemp(prefix="textloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there on: computed once, and kept when executors are lost."""
     shared_dir(df.sparkSession)
