@@ -509,6 +509,36 @@ def test_embedding_links_over_many_cells_are_exact(spark, part, monkeypatch):
     assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (len(links[k]), least[k], least[k] == k) for k, _, _ in rows)
 
 
+def test_embedding_links_with_thousands_of_labels(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for label in range(3000):
+        v = rng.normal(size=4)
+        rows += [(3 * label + k, (v + rng.normal(size=4) * (0.01 if k else 0)).tolist(), label if label else None) for k in range(2)]
+        rows.append((3 * label + 2, (-v).tolist(), label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    links = {}
+    for label in range(1, 3000):
+        a, b = (np.array(rows[3 * label + k][1]) for k in range(2))
+        links[label] = int(a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98)
+    assert len(got) == 9000 and all(got[3 * k]["n_links"] == got[3 * k + 1]["n_links"] == n and got[3 * k + 2]["n_links"] == 0 for k, n in links.items())
+    assert got[0]["n_links"] == got[1]["n_links"] == 0 and all(got[3 * k + 1]["component_id"] == 3 * k + 1 - n for k, n in links.items())
+
+
+def test_embedding_recall_is_audited(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(20, 16))
+    rows = [(k, np.float32(centre[k % 20] + rng.normal(size=16) * 0.08).tolist(), 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = embedding_dedup.linked_nodes(df, "vec_id", "embedding", "label", 0.98, 200)[2]
+    told = embedding_dedup.audit(found).first()
+    assert told["audited"] > 100 and told["recall"] >= 0.99
+    monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 1.1)
+    with pytest.raises(RuntimeError, match="audited links"):
+        embedding_dedup.near_duplicates(df)
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 32)).astype(np.float32)

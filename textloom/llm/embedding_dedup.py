@@ -13,15 +13,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from textloom.llm.common import by_group, components, cut, merge_labels
+from textloom.llm.common import broadcast_if_small, by_group, components, cut, merge_labels
 
 COSINE = 0.98
-#: Vectors of a label for each shard on average, and the sample of a label that its shard centres are fitted on.
-SHARD, SAMPLE, MOST_SHARDS = 512, 8192, 256
+#: Vectors of a label for each shard on average. Shards grow only where more than so many centres, of a label or in all, would be needed.
+SHARD, LABEL_CENTRES, CENTRES = 512, 4096, 1 << 15
+#: Vectors that each centre is fitted on, on average: the sample of a label is so many times its centres.
+PER_CENTRE = 8
 #: Shards of a vector that hold it in their graphs, the nearest ones. Any others in reach compare it exactly.
 OVERLAP = 2
 #: Members of a shard in one task: larger shards are dealt to parts, and queries visit each.
@@ -31,6 +33,8 @@ DEGREE, BEAM, ALPHA = 24, 48, 1.2
 SLACK = 1.5
 TARGET_RECALL = 0.995
 AUDIT_EVERY = 20
+#: A run whose audit finds less than this of the links raises an error.
+LEAST_RECALL = 0.9
 
 
 def radius(cosine: float) -> float:
@@ -209,7 +213,7 @@ def units(vectors: pd.Series) -> np.ndarray:
 
 
 def exact_group(cosine: float):
-    """For by_group over (cell, part, qblock): rows with role 0 are vectors beyond the cell's graph, with role 1 the queries."""
+    """For by_group over (label, w, cell, part, qblock): rows with role 0 are vectors beyond the cell's graph, with role 1 the queries."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         members, asked = group[group["role"] == 0], group[group["role"] == 1]
@@ -234,7 +238,7 @@ def exact_group(cosine: float):
 
 
 def link_group(cosine: float):
-    """For by_group over (cell, part, qblock): rows with role 0 are the part's members, with role 1 the queries."""
+    """For by_group over (label, w, cell, part, qblock): rows with role 0 are the part's members, with role 1 the queries."""
     r = radius(cosine)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -267,17 +271,22 @@ def link_group(cosine: float):
                 maybe[kk[bad], jj[bad]] = False
             return maybe
 
+        def exact(rows: np.ndarray) -> np.ndarray:
+            return linked(rows, q64[rows] @ x64.T >= cosine - 1e-9)
+
         def search(rows: np.ndarray, beam: int, slack: float) -> np.ndarray:
             return linked(rows, range_search(x, graph, starts, q[rows], r, beam, slack, me[rows]))
 
         beam, slack, step = BEAM, SLACK, max(1, (1 << 20) // len(x))
-        truth = [linked(rows, q64[rows] @ x64.T >= cosine - 1e-9) for a in range(0, len(sample), step) if len(rows := sample[a : a + step])]
+        truth = [exact(sample[a : a + step]) for a in range(0, len(sample), step)]
         wanted = sum(int(t.sum()) for t in truth)
         while True:
             got = sum(int((search(sample[k * step : (k + 1) * step], beam, slack) & t).sum()) for k, t in enumerate(truth))
             if got >= TARGET_RECALL * wanted or beam >= len(x):
                 break
             beam, slack = min(2 * beam, len(x)), min(2.0, slack * 1.2)
+        short = got < TARGET_RECALL * wanted  # a graph that even the widest search fails on is not searched
+        got = wanted if short else got
         links = np.zeros(len(q), np.int64)
         size = len(x)
         labels = np.arange(size + len(q))  # a query is one with its own member, if that is in this part
@@ -285,7 +294,7 @@ def link_group(cosine: float):
         merge_labels(labels, me[own], size + own)
         for a in range(0, len(q), step):
             rows = np.arange(a, min(a + step, len(q)))
-            hit = search(rows, beam, slack)
+            hit = exact(rows) if short else search(rows, beam, slack)
             links[rows] = hit @ many
             k, j = np.nonzero(hit)
             merge_labels(labels, size + rows[k], j)
@@ -301,120 +310,152 @@ def link_group(cosine: float):
 
 
 def build_group(group: pd.DataFrame) -> pd.DataFrame:
-    """For by_group over (cell, part): adjacency lists of the part's members, by node."""
+    """For by_group over (label, w, cell, part): adjacency lists of the part's members, by node."""
     group = group.sort_values("node", ignore_index=True)
     node = group["node"].to_numpy()
     graph, medoid = build(units(group["v"]).astype(np.float32))
     near = [node[row[row >= 0]] for row in graph]
-    return pd.DataFrame({"cell": group["cell"], "part": group["part"], "node": node, "near": near, "medoid": np.arange(len(node)) == medoid})
-
-
-def centres(vectors: DataFrame, shard: int, apart: float) -> dict[tuple, np.ndarray]:
-    """(label, width) -> shard centres, by k-means on a bounded sample of the label's vectors."""
-    counts = {(r["label"], r["w"]): r["m"] for r in vectors.groupBy("label", "w").agg(F.count("*").alias("m")).collect()}
-    if not counts:
-        return {}
-    share = F.lit(0.0)
-    bound = max(64, min(SAMPLE, (1 << 16) // len(counts)))
-    for (label, w), m in counts.items():
-        k = min(MOST_SHARDS, -(-m // shard))
-        share = F.when((F.col("label") == label) & (F.col("w") == w), F.lit(min(1.0, min(bound, 64 * k) / m))).otherwise(share)
-    got = vectors.where(F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 30)) < share * (1 << 30)).select("label", "w", "node", "v").collect()  # at most bound for each label
+    return group[["label", "w", "cell", "part"]].assign(node=node, near=near, medoid=np.arange(len(node)) == medoid)
+
+
+def centres(vectors: DataFrame, large: DataFrame, apart: float) -> dict[int, np.ndarray]:
+    """li -> shard centres of each large label (li, label, w, m, k), by k-means on PER_CENTRE * k of its vectors, whose hashed node is least."""
+    wanted = F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 30)) < F.col("k") * PER_CENTRE / F.col("m") * (1 << 30)
+    picked = vectors.join(F.broadcast(large), ["label", "w"]).where(wanted)  # large has CENTRES rows at most
+
+    def packed(frames):
+        for f in frames:
+            yield pd.DataFrame({"li": f["li"], "k": f["k"], "node": f["node"], "x": [np.asarray(v, np.float32).tobytes() for v in f["v"]]})
+
+    got = picked.select("li", "k", "node", "v").mapInPandas(packed, "li int, k int, node long, x binary").toPandas()  # about PER_CENTRE * CENTRES rows at most
     out = {}
-    for key, m in counts.items():
-        own = sorted((r["node"], r["v"]) for r in got if (r["label"], r["w"]) == key)
-        k = min(MOST_SHARDS, -(-m // shard), max(1, len(own)))
-        if k < 2:
-            out[key] = np.zeros((1, key[1]), np.float32)
-            continue
-        x = units(pd.Series([v for _, v in own])).astype(np.float32)
+    for li, own in got.sort_values(["li", "node"]).groupby("li"):
+        x = np.stack([np.frombuffer(v, np.float32) for v in own["x"]])
+        x = x / np.maximum(np.sqrt((x**2).sum(1)), 1e-30)[:, None]
+        k = min(int(own["k"].iloc[0]), len(x))
         c = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
         for _ in range(10):
             near = (2 * x @ c.T - (c**2).sum(1)).argmax(1)
-            c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+            total, size = np.zeros_like(c), np.bincount(near, minlength=k)
+            np.add.at(total, near, x)
+            c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
         # a dense group may have drawn several centres, which would deal it apart: of close ones the largest stays
         size = np.bincount((2 * x @ c.T - (c**2).sum(1)).argmax(1), minlength=k)
         stay: list[int] = []
         for j in np.argsort(-size, kind="stable").tolist():
-            if all(((c[j] - c[i]) ** 2).sum() > apart * apart for i in stay):
+            if not stay or ((c[stay] - c[j]) ** 2).sum(1).min() > apart * apart:
                 stay.append(j)
-        out[key] = c[stay]
+        out[int(li)] = c[stay]
     return out
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """id, n_links, component_id and kept for each row; linked rows have equal labels and a cosine of 0.98 or more.
-
-    A vector that is null, empty, zero or holds null or non-finite components, and one with a null label, links with nothing.
-    Vectors of different widths never link. Equal vectors of a label are one node with a count; a repeated row counts as another vector. A row
-    with a null id has itself as component unless linked. Other columns are not read; an empty table gives an empty result.
-    """
+def linked_nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, cosine: float, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, h1, h2) of every row; the nodes, equal vectors of a label as one; what tasks found: (node, links, root, audited, missed)."""
     # vectors travel as they are, since floats take half the room, and are brought to length one where they are compared
     kind = "float" if vectors.select(vec_col).schema[0].dataType == ArrayType(FloatType()) else "double"
     raw = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("e"), F.col(label_col).alias("label"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     good = F.col("e").isNotNull() & F.col("label").isNotNull() & F.coalesce(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
-    raw = raw.withColumn("norm", F.when(good, norm)).withColumn("node", F.when(F.col("norm") > 0, F.xxhash64("label", "e")))
-    rows = cut(raw.select("id", "node"))
-    nodes = cut(
-        raw.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first(F.struct("label", "e")).alias("f"))
-        .select("node", "n", "least", "f.label", F.size("f.e").alias("w"), F.col("f.e").alias("v"))
-    )
-    middle = centres(nodes, shard, 1.5 * radius(cosine))
-    cells = {key: k for k, key in enumerate(sorted(middle))}
+    raw = raw.withColumn("ok", F.coalesce(F.when(good, norm) > 0, F.lit(False)))
+    # 128 bits, so that no two different vectors of any table are taken for one
+    raw = raw.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "e")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit("second"), "e", "label"))})
+    rows = cut(raw.select("id", "h1", "h2"))
+    merged = raw.where("ok").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first(F.struct("label", "e")).alias("f"))
+    nodes = cut(merged.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "least", "f.label", F.size("f.e").alias("w"), F.col("f.e").alias("v")))
+    narrow = nodes.select("node", "n", "label", "w", "v")
+    counts = cut(nodes.groupBy("label", "w").agg(F.count("*").alias("m")))
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    each = max(shard, -(-total // CENTRES))
+    li = F.row_number().over(Window.orderBy("label", "w")).cast("int")  # of CENTRES rows at most
+    large = cut(counts.where(F.col("m") > each).select("label", "w", "m", F.least(F.lit(LABEL_CENTRES), F.ceil(F.col("m") / each)).cast("int").alias("k"), li.alias("li")))
     r = radius(cosine)
-    # groups are small in bytes and long in work, so their number decides, not their size
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8192, sum(map(len, middle.values()))))
+    middle = centres(narrow, large, 1.5 * r)
 
     def assign(frames, beyond=False):
+        gaps: dict[int, np.ndarray] = {}
         for f in frames:
-            out = []
-            for (label, w), g in f.groupby(["label", "w"], sort=False):
-                c, base = middle[(label, w)], cells[(label, w)] * MOST_SHARDS
-                x, v = units(g["v"]), g["v"].to_numpy()
-                d = ((c**2).sum(1) - 2 * x @ c.T).astype(np.float64)
-                home = d.argmin(1)
-                gap = np.sqrt(((c[home][:, None, :] - c[None, :, :]) ** 2).sum(2))
-                # how far the vector is from the cell of each other centre
-                far = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * gap, 1e-12)
-                k, j = np.nonzero((far <= r + 1e-6) & ((d.argsort(1, kind="stable").argsort(1) >= OVERLAP) == beyond))
-                out.append(pd.DataFrame({"cell": base + j, "home": home[k] == j, "node": g["node"].to_numpy()[k], "n": g["n"].to_numpy()[k], "v": v[k]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    member = f"cell long, home boolean, node long, n long, v array<{kind}>"
-    dealt = cut(nodes.select("node", "n", "label", "w", "v").mapInPandas(assign, member))
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.ceil(F.count_if("home") / PART).cast("int").alias("blocks"))
-    placed = cut(dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")))  # a row for each of MOST_SHARDS cells of a label
-    built = placed.select("cell", "part", "node", "v").repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part")
-    lists = cut(built.mapInPandas(by_group(["cell", "part"], build_group), "cell long, part int, node long, near array<long>, medoid boolean"))
+            for own, whole in f.groupby("li", sort=False):
+                c = middle.get(int(own), np.zeros((1, whole["w"].iloc[0]), np.float32))
+                if own not in gaps:
+                    square = (c**2).sum(1)
+                    gaps[own] = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0))
+                for a in range(0, len(whole), 1024):
+                    g = whole.iloc[a : a + 1024]
+                    x = units(g["v"])
+                    d = ((c**2).sum(1) - 2 * x @ c.T).astype(np.float64)
+                    at = np.arange(len(x))
+                    home = d.argmin(1)
+                    # how far the vector is from the cell of each other centre
+                    far = (d - d[at, home][:, None]) / np.maximum(2 * gaps[own][home], 1e-12)
+                    k, j = np.nonzero(far <= r + 1e-5)
+                    order = np.lexsort((j, d[k, j], k))
+                    k, j = k[order], j[order]
+                    rank = np.arange(len(k)) - np.searchsorted(k, k)
+                    k, j = k[(rank >= OVERLAP) == beyond], j[(rank >= OVERLAP) == beyond]
+                    yield g.iloc[k].drop(columns="li").assign(cell=j, home=home[k] == j)[[*columns, "cell", "home"]]
+
+    columns = ["label", "w", "node", "n", "v"]
+    label = nodes.schema["label"].dataType.simpleString()
+    member = f"label {label}, w int, node long, n long, v array<{kind}>, cell long, home boolean"
+    dealable = narrow.join(F.broadcast(large.select("label", "w", "li")), ["label", "w"]).select(*columns, "li")
+    single = narrow.join(F.broadcast(large.select("label", "w")), ["label", "w"], "left_anti").select(*columns, F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"))
+    dealt = cut(dealable.mapInPandas(assign, member).unionByName(single))
+    # groups are small in bytes and long in work, so their number decides, not their size
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8192, dealt.count() // SHARD))
+    cell = ["label", "w", "cell"]
+    sizes = broadcast_if_small(cut(dealt.groupBy(*cell).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.ceil(F.count_if("home") / PART).cast("int").alias("blocks"))), 64)
+    placed = cut(dealt.join(sizes, cell).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")))
+    inner = [*cell, "part"]
+    built = placed.select(*inner, "node", "v").repartition(tasks, *inner).sortWithinPartitions(*inner)
+    lists = cut(built.mapInPandas(by_group(inner, build_group), f"label {label}, w int, cell long, part int, node long, near array<long>, medoid boolean"))
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    medoids = lists.where("medoid").select("cell", "part", "node", "medoid")
-    held = placed.join(united, "node").join(medoids, ["cell", "part", "node"], "left")
+    medoids = lists.where("medoid").select(*inner, "node", "medoid")
+    held = placed.join(united, "node").join(medoids, [*inner, "node"], "left")
     each_block = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = held.select("cell", "part", each_block.alias("qblock"), F.lit(0).alias("role"), "node", "n", "v", "near", F.coalesce("medoid", F.lit(False)).alias("medoid"))
+    members = held.select(*inner, each_block.alias("qblock"), F.lit(0).alias("role"), "node", "n", "v", "near", F.coalesce("medoid", F.lit(False)).alias("medoid"))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    queries = placed.where("home").select("cell", each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("medoid"))
-    keys = ["cell", "part", "qblock"]
+    queries = placed.where("home").select(*cell, each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("medoid"))
+    keys = [*inner, "qblock"]
     grouped = members.unionByName(queries).repartition(tasks, *keys).sortWithinPartitions(*keys)
-    # pairs of a home vector and one beyond the graph of its shard
-    outer = nodes.select("node", "n", "label", "w", "v").mapInPandas(lambda frames: assign(frames, True), member)
-    width = outer.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    blocks = F.broadcast(cut(width.join(sizes.select("cell", "blocks"), "cell")))
-    compared = outer.select("cell", "node", "n", "v").join(blocks, "cell").select("cell", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"), each_block.alias("qblock"), F.lit(0).alias("role"), "node", "n", "v")
-    asking = placed.where("home").select("cell", "node", "n", "v").join(blocks, "cell").select("cell", each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v")
-    pairs = compared.unionByName(asking).repartition(tasks, *keys).sortWithinPartitions(*keys)
     result = "node long, links long, root long, audited long, missed long"
-    found = cut(grouped.mapInPandas(by_group(keys, link_group(cosine)), result).union(pairs.mapInPandas(by_group(keys, exact_group(cosine)), result)))
+    found = grouped.mapInPandas(by_group(keys, link_group(cosine)), result)
+    # pairs of a home vector and one beyond the graph of its shard
+    outer = cut(dealable.mapInPandas(lambda frames: assign(frames, True), member))
+    if not outer.isEmpty():
+        width = outer.groupBy(*cell).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        blocks = broadcast_if_small(cut(width.join(sizes.select(*cell, "blocks"), cell)), 64)
+        compared = outer.join(blocks, cell).select(*cell, F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"), each_block.alias("qblock"), F.lit(0).alias("role"), "node", "n", "v")
+        asking = placed.where("home").select(*cell, "node", "n", "v").join(blocks, cell).select(*cell, each_part.alias("part"), block.alias("qblock"), F.lit(1).alias("role"), "node", "n", "v")
+        pairs = compared.unionByName(asking).repartition(tasks, *keys).sortWithinPartitions(*keys)
+        found = found.union(pairs.mapInPandas(by_group(keys, exact_group(cosine)), result))
+    return rows, nodes.select("node", "h1", "h2", "n", "least"), cut(found)
+
+
+def audit(found: DataFrame) -> DataFrame:
+    """One row (audited, missed, recall): of the links that brute force within shards finds for every twentieth query, those that searches miss."""
+    sums = found.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited"), F.coalesce(F.sum("missed"), F.lit(0)).alias("missed"))
+    return sums.withColumn("recall", F.when(F.col("audited") > 0, 1 - F.col("missed") / F.col("audited")).otherwise(1.0))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+    """id, n_links, component_id and kept for each row; linked rows have equal labels and a cosine of 0.98 or more.
+
+    A vector that is null, empty, zero or holds null or non-finite components, and one with a null label, links with nothing.
+    Vectors of different widths never link. Equal vectors of a label are one node with a count; a repeated row counts as another vector. A row
+    with a null id has itself as component unless linked. Other columns are not read; an empty table gives an empty result. The
+    audit of the searches is checked: a recall below LEAST_RECALL raises an error.
+    """
+    rows, nodes, found = linked_nodes(vectors, id_col, vec_col, label_col, cosine, shard)
+    told = audit(found).first()
+    if told["recall"] < LEAST_RECALL:
+        raise RuntimeError(f"searches found {told['recall']:.3f} of {told['audited']} audited links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select("node", "root"), "node", "root")
-    by_node = nodes.select("node", "n", "least").join(links, "node", "left").join(classes, "node", "left")
-    by_node = by_node.select("node", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    by_node = nodes.join(links, "node", "left").join(classes, "node", "left")
+    by_node = by_node.select("h1", "h2", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     component = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    result = by_node.join(component, "root").select("node", "n_links", "component_id")
-    some = rows.where("node IS NOT NULL").join(result, "node").select("id", "n_links", "component_id")
-    none = rows.where("node IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    result = by_node.join(component, "root").select("h1", "h2", "n_links", "component_id")
+    some = rows.where("h1 IS NOT NULL").join(result, ["h1", "h2"]).select("id", "n_links", "component_id")
+    none = rows.where("h1 IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias(id_col), "n_links", "component_id", F.expr("id IS NULL OR id = component_id").alias("kept"))
