@@ -102,12 +102,6 @@ def test_numbers(spark):
     assert [r["accepted"] for r in got.orderBy("pos").collect()] == [True, False, True, False, True]
 
 
-def test_titles_are_used_up(spark):
-    toc = spark.createDataFrame([("f.docx", "甲书", "甲书", 2), ("f.docx", "乙序", "乙序", 1)], "file string, alias string, canon string, count int")
-    got = ingest.consume_titles(rows(spark, ["甲书（一）", "乙序", "甲 书", "甲书", "乙序"]), toc).orderBy("pos").collect()
-    assert [r["canon"] for r in got] == ["甲书", "乙序", "甲书", None, None]
-
-
 def test_articles_from_rows(spark):
     df = rows(spark, ["前言", "题一", "原", "译", "原二", "译二", "题二", "原"], bold=[False, False, True, False, True, False, False, True])
     opened = ingest.open_articles(df, F.col("text").startswith("题"))

@@ -1,12 +1,17 @@
 """Operators on small hand-made tables."""
 
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions.text import SQUASHED
 from textloom.operators import alignment, chunking, documents, linking, retrieval, segments, serving
 
+SQUASH = SQUASHED.replace("(?U)", "")
+
 
 def test_chunks_rebuild_the_text():
     rng = random.Random(1)
@@ -83,20 +88,91 @@ def test_unique_by_content(spark):
     assert {r["ref"]: r["id"] for r in linking.unique_by_content(refs, titles).collect()} == {"r1": 1, "r2": None}
 
 
-def test_alignment(spark):
+def brute_align(items, docs, seed_hits=8):
+    """The alignment by plain search: all occurrences of all seeds in document order, all lines of each candidate."""
+    squash = lambda t: re.sub(SQUASH, "", t.lower())
+    out = {}
+    for i, quote in items:
+        q = squash(quote)
+        if len(q) < 10:
+            continue
+        offs = [0] if len(q) <= 14 else [*range(0, len(q) - 14 + 1, max(8, len(q) // 8)), len(q) - 14]
+        near = set()
+        for o in offs:
+            seed, hits = q[o : o + 14], 0
+            for d, text in docs:
+                t = squash(text or "")
+                p = t.find(seed)
+                while len(seed) >= 10 and p >= 0 and hits < seed_hits:
+                    near.add(d)
+                    hits, p = hits + 1, t.find(seed, p + 1)
+        best = None
+        for d, text in docs:
+            if d not in near:
+                continue
+            hits, cover, total = [], 0, 0
+            for n, line in enumerate(text.split("\n")):
+                x = squash(line)
+                blocks = SequenceMatcher(None, x, q, autojunk=False).get_matching_blocks() if len(x) >= 8 else []
+                m, long = sum(b.size for b in blocks), [b for b in blocks if b.size >= 6]
+                if long and m >= 10 and ((long[0].a <= 4 and len(x) <= 2 * m) or m >= 0.75 * len(x)):
+                    hits.append((long[0].b, n))
+                    cover, total = cover + m, total + len(x)
+            if cover >= 0.6 * len(q):
+                key = (-round(cover / len(q), 1), round(total / len(q), 2), d)
+                if best is None or key < best[0]:
+                    best = (key, [n for _, n in sorted(hits, key=lambda h: h[0])])
+        if best:
+            out[i] = (best[0][2], -best[0][0], best[0][1], best[1])
+    return out
+
+
+def test_alignment_is_a_plain_search(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randint(1, 14))) for _ in range(8)) for _ in range(30)]
+    items = [(k, " ".join(rng.sample(texts[k % 30].replace("\n", " ").split(), 6))) for k in range(5)]
+    for k in range(25):  # quotes: some lines of a text, changed a little, and copies of it elsewhere
+        lines = texts[k].split("\n")[1:5]
+        quote = " ".join(lines)
+        items.append((100 + k, "".join(rng.choice("abc") if rng.random() < 0.04 * (k % 4) else ch for ch in quote)))
+        texts += [texts[k].replace("a", "b", k % 5)] * (1 + 9 * (k % 7 == 0))
+    items += [(300, "abc"), (301, "abcdefghij")]
+    docs = [*enumerate(texts), (900, None)]
+    got = alignment.align(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = {r["item_id"]: (r["doc_id"], r["cover"], r["ratio"], list(r["lines"])) for r in got.collect()}
+    want = brute_align(items, docs)
+    assert rows == want and len(want) >= 20
+    some = got.first()
+    assert some["reply"] == "".join(texts[some["doc_id"]].split("\n")[n] for n in some["lines"])
+
+
+def test_alignment_edges(spark):
     quote = "the quick brown fox jumps over the lazy dog near the river bank"
     docs = spark.createDataFrame([(1, "nothing here at all\nreally nothing"), (2, f"intro\n{quote.replace('lazy', 'la-zy')}\nend"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, quote), (8, "tiny")], "item_id long, text string")
-    got = alignment.align(items, docs).collect()
-    assert [(r["item_id"], r["doc_id"]) for r in got] == [(7, 2)] and got[0]["cover"] > 0.9
+    got = alignment.align(items, docs, other=None).collect()
+    assert [(r["item_id"], r["doc_id"], r["cover"]) for r in got] == [(7, 2, 1.0)]
     assert alignment.contained(items, docs).count() == 0
     assert alignment.align(items.limit(0), docs).count() == 0
+    # a long line that holds a short quote brings more than was quoted
+    long = docs.limit(0).union(spark.createDataFrame([(5, f"{'x y z ' * 60}{quote}")], docs.schema))
+    assert alignment.align(items, long).count() == 0
+
+
+def test_pieces_are_found_by_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abcabcabc"), (2, "xabcd"), (3, None), (4, "")], "doc_id long, text string")
+    pieces = spark.createDataFrame([("abc",), ("abcd",), ("zzz",)], "piece string")
+    want = {("abc", 1, 0), ("abc", 1, 3), ("abc", 1, 6), ("abc", 2, 1), ("abcd", 2, 1)}
+    for sent in (alignment.SENT, 0):
+        monkeypatch.setattr(alignment, "SENT", sent)
+        assert {tuple(r) for r in alignment.find_pieces(pieces, docs, "doc_id", "text").select("piece", "doc_id", "pos").collect()} == want
 
 
 def test_reading_list(spark):
-    df = spark.createDataFrame([(1, "甲 ◎乙 （以上 书） 丙（以上 序） 丁")], "id int, body string")
-    got = [(r["sec"], r["name"], r["marked"]) for r in documents.reading_list(df, "id", "body").orderBy("pos").collect()]
-    assert got == [("书", "甲", False), ("书", "乙", True), ("序", "丙", False), (None, "丁", False)]
+    df = spark.createDataFrame([(1, "甲 ◎乙 （以上 书.一） ◎丙 戊（以上 序） 丁"), (2, "◎◎己 庚\n辛")], "id int, body string")
+    got = [(r["id"], r["sec"], r["name"], r["marked"]) for r in documents.reading_list(df, "id", "body").orderBy("id", "pos").collect()]
+    assert got == [(1, "书·一", "甲", False), (1, "书·一", "◎乙", False), (1, "序", "丙", True), (1, "序", "戊", False), (1, "其他", "丁", False), (2, "其他", "己", True), (2, "其他", "庚", False), (2, "其他", "辛", False)]
 
 
 def test_inject_is_idempotent(spark):

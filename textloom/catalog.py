@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import alignment_queries, retrieval_queries, serving_queries, streaming_queries, text_queries  # noqa: F401  registers
+from textloom.plans import alignment_queries, article_queries, paragraph_queries, retrieval_queries, serving_queries, streaming_queries, text_queries  # noqa: F401  registers
 from textloom.plans.base import QUERIES, SQL, Query
 
 

@@ -100,22 +100,34 @@ def looks_like_title(x: Column | str, categories: str = "书|论|序|记|疏|跋
     return (base != "") & ((F.instr(F.lit(TITLE_ENDS), F.right(base, F.lit(1))) > 0) | base.startswith("挽") | base.rlike(f"^({categories})[一二三四]?$"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once for a row however often body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def num_to_cn(n: Column | str) -> Column:
     """1..99 in Chinese numerals."""
-    n = _c(n)
     digit = lambda d: F.substr(F.lit(NUMERALS), d.cast("int") + 1, F.lit(1))
-    tens, ones = F.floor(n / 10), n % 10
-    long = F.concat(F.when(tens == 1, "").otherwise(digit(tens)), F.lit("十"), F.when(ones == 0, "").otherwise(digit(ones)))
-    return F.when(n == 10, "十").when(n < 10, digit(n)).otherwise(long)
+
+    def written(n: Column) -> Column:
+        tens, ones = F.floor(n / 10), n % 10
+        long = F.concat(F.when(tens == 1, "").otherwise(digit(tens)), F.lit("十"), F.when(ones == 0, "").otherwise(digit(ones)))
+        return F.when(n == 10, "十").when(n < 10, digit(n)).otherwise(long)
+
+    return let(_c(n), written)
 
 
 def cn_to_num(x: Column | str) -> Column:
     """Chinese numerals up to 99, with the short forms of 20 and 30; 0 if unknown."""
-    s = F.replace(F.replace(_c(x), F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十"))
     single = lambda c, none: F.when((F.length(c) == 1) & (F.instr(F.lit(NUMERALS), c) > 0), F.instr(F.lit(NUMERALS), c) - 1).otherwise(none)
-    a, b = F.substring_index(s, "十", 1), F.substr(s, F.instr(s, "十") + 1)
-    both = F.when(a == "", 1).otherwise(single(a, 1)) * 10 + F.when(b == "", 0).otherwise(single(b, 0))
-    return F.when(s == "十", 10).when(s.contains("十"), both).otherwise(single(s, 0))
+
+    def read(s: Column) -> Column:
+        at = F.call_function("locate", F.lit("十"), s)
+        a, b = F.substring_index(s, "十", 1), F.substr(s, at + 1)
+        both = F.when(a == "", 1).otherwise(single(a, 1)) * 10 + F.when(b == "", 0).otherwise(single(b, 0))
+        return F.when(s == "十", 10).when(at > 0, both).otherwise(single(s, 0))
+
+    return let(F.replace(F.replace(_c(x), F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十")), read)
 
 
 def bigrams(x: Column | str) -> Column:

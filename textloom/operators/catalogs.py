@@ -27,3 +27,29 @@ def upsert_at(catalog: DataFrame, new: DataFrame, key: str, at: int) -> DataFram
     moved = ranked.withColumn("pos", F.when(F.col("pos") >= at, F.col("pos") + 1).otherwise(F.col("pos")))
     n = kept.groupBy().agg(F.least(F.count("*"), F.lit(at)).cast("int").alias("pos"))
     return moved.unionByName(new.crossJoin(F.broadcast(n)))
+
+
+def with_volume(articles: DataFrame, volumes: DataFrame) -> DataFrame:
+    """articles with what their volume is called, its group and its place; volumes is a table of a few rows."""
+    return articles.join(F.broadcast(volumes.select("volume", F.col("name").alias("volume_name"), "group", F.col("pos").alias("volume_pos"))), "volume", "left")
+
+
+def in_catalog(articles: DataFrame, items: DataFrame) -> DataFrame:
+    """articles (id, …) with place: the volume's name before its first separator, and the category, as readers see them; null outside the catalog."""
+    named = items.select("id", F.concat_ws(" · ", F.substring_index("juan", "·", 1), F.nullif(F.col("category"), F.lit(""))).alias("place"))
+    return articles.join(named, "id", "left")
+
+
+def merged_marks(marks: list[DataFrame], file: str = "file") -> DataFrame:
+    """(file, nth, pos, mark) of marks found in several ways, in the order of their places."""
+    every = marks[0]
+    for m in marks[1:]:
+        every = every.unionByName(m)
+    return every.withColumn("nth", F.row_number().over(Window.partitionBy(file).orderBy("pos", "mark"))).select(file, "nth", "pos", "mark")
+
+
+def preferred(aliases: DataFrame, groups_first: bool) -> DataFrame:
+    """Of each alias (file, alias, canon, members, ord) the candidate tried first: for several titles first, or last; then by order."""
+    group = F.col("members") > 1
+    w = Window.partitionBy("file", "alias").orderBy(F.desc(group) if groups_first else F.asc(group), "ord")
+    return aliases.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

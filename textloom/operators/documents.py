@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -28,12 +28,18 @@ def expand_titles(titles: DataFrame, title: str, count: str) -> DataFrame:
 
 
 def reading_list(lists: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, sec, pos, name, marked): names between spaces; （以上 X） names the section of those before it; ◎ marks one name."""
-    spaced = F.regexp_replace(F.col(body), r"（以上\s*([^）]+)）", " §$1 ")
-    words = lists.select(key, F.posexplode(F.array_remove(F.split(spaced, r"(?U)\s+"), "")).alias("pos", "w"))
-    from pyspark.sql import Window
-
-    after = Window.partitionBy(key).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    section = F.first(F.when(F.col("w").startswith("§"), F.substr("w", F.lit(2))), ignorenulls=True).over(after)
-    named = words.withColumn("sec", section).where(~F.col("w").startswith("§"))
-    return named.select(key, "sec", "pos", F.regexp_replace("w", "^◎", "").alias("name"), F.col("w").startswith("◎").alias("marked"))
+    """(key, pos, sec, name, marked): names between white space; （以上 X） names the section of those before it, the rest are 其他.
+
+    A section is named without white space, a full stop in it as a middle dot. ◎ at the beginning of a line, or of what follows a section's
+    end, marks the first name there and no other.
+    """
+    cut = F.regexp_replace(F.col(body), r"（以上(?U)\s*([^）]*)）", "\n§$1\n")
+    parts = lists.select(key, F.posexplode(F.split(cut, "\n")).alias("p", "s"))
+    after = Window.partitionBy(key).orderBy("p").rowsBetween(0, Window.unboundedFollowing)
+    title = F.when(F.col("s").startswith("§"), F.replace(T.squash_ws(F.substr("s", F.lit(2))), F.lit("."), F.lit("·")))
+    named = parts.withColumn("sec", F.coalesce(F.first(title, ignorenulls=True).over(after), F.lit("其他"))).where(~F.col("s").startswith("§"))
+    own = T.strip("s")
+    names = F.array_remove(F.split(T.strip(F.regexp_replace(own, "^◎+", "")), r"(?U)\s+"), "")
+    each = named.select(key, "p", "sec", own.startswith("◎").alias("m"), F.posexplode(names).alias("i", "name"))
+    pos = (F.row_number().over(Window.partitionBy(key).orderBy("p", "i")) - 1).cast("int")
+    return each.select(key, pos.alias("pos"), "sec", "name", (F.col("m") & (F.col("i") == 0)).alias("marked"))

@@ -30,6 +30,26 @@ def from_second(paras: DataFrame, heading: str, file: str = "file") -> DataFrame
     return paras.withColumn("__n", nth).where("__n >= 2").drop("__n")
 
 
+def without_page_fields(paras: DataFrame, field: str = "PAGE") -> DataFrame:
+    """Without rows of page number fields."""
+    return paras.where(~F.contains("text", F.lit(field)))
+
+
+def pair_files(left: DataFrame, right: DataFrame, key: str = "entry") -> DataFrame:
+    """(key, orig, trans, state) of the numbered entries of two files (key, text): both, orig only or trans only."""
+    both = left.select(key, F.col("text").alias("orig")).join(right.select(key, F.col("text").alias("trans")), key, "full_outer")
+    return both.withColumn("state", F.when(F.col("trans").isNull(), "orig only").when(F.col("orig").isNull(), "trans only").otherwise("both"))
+
+
+def is_numbered(text: Column) -> Column:
+    """Whether a title begins with a number and its mark."""
+    return text.rlike(r"^\d+[、.]")
+
+
+def without_volumes(articles: DataFrame, volume: str, excluded: list[str]) -> DataFrame:
+    return articles.where(~F.col(volume).isin(excluded)) if excluded else articles
+
+
 def drop_noise(paras: DataFrame, exact: list[str], patterns: list[str] = ()) -> DataFrame:
     """Without rows that equal a phrase, are digits alone, or match a pattern of page furniture."""
     pattern = "|".join(f"(?:{p})" for p in [r"^\d+\s*$", *patterns])
@@ -97,35 +117,6 @@ def consecutive(paras: DataFrame, number: str = "n", file: str = "file") -> Data
     return paras.repartition(file).sortWithinPartitions(file, "pos").mapInPandas(run, out)
 
 
-def consume_titles(paras: DataFrame, expected: DataFrame, file: str = "file") -> DataFrame:
-    """paras with canon: the expected title (file, alias, canon, count) that a row opens, each used count times at most.
-
-    Candidates of a row are tried in order: as it is, without a final parenthesis, without any. A row that matches nothing
-    unused has null. The titles of a file, a table of contents, are one sorted array beside its rows.
-    """
-    known = expected.groupBy(file).agg(F.collect_list(F.struct("alias", "canon", "count")).alias("__toc"))
-    keyed = paras.join(known, file, "left").withColumn("__c", F.array_distinct(F.array(T.norm_title("text"), F.regexp_replace(T.norm_title("text"), "（[^）]*）$", ""), T.strip_parens(T.norm_title("text")))))
-    out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in paras.schema), "canon string"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, titles, left = None, {}, {}
-        for f in frames:
-            found = []
-            for name, toc, candidates in zip(f[file], f["__toc"], f["__c"], strict=True):
-                if name != where:
-                    where, titles, left = name, {}, {}
-                    for t in toc if toc is not None else []:
-                        titles.setdefault(t["alias"], t["canon"])
-                        left[t["canon"]] = t["count"]
-                hit = next((c for c in candidates if left.get(titles.get(c), 0) > 0), None)
-                if hit is not None:
-                    left[titles[hit]] -= 1
-                found.append(titles[hit] if hit is not None else None)
-            yield f.drop(columns=["__toc", "__c"]).assign(canon=found)
-
-    return keyed.select(*paras.columns, "__toc", "__c").repartition(file).sortWithinPartitions(file, "pos").mapInPandas(run, out)
-
-
 def open_articles(paras: DataFrame, opens: Column, file: str = "file") -> DataFrame:
     """Rows with seq and id (file stem and zero-padded number) of the article that each lies in; rows before the first go."""
     marked = segments.islands(paras, opens, [file], ["pos"], "seq").where("seq > 0")

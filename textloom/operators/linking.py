@@ -2,24 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
 
+#: The two first characters that sources use one for the other, and the numerals that a shortened title may lack.
+SWAPPED, SUFFIXES, CONTENT_SUFFIXES = "复与", ("一", "二"), ("一", "二", "三")
+#: The least length of names and titles that match by containment.
+LEAST_CONTAINED = 6
+
+
+def swapped(name: Column) -> Column:
+    """The name with its first character replaced by the one it is mixed up with; null for other beginnings."""
+    a, b = SWAPPED
+    rest = F.substr(name, F.lit(2))
+    return F.when(name.startswith(a), F.concat(F.lit(b), rest)).when(name.startswith(b), F.concat(F.lit(a), rest))
+
+
+def title_keys(titles: DataFrame) -> DataFrame:
+    """(vol, kind, key, id): what each title (vol, ord, title, id) is looked up by; of equal keys of a volume the first title's counts.
+
+    Kind m is the title and the title without parentheses, kind l the loose forms of both.
+    """
+    whole, bare = T.norm_link("title"), T.norm_link(T.strip_parens("title"))
+    pair = lambda kind, i, key: F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("i"), key.alias("key"))
+    each = titles.select("vol", "ord", "id", F.explode(F.array(pair("m", 0, whole), pair("m", 1, bare), pair("l", 0, T.loose(whole)), pair("l", 1, T.loose(bare)))).alias("k"))
+    return each.groupBy("vol", "k.kind", "k.key").agg(F.min(F.struct("ord", "k.i", "id")).alias("f")).select("vol", "kind", "key", F.col("f.id").alias("id"), F.col("f.ord").alias("ord"), F.col("f.i").alias("i"))
+
+
 def resolve(refs: DataFrame, titles: DataFrame) -> DataFrame:
-    """refs (ref, name) with id and tier (1: as it is, 2: without parentheses, 3: without separators); nulls if unresolved.
+    """refs (ref, vol, name) with id and tier of the title (vol, ord, title, id) that each names; nulls if unresolved.
+
+    Tiers, the first that succeeds wins: 1 as it is, 2 its first character swapped, 3 and 4 the same without parentheses, 5 loose,
+    6 and 7 loose with a numeral, 8 containment: of two texts of six characters or more, one ends with the other or the
+    title's characters occur in the name in order; of several titles the first. All but the last tier are one equi-join. The last is
+    joined by volume and last character, which the texts have in common, for names that are still open.
+    """
+    keys = title_keys(titles)
+    whole = T.norm_link("name")
+    bare, thin = T.norm_link(T.strip_parens(whole)), T.loose(whole)
+    ways = [("m", whole), ("m", swapped(whole)), ("m", bare), ("m", swapped(bare)), ("l", thin), *[("l", F.concat(thin, F.lit(s))) for s in SUFFIXES]]
+    tried = refs.select("ref", "vol", F.explode(F.array(*[F.struct(F.lit(n + 1).alias("tier"), F.lit(kind).alias("kind"), key.alias("key")) for n, (kind, key) in enumerate(ways)])).alias("w"))
+    hits = tried.select("ref", "vol", "w.*").join(keys.select("vol", "kind", "key", "id"), ["vol", "kind", "key"])
+    direct = hits.groupBy("ref").agg(F.min(F.struct("tier", "id")).alias("f")).select("ref", "f.tier", "f.id")
+    open_ = refs.join(direct, "ref", "left_anti").select("ref", "vol", whole.alias("t")).where(F.length("t") >= LEAST_CONTAINED)
+    known = keys.where("kind = 'm' AND key <> ''").select("vol", "ord", "i", "id", F.col("key").alias("k"))
+    ends = lambda c: F.right(F.col(c), F.lit(1))
+    near = open_.withColumn("e", ends("t")).join(known.withColumn("e", ends("k")), ["vol", "e"])
+    fits = F.endswith("k", "t") | (F.endswith("t", "k") & (F.length("k") >= LEAST_CONTAINED)) | T.is_subsequence("t", "k")
+    contained = near.where(fits).groupBy("ref").agg(F.min(F.struct("ord", "i", "id")).alias("f")).select("ref", F.lit(len(ways) + 1).alias("tier"), "f.id")
+    return refs.join(direct.unionByName(contained), "ref", "left")
+
+
+def resolve_names(refs: DataFrame, titles: DataFrame) -> DataFrame:
+    """refs (ref, name, first, second) with id: looked up in the first volume, then in the second, then by its loose form in all of them.
+
+    A final "其" with numerals is no part of a name. The last way counts only if one title in all has that form.
+    """
+    base = F.regexp_replace("name", "其[一二三四五六七八九十、，\\s]+$", "")
+    named = refs.withColumn("__n", T.strip(base))
+    one = lambda vol, tag: resolve(named.select("ref", F.col(vol).alias("vol"), F.col("__n").alias("name")), titles).select("ref", F.col("id").alias(tag))
+    alone = titles.groupBy(T.loose(T.norm_link("title")).alias("__k")).agg(F.count_distinct("id").alias("m"), F.min("id").alias("i3")).where("m = 1").drop("m")
+    out = named.withColumn("__k", T.loose(T.norm_link("__n"))).join(one("first", "i1"), "ref", "left").join(one("second", "i2"), "ref", "left").join(alone, "__k", "left")
+    return out.select(*refs.columns, F.coalesce("i1", "i2", "i3").alias("id"))
+
+
+def set_links(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """Segments (id, seg, src, srcId) with srcId as found (id, seg, srcId) has it, null where it has none, and changed.
 
-    titles (title, id): of equal titles the first id counts. Each tier is an equi-join; the first that succeeds wins.
+    Writing the rows that changed, and no others, can be repeated: a second run changes nothing.
     """
-    first = titles.groupBy("title").agg(F.min("id").alias("id"))
-    bare = first.select(F.replace(T.loose("title"), F.lit(" "), F.lit("")).alias("k"), "id").groupBy("k").agg(F.min("id").alias("i3"))
-    named = refs.withColumn("__p", T.strip_parens("name")).withColumn("__k", F.replace(T.loose("name"), F.lit(" "), F.lit("")))
-    out = named.join(first.select(F.col("title").alias("name"), F.col("id").alias("i1")), "name", "left")
-    out = out.join(first.select(F.col("title").alias("__p"), F.col("id").alias("i2")), "__p", "left").join(bare.withColumnRenamed("k", "__k"), "__k", "left")
-    tier = F.when(F.col("i1").isNotNull(), 1).when(F.col("i2").isNotNull(), 2).when(F.col("i3").isNotNull(), 3)
-    return out.select(*refs.columns, F.coalesce("i1", "i2", "i3").alias("id"), tier.alias("tier"))
+    new = found.select("id", "seg", F.col("srcId").alias("__new"))
+    out = segments.join(new, ["id", "seg"], "left")
+    return out.select("id", "seg", "src", F.col("__new").alias("srcId"), (~F.col("srcId").eqNullSafe(F.col("__new"))).alias("changed"))
 
 
 def consume(body: DataFrame, expected: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,8 +89,9 @@ def consume(body: DataFrame, expected: DataFrame, key: str, order: str) -> DataF
 
 
 def unique_by_content(refs: DataFrame, titles: DataFrame, ref_text: str = "quote", body: str = "body", n: int = 20) -> DataFrame:
-    """refs with id of the only title of equal loose form whose body contains the quote's first n characters; else null."""
-    keyed = refs.withColumn("__k", T.loose("name")).withColumn("__h", F.left(T.squash_punct(ref_text), F.lit(n)))
-    known = titles.select(T.loose("title").alias("__k"), "id", T.squash_punct(body).alias("__b"))
-    hits = keyed.join(known, "__k").where(F.contains("__b", "__h")).groupBy("ref").agg(F.count_distinct("id").alias("m"), F.min("id").alias("id"))
+    """refs with id of the only title of equal loose form, or that with a numeral, whose body contains the quote's first n characters."""
+    form = T.loose(T.norm_link("name"))
+    keyed = refs.select("ref", F.explode(F.array(form, *[F.concat(form, F.lit(s)) for s in CONTENT_SUFFIXES])).alias("__k"), F.left(T.norm_link(ref_text), F.lit(n)).alias("__h"))
+    known = titles.select(T.loose(T.norm_link("title")).alias("__k"), "id", T.norm_link(body).alias("__b"))
+    hits = keyed.where("__h <> ''").join(known, "__k").where(F.contains("__b", "__h")).groupBy("ref").agg(F.count_distinct("id").alias("m"), F.min("id").alias("id"))
     return refs.join(hits.where("m = 1").select("ref", "id"), "ref", "left")

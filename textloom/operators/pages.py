@@ -119,3 +119,76 @@ def health(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: chunks, vectors, and whether both are there."""
     n = chunks.agg(F.count("*").alias("chunks")).crossJoin(vectors.agg(F.count("*").alias("vectors")))
     return n.withColumn("ready", (F.col("chunks") > 0) & (F.col("vectors") > 0))
+
+
+def description(articles: DataFrame, fallback: str, most: int = 150) -> DataFrame:
+    """(id, description): the summary, or the first paragraph that says anything, source before translation within a segment, clipped."""
+    sides = F.flatten(F.transform("segments", lambda s: F.concat(F.coalesce(s["orig"], F.array()), F.coalesce(s["trans"], F.array()))))
+    first = F.get(F.filter(sides, lambda p: T.clean_text(p) != ""), F.lit(0))
+    return articles.select("id", F.when(F.coalesce("summary", F.lit("")) != "", T.clip("summary", most)).when(first.isNotNull(), T.clip(first, most)).otherwise(fallback).alias("description"))
+
+
+def notes_html(notes: Column) -> Column:
+    """A section of notes; empty without any."""
+    each = F.transform(notes, lambda n: F.concat(F.lit('<p class="note"><span class="note-n">['), n["n"].cast("string"), F.lit("]</span>"), F.when(F.coalesce(n["term"], F.lit("")) != "", F.concat(F.lit("<b>【"), T.html_escape(n["term"]), F.lit("】</b>"))).otherwise(""), T.html_escape(F.coalesce(n["text"], F.lit(""))), F.lit("</p>")))
+    return F.when(F.coalesce(F.size(notes), F.lit(0)) > 0, F.concat(F.lit('<section class="notes-sec"><h3>注 释</h3>'), F.array_join(each, "\n"), F.lit("</section>"))).otherwise("")
+
+
+def nav_html(prev: Column, nxt: Column) -> Column:
+    """Links to the articles before and after: structs of id and title, null at the ends."""
+    cell = lambda r, label: F.when(r.isNull(), "<span></span>").otherwise(F.concat(F.lit('<a href="'), T.article_path(r["id"]), F.lit(f'"><small>{label}</small>'), T.html_escape(F.coalesce(r["title"], F.lit(""))), F.lit("</a>")))
+    return F.concat(F.lit('<nav class="art-nav">'), cell(prev, "上一篇"), cell(nxt, "下一篇"), F.lit("</nav>"))
+
+
+def backrefs_html(refs: Column, heading: str) -> Column:
+    """Links to the articles that quote this one, with how often if more than once; empty without any."""
+    badge = lambda r: F.when(r["n"] > 1, F.concat(F.lit('<span class="br-n">'), r["n"].cast("string"), F.lit(" 则</span>"))).otherwise("")
+    each = F.transform(refs, lambda r: F.concat(F.lit('<a class="backref" href="'), T.article_path(r["id"]), F.lit('">'), T.html_escape(F.coalesce(r["title"], F.lit(""))), badge(r), F.lit("</a>")))
+    return F.when(F.coalesce(F.size(refs), F.lit(0)) > 0, F.concat(F.lit(f'<section class="backrefs"><h3>{heading}</h3>'), F.array_join(each, ""), F.lit("</section>"))).otherwise("")
+
+
+def volume_pages(items: DataFrame) -> DataFrame:
+    """(volume, html): a list of links to a volume's articles in the order of the catalog."""
+    link = F.concat(F.lit('<li><a href="'), T.article_path("id"), F.lit('">'), T.html_escape("title"), F.lit("</a></li>"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", "c", "i", link.alias("a")))), lambda x: x["a"])
+    return items.groupBy("volume").agg(F.concat(F.lit("<ul>"), F.array_join(ordered, ""), F.lit("</ul>")).alias("html"))
+
+
+def site_index(articles: DataFrame, volumes: DataFrame, base: str, day: str) -> DataFrame:
+    """(ord, entry): the entries of a site map: the site itself, volumes, then articles, each with its address, day and priority."""
+    entry = lambda path, priority: F.concat(F.lit(f"<url><loc>{base}"), path, F.lit(f"</loc><lastmod>{day}</lastmod><priority>{priority}</priority></url>"))
+    home = volumes.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit("").alias("k"), entry(F.lit("/"), "1.0").alias("entry"))
+    vols = volumes.select(F.lit(1), F.col("volume"), entry(F.concat(F.lit("/v/"), T.url_quote("volume"), F.lit("/")), "0.9"))
+    return home.union(vols).union(articles.select(F.lit(2), F.col("id"), entry(T.article_path("id"), "0.8")))
+
+
+def robots(base: str) -> str:
+    return f"User-agent: *\nAllow: /\n\nSitemap: {base}/sitemap.xml\n"
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages (id, html) as text, a folder for each first letter of the id's hash, so that no folder holds all of them."""
+    pages.withColumn("part", F.left(F.md5("id"), F.lit(1))).select("part", F.concat_ws("\t", "id", F.regexp_replace("html", r"[\r\n\t]", " ")).alias("value")).write.partitionBy("part").mode("overwrite").text(path)
+
+
+def clean_translator(name: Column | str) -> Column:
+    """One person's name without a final 译; empty where it names more than one, or anything besides."""
+    n = T.strip(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")))
+    return F.when(n.contains("校审") | n.contains("、") | n.contains(" "), "").otherwise(F.regexp_replace(n, "译$", ""))
+
+
+def short_part(name: Column | str) -> Column:
+    """A part's name without the collection's; the whole name if nothing else is left."""
+    n = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_replace(n, "^(增广)?印光法师文钞(续编|三编)?", ""), F.lit("")), n)
+
+
+def nav_title(title: Column | str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit("")), "（附录于后）$", "")
+
+
+def selection_key(article: Column, paragraph: Column, text: Column) -> Column:
+    """What names a selected passage: article, paragraph, length without white space, beginning and end with white space collapsed."""
+    flat = F.regexp_replace(text, r"(?U)\s+", " ")
+    parts = [article.cast("string"), F.coalesce(paragraph.cast("string"), F.lit("")), T.clen(text).cast("string"), F.left(flat, F.lit(80)), F.right(flat, F.lit(40))]
+    return F.concat_ws("|", *parts)

@@ -24,30 +24,6 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return tokens.groupBy("token", key).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def query_terms(queries: DataFrame, key: str = "item_id", text: str = "text", most: int = 6) -> DataFrame:
-    """(key, token): the first distinct tokens of each query, two characters or more."""
-    distinct = F.array_distinct(F.filter(T.bigrams(text), lambda t: F.length(t) >= 2))
-    return queries.select(key, F.explode(F.slice(distinct, 1, most)).alias("token"))
-
-
-def bm25(docs: DataFrame, terms: DataFrame, query_key: str = "item_id", key: str = "doc_id", text: str = "text", top: int = LEXICAL_TOP) -> DataFrame:
-    """(query_key, key, score, rank): documents that have any of a query's terms, by BM25, ties by key.
-
-    Documents are cut down to the queries' tokens while they are scanned: the set of wanted tokens is small and joined to the
-    exploded tokens before anything is shuffled, when Spark finds it small enough to broadcast.
-    """
-    wanted = terms.select("token").distinct()
-    sized = docs.select(key, F.explode(F.array(T.bigrams(text))).alias("t"))  # explode keeps the planner from computing it for each use
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    tf = sized.select(key, F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token").groupBy("token", key, "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "token").crossJoin(F.broadcast(stats)).select("token", key, weight.alias("w"))  # stats: one row
-    found = scored.join(terms, "token").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(found, [query_key], [F.desc("score"), F.asc(key)], top)
-
-
 def ranked(df: DataFrame, within: list[str], order: list[Column], top: int | None = None) -> DataFrame:
     """df with rank from 1 within its group; only the first top (Spark cuts each task's rows before it shuffles)."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
@@ -128,14 +104,16 @@ def rerank(matches: DataFrame, group: str, model: Callable[[DataFrame], DataFram
     return ranked(model(matches).withColumnRenamed("rank", "old_rank"), [group], [F.desc_nulls_last("rerank_score"), F.asc("old_rank")])
 
 
-def hybrid(docs: DataFrame, questions: DataFrame, vectors: DataFrame, question_vectors: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, lexical: DataFrame, vectors: DataFrame, question_vectors: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(item_id, rank, doc_id, score, passage): lexical and vector ranks fused, de-duplicated by text, reranked, the first eight.
 
-    A vector belongs to the document whose doc_id is its vec_id, a question's to the item of its id.
+    lexical is what a search of the stored index gave (item_id, rank, doc_id). A vector belongs to the document whose doc_id is its
+    vec_id, a question's to the item of its id. Of the texts only those of candidates are fetched.
     """
-    lexical = bm25(docs, query_terms(questions)).select(F.col("item_id"), F.lit(1).alias("pool"), "rank", "doc_id")
+    words = lexical.select("item_id", F.lit(1).alias("pool"), "rank", "doc_id")
     near = knn(question_vectors, vectors).select(F.col("query").alias("item_id"), F.lit(0).alias("pool"), "rank", F.col("vec_id").alias("doc_id"))
-    fused = fuse(near.unionByName(lexical), "item_id", "doc_id").withColumnRenamed("rank", "pos")
-    texts = docs.select("doc_id", T.clean_key("text").alias("key"), F.left("text", F.lit(1100)).alias("passage"), F.lit(0).alias("priority"))
+    fused = fuse(near.unionByName(words), "item_id", "doc_id").withColumnRenamed("rank", "pos")
+    wanted = docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = wanted.select("doc_id", T.clean_key("text").alias("key"), F.left("text", F.lit(1100)).alias("passage"), F.lit(0).alias("priority"))
     best = dedupe(fused.join(texts, "doc_id"), "item_id", "key", "priority", "score", "pos")
     return rerank(best, "item_id", model).where(F.col("rank") <= TOP).select("item_id", "rank", "doc_id", "score", "passage")

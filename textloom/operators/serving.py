@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
+#: Messages that the server, the client, its session and the condensing step look back at.
+TAILS = {"server": 6, "client": 8, "session": 30, "condense": 5}
 TAIL, CONDENSE_BELOW, HARD_FROM = 6, 12, 24
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import alignment as A
-from textloom.operators import segments
+from textloom.operators import contents, linking, segments
 from textloom.plans.base import query, table
 
 _SQ = r"""regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}，。、；：？！“”‘’"''（）()·．\.,：「」『』《》〈〉—\-–…\[\]【】〇]', '', 'g')"""
@@ -15,9 +15,11 @@ _SQ = r"""regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{20
 
 @query(rf"""
 WITH q AS (SELECT item_id, {_SQ} AS q FROM benchmark), s AS (
-  SELECT item_id, unnest(list_concat(list_transform(range(0, len(q), greatest(8, len(q) // 8)), lambda i: substr(q, i + 1, 14)), [right(q, 14)])) AS s FROM q WHERE len(q) >= 10)
-, d AS (SELECT doc_id, {_SQ} AS t FROM documents)
-SELECT DISTINCT item_id, doc_id FROM s JOIN d ON contains(t, s) WHERE len(s) >= 10
+  SELECT DISTINCT item_id, unnest(list_concat(list_transform(range(0, greatest(len(q) - 14, 0) + 1, greatest(8, len(q) // 8)), lambda i: substr(q, i + 1, 14)), [right(q, 14)])) AS s FROM q WHERE len(q) >= 10)
+, u AS (SELECT DISTINCT s FROM s WHERE len(s) >= 10), d AS (SELECT doc_id, {_SQ} AS t FROM documents)
+, h AS (SELECT s, doc_id, len(list_filter(range(1, len(t) - len(s) + 2), lambda i: substr(t, i, len(s)) = s)) AS n FROM u JOIN d ON contains(t, s))
+, c AS (SELECT s, doc_id, coalesce(sum(n) OVER (PARTITION BY s ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT DISTINCT item_id, doc_id FROM s JOIN c USING (s) WHERE before < 8
 """)
 def quote_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.candidates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
@@ -25,7 +27,8 @@ def quote_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quote_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.align(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    """Longest matching blocks are beyond SQL; tests compare with a plain search of all lines of all candidates."""
+    return A.align(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).withColumn("reply", F.md5("reply"))
 
 
 @query(r"""
@@ -64,22 +67,102 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.multiset_diff(A.neighbours(docs), docs)
 
 
+_SWAP = lambda x: f"CASE WHEN starts_with({x}, '复') THEN '与' || substr({x}, 2) WHEN starts_with({x}, '与') THEN '复' || substr({x}, 2) END"
+_NORM = lambda x: f"regexp_replace({x}, '[\\s　《》「」『』〈〉]+', '', 'g')"
+_BARE = lambda x: f"regexp_replace({x}, '（[^）]*）', '', 'g')"
+_LOOSE = lambda x: f"regexp_replace(replace(regexp_replace({x}, '[、，,（）()]', '', 'g'), '居士', ''), '[一二三四五六七八九十]+$', '')"
+
+_TITLES = """
+titles AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS vol, p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN '复' || p_name WHEN 1 THEN p_name || '一' WHEN 2 THEN p_name || '（注）' ELSE p_name END AS title, p_partkey AS id FROM part)
+"""
+
+
+def _resolve(refs: str, out: str) -> str:
+    """CTEs that resolve refs (ref, vol, name) into out (ref, tier, id), written another way than the code: a search for each tier."""
+    whole = _NORM("name")
+    ways = [("m", whole), ("m", _SWAP(whole)), ("m", _BARE(whole)), ("m", _SWAP(_BARE(whole))), ("l", _LOOSE(whole)), ("l", f"{_LOOSE(whole)} || '一'"), ("l", f"{_LOOSE(whole)} || '二'")]
+    tried = " UNION ALL ".join(f"SELECT ref, vol, {n + 1} AS tier, '{kind}' AS kind, {key} AS key FROM {refs}" for n, (kind, key) in enumerate(ways))
+    return f"""
+{out}_k AS (SELECT * FROM (SELECT vol, ord, 0 AS i, id, 'm' AS kind, {_NORM('title')} AS key FROM titles UNION ALL SELECT vol, ord, 1, id, 'm', {_NORM(_BARE('title'))} FROM titles
+  UNION ALL SELECT vol, ord, 0, id, 'l', {_LOOSE(_NORM('title'))} FROM titles UNION ALL SELECT vol, ord, 1, id, 'l', {_LOOSE(_NORM(_BARE('title')))} FROM titles) QUALIFY row_number() OVER (PARTITION BY vol, kind, key ORDER BY ord, i) = 1)
+, {out}_d AS (SELECT ref, tier, k.id FROM ({tried}) t JOIN {out}_k k USING (vol, kind, key) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY tier) = 1)
+, {out}_c AS (SELECT ref, 8 AS tier, k.id FROM (SELECT ref, vol, {whole} AS t FROM {refs} WHERE ref NOT IN (SELECT ref FROM {out}_d)) r JOIN {out}_k k USING (vol)
+  WHERE k.kind = 'm' AND k.key <> '' AND len(t) >= 6 AND (ends_with(k.key, t) OR (ends_with(t, k.key) AND len(k.key) >= 6) OR (right(t, 1) = right(k.key, 1) AND k.key LIKE '%' || array_to_string(string_split(t, ''), '%') || '%')) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY ord, i) = 1)
+, {out} AS (SELECT * FROM {out}_d UNION ALL SELECT * FROM {out}_c)
+"""
+
+
+_REFS = """
+refs AS (SELECT p_partkey AS ref, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS vol, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name || '（一注）' WHEN 2 THEN replace(p_name, ' ', '、') WHEN 3 THEN '与' || p_name WHEN 4 THEN substr(p_name, 4) WHEN 5 THEN 'no ' || p_name ELSE '《' || p_name || '》其三' END AS name FROM part)
+"""
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.when(k % 5 == 0, F.concat(F.lit("复"), "p_name")).when(k % 5 == 1, F.concat("p_name", F.lit("一"))).when(k % 5 == 2, F.concat("p_name", F.lit("（注）"))).otherwise(F.col("p_name"))
+    return part.select(F.when(k % 2 == 0, "a").otherwise("b").alias("vol"), k.alias("ord"), title.alias("title"), k.alias("id"))
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p = F.col("p_name")
+    names = [p, F.concat(p, F.lit("（一注）")), F.replace(p, F.lit(" "), F.lit("、")), F.concat(F.lit("与"), p), F.substr(p, F.lit(4)), F.concat(F.lit("no "), p), F.concat(F.lit("《"), p, F.lit("》其三"))]
+    name = names[6]
+    for n in range(5, -1, -1):
+        name = F.when(k % 7 == n, names[n]).otherwise(name)
+    return part.select(k.alias("ref"), F.when(k % 2 == 0, "a").otherwise("b").alias("vol"), name.alias("name"))
+
+
+@query(f"WITH {_TITLES}, {_REFS}, {_resolve('refs', 'found')} SELECT ref, found.id, tier::INT AS tier FROM refs LEFT JOIN found USING (ref)")
+def title_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.resolve(_refs(spark, sf_dir), _titles(spark, sf_dir)).select("ref", "id", "tier")
+
+
+@query(f"""
+WITH {_TITLES}, {_REFS}, base AS (SELECT ref, vol, trim(regexp_replace(name, '其[一二三四五六七八九十、，\\s]+$', '')) AS name FROM refs), other AS (SELECT ref, CASE vol WHEN 'a' THEN 'b' ELSE 'a' END AS vol, name FROM base)
+, {_resolve('base', 'f1')}, {_resolve('other', 'f2')}, alone AS (SELECT {_LOOSE(_NORM('title'))} AS k, min(id) AS id FROM titles GROUP BY ALL HAVING count(DISTINCT id) = 1)
+SELECT base.ref, coalesce(f1.id, f2.id, alone.id) AS id FROM base LEFT JOIN f1 USING (ref) LEFT JOIN f2 USING (ref) LEFT JOIN alone ON alone.k = {_LOOSE(_NORM('name'))}
+""")
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _refs(spark, sf_dir).select("ref", "name", F.col("vol").alias("first"), F.when(F.col("vol") == "a", "b").otherwise("a").alias("second"))
+    return linking.resolve_names(refs, _titles(spark, sf_dir)).select("ref", "id")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''), t AS (SELECT doc_id AS id, {_LOOSE(_NORM("'t' || doc_id % 40"))} AS k, {_NORM('text')} AS b FROM d), r AS (SELECT doc_id AS ref, {_LOOSE(_NORM("'t' || doc_id % 40 || '、'"))} AS k, left({_NORM('text')}, 20) AS h FROM d)
+, m AS (SELECT ref, min(id) AS id FROM r JOIN t ON t.k IN (r.k, r.k || '一', r.k || '二', r.k || '三') WHERE h <> '' AND contains(b, h) GROUP BY ref HAVING count(DISTINCT id) = 1) SELECT ref, m.id FROM r LEFT JOIN m USING (ref)
+""")
+def content_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    title = F.concat(F.lit("t"), (F.col("doc_id") % 40).cast("string"))
+    refs = docs.select(F.col("doc_id").alias("ref"), F.concat(title, F.lit("、")).alias("name"), F.col("text").alias("quote"))
+    return linking.unique_by_content(refs, docs.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("body"))).select("ref", "id")
+
+
 @query("""
-WITH t AS (SELECT p_name AS title, min(p_partkey) AS id FROM part GROUP BY p_name)
-, r AS (SELECT p_partkey AS ref, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || '（注）' WHEN 2 THEN replace(p_name, ' ', '、') ELSE 'no ' || p_name END AS name FROM part)
-, l AS (SELECT replace(title, ' ', '') AS k, min(id) AS id FROM t GROUP BY ALL)
-, m AS (SELECT ref, name, t1.id AS i1, t2.id AS i2, l.id AS i3 FROM r LEFT JOIN t t1 ON t1.title = name LEFT JOIN t t2 ON t2.title = regexp_replace(name, '（[^）]*）', '', 'g')
-  LEFT JOIN l ON l.k = regexp_replace(name, '[、，,（）() ]', '', 'g'))
-SELECT ref, coalesce(i1, i2, i3) AS id, CASE WHEN i1 IS NOT NULL THEN 1 WHEN i2 IS NOT NULL THEN 2 WHEN i3 IS NOT NULL THEN 3 END AS tier FROM m
+WITH s AS (SELECT user_id AS id, event_id AS seg, CASE WHEN event_id % 4 > 0 THEN 'a' || event_id % 50 END AS old, CASE WHEN event_id % 3 > 0 THEN 'a' || (event_id % 50 - event_id % 2) END AS new FROM events)
+SELECT id, seg, new AS "srcId", old IS DISTINCT FROM new AS changed FROM s
 """)
-def title_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.operators.linking import resolve
+def link_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, k = table(spark, sf_dir, "events"), F.col("event_id")
+    name = lambda n: F.concat(F.lit("a"), n.cast("string"))
+    segs = events.select(F.col("user_id").alias("id"), k.alias("seg"), F.lit("src").alias("src"), F.when(k % 4 > 0, name(k % 50)).alias("srcId"))
+    found = events.where(k % 3 > 0).select(F.col("user_id").alias("id"), k.alias("seg"), name(k % 50 - k % 2).alias("srcId"))
+    return linking.set_links(segs, found).select("id", "seg", "srcId", "changed")
 
-    part = table(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("（注）")))
-    name = name.when(F.col("p_partkey") % 4 == 2, F.replace("p_name", F.lit(" "), F.lit("、"))).otherwise(F.concat(F.lit("no "), "p_name"))
-    refs = part.select(F.col("p_partkey").alias("ref"), name.alias("name"))
-    return resolve(refs, part.select(F.col("p_name").alias("title"), F.col("p_partkey").alias("id"))).select("ref", "id", "tier")
+
+@query("""
+WITH n AS (SELECT c_custkey AS ref, 'v' || c_custkey % 3 AS vol, 'short of ' || c_name AS name FROM customer), t AS (SELECT 'v' || c_custkey % 3 AS vol, c_custkey AS ord, CASE c_custkey % 4 WHEN 0 THEN 'short of ' WHEN 1 THEN '' WHEN 2 THEN 'of ' ELSE 'x' END || c_name || CASE WHEN c_custkey % 5 = 0 THEN '（注）' ELSE '' END AS title FROM customer)
+, b AS (SELECT ref, vol, replace(name, ' ', '') AS b FROM n), s AS (SELECT vol, ord, title, regexp_replace(replace(title, ' ', ''), '（[^）]*）', '', 'g') AS s FROM t WHERE len(replace(title, ' ', '')) >= 6)
+, m AS (SELECT ref, title FROM b JOIN s USING (vol) WHERE starts_with(b, s) OR starts_with(s, b) OR ends_with(b, s) OR (len(s) >= 6 AND right(b, 1) = right(s, 1) AND b LIKE '%' || array_to_string(string_split(s, ''), '%') || '%') QUALIFY row_number() OVER (PARTITION BY ref ORDER BY ord) = 1)
+SELECT ref, m.title AS canon FROM n LEFT JOIN m USING (ref)
+""")
+def contained_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    vol = F.concat(F.lit("v"), (k % 3).cast("string"))
+    title = F.concat(F.when(k % 4 == 0, "short of ").when(k % 4 == 1, "").when(k % 4 == 2, "of ").otherwise("x"), "c_name", F.when(k % 5 == 0, "（注）").otherwise(""))
+    names = c.select(k.alias("ref"), vol.alias("vol"), F.concat(F.lit("short of "), "c_name").alias("name"))
+    return contents.containing_title(names, c.select(vol.alias("vol"), k.alias("ord"), title.alias("title"))).select("ref", "canon")
 
 
 @query("""

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import indexing
+from textloom.operators import lexical as L
 from textloom.operators import retrieval as R
 from textloom.plans.base import query, table
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
-_BM25 = rf"""
-terms AS (SELECT item_id, unnest(q[1:6]) AS token FROM (
-  SELECT item_id, list_transform(list_sort(list_transform(list_distinct(t), lambda x: {{'p': list_position(t, x), 'x': x}})), lambda s: s.x) AS q
-  FROM (SELECT item_id, list_filter({_TOKENS}, lambda x: len(x) >= 2) AS t FROM benchmark)))
+# the content words of a question, distinct in their order, six at most; T.naive_terms
+_WORDS = rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '{T.STOP_WORDS}', ' ', 'g'), '\s+'), lambda x: len(x) >= 2)"
+_NAIVE = f"(SELECT item_id, text, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'p': list_position(w, x), 'x': x}})), lambda s: s.x)[1:6] AS k FROM (SELECT item_id, text, {_WORDS} AS w FROM benchmark))"
+
+
+def _lexical(terms: str = "k", only: str = "true") -> str:
+    """CTEs up to lex: BM25 over phrases, for terms of the questions (k: their content words)."""
+    return rf"""
+q AS (SELECT item_id, {terms} AS terms FROM {_NAIVE})
 , dt AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
-, st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt)
-, ex AS (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM dt)
-, tf AS (SELECT token, doc_id, len, count(*) AS tf FROM ex WHERE token IN (SELECT token FROM terms) GROUP BY ALL)
-, df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
-, w AS (SELECT token, doc_id, greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean)) AS w FROM tf JOIN df USING (token), st)
-, sc AS (SELECT item_id, doc_id, round(sum(w), 6) AS score FROM w JOIN terms USING (token) GROUP BY item_id, doc_id)
-, lex AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 30)
+, st AS (SELECT count(*) AS n, avg(len(coalesce(t, []))) AS mean FROM dt)
+, ex AS (SELECT doc_id, len(t) AS len, unnest(t) AS token, unnest(range(len(t))) AS pos FROM dt)
+, tm AS (SELECT item_id, unnest(terms) AS text, unnest(range(len(terms))) AS phrase FROM q)
+, pt AS (SELECT item_id, phrase, {_TOKENS} AS t FROM tm), ph AS (SELECT item_id, phrase, len(t) AS size, unnest(t) AS token, unnest(range(len(t))) AS i FROM pt)
+, starts AS (SELECT item_id, phrase, size, doc_id, len, pos - i AS s, count(*) AS n FROM ph JOIN ex USING (token) GROUP BY ALL)
+, tf AS (SELECT item_id, phrase, doc_id, len, count(*) AS tf FROM starts WHERE n = size GROUP BY ALL)
+, df AS (SELECT item_id, phrase, count(*) AS df FROM tf GROUP BY ALL)
+, sc AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM tf JOIN df USING (item_id, phrase), st GROUP BY item_id, doc_id)
+, lex AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE {only} QUALIFY rank <= 30)
 """
+
+
+_BM25 = _lexical()
 _UNIT = "SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 _COS = "round(list_dot_product(q.e, v.e) / (q.n * v.n), 6)"
 
@@ -41,10 +53,48 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.postings(table(spark, sf_dir, "documents"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> str:
+    return L.stored(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "documents"))
+
+
+def lexical(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    """The lexical pool of questions: their content words, since no rewriting model is there."""
+    return L.search(spark, index(spark, sf_dir), L.rewritten(items))
+
+
 @query(f"WITH {_BM25} SELECT item_id, rank::INT AS rank, doc_id, score FROM lex")
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"))
-    return R.bm25(table(spark, sf_dir, "documents"), terms).select("item_id", "rank", "doc_id", "score")
+    return lexical(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+
+
+_FIRST_WORDS = r"[array_to_string(regexp_split_to_array(trim(text), '\s+')[1:3], ' ')]"
+
+
+@query(f"WITH {_lexical(f'list_concat({_FIRST_WORDS}, k[1:2])')} SELECT item_id, rank::INT AS rank, doc_id, score FROM lex")
+def lexical_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of a question as a phrase, and its first two content words."""
+    phrase = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ")
+    asked = table(spark, sf_dir, "benchmark").withColumn("terms", F.concat(F.array(phrase), F.slice(T.naive_terms("text"), 1, 2)))
+    return L.search(spark, index(spark, sf_dir), asked)
+
+
+@query(f"WITH {_lexical(only='doc_id = 3 * item_id OR item_id % 2 = 1')} SELECT item_id, rank::INT AS rank, doc_id, score FROM lex")
+def lexical_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other question is held to one document."""
+    asked = L.rewritten(table(spark, sf_dir, "benchmark")).withColumn("only", F.when(F.col("item_id") % 2 == 0, 3 * F.col("item_id")))
+    return L.search(spark, index(spark, sf_dir), asked, only="only")
+
+
+@query(rf"""
+WITH q AS (SELECT item_id, text, k FROM {_NAIVE}), r AS (SELECT item_id, 'new ' || left(text, 20) AS rw, item_id % 4 AS way FROM benchmark)
+SELECT item_id, CASE WHEN way = 0 THEN [text, trim(rw)] ELSE [text] END AS queries, CASE WHEN way = 0 THEN ['first word', 'second'] ELSE k END AS terms FROM q JOIN r USING (item_id)
+""")
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a rewriting model stand in: good ones, ones that repeat the question, ones that aren't JSON, none."""
+    way = F.col("item_id") % 4
+    good = F.concat(F.lit("```"), F.to_json(F.struct(F.concat(F.lit(' "new '), F.left("text", F.lit(20)), F.lit('"')).alias("q"), F.array(F.lit(" first word"), F.lit("x"), F.lit("second"), F.lit("second")).alias("kw"))), F.lit("```"))
+    model = lambda df: df.withColumn("answer", F.when(way == 0, good).when(way == 1, F.to_json(F.struct(F.col("text").alias("q")))).when(way == 2, "no json {"))
+    return L.rewritten(table(spark, sf_dir, "benchmark"), model=model).select("item_id", "queries", "terms")
 
 
 @query(f"WITH {_near('q.vec_id % 20 = 0')} SELECT query, vec_id, score, rank::INT AS rank FROM near")
@@ -88,11 +138,11 @@ _FUSED = f"""
 
 @query(f"WITH {_FUSED} SELECT item_id, doc_id, score, pos::INT AS rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
-    lexical = R.bm25(docs, R.query_terms(items)).select("item_id", F.lit(1).alias("pool"), "rank", "doc_id")
+    items, vectors = (table(spark, sf_dir, t) for t in ("benchmark", "embeddings"))
+    words = lexical(spark, sf_dir, items).select("item_id", F.lit(1).alias("pool"), "rank", "doc_id")
     asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = R.knn(asked, vectors).select(F.col("query").alias("item_id"), F.lit(0).alias("pool"), "rank", F.col("vec_id").alias("doc_id"))
-    return R.fuse(near.unionByName(lexical), "item_id", "doc_id")
+    return R.fuse(near.unionByName(words), "item_id", "doc_id")
 
 
 @query(r"""
@@ -114,7 +164,7 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fi
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
     asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return R.hybrid(docs, items, vectors, asked)
+    return R.hybrid(docs, lexical(spark, sf_dir, items), vectors, asked)
 
 
 @query(rf"""
@@ -128,9 +178,53 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.operators import alignment
 
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = R.bm25(docs, R.query_terms(items)).select("item_id", "doc_id", "rank")
+    found = lexical(spark, sf_dir, items).select("item_id", "doc_id", "rank")
     expected = alignment.contained(items, docs)
     per = expected.join(found, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.bool_or(F.coalesce(F.col("rank") <= 8, F.lit(False))).alias("hit8"), F.bool_or(F.col("rank").isNotNull()).alias("hit30"))
     share = lambda c: F.round(F.avg(F.when(F.col(c), 1.0).otherwise(0.0)), 6)
     total = items.agg(F.count("*").alias("n_questions"))
     return per.agg(F.count("*").alias("n_labelled"), share("hit8").alias("recall_8"), share("hit30").alias("recall_30")).crossJoin(total).select("n_questions", "n_labelled", "recall_8", "recall_30")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, label % 2 AS space, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)), q AS (SELECT * FROM v WHERE vec_id % 20 = 0)
+, c AS (SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(q.e, v.e) / (q.n * v.n), 6) AS score, v.space = 0 AND v.label = q.label * 3 AS a, v.space = 0 AS b FROM q, v)
+, t AS (SELECT query, vec_id, score, 0 AS tier FROM c WHERE a UNION ALL SELECT query, vec_id, score, 1 FROM c WHERE b UNION ALL SELECT query, vec_id, score, 2 FROM c)
+, r AS (SELECT *, row_number() OVER (PARTITION BY query, tier ORDER BY score DESC, vec_id) AS rank, min(tier) OVER (PARTITION BY query) AS first FROM t QUALIFY rank <= 40)
+SELECT query, tier::INT AS tier, vec_id, score, rank::INT AS rank FROM r WHERE tier = first
+""")
+def vector_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a namespace with the wanted label; without any, of the namespace; without any, all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    inside = vectors.where("label % 2 = 0")
+    asked = vectors.where("vec_id % 20 = 0")
+    held = R.knn(asked.withColumn("wanted", F.col("label") * 3), inside, label="label").where("tier = 0").drop("tier")
+    return indexing.tiers([held, R.knn(asked, inside).drop("tier"), R.knn(asked, vectors).drop("tier")], "query").select("query", "tier", "vec_id", "score", "rank")
+
+
+@query("""
+WITH s AS (SELECT label AS ns, vec_id % 50 AS id, vec_id AS v, embedding FROM embeddings WHERE vec_id % 3 > 0), n AS (SELECT label AS ns, vec_id % 50 AS id, vec_id AS v, embedding FROM embeddings WHERE vec_id % 3 = 0)
+, u AS (SELECT ns, id, v, 0 AS new FROM s UNION ALL SELECT ns, id, v, 1 FROM n), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY ns, id ORDER BY new DESC, v DESC) = 1) SELECT ns, id, v FROM k
+""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("ns"), (F.col("vec_id") % 50).alias("id"), F.col("vec_id").alias("v"), "embedding")
+    return indexing.upsert(rows.where("v % 3 > 0"), rows.where("v % 3 = 0"), ["ns", "id"], "v").select("ns", "id", "v")
+
+
+@query("""
+WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents), s AS (SELECT id FROM a WHERE ord BETWEEN 25 AND 49)
+SELECT 50::BIGINT AS cursor, 50 >= (SELECT count(*) FROM a) AS done, (SELECT count(*) FROM a) AS total, 25 AS limit, (SELECT count(*) FROM s) AS articles, (SELECT count(*) FROM labels WHERE doc_id IN (SELECT id FROM s)) AS chunks
+""")
+def index_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second step over all documents in the order of their ids; labels stand for chunks."""
+    w = Window.orderBy("doc_id")  # the order of the catalog; made once, when it is written
+    arts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.row_number().over(w) - 1).alias("ord"))
+    return indexing.step(arts, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 25, 1000)
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS req, l_linenumber AS i, l_partkey AS v FROM lineitem) SELECT req, string_agg(v::VARCHAR, ',' ORDER BY i, v::VARCHAR) AS vs FROM p GROUP BY req
+""")
+def embeddings_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("i"), F.col("l_partkey").cast("string").alias("v"))
+    return indexing.by_index(parts, "req", "i", "v").select("req", F.array_join("values", ",").alias("vs"))

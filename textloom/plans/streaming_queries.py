@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from textloom.plans.base import query, table
 from textloom.plans.retrieval_queries import _TOKENS
+from textloom.storage import shared_dir
 from textloom.streaming import jobs
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all machines see: under spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder that all machines see."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"SELECT token, doc_id, count(*) AS tf, min(pos)::INT AS first_pos FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)) GROUP BY token, doc_id")
@@ -43,11 +42,41 @@ def daily_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "ts")
 
+    counts = jobs.daily_counts(events).select("user_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "n")
+
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    counts = jobs.daily_counts(events).writeStream.outputMode("complete").foreachBatch(put)
-    counts.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    # only days that changed are written with each batch; of a day's rows the last batch's holds
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{path}/out")
-    last = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(last), "batch").select("user_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "n")
+    return out.groupBy("user_id", "day").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
+, r AS (SELECT event_id, user_id, event_type, n, ts AS wrote, false AS hit FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.n, CASE WHEN e.ts - r.wrote < INTERVAL 604800 SECOND THEN r.wrote ELSE e.ts END, e.ts - r.wrote < INTERVAL 604800 SECOND
+  FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1)
+SELECT event_id, hit FROM r
+""")
+def answer_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "event_type", "ts")
+    hits = jobs.answer_cache(events, ["user_id", "event_type"])
+    hits.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "hit")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS pct FROM events GROUP BY user_id")
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "value")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+
+    jobs.progress(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.max_by("pct", "batch").alias("pct"))

@@ -157,7 +157,7 @@ def function_word_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, '{"@context":"https://schema.org","@type":"WebPage","url":"' || url || '","path":"/a/' || page_id || '/","n_bytes":' || strlen(html) || ',"safe":"' || replace(substr(html, 1, 1), '<', '\\u003c') || '"}' AS jsonld FROM pages
+SELECT page_id, '{"@context":"https://schema.org","@type":"WebPage","url":"' || url || '","path":"/a/' || page_id || '/","n_bytes":' || strlen(html) || ',"safe":"' || replace(substr(html, 1, 1), '<', '\\u003c') || '","text":"' || trim(regexp_replace(html, '<[^>]*>|[^A-Za-z0-9]+', ' ', 'g')) || '"}' AS jsonld FROM pages
 """.replace("\\\\u", "\\u"))
 def jsonld_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -168,6 +168,7 @@ def jsonld_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.article_path(F.col("page_id").cast("string")).alias("path"),
         F.octet_length("html").alias("n_bytes"),
         F.left("html", F.lit(1)).alias("safe"),
+        F.trim(F.regexp_replace("html", "<[^>]*>|[^A-Za-z0-9]+", " ")).alias("text"),
     )
     return pages.select("page_id", F.replace(F.to_json(body), F.lit("<"), F.lit("\\u003c")).alias("jsonld"))
 
@@ -192,12 +193,20 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy.select("event_id", F.from_json(T.json_body("raw"), "k int")["k"].alias("k"))
 
 
-@query()
+@query(rf"""
+WITH b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\. ', ' （以上 卷.一 ' || doc_id || '） ◎', 'g'), ', ', chr(10) || '◎ ', 'g'), '（以上{SPACES}*([^）]*)）', chr(10) || '§\1' || chr(10), 'g'), chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+, e AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS p FROM b)
+, t AS (SELECT *, first_value(CASE WHEN starts_with(s, '§') THEN replace(regexp_replace(substr(s, 2), '{SPACES}+', '', 'g'), '.', '·') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sec FROM e)
+, n AS (SELECT doc_id, p, coalesce(sec, '其他') AS sec, regexp_replace(s, '^{SPACES}+|{SPACES}+$', '', 'g') AS s FROM t WHERE NOT starts_with(s, '§'))
+, w AS (SELECT doc_id, p, sec, starts_with(s, '◎') AS m, list_filter(regexp_split_to_array(regexp_replace(s, '^◎+', ''), '{SPACES}+'), lambda x: x <> '') AS w FROM n), x AS (SELECT doc_id, p, sec, m, unnest(w) AS name, unnest(range(len(w))) AS i FROM w)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1)::INT AS pos, sec, name, m AND i = 0 AS marked FROM x
+""")
 def reading_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.operators.documents import reading_list
 
-    lists = spark.createDataFrame([(1, "甲 乙 ◎丙 （以上 书） 丁 （以上 序）"), (2, "◎戊 己（以上 论）")], "id int, body string")
-    return reading_list(lists, "id", "body")
+    end = F.concat(F.lit(" （以上 卷.一 "), F.col("doc_id").cast("string"), F.lit("） ◎"))
+    body = F.replace(F.replace("text", F.lit(". "), end), F.lit(", "), F.lit("\n◎ "))
+    return reading_list(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", body.alias("body")), "doc_id", "body")
 
 
 @query("""
@@ -222,12 +231,14 @@ def backrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: len(x) >= 6)) AS term FROM conversations)
-SELECT term, conv_id AS a, count(*) AS n, min(turn) AS first_turn FROM t GROUP BY term, conv_id
+WITH t AS (SELECT doc_id, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS x FROM documents))
+SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n, min(doc_id) AS first_doc FROM t GROUP BY term
 """.replace("\\\\", "\\"))
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.bigrams("text")).alias("term")).where(F.length("term") >= 6)
-    return turns.groupBy("term", F.col("conv_id").alias("a")).agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+    """Every token of the documents, with where it is met first; counted within documents before it is shuffled."""
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.bigrams("text")).alias("term"))
+    each = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,39 @@ def write(articles: DataFrame, path: str, by: str = "volume") -> None:
     articles.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_json(articles: DataFrame, path: str, by: str = "volume") -> None:
+    """Articles by volume as JSON, a line each, characters as they are; volumes that are written replace their old files."""
+    articles.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def read_by_volume(spark: SparkSession, path: str, schema: str = PUBLISHED) -> DataFrame:
+    """What write_json wrote; a volume's filter reads its folder alone. Lines that don't parse are left out."""
+    found = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return found.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
+
+
+def read_indexed(spark: SparkSession, path: str, index: DataFrame, key: str = "key", schema: str = INTERMEDIATE) -> DataFrame:
+    """Articles stored in a folder for each key, as far as an index (key, …) names them: only those folders are opened."""
+    found = spark.read.schema(f"{schema}, `{key}` string").option("mode", "PERMISSIVE").json(path)
+    named = found.join(index.select(F.col(key).cast("string")).distinct(), key, "left_semi")
+    return named.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
+
+
+def one(articles: DataFrame, article: str) -> DataFrame:
+    """One article: the filter goes to the scan."""
+    return articles.where(F.col("id") == article)
+
+
+def held(articles: DataFrame) -> DataFrame:
+    """The corpus kept in the executors' memory after its first use, on disk where that is too small."""
+    return articles.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def write_search_text(articles: DataFrame, path: str) -> None:
+    """The search corpus as compact JSON lines, by volume."""
+    search_text(articles).write.partitionBy("volume").mode("overwrite").json(path)
+
+
 def catalog_items(catalog: DataFrame) -> DataFrame:
     """(volume, v, j, c, i, juan, category, id, title, …): a row for each item, with the places that order it."""
     step = catalog.select(F.col("id").alias("volume"), "group", F.posexplode("juans").alias("j", "juan"))
@@ -79,3 +113,9 @@ def term_dictionary(articles: DataFrame) -> DataFrame:
 def replace_volume(terms: DataFrame, new: DataFrame, volume: str) -> DataFrame:
     """terms with the entries of one volume replaced by new's."""
     return terms.where(~F.col("a").startswith(f"{volume}-")).unionByName(new)
+
+
+def as_dictionary(terms: DataFrame) -> DataFrame:
+    """(term, entries): a row for each term that has entries, which are in the order of article and number."""
+    ordered = F.array_sort(F.collect_list(F.struct("a", "n")))
+    return terms.where("term IS NOT NULL AND term <> ''").groupBy("term").agg(ordered.alias("entries"))

@@ -36,7 +36,13 @@ def parse(data: bytes) -> Iterator[tuple[str, str | None, bool, list[dict]]]:
 
 
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, text, style, first_bold, runs, bold) of all Word files under path.
+    """paragraphs_of all Word files under path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+    return paragraphs_of(files)
+
+
+def paragraphs_of(files: DataFrame) -> DataFrame:
+    """(file, pos, text, style, first_bold, runs, bold) of Word files (path, content).
 
     Two senses of bold are kept apart: first_bold says that the first run properties name it, bold that half or more
     of the non-blank characters are. A file that is no Word document gives no rows.
@@ -51,6 +57,5 @@ def paragraphs(spark: SparkSession, path: str) -> DataFrame:
                     rows = []
                 yield pd.DataFrame([(name, k, *r) for k, r in enumerate(rows)], columns=["file", "pos", "text", "style", "first_bold", "runs"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
     parsed = files.select("path", "content").mapInPandas(run, SCHEMA)
     return parsed.withColumn("bold", T.bold_share("runs") >= 0.5)

@@ -56,23 +56,32 @@ def quota(events: DataFrame, limit: int, principal: str = "user_id", ts: str = "
     return keyed.groupBy(principal).applyInPandasWithState(step, out, "days array<int>, counts array<int>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def answer_cache(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", seconds: int = ANSWER_TTL) -> DataFrame:
-    """Each request with hit: whether its key was written less than seconds before; hits don't renew the entry."""
-    out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in events.schema), "hit boolean"])
+def answer_cache(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", seconds: int = ANSWER_TTL, late: str = "1 hour") -> DataFrame:
+    """Each request with hit: whether its key was written less than seconds before; hits don't renew the entry.
+
+    An entry goes when the watermark has passed its expiry. Requests are answered in the order of time within a batch; one that
+    comes in a later batch with an earlier time than the entry was written at misses, and writes nothing, as an older answer must not
+    replace a newer one. In time order, which is how the batch form replays them, both give the same.
+    """
+    keyed = stamped(events, ts).withWatermark(ts, late)
+    out = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in keyed.schema), "hit boolean"])
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         wrote = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values([ts, order])
         hits = []
         for t in rows[ts]:
             at = t.value // 1000
-            hit = wrote is not None and at - wrote < seconds * 1_000_000
-            wrote = wrote if hit else at
-            hits.append(hit)
+            hits.append(wrote is not None and 0 <= at - wrote < seconds * 1_000_000)
+            wrote = wrote if hits[-1] or (wrote is not None and at < wrote) else at
         state.update((wrote,))
+        state.setTimeoutTimestamp(max(wrote // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1000))
         yield rows.assign(hit=hits)
 
-    return events.groupBy(*key).applyInPandasWithState(step, out, "wrote long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy(*key).applyInPandasWithState(step, out, "wrote long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress(events: DataFrame, user: str = "user_id", value: str = "value", order: str = "event_id") -> DataFrame:
@@ -87,8 +96,10 @@ def incremental_index(docs: DataFrame, path: str, checkpoint: str) -> StreamingQ
     """
 
     def put(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()  # read by both writers, scanned once
         chunks = chunking.chunk_texts(batch, marks=".;!?\n")
         chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={n}")
         retrieval.postings(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={n}")
+        batch.unpersist()
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
