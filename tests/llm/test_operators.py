@@ -307,7 +307,7 @@ def test_policies_and_ablation(spark, docs):
     rows = {r["rule"]: r for r in quality_rules.ablation(ledger, "v1").collect()}
     kept = ledger.where("kept").count()
     for rule, r in rows.items():
-        bit = 1 << list(quality_rules.RULES).index(rule)
+        bit = 1 << quality_rules.RULES[rule][0]
         assert r["n_failed"] == ledger.where(f"fail_bits & {bit} <> 0").count()
         assert r["n_kept_without"] == kept + r["n_failed_alone"]
 

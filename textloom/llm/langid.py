@@ -18,8 +18,9 @@ from textloom.llm.common import batches_in
 
 #: Hash buckets of trigrams, centroids for each language, and the bound of the sample that they are fitted on.
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 4000
-#: A text whose greatest cosine is less is rejected: it is like no language learned.
-REJECT_BELOW = 0.12
+#: A text is rejected whose greatest cosine is less than this share of the least one that sample rows have to centroids
+#: fitted without them: it is like no language learned.
+REJECT_SHARE, FOLDS = 0.5, 4
 UNKNOWN = "und"
 BLOCK = 1 << 20
 
@@ -92,19 +93,52 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def frequencies(learn: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """How many texts have a letter, and in how many each bucket occurs: every task adds up its own, so one short row a task is shuffled."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, found = 0, np.zeros(BUCKETS, np.int64)
+        for f in frames:
+            for text in f["__t"]:
+                if has_letter(text):
+                    n += 1
+                    found += trigrams(text) > 0
+        yield pd.DataFrame({"bucket": np.arange(-1, BUCKETS), "n": np.concatenate([[n], found])})
+
+    sums = batches_in(learn.selectExpr(f"`{text_col}` AS __t")).mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for r in sums.collect():  # a row for each bucket
+        out[r["bucket"] + 1] = r["n"]
+    return int(out[0]), out[1:]
+
+
+def least_cosine(v: np.ndarray, names: np.ndarray) -> float:
+    """REJECT_SHARE of the least cosine of a row to the centroids of its language, fitted on the other folds."""
+    fold, least = np.arange(len(v)) % FOLDS, 1.0
+    for lang in sorted(set(names.tolist())):
+        for k in range(FOLDS):
+            rest, own = v[(names == lang) & (fold != k)], v[(names == lang) & (fold == k)]
+            if len(rest) and len(own):
+                least = min(least, float((own @ spherical_kmeans(rest, CENTROIDS).T).max(1).min()))
+    return max(0.0, REJECT_SHARE * least) if least < 1.0 else 0.0
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
-    """idf, centroids and their languages, from about sample rows at most that are not held out and have a language.
+    """idf, centroids and their languages, and the cosine below which a text is rejected.
 
-    Each language gets an equal share of the sample, of rows whose hashed id is least. Counting languages reads two
-    narrow columns; the sampled rows alone are turned to vectors.
+    Only rows that are not held out and have a language and a text are learned from. The idf counts all of them. Centroids are
+    fitted on about sample rows at most: each language gets an equal share, of ids whose hash is least; rows that share an id and a
+    language count as one there, so a repeated id brings one row. Nothing to learn from, or an empty table, gives a model without languages.
     """
     learn = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in learn.groupBy(lang_col).count().collect()}  # a row for each language
+    none = {"langs": [], "idf": np.zeros(BUCKETS, np.float32), "centroids": np.zeros((0, BUCKETS), np.float32), "least": 0.0}
     if not counts:
-        return {"langs": [], "idf": np.zeros(BUCKETS, np.float32), "centroids": np.zeros((0, BUCKETS), np.float32)}
+        return none
     share = sample / len(counts)
     cuts = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
     picked = learn.where(F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1 << 30)) < F.element_at(cuts, F.col(lang_col)) * (1 << 30))
+    picked = picked.groupBy(F.col(id_col).alias("__i"), F.col(lang_col).alias("__l")).agg(F.min(text_col).alias("__t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -116,46 +150,52 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     rows.append((lang, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "at", "n"])
 
-    got = batches_in(picked.selectExpr(f"`{lang_col}` AS __l", f"`{text_col}` AS __t")).mapInPandas(run, "lang string, at binary, n binary").collect()
+    got = batches_in(picked.select("__l", "__t")).mapInPandas(run, "lang string, at binary, n binary").collect()
+    if not got:
+        return none
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for k, r in enumerate(got):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
+    n, found = frequencies(learn, text_col)
+    idf = np.log((1 + n) / (1 + found)).astype(np.float32) + 0.1
     v, names = vectors(x, idf), np.array([r["lang"] for r in got])
     langs, centroids = [], []
     for lang in sorted(set(names.tolist())):
         c = spherical_kmeans(v[names == lang], CENTROIDS)
         langs += [lang] * len(c)
         centroids.append(c)
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32)}
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids), "least": least_cosine(v, names)}
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with held_out, lang_pred, score and rejected, in place of columns of such names.
 
-    Only the text decides. lang_pred is und, with score 0 and rejected, for a null text, one without a letter, or where
-    nothing was learned; for all others it is the nearest language, and rejected tells whether the cosine is below
-    REJECT_BELOW. Ties go to the language that sorts first. Empty tables and repeated rows need no special case. Nothing is shuffled.
+    Only the text decides. lang_pred is und, with score 0, for a null text, one without a letter, or where nothing was learned;
+    for all others it is the nearest language. rejected tells that a text is null or has no letter, or that its cosine is below the
+    model's least; a model without languages rejects nothing else. Ties go to the language that sorts first. Empty tables and
+    repeated rows need no special case; a text of any length is read whole, in blocks. Nothing is shuffled.
     """
-    langs, idf, centroids = model["langs"], model["idf"], model["centroids"]
+    langs, idf, centroids, least = model["langs"], model["idf"], model["centroids"], model["least"]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch.tolist()
-            good = [k for k, t in enumerate(texts) if langs and has_letter(t)]
-            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for a in range(0, len(good), 256):
+            good = [k for k, t in enumerate(texts) if has_letter(t)]
+            pred, score, rejected = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+            rejected[good] = False
+            for a in range(0, len(good) if langs else 0, 256):
                 own = good[a : a + 256]
                 cosine = vectors(np.array([trigrams(texts[k]) for k in own]), idf) @ centroids.T
                 best = cosine.argmax(1)
                 pred[own] = [langs[b] for b in best]
                 score[own] = np.clip(cosine[np.arange(len(own)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": pred, "score": score, "rejected": (score < REJECT_BELOW) | (pred == UNKNOWN)})
+                rejected[own] = score[own] < least
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "rejected": rejected})
 
     # not deterministic only in name: so that the planner doesn't run it once for each use
     named = F.pandas_udf(run, "lang_pred string, score double, rejected boolean").asNondeterministic()
-    columns = [F.col(c) for c in docs.columns if c not in ("held_out", "lang_pred", "score", "rejected")]
+    columns = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "rejected")]
     batches_in(docs)
-    whole = docs.select(*columns, held_out(F.col(id_col)).alias("held_out"), named(F.col(text_col)).alias("__p"))
-    return whole.select(*columns, "held_out", "__p.lang_pred", "__p.score", "__p.rejected")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), held_out(F.col(id_col)).alias("h"), named(F.col(text_col)).alias("p"))
+    return whole.select(*[F.col("r")[c].alias(c) for c in columns], F.col("h").alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
