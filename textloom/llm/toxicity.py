@@ -108,13 +108,15 @@ def fit_chain(rows, cols, dense, labels: list[np.ndarray], weight, fold, size: i
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: dict[str, str], sample: int) -> DataFrame:
     """group, words (distinct), shape and y of about sample labelled documents: those whose hashed id is least.
 
-    The ids of the sample, bounded like it, are broadcast to the documents. Texts with the same two least hashes of neighbouring
+    The ids of the sample, bounded like it, are broadcast to the documents. Of rows that share an id one text enters, the least, so
+    a repeated id brings one row; labels that share an id count together. Texts with the same two least hashes of neighbouring
     words, near copies for the most part, make a group.
     """
     n = labels.count()
     ids = labels.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col, F.lit("toxicity")), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)))
     ids = ids.groupBy(id_col).agg(F.array(*[F.max(F.coalesce(F.expr(e), F.lit(False)).cast("int")) for e in categories.values()]).alias("__y"))
-    train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(ids), id_col).select("__t", "__y")
+    train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(ids), id_col)
+    train = train.groupBy(id_col).agg(F.min("__t").alias("__t"), F.first("__y").alias("__y")).select("__t", "__y")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
@@ -133,6 +135,8 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, cate
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE) -> dict:
     """Vocabulary and chain, from a bounded sample of labelled documents. A group of near copies weighs as one document.
 
+    Null ids, null texts and null labels teach nothing; without a labelled document the model is empty.
+
     Words are chosen by how much more often they occur with a category than without (log-likelihood ratio of weighted
     counts, a word in at least LEAST_GROUPS groups), counted by Spark.
     """
@@ -201,7 +205,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     # not deterministic only in name: so that the planner doesn't run it once for each use
     scored = F.pandas_udf(run, ", ".join(f"p_{n} double" for n in names)).asNondeterministic()
     made = {f"p_{n}" for n in names} | {"rejected"}
-    columns = [F.col(c) for c in docs.columns if c not in made]
+    columns = [c for c in docs.columns if c not in made]
     batches_in(docs)
-    whole = docs.select(*columns, scored(F.col(text_col)).alias("__p"))
-    return whole.select(*columns, *[F.col(f"__p.p_{n}") for n in names], (F.col(f"__p.p_{DECIDES}") >= THRESHOLD).alias("rejected"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), scored(F.col(text_col)).alias("p"))
+    return whole.select(*[F.col("r")[c].alias(c) for c in columns], *[F.col("p")[f"p_{n}"].alias(f"p_{n}") for n in names], (F.col("p")[f"p_{DECIDES}"] >= THRESHOLD).alias("rejected"))
