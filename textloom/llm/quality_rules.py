@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
-#: Rule name -> SQL condition over the measurements that means failure; the bit of a rule is its place.
+#: Changes with any change of a rule's bit or condition; ledgers carry it, so that old bits are never read by new meanings.
+RULESET = "1"
+#: Rule name -> (bit, SQL condition over the measurements that means failure). A bit once given stays its rule's.
 RULES = {
-    "few_words": "n_words < 10",
-    "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "symbols": "10 * n_symbols > 3 * n_words",
-    "repeated_lines": "2 * n_dup_lines > n_lines and n_dup_lines >= 4",
-    "shouting": "2 * n_upper > word_chars and n_words >= 20",
-    "no_letters": "n_letters = 0",
+    "few_words": (0, "n_words < 10"),
+    "repeated_words": (1, "100 * n_repeat_words > 20 * n_words"),
+    "long_words": (2, "word_chars > 20 * n_words"),
+    "short_words": (3, "word_chars < 2 * n_words"),
+    "symbols": (4, "10 * n_symbols > 3 * n_words"),
+    "repeated_lines": (5, "2 * n_dup_lines > n_lines and n_dup_lines >= 4"),
+    "shouting": (6, "2 * n_upper > word_chars and n_words >= 20"),
+    "no_letters": (7, "n_letters = 0"),
 }
 #: Version -> rules whose failure rejects.
 POLICIES = {
@@ -31,8 +33,7 @@ POLICIES = {
 
 
 def mask(policy: str, policies: dict[str, list[str]] = POLICIES) -> int:
-    names = list(RULES)
-    return sum(1 << names.index(r) for r in policies[policy])
+    return sum(1 << RULES[r][0] for r in policies[policy])
 
 
 def let(value: Column, body) -> Column:
@@ -66,7 +67,7 @@ def repeat_words(words: Column, n: int = 5) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policies: dict[str, list[str]] = POLICIES, policy: str = "v1") -> DataFrame:
-    """id, measurements, fail_bits, base_failed and kept (by policy) for each row.
+    """id, measurements, fail_bits, ruleset, policy, base_failed and kept (by policy) for each row.
 
     A null text counts as one without words: it fails few_words. An empty table gives an empty ledger; repeated rows
     are measured each on its own; other columns of docs are neither read nor returned. Texts of any length are measured whole.
@@ -86,22 +87,37 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", poli
         F.length(F.regexp_replace("__t", r"\P{L}+", "")).cast("long").alias("n_letters"),
     ).select(id_col, "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_letters")
     bits = F.lit(0).cast("long")
-    for k, condition in enumerate(RULES.values()):
+    for k, condition in RULES.values():
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    judged = measured.withColumn("fail_bits", bits)
-    failed = lambda p: F.col("fail_bits").bitwiseAND(F.lit(mask(p, policies)).cast("long")) != 0
-    return judged.withColumn("base_failed", failed("base")).withColumn("kept", ~F.col("base_failed") & ~failed(policy))
+    return apply_policy(measured.withColumn("fail_bits", bits).withColumn("ruleset", F.lit(RULESET)), policy, policies)
+
+
+def apply_policy(judged: DataFrame, policy: str = "v1", policies: dict[str, list[str]] = POLICIES) -> DataFrame:
+    """A ledger, perhaps read from where it was stored, with policy, base_failed and kept: bits alone are read, no text.
+
+    A row of another rule set has null for base_failed and kept, as its bits mean something else.
+    """
+    known = F.col("ruleset") == RULESET
+    failed = lambda p: F.when(known, F.col("fail_bits").bitwiseAND(F.lit(mask(p, policies)).cast("long")) != 0)
+    return judged.withColumn("policy", F.lit(policy)).withColumn("base_failed", failed("base")).withColumn("kept", ~F.col("base_failed") & ~failed(policy))
+
+
+def write_ledger(judged: DataFrame, path: str) -> None:
+    """The narrow ledger by rule set, for later policies and ablations; a rule set written again replaces its own part alone."""
+    judged.drop("policy", "base_failed", "kept").write.partitionBy("ruleset").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def ablation(ledger_df: DataFrame, policy: str = "v1", policies: dict[str, list[str]] = POLICIES) -> DataFrame:
-    """For each rule of a policy: how many rows fail it, fail it alone, and would be kept without it (one pass, no text)."""
+    """For each rule of a policy: how many rows fail it, fail it alone, and would be kept without it (one pass, no text).
+
+    Rows of other rule sets are left out.
+    """
     bits, whole = F.col("fail_bits").bitwiseAND(F.lit(mask(policy, policies)).cast("long")), F.lit(mask(policy, policies)).cast("long")
-    names = list(RULES)
     sums = []
     for rule in policies[policy]:
-        bit = F.lit(1 << names.index(rule)).cast("long")
-        rest = F.lit(mask(policy, policies) & ~(1 << names.index(rule))).cast("long")
+        bit = F.lit(1 << RULES[rule][0]).cast("long")
+        rest = F.lit(mask(policy, policies) & ~(1 << RULES[rule][0])).cast("long")
         sums += [F.count_if(bits.bitwiseAND(bit) != 0).alias(f"{rule}_n"), F.count_if(bits == bit).alias(f"{rule}_alone"), F.count_if(bits.bitwiseAND(rest) == 0).alias(f"{rule}_kept")]
-    one = ledger_df.agg(F.count("*").alias("rows"), F.bit_or(bits).alias("seen"), *sums).withColumn("mask", whole)
+    one = ledger_df.where(F.col("ruleset") == RULESET).agg(F.count("*").alias("rows"), F.bit_or(bits).alias("seen"), *sums).withColumn("mask", whole)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_n").alias("n_failed"), F.col(f"{r}_alone").alias("n_failed_alone"), F.col(f"{r}_kept").alias("n_kept_without")) for r in policies[policy]])
     return one.select(F.lit(policy).alias("policy"), "rows", F.explode(rows).alias("x")).select("policy", "rows", "x.*")

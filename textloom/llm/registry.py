@@ -159,8 +159,8 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 , m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, n_upper::BIGINT AS n_upper, n_letters::BIGINT AS n_letters FROM w LEFT JOIN c USING (doc_id)
-), b AS (SELECT *, ({" | ".join(f"(CASE WHEN {e} THEN {1 << k} ELSE 0 END)" for k, e in enumerate(quality_rules.RULES.values()))})::BIGINT AS fail_bits FROM m)
-SELECT *, (fail_bits & {quality_rules.mask("base")}) <> 0 AS base_failed, (fail_bits & {quality_rules.mask("base") | quality_rules.mask("v1")}) = 0 AS kept FROM b
+), b AS (SELECT *, ({" | ".join(f"(CASE WHEN {e} THEN {1 << k} ELSE 0 END)" for k, e in quality_rules.RULES.values())})::BIGINT AS fail_bits FROM m)
+SELECT *, '{quality_rules.RULESET}' AS ruleset, 'v1' AS policy, (fail_bits & {quality_rules.mask("base")}) <> 0 AS base_failed, (fail_bits & {quality_rules.mask("base") | quality_rules.mask("v1")}) = 0 AS kept FROM b
 """
 
 OP10 = """
