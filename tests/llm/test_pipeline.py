@@ -69,3 +69,49 @@ def test_run_and_registry(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 100
     names = set(__spark_entry__.queries())
     assert set(registry.queries()) | {"pipeline"} <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __drop string, node string, p string, r string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = random.Random(14)
+    texts = [sentence(rng, 40) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (5, texts[6]), (None, texts[7]), (None, None), (40, None), (41, ""), (42, "\n".join(sentence(rng, 30) for _ in range(3000)))]
+    return spark.createDataFrame([(k, t, None, None, None if t is None else len(t), "clash", "clash", "clash", None) for k, t in rows], ODD)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_empty_tables(spark, tables, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, empty = stage(spark, odd, tables), stage(spark, odd.limit(0), tables)
+    assert empty.count() == 0
+    if name == "packing":
+        assert {(r["doc_id"], r["piece"]) for r in got.collect()} >= {(5, 0), (None, 0), (40, 0), (42, 0), (42, 1)} and got.where("piece = 0").count() == odd.count()
+        return
+    assert got.columns == empty.columns == odd.columns
+    rows = got.collect()
+    assert all(r["__drop"] == "clash" and r["r"] is None for r in rows)
+    ids = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in rows)
+    if name == "line_dedup":
+        assert len(rows) == odd.count()
+    if name == "toxicity":
+        assert len(rows) >= odd.count() - 3
+    if name == "language_id":  # no row has a language, so only texts without letters go
+        assert len(rows) == odd.count() - 3
+    if name == "ngram_join":
+        # the text of 6 is in a row of id 5 too, which is the smaller one and stays beside the other text of that id
+        assert ids == sorted([*(k for k in range(30) if k != 6), 5, -1, 40, 41, 42]) and sum(r["doc_id"] is None and r["text"] is None for r in rows) == 1
+
+
+def test_what_stages_read_is_removed(spark, tables, tmp_path):
+    import glob
+
+    from textloom.llm.common import shared_dir
+
+    base = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/pipeline-*/*"))
+    corpus_pipeline.run(spark, tables).count()
+    left = set(glob.glob(f"{base}/pipeline-*/*")) - before
+    assert [p.rsplit("/", 1)[1] for p in left] == ["4-packing"]
