@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.storage import remove, shared_dir  # noqa: F401  operators take them from here
+
 #: A side of a join is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 8 << 20
 
@@ -20,29 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or, where it is unset and all runs on this machine, a temporary one."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if path is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        path = tempfile.mkdtemp(prefix="textloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path)
-    return path
-
+#: Rows for each file of a table of so many rows, where their number is known, and the files it has at least.
+ROWS_PER_FILE, LEAST_FILES = 50_000, 8
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that is no longer read, wherever Spark keeps it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Written to the shared folder and read from there on: computed once, and kept when executors are lost.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there on: computed once, and kept when executors are lost."""
+    With the number of rows to come, narrow ones, in no more files than those are worth, whatever the number of shuffle partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))).checkpoint()
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -162,7 +162,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # ranges of a file are few; a range begins where the chunks of those before it end
     ranges = found.groupBy("file", "block").agg(F.sum("taken").alias("taken"))
     base = F.sum("taken").over(Window.partitionBy("file").orderBy("block")) - F.col("taken")
-    placed = found.drop("taken").join(broadcast_if_small(cut(ranges.select("file", "block", base.alias("base"))), 160), ["file", "block"])
+    placed = found.drop("taken").join(broadcast_if_small(cut(ranges.select("file", "block", base.alias("base")), 0), 160), ["file", "block"])
     return placed.withColumns({c: F.col(c) + F.col("base") for c in ("at", "off", "next")}).drop("base")
 
 
@@ -172,17 +172,18 @@ def reachable(jumps: DataFrame) -> DataFrame:
     Pointer jumping: after k rounds a jump spans 2**k records, and all within that many of the start are marked.
     """
     jumps = cut(jumps.select("file", "off", "next"))
-    seen = cut(jumps.where("off = 0").select("file", "off"))
+    rows = jumps.count()
+    seen = cut(jumps.where("off = 0").select("file", "off"), rows)
     n = seen.count()
     while n:
         further = seen.join(jumps, ["file", "off"]).select("file", F.col("next").alias("off"))
-        seen = cut(seen.union(further).distinct())
+        seen = cut(seen.union(further).distinct(), rows)
         m = seen.count()
         if m == n:
             break
         n = m
         ahead = jumps.select("file", F.col("off").alias("next"), F.col("next").alias("then"))
-        jumps = cut(jumps.join(ahead, ["file", "next"]).select("file", "off", F.col("then").alias("next")))
+        jumps = cut(jumps.join(ahead, ["file", "next"]).select("file", "off", F.col("then").alias("next")), rows)
     return seen
 
 
@@ -225,7 +226,7 @@ def joined_blocks(spark: SparkSession, path: str, found: DataFrame, broken: Data
 
 def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all chunks; the true records among them; for each file: file, size and read_to, where its chain of records ends)."""
-    found = cut(candidates(spark, path))
+    found = candidates(spark, path)
     begins = found.where("off >= 0")  # what lies before a file's first magic begins no record
     true = cut(begins.join(reachable(begins), ["file", "off"]))
     ends = found.select("file", "size").distinct().join(true.groupBy("file").agg(F.max("next").alias("read_to")), "file", "left")
@@ -247,7 +248,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     if strict and (bad := ends.where("read_to <> size").limit(5).collect()):
         raise DamagedArchive("; ".join(f"{r['file']}: records end at byte {r['read_to']} of {r['size']}" for r in bad))
     columns = [x.split()[0] for x in SCHEMA.split(", ")]
-    broken = cut(true.where("NOT whole AND next <= size").select("file", "off", "next"))
+    broken = cut(true.where("NOT whole AND next <= size").select("file", "off", "next"), 0)
     whole = true.where("whole").select(*columns)
     return whole if broken.isEmpty() else whole.unionByName(joined_blocks(spark, path, found, broken))
 
@@ -268,6 +269,7 @@ def archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes)
-    found = cut(read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "sound"))
+    # what read() returns rests on tables it has written, not on the archives any more
+    found = read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "sound")
     remove(spark, path)
     return found
