@@ -103,21 +103,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregates before it shuffles, and is cut, so that a lost executor costs one round.
     """
     edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    maps: list[DataFrame] = []
+    found, rounds = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 0
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        rank = F.col("b") if not maps else F.xxhash64("b", F.lit(len(maps)))
-        own = F.col("a") if not maps else F.xxhash64("a", F.lit(len(maps)))
+        rank = F.xxhash64("b", F.lit(rounds)) if rounds else F.col("b")
+        own = F.xxhash64("a", F.lit(rounds)) if rounds else F.col("a")
         least = both.groupBy("a").agg(F.min(F.struct(rank.alias("r"), F.col("b").alias("p"))).alias("m"))
         step = cut(least.select("a", F.when(F.col("m.r") < own, F.col("m.p")).otherwise(F.col("a")).alias("p")))
-        maps.append(step)
+        # written with each round: a chain of joins over all rounds would be planned anew after each of its stages
+        if rounds:
+            found = cut(found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        else:
+            found = step.select(F.col("a").alias("node"), F.col("p").alias("root"))
         left = edges.join(step, "a").select(F.col("p").alias("u"), F.col("b").alias("a")).join(step, "a")
         edges = cut(left.select(F.col("u").alias("a"), F.col("p").alias("b")).where("a <> b").distinct())
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = maps[0].select(F.col("a").alias("node"), F.col("p").alias("root"))
-    for step in maps[1:]:
-        found = found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        rounds += 1
     return found
 
 

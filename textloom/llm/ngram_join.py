@@ -205,7 +205,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, recall: float, rows: in
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(verified.select("node", "root"), "node", "root")
     by_node = nodes.select("node", "n", "least").join(links, "node", "left").join(joined, "node", "left")
-    by_node = by_node.select("node", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    by_node = cut(by_node.select("node", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
     least = by_node.groupBy("root").agg(F.min("least").alias("class_id"))
     return signed.select("id", "node"), by_node.join(least, "root").select("node", "n_links", "root", "class_id")
 
