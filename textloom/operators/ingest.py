@@ -217,3 +217,49 @@ def chapters(rows: DataFrame, file: str = "file") -> DataFrame:
     block = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     made = rows.groupBy(file, "chap", "sub").agg(block.alias("orig"), F.min("pos").alias("__p"))
     return made.withColumn("with_intro", F.row_number().over(Window.partitionBy(file, "chap").orderBy("__p")) == 1).drop("__p")
+
+
+def pair_blocks(rows: DataFrame, note: Column, mixed: Column, summary: Column, article: str = "id") -> DataFrame:
+    """(article, block, kind, os, ts) from rows (article, pos, text, bold, …) in the order of a text that runs on.
+
+    Leading rows for which summary holds are the summary, the last of them counting. A note is a block of its own, with the plain rows after
+    it; so is a mixed row, whose sides the caller splits. Other rows gather in a block: a bold row begins the next one where a plain row came
+    before it. Of a block the last k sources go with the first k translations, k the smaller number, as a pair or, from two on, as one block
+    pair; sources left over stand alone before, translations after. kind: summary, note, mixed, orig, pair, block or trans.
+    """
+    w = Window.partitionBy(article).orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = F.when(note, "note").when(mixed, "mixed").when(F.col("bold"), "o").otherwise("t")
+    led = rows.withColumn("__k", base).withColumn("__s", F.coalesce(summary, F.lit(False)) & ~note)
+    led = led.withColumn("__lead", F.min(F.when(F.col("__s"), 1).otherwise(0)).over(so_far) == 1)
+    led = led.withColumn("__k", F.when(F.col("__lead"), "summary").otherwise(F.col("__k")))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.last(F.when(F.col("__k") != "t", F.col("__k")), ignorenulls=True).over(before)
+    kinds = led.withColumn("__m", mark).withColumn("__k", F.when((F.col("__k") == "t") & F.coalesce(F.col("__m") == "note", F.lit(False)), "cont").otherwise(F.col("__k")))
+    last = F.lag("__k").over(w)
+    starts = last.isNull() | F.col("__k").isin("note", "mixed") | (~F.col("__k").isin("cont", "summary") & last.isin("note", "cont", "mixed", "summary")) | ((F.col("__k") == "o") & (last == "t"))
+    marked = segments.islands(kinds.withColumn("__new", starts), F.col("__new"), [article], ["pos"], "block")
+    texts = lambda *names: F.transform(F.array_sort(F.collect_list(F.when(F.col("__k").isin(*names), F.struct("pos", "text")))), lambda x: x["text"])
+    held = marked.groupBy(article, "block").agg(F.min_by("__k", "pos").alias("first"), texts("o").alias("o"), texts("t").alias("t"), texts("note", "cont", "mixed").alias("own"), texts("summary").alias("s"))
+    k = F.least(F.size("o"), F.size("t"))
+    none = F.array().cast("array<string>")
+    part = lambda kind, os, ts: F.struct(F.lit(kind).alias("kind"), os.alias("os"), ts.alias("ts"))
+    lone_o = F.transform(F.slice("o", F.lit(1), F.size("o") - k), lambda x: part("orig", F.array(x), none))
+    lone_t = F.transform(F.slice("t", k + 1, F.size("t")), lambda x: part("trans", none, F.array(x)))
+    both = F.array(part("both", F.slice("o", F.size("o") - k + 1, k), F.slice("t", F.lit(1), k)))
+    pairs = F.concat(lone_o, F.when(k > 0, both).otherwise(F.slice(both, F.lit(1), F.lit(0))), lone_t)
+    alone = F.when(F.col("first") == "summary", F.array(part("summary", F.slice("s", F.size("s"), F.lit(1)), none))).when(F.col("first").isin("note", "mixed"), F.array(F.struct(F.col("first").alias("kind"), F.array(F.array_join("own", "\n")).alias("os"), none.alias("ts"))))
+    each = held.select(article, "block", F.posexplode(F.coalesce(alone, pairs)).alias("i", "p"))
+    kind = F.when(F.col("p.kind") != "both", F.col("p.kind")).when(F.size("p.os") > 1, "block").otherwise("pair")
+    return each.select(article, "block", "i", kind.alias("kind"), "p.os", "p.ts")
+
+
+def kind_counts(articles: DataFrame) -> DataFrame:
+    """(id, n_orig, n_trans, n_notes, n_blocks) of intermediate articles: paragraphs of each side, a block pair's own included, notes and block pairs."""
+    size = lambda x: F.coalesce(F.size(x), F.lit(0))
+    count = lambda f: F.aggregate("segments", F.lit(0), lambda a, s: a + f(s))
+    one = lambda x: F.when(x.isNotNull(), 1).otherwise(0)
+    return articles.select(
+        "id", count(lambda s: one(s["o"]) + F.greatest(size(s["os"]), F.lit(0))).alias("n_orig"), count(lambda s: one(s["t"]) + F.greatest(size(s["ts"]), F.lit(0))).alias("n_trans"),
+        count(lambda s: one(s["note"])).alias("n_notes"), count(lambda s: one(F.coalesce(s["os"], s["ts"]))).alias("n_blocks"),
+    )

@@ -192,3 +192,38 @@ def selection_key(article: Column, paragraph: Column, text: Column) -> Column:
     flat = F.regexp_replace(text, r"(?U)\s+", " ")
     parts = [article.cast("string"), F.coalesce(paragraph.cast("string"), F.lit("")), T.clen(text).cast("string"), F.left(flat, F.lit(80)), F.right(flat, F.lit(40))]
     return F.concat_ws("|", *parts)
+
+
+def _ld(data: Column) -> Column:
+    """Structured data as it may stand in a page: no < in it."""
+    return F.replace(F.to_json(data), F.lit("<"), F.lit("\\u003c"))
+
+
+def article_ld(title: Column, description: Column, url: Column, author: str, translator: Column) -> Column:
+    """An article; a translator only if one is named."""
+    person = lambda n: F.struct(F.lit("Person").alias("@type"), n.alias("name"))
+    who = F.when(F.coalesce(translator, F.lit("")) != "", person(translator))
+    return _ld(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Article").alias("@type"), title.alias("headline"), description.alias("description"), person(F.lit(author)).alias("author"), who.alias("translator"), url.alias("mainEntityOfPage")))
+
+
+def breadcrumb_ld(steps: Column) -> Column:
+    """The way to a page: array of structs of name and url, the site first."""
+    items = F.transform(steps, lambda s, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), s["name"].alias("name"), s["url"].alias("item")))
+    return _ld(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement")))
+
+
+def collection_ld(name: Column, url: Column, n: Column) -> Column:
+    return _ld(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("CollectionPage").alias("@type"), name.alias("name"), url.alias("url"), n.alias("numberOfItems")))
+
+
+def faq_ld(pairs: Column) -> Column:
+    """Questions and answers: array of structs of question and answer."""
+    items = F.transform(pairs, lambda p: F.struct(F.lit("Question").alias("@type"), p["question"].alias("name"), F.struct(F.lit("Answer").alias("@type"), p["answer"].alias("text")).alias("acceptedAnswer")))
+    return _ld(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("FAQPage").alias("@type"), items.alias("mainEntity")))
+
+
+def faq_answer(articles: DataFrame, most: int = 800) -> DataFrame:
+    """(id, answer): the summary and, of each segment, its translation or, without one, its source, clipped."""
+    side = F.transform("segments", lambda s: F.when(F.coalesce(F.size(s["trans"]), F.lit(0)) > 0, s["trans"]).otherwise(F.coalesce(s["orig"], F.array())))
+    parts = F.filter(F.concat(F.array(F.coalesce("summary", F.lit(""))), F.flatten(side)), lambda x: x != "")
+    return articles.select("id", T.clip(F.array_join(parts, " "), most).alias("answer"))

@@ -112,3 +112,16 @@ def sse_deltas(lines: DataFrame, line: str) -> DataFrame:
 
 def mask_keys(keys: DataFrame, token: str) -> DataFrame:
     return keys.withColumn(token, F.concat(F.lit("****"), F.right(F.col(token), F.lit(6))))
+
+
+def add_keys(keys: DataFrame, new: DataFrame) -> DataFrame:
+    """Keys (token, name, limit, disabled) with new ones (name, limit), each with a random token; a table to be written once, as it draws them."""
+    return keys.unionByName(new.select(F.sha2(F.concat("name", F.uuid()), 256).alias("token"), "name", "limit", F.lit(False).alias("disabled")), allowMissingColumns=True)
+
+
+def disable_keys(keys: DataFrame, which: Column) -> DataFrame:
+    return keys.withColumn("disabled", F.col("disabled") | F.coalesce(which, F.lit(False)))
+
+
+def delete_keys(keys: DataFrame, which: Column) -> DataFrame:
+    return keys.where(~F.coalesce(which, F.lit(False)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import catalogs, entries, ingest, pages, verification
+from textloom.operators import segments as lines
 from textloom.plans.base import query, table
 from textloom.sources import articles as A
 from textloom.sources import docx
@@ -29,8 +30,8 @@ d AS (SELECT source || '-' || doc_id AS id, source AS volume, doc_id % 5 = 0 AS
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a line, as published articles."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL").withColumn("ls", lines).where(F.size("ls") > 0)
+    own = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL").withColumn("ls", own).where(F.size("ls") > 0)
     none = F.lit(None).cast("string")
 
     def segment(i):
@@ -158,14 +159,9 @@ def index_driven_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.read_indexed(spark, path, index).select("id", F.size("segments").alias("segs"))
 
 
-@query(f"""
-WITH {_SEG.split(', s AS')[0]}, e AS (SELECT id, unnest(ls) AS x, unnest(range(len(ls))) AS pos FROM d), k AS (SELECT *, CASE len(x) % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'block' WHEN 2 THEN 'pair' WHEN 3 THEN 'orig' ELSE 'trans' END AS kind FROM e)
-, f AS (SELECT *, (kind <> 'note' AND (kind IS DISTINCT FROM lag(kind) OVER w OR kind = 'block'))::INT AS new FROM k WINDOW w AS (PARTITION BY id ORDER BY pos)), g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS grp FROM f)
-SELECT id, grp::BIGINT AS grp, (coalesce(sum(CASE kind WHEN 'block' THEN 2 WHEN 'pair' THEN 1 WHEN 'orig' THEN 1 END), 0))::INT AS n_orig, (coalesce(sum(CASE kind WHEN 'block' THEN 1 WHEN 'pair' THEN 1 WHEN 'trans' THEN 1 END), 0))::INT AS n_trans,
-  coalesce(string_agg(CASE kind WHEN 'note' THEN x END, '|' ORDER BY pos), '') AS notes FROM g GROUP BY id, grp
-""")
-def regrouped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as intermediate articles: the length of a line says what kind of segment it is."""
+    each = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     none, no = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
     def part(x):
@@ -176,8 +172,17 @@ def regrouped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(o.alias("o"), t.alias("t"), os.alias("os"), ts.alias("ts"), none.alias("src"), F.when(kind == 0, 1).alias("n"), F.when(kind == 0, F.concat(F.lit("【词】"), x)).alias("note"))
 
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL")
-    made = docs.select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.transform(lines, part).alias("segments"))
-    out = ingest.regroup(made)
+    return docs.select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.transform(each, part).alias("segments"))
+
+
+@query(f"""
+WITH {_SEG.split(', s AS')[0]}, e AS (SELECT id, unnest(ls) AS x, unnest(range(len(ls))) AS pos FROM d), k AS (SELECT *, CASE len(x) % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'block' WHEN 2 THEN 'pair' WHEN 3 THEN 'orig' ELSE 'trans' END AS kind FROM e)
+, f AS (SELECT *, (kind <> 'note' AND (kind IS DISTINCT FROM lag(kind) OVER w OR kind = 'block'))::INT AS new FROM k WINDOW w AS (PARTITION BY id ORDER BY pos)), g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS grp FROM f)
+SELECT id, grp::BIGINT AS grp, (coalesce(sum(CASE kind WHEN 'block' THEN 2 WHEN 'pair' THEN 1 WHEN 'orig' THEN 1 END), 0))::INT AS n_orig, (coalesce(sum(CASE kind WHEN 'block' THEN 1 WHEN 'pair' THEN 1 WHEN 'trans' THEN 1 END), 0))::INT AS n_trans,
+  coalesce(string_agg(CASE kind WHEN 'note' THEN x END, '|' ORDER BY pos), '') AS notes FROM g GROUP BY id, grp
+""")
+def regrouped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.regroup(parts(spark, sf_dir))
     notes = F.array_join(F.transform("notes", lambda x: x["text"]), "|")
     return out.select("id", F.col("group").alias("grp"), F.size("orig").alias("n_orig"), F.size("trans").alias("n_trans"), notes.alias("notes"))
 
@@ -186,10 +191,10 @@ def regrouped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_SEG.split(', s AS')[0]}, e AS (SELECT id, unnest(ls) AS x FROM d) SELECT id, count(CASE WHEN NOT (len(x) % 3 = 0) THEN 1 END)::INT AS n_kept, count(*)::INT AS n FROM e GROUP BY id
 """)
 def note_headers_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    each = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     none = F.lit(None).cast("string")
     part = lambda x: F.struct(F.when(F.length(x) % 3 == 0, "【注 释】").otherwise(x).alias("o"), none.alias("t"), F.lit(None).cast("array<string>").alias("os"), F.lit(None).cast("int").alias("n"))
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL").select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.transform(lines, part).alias("segments"))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL").select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.transform(each, part).alias("segments"))
     return docs.where(F.size("segments") > 0).select("id", F.size(entries.without_note_headers("segments")).alias("n_kept"), F.size("segments").alias("n"))
 
 
@@ -239,8 +244,8 @@ def article_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def char_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that make each document's first line its second; tests put them together again."""
-    lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(lines, F.lit(0)).alias("a"), F.get(lines, F.lit(1)).alias("b"))
+    own = F.split("text", "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(own, F.lit(0)).alias("a"), F.get(own, F.lit(1)).alias("b"))
     return docs.select("doc_id", verification.opcodes("a", "b").alias("ops"))
 
 
@@ -315,3 +320,71 @@ def marked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("t"), word.alias("w"))
     terms = F.array_compact(F.array("w", "w"))
     return docs.select("doc_id", pages.mark_terms(F.col("t"), terms).alias("marked"), F.md5(T.mark_all("t", "the")).alias("every"))
+
+
+@query(f"""
+WITH {_SEG}, t AS (SELECT id, string_agg(list_aggregate(CASE WHEN len(trans) > 0 THEN trans ELSE orig END, 'string_agg', ' '), ' ' ORDER BY seg) AS t FROM s GROUP BY id)
+, c AS (SELECT id, trim(regexp_replace(regexp_replace(t, '\\[[0-9]{{1,3}}\\]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM t) SELECT id, md5(CASE WHEN len(t) <= 800 THEN t ELSE rtrim(left(t, 799)) || '…' END) AS answer FROM c
+""")
+def faq_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.faq_answer(segments(spark, sf_dir)).select("id", F.md5("answer").alias("answer"))
+
+
+@query("""
+SELECT c_custkey AS id, '{"@context":"https://schema.org","@type":"Article","headline":"' || c_name || ' \\u003cb>","description":"' || c_mktsegment || '","author":{"@type":"Person","name":"A"},' || CASE WHEN c_custkey % 2 = 0 THEN '"translator":{"@type":"Person","name":"' || c_name || '"},' ELSE '' END || '"mainEntityOfPage":"/a/' || c_custkey || '/"}' AS article,
+  '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"home","item":"/"},{"@type":"ListItem","position":2,"name":"' || c_name || '","item":"/a/' || c_custkey || '/"}]}' AS crumbs,
+  '{"@context":"https://schema.org","@type":"CollectionPage","name":"' || c_mktsegment || '","url":"/v/","numberOfItems":' || c_nationkey || '}' AS collection,
+  '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[{"@type":"Question","name":"' || c_name || '?","acceptedAnswer":{"@type":"Answer","text":"' || c_mktsegment || '"}}]}' AS faq FROM customer
+""")
+def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k, name, kind = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    url = T.article_path(k.cast("string"))
+    return c.select(
+        k.alias("id"), pages.article_ld(F.concat(name, F.lit(" <b>")), kind, url, "A", F.when(k % 2 == 0, name)).alias("article"),
+        pages.breadcrumb_ld(F.array(F.struct(F.lit("home").alias("name"), F.lit("/").alias("url")), F.struct(name.alias("name"), url.alias("url")))).alias("crumbs"),
+        pages.collection_ld(kind, F.lit("/v/"), F.col("c_nationkey")).alias("collection"), pages.faq_ld(F.array(F.struct(F.concat(name, F.lit("?")).alias("question"), kind.alias("answer")))).alias("faq"),
+    )
+
+
+_SQUASH = r"""regexp_replace(lower(raw), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}，。、；：？！“”‘’"''（）()·．\.,：「」『』《》〈〉—\-–…\[\]【】〇]', '', 'g')"""
+_INDEX = f"""
+{_SEG}, e AS (SELECT id, seg, unnest(range(len(orig))) AS i, unnest(orig) AS raw, unnest(CASE WHEN len(orig) = len(trans) THEN trans ELSE list_transform(orig, lambda x: NULL::VARCHAR) END) AS other FROM s)
+, q AS (SELECT id, seg, i, {_SQUASH} AS line, other FROM e), li AS (SELECT id, row_number() OVER w - 1 AS nth, sum(len(line)) OVER w - len(line) AS start, len(line) AS n, line, other FROM q WHERE line <> '' WINDOW w AS (PARTITION BY id ORDER BY seg, i))
+"""
+
+
+@query(f"WITH {_INDEX} SELECT id, nth::INT AS nth, start::BIGINT AS start, n::INT AS n, md5(line) AS line, md5(coalesce(other, '-')) AS other FROM li")
+def corpus_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = segments(spark, sf_dir).select("id", F.posexplode("segments").alias("seg", "s")).select("id", "seg", "s.orig", "s.trans")
+    return lines.line_index(arts).select("id", "nth", "start", "n", F.md5("line").alias("line"), F.md5(F.coalesce("other", F.lit("-"))).alias("other"))
+
+
+@query(f"WITH {_INDEX}, p AS (SELECT DISTINCT id, unnest(range(0, 2000, 97)) AS pos FROM li) SELECT p.id, pos::INT AS pos, max(nth)::INT AS nth FROM p JOIN li ON li.id = p.id AND start <= pos GROUP BY p.id, pos")
+def line_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = segments(spark, sf_dir).select("id", F.posexplode("segments").alias("seg", "s")).select("id", "seg", "s.orig", "s.trans")
+    index = lines.line_index(arts)
+    asked = index.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(1999), F.lit(97))).alias("pos"))
+    return lines.containing(asked, index).select("id", "pos", "nth")
+
+
+@query(f"""
+WITH {_SEG.split(', s AS')[0]}, e AS (SELECT id, unnest(ls) AS x FROM d), k AS (SELECT id, len(x) % 5 AS k FROM e)
+SELECT id, (2 * count_if(k = 1) + count_if(k IN (2, 3)))::INT AS n_orig, (count_if(k IN (1, 2, 4)))::INT AS n_trans, (count_if(k = 0))::INT AS n_notes, (count_if(k = 1))::INT AS n_blocks FROM k GROUP BY id
+""")
+def segment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.kind_counts(parts(spark, sf_dir).where(F.size("segments") > 0))
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS entry, c_name AS orig FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT c_custkey AS entry, c_mktsegment AS trans FROM customer WHERE c_custkey % 4 > 0)
+SELECT entry, orig, trans, CASE WHEN trans IS NULL THEN 'orig only' WHEN orig IS NULL THEN 'trans only' ELSE 'both' END AS state FROM a FULL OUTER JOIN b USING (entry)
+""")
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return ingest.pair_files(c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("entry"), F.col("c_name").alias("text")), c.where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("entry"), F.col("c_mktsegment").alias("text")))
+
+
+@query("SELECT item_id::VARCHAR AS id, md5(text) AS body FROM benchmark WHERE item_id = 3")
+def one_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    return A.one(made, "3").select("id", F.md5("text").alias("body"))

@@ -336,3 +336,20 @@ def entry_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paras(spark, sf_dir).withColumn("text", kind).withColumns({"plain": F.lit(True), "follows": F.lit(False)})
     out = entries.parse(rows, entries.Book(["一编", "二编"]))
     return out.select("file", "seq", "title", "part", "raw", "kind", "item", F.md5("text").alias("body"), "src")
+
+
+@query(f"""
+WITH {_P}, b AS (SELECT *, n % 7 = 0 AS note, n % 7 = 1 AS mixed, n % 3 = 0 AND n % 7 <> 0 AS sm FROM p), l AS (SELECT *, bool_and(sm) OVER (PARTITION BY file ORDER BY pos) AS lead FROM b)
+, k AS (SELECT *, CASE WHEN lead THEN 'summary' WHEN note THEN 'note' WHEN mixed THEN 'mixed' WHEN bold THEN 'o' ELSE 't' END AS k FROM l), m AS (SELECT *, last_value(CASE WHEN k <> 't' THEN k END IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM k)
+, c AS (SELECT file, pos, text, CASE WHEN k = 't' AND m = 'note' THEN 'cont' ELSE k END AS k FROM m), v AS (SELECT *, lag(k) OVER (PARTITION BY file ORDER BY pos) AS v FROM c)
+, g AS (SELECT *, sum((v IS NULL OR k IN ('note', 'mixed') OR (k NOT IN ('cont', 'summary') AND v IN ('note', 'cont', 'mixed', 'summary')) OR (k = 'o' AND v = 't'))::INT) OVER (PARTITION BY file ORDER BY pos) AS block FROM v)
+, h AS (SELECT file, block, arg_min(k, pos) AS first, coalesce(list(text ORDER BY pos) FILTER (WHERE k = 'o'), []) AS o, coalesce(list(text ORDER BY pos) FILTER (WHERE k = 't'), []) AS t, list(text ORDER BY pos) AS own FROM g GROUP BY file, block)
+, z AS (SELECT *, least(len(o), len(t)) AS z FROM h), x AS (SELECT file, block, unnest(CASE first WHEN 'summary' THEN [{{'kind': 'summary', 'os': own[len(own):], 'ts': []::VARCHAR[]}}] WHEN 'note' THEN [{{'kind': 'note', 'os': [array_to_string(own, chr(10))], 'ts': []::VARCHAR[]}}]
+  WHEN 'mixed' THEN [{{'kind': 'mixed', 'os': [array_to_string(own, chr(10))], 'ts': []::VARCHAR[]}}] ELSE list_concat(list_transform(o[1:len(o) - z], lambda a: {{'kind': 'orig', 'os': [a], 'ts': []::VARCHAR[]}}), CASE WHEN z > 0 THEN [{{'kind': CASE WHEN z > 1 THEN 'block' ELSE 'pair' END, 'os': o[len(o) - z + 1:], 'ts': t[1:z]}}] ELSE [] END,
+    list_transform(t[z + 1:], lambda a: {{'kind': 'trans', 'os': []::VARCHAR[], 'ts': [a]}})) END) AS p FROM z)
+SELECT file AS id, block::BIGINT AS block, p.kind AS kind, md5(array_to_string(p.os, '|')) AS os, md5(array_to_string(p.ts, '|')) AS ts FROM x
+""")
+def paired_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paras(spark, sf_dir).withColumnRenamed("file", "id")
+    out = ingest.pair_blocks(rows, every(7), every(7, 1), every(3))
+    return out.select("id", "block", "kind", F.md5(F.array_join("os", "|")).alias("os"), F.md5(F.array_join("ts", "|")).alias("ts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -212,14 +212,13 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents), s AS (SELECT id FROM a WHERE ord BETWEEN 25 AND 49)
-SELECT 50::BIGINT AS cursor, 50 >= (SELECT count(*) FROM a) AS done, (SELECT count(*) FROM a) AS total, 25 AS limit, (SELECT count(*) FROM s) AS articles, (SELECT count(*) FROM labels WHERE doc_id IN (SELECT id FROM s)) AS chunks
+WITH s AS (SELECT c_custkey AS id FROM customer WHERE c_custkey BETWEEN 25 AND 49)
+SELECT 50::BIGINT AS cursor, 50 >= (SELECT count(*) FROM customer) AS done, (SELECT count(*) FROM customer) AS total, 25 AS limit, (SELECT count(*) FROM s) AS articles, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT id FROM s)) AS chunks
 """)
 def index_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second step over all documents in the order of their ids; labels stand for chunks."""
-    w = Window.orderBy("doc_id")  # the order of the catalog; made once, when it is written
-    arts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.row_number().over(w) - 1).alias("ord"))
-    return indexing.step(arts, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 25, 1000)
+    """The second step over customers, whose keys are their places; orders stand for chunks."""
+    arts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"))
+    return indexing.step(arts, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), 25, 1000)
 
 
 @query("""
@@ -228,3 +227,14 @@ WITH p AS (SELECT l_orderkey AS req, l_linenumber AS i, l_partkey AS v FROM line
 def embeddings_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("i"), F.col("l_partkey").cast("string").alias("v"))
     return indexing.by_index(parts, "req", "i", "v").select("req", F.array_join("values", ",").alias("vs"))
+
+
+@query(f"""
+WITH {_FUSED}, k AS (SELECT item_id, doc_id, pos, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS s FROM fused WHERE pos <= 16)
+SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY s DESC NULLS LAST, pos))::INT AS rank FROM k
+""")
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen fused candidates in the order of a model's scores, those without one after the others as they were."""
+    pool = rrf_fusion(spark, sf_dir).where(F.col("rank") <= R.POOL)
+    model = lambda df: df.withColumn("rerank_score", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 7).cast("double")))
+    return R.rerank(pool, "item_id", model).select("item_id", "doc_id", "rank")

@@ -131,11 +131,20 @@ WITH k AS (SELECT c_custkey, sha256(c_name) AS t, c_mktsegment = 'HOUSEHOLD' AS
 SELECT c_custkey, '****' || right(t, 6) AS token, disabled FROM k
 """)
 def key_table_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("token"), F.lit(False).alias("disabled"), "c_mktsegment")
-    kept = keys.where("c_mktsegment <> 'MACHINERY'").withColumn("disabled", F.expr("disabled OR c_mktsegment = 'HOUSEHOLD'"))
+    c = table(spark, sf_dir, "customer")
+    keys = c.select("c_custkey", F.sha2("c_name", 256).alias("token"), F.lit(False).alias("disabled"), "c_mktsegment")
+    kept = S.disable_keys(S.delete_keys(keys, F.col("c_mktsegment") == "MACHINERY"), F.col("c_mktsegment") == "HOUSEHOLD")
     return S.mask_keys(kept, "token").select("c_custkey", "token", "disabled")
 
 
+@query("SELECT 'k' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 END AS lim, true AS fresh FROM nation")
+def keys_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New keys with random tokens, which only their form can be checked of."""
+    none = spark.createDataFrame([], "token string, name string, limit int, disabled boolean")
+    new = table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") * 10).cast("int").alias("limit"))
+    return S.add_keys(none, new).select("name", F.col("limit").alias("lim"), (F.col("token").rlike("^[0-9a-f]{64}$") & ~F.col("disabled")).alias("fresh"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), e AS (SELECT *, [('a' || conv_id % 3), CASE WHEN turn % 2 = 0 THEN 'a' || turn % 3 ELSE '' END] AS x, ['a' || turn % 4] AS s, ['a' || len(text) % 5, 'b'] AS p, CASE turn % 4 WHEN 0 THEN text || ' [1]' WHEN 1 THEN '没有相关内容' ELSE text END AS reply, CASE WHEN len(text) % 9 = 0 THEN 'http_500' ELSE 'ok' END AS status FROM t)
 , f AS (SELECT *, list_filter(x, lambda v: v <> '') AS expect FROM e), j AS (SELECT *, len(list_intersect(expect, list_concat(s, p))) > 0 AS hit, regexp_matches(reply, '\[\d{1,2}\]') AS cited, contains(reply, '没有相关') AS refusal, status = 'ok' AS ok, len(text) % 3 AS v FROM f)
