@@ -7,8 +7,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from textloom.storage import remove, shared_dir  # noqa: F401  operators take them from here
 
@@ -24,13 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_FILE, LEAST_FILES = 50_000, 8
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session, for what runs inside the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Written to the shared folder and read from there on: computed once, and kept when executors are lost.
 
     With the number of rows to come, narrow ones, in no more files than those are worth, whatever the number of shuffle partitions.
+    Nothing that was guessed of the rows is carried on: the planner's size of a join is the product of its sides' sizes, so over the
+    rounds of a loop its digits would grow by a power, and the driver would spend its time and memory on them.
     """
-    shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))).checkpoint()
+    spark = df.sparkSession
+    shared_dir(spark)
+    few = df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))
+    written = few.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -103,31 +120,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregates before it shuffles, and is cut, so that a lost executor costs one round.
     """
     edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    found, rounds = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 0
-    while not edges.isEmpty():
+    found, rounds, n = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 0, edges.count()
+    nodes = 2 * n
+    while n:
         both = edges.union(edges.select("b", "a"))
         rank = F.xxhash64("b", F.lit(rounds)) if rounds else F.col("b")
         own = F.xxhash64("a", F.lit(rounds)) if rounds else F.col("a")
         least = both.groupBy("a").agg(F.min(F.struct(rank.alias("r"), F.col("b").alias("p"))).alias("m"))
-        step = cut(least.select("a", F.when(F.col("m.r") < own, F.col("m.p")).otherwise(F.col("a")).alias("p")))
+        step = cut(least.select("a", F.when(F.col("m.r") < own, F.col("m.p")).otherwise(F.col("a")).alias("p")), 2 * n)
         # written with each round: a chain of joins over all rounds would be planned anew after each of its stages
         if rounds:
-            found = cut(found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            found = cut(found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), nodes)
         else:
             found = step.select(F.col("a").alias("node"), F.col("p").alias("root"))
         left = edges.join(step, "a").select(F.col("p").alias("u"), F.col("b").alias("a")).join(step, "a")
-        edges = cut(left.select(F.col("u").alias("a"), F.col("p").alias("b")).where("a <> b").distinct())
-        rounds += 1
+        edges = cut(left.select(F.col("u").alias("a"), F.col("p").alias("b")).where("a <> b").distinct(), n)
+        rounds, n = rounds + 1, edges.count()
     return found
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, rows: int):
     """So many rows at a time to Python, for what runs inside the block."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
