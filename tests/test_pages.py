@@ -55,3 +55,23 @@ def test_pages(spark):
     assert pages.body_html(df).first()["html"] == '<h1>&lt;题&gt;</h1><p class="orig">甲<sup>1</sup></p><p class="trans">A</p>'
     assert pages.site_map(df, "https://x").first()["entry"] == "<url><loc>https://x/a/a%201/</loc></url>"
     assert tuple(pages.health(df, df.limit(0)).first()) == (1, 0, False)
+
+
+def test_pages_are_written_by_parts(spark, tmp_path):
+    made = spark.createDataFrame([(f"a{k}", f"<p>\n{k}\t</p>") for k in range(40)], "id string, html string")
+    pages.write_pages(made, str(tmp_path / "p"))
+    back = spark.read.text(str(tmp_path / "p")).collect()
+    assert {tuple(r["value"].split("\t")) for r in back} == {(f"a{k}", f"<p> {k} </p>") for k in range(40)} and len({r["part"] for r in back}) > 5
+    assert pages.robots("https://x.org").endswith("Sitemap: https://x.org/sitemap.xml\n")
+
+
+def test_cleanup_rules(spark):
+    df = spark.createDataFrame([("王某译", "增广印光法师文钞", "题（附录于后）"), ("甲、乙译", "印光法师文钞三编卷一", "题"), (None, None, None)], "t string, j string, n string")
+    got = [tuple(r) for r in df.select(pages.clean_translator("t"), pages.short_part("j"), pages.nav_title("n")).collect()]
+    assert got == [("王某", "增广印光法师文钞", "题"), ("", "卷一", "题"), ("", "", "")]
+
+
+def test_description_falls_back(spark):
+    kind = "id string, summary string, segments array<struct<orig:array<string>,trans:array<string>>>"
+    df = spark.createDataFrame([("a", "s" * 200, [(["x"], [])]), ("b", None, [([" [1] "], ["译"]), (["原"], [])]), ("c", "", [])], kind)
+    assert {r["id"]: r["description"] for r in pages.description(df, "none").collect()} == {"a": "s" * 149 + "…", "b": "译", "c": "none"}
