@@ -25,6 +25,8 @@ N, THRESHOLD = 5, 0.8
 #: The share of pairs just at the threshold that must meet in a band; more similar pairs are missed far less.
 RECALL = 0.9995
 ROWS = 7
+#: Hashes of words that a worker remembers, in each of two halves: the frequent ones.
+WORDS = 20_000
 #: Shingles and nodes in a block of a candidate component, on average: a task holds two blocks at a time.
 BLOCK, MEMBERS = 1 << 20, 256
 
@@ -47,7 +49,7 @@ class Shingler:
 
     def __init__(self, n: int = N):
         self.n = n
-        self.word = Memo(xxhash.xxh3_64_intdigest)
+        self.word = Memo(xxhash.xxh3_64_intdigest, WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
@@ -92,9 +94,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rows: int, bands: in
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, (a, b) = Shingler(), _constants(bands, rows)
         for f in frames:
-            sets = [shingler(text) for text in f["__t"]]
-            found = [signature(s, a, b, bands) if len(s) else None for s in sets]
-            yield pd.DataFrame({"id": f["id"], "node": pd.array(list(map(node_of, sets)), "Int64"), "bands": found})
+            node, found = [], []
+            for text in f["__t"]:
+                s = shingler(text)
+                node.append(node_of(s))
+                found.append(signature(s, a, b, bands) if len(s) else None)
+            yield pd.DataFrame({"id": f["id"], "node": pd.array(node, "Int64"), "bands": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return batches_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))).mapInPandas(run, f"id {kind}, node long, bands array<long>")
@@ -194,8 +199,12 @@ def classes(docs: DataFrame, id_col: str, text_col: str, recall: float, rows: in
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for f in frames:
-            found = [shingler(t) for t in f["__t"]]
-            yield pd.DataFrame({"node": pd.array(list(map(node_of, found)), "Int64"), "shingles": [s.tobytes() for s in found]})
+            node, found = [], []
+            for text in f["__t"]:
+                s = shingler(text)
+                node.append(node_of(s))
+                found.append(s.tobytes())
+            yield pd.DataFrame({"node": pd.array(node, "Int64"), "shingles": found})
 
     full = batches_in(shingled.select("__t")).mapInPandas(sets, "node long, shingles binary").where("node IS NOT NULL").dropDuplicates(["node"])
     members = cut(full.join(active, "node").select("comp", "node", "n", "bands", "shingles"))
