@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, embedding_dedup, langid, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from textloom.llm import bpe, embedding_dedup, filter_audit, langid, line_dedup, ngram_join, packing, quality_rules, sharding, token_alignment, topk_search, toxicity, warc
 from textloom.llm.common import table
 
 
@@ -54,8 +54,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_embedding_dedup, op2_bpe, op3_language_id, op4_best_fit_packing, op5_sharding, op6_line_dedup, op7_ngram_join, op8_quality_rules, op9_toxicity, op10_warc]
+    found += [op11_topk_search, op12_filter_audit, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -174,6 +187,43 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
   CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
+OP11 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents)
+, w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t)
+, f AS (
+  SELECT doc_id, part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * len(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(first < doc_id, false)} AS f FROM w
+), n AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), g AS (SELECT part, fails, count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM n GROUP BY part, fails)
+, l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)
+, o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (SELECT o, unnest(range(1, 6)) AS step FROM o)
+, p AS (SELECT array_to_string(o, '') AS filter_order, step, o[step] AS x, o[1:step - 1] AS before FROM s)
+, r AS (
+  SELECT part, filter_order, step, x, n, n_good, n_toxic, list_contains(fails, x) AS hit, list_has_any(fails, before) AS gone, fails FROM p, g
+), e AS (
+  SELECT part, filter_order, step, x, (coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0))::BIGINT AS kept, (coalesce(sum(n) FILTER (hit AND NOT gone), 0))::BIGINT AS removed,
+    (coalesce(sum(n) FILTER (hit AND gone), 0))::BIGINT AS redundant, (coalesce(sum(n) FILTER (hit AND len(fails) = 1), 0))::BIGINT AS unique_fails,
+    (coalesce(sum(n_good) FILTER (hit AND NOT gone), 0))::BIGINT AS good_lost, (coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0))::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM e
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1, "op5_sharding": _op5(), "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op8_quality_rules": OP8, "op10_warc": OP10}
+    return {"op11_topk_search": OP11, "op12_filter_audit": OP12, "op1_embedding_dedup": OP1, "op5_sharding": _op5(), "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op8_quality_rules": OP8, "op10_warc": OP10}
