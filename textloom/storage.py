@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only when its counted rows times its row width stay below this.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +42,18 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read from there on: computed once, kept when executors are lost, and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, already kept or cheap to count, with a broadcast hint if its counted size is small; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Changes with the files under a path: their names, sizes and times."""
     files, place = _place(spark, path)
