@@ -89,7 +89,19 @@ def test_word_table_starts_anew_when_full(texts, monkeypatch):
     for _ in range(3):
         assert own.encode_many(many) == want
     monkeypatch.setattr(bpe.WordTable, "SLOTS", 1 << 20)
-    assert own.merge_in_step([]) == [] and own.encode_many([]) == []
+    assert own.encode_many([]) == []
+
+
+def test_all_pieces_go_through_the_queue(texts, monkeypatch):
+    """Every different piece of the texts is merged by the queue, whatever its length, and its entries are skipped when stale."""
+    seen, stale = [], []
+    real_merge, real_pop = bpe.Codec._merge, bpe.heappop
+    monkeypatch.setattr(bpe.Codec, "_merge", lambda self, piece: seen.append(piece) or real_merge(self, piece))
+    monkeypatch.setattr(bpe, "heappop", lambda queue: stale.append(1) or real_pop(queue))
+    own = bpe.Codec()
+    own.encode_many([t or "" for t in texts])
+    every = {p for t in texts for w in own.tokens(t or "") for p in own.pieces.findall(w) if not own.any_special.search(t or "")}
+    assert every <= set(seen) and len(seen) == len(set(seen)) and len(stale) > len(every)
 
 
 def test_words_of_one_hash_keep_their_own_ids():

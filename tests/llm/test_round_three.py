@@ -8,8 +8,8 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from textloom.llm import filter_audit, token_alignment, topk_search
 
@@ -153,8 +153,9 @@ def test_audit_ignores_clashing_columns(spark):
 
 def plain_alignment(texts):
     """Rows of digests by whole texts, positions and loops."""
-    a_side, b_side = token_alignment.aligner(None).a, token_alignment.aligner(None).b
     m = token_alignment.aligner(None)
+    a_side, b_side = Tokenizer.from_file(token_alignment.default_paths()[0]), m.b
+    a_side.encode_special_tokens = True
     every, counts = [], Counter()
     for t in texts:
         raw = (" " + (t or "")).encode()
@@ -219,11 +220,11 @@ def test_alignment_of_random_texts_in_slices(spark, monkeypatch):
 
 
 def test_alignment_forgets(monkeypatch):
-    monkeypatch.setattr(token_alignment, "RUNS", 10)
+    monkeypatch.setattr(token_alignment.Aligner, "MOST", 10)
     m = token_alignment.Aligner()
     for a in range(0, 200, 20):
         m.number([f"word{i} other" for i in range(a, a + 20)])
-        assert len(m.known) <= 21
+        assert m.n == len(m.groups) == len(m.n_a) == len(m.start) - 1 <= 21
 
 
 def test_token_map(spark):
@@ -242,9 +243,27 @@ def test_alignment_ignores_other_columns_and_empty_tables(spark):
     assert token_alignment.digests(df).columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert token_alignment.digests(df).collect()[0]["n_a"] == 2
     assert token_alignment.digests(df.where("false")).collect() == []
-    assert token_alignment.pair_counts(df.unionAll(df)).agg(F.max("n")).first()[0] == 2
+    assert token_alignment.pair_counts(token_alignment.linked(df.unionAll(df)), token_alignment.aligner(None).b_ids).agg(F.max("n")).first()[0] == 2
 
 
-@pytest.mark.parametrize("text", [t for t in ODD_TEXTS if t])
-def test_runs_spell_the_text(text):
-    assert " " + text == "".join(" " + r for r in token_alignment.runs_of(text))
+def test_runs_spell_the_text_and_end_at_words():
+    m = token_alignment.Aligner()
+    for text in [t for t in ODD_TEXTS if t]:
+        whole = text + token_alignment.END
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = m.runs(code)
+        assert not inside[-1] and [whole[k] for k in np.flatnonzero(~inside[:-1])] == [" "] * int((~inside[:-1]).sum())
+        assert all(not whole[k - 1].isspace() and not whole[k + 1].isspace() for k in np.flatnonzero(~inside[:-1]))
+
+
+def test_another_vocabulary_goes_to_its_library(tmp_path):
+    import json
+
+    with open(token_alignment.default_paths()[0], encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:-1]  # a vocabulary with a token that nothing makes
+    own = tmp_path / "v.json"
+    own.write_text(json.dumps(spec), encoding="utf-8")
+    m = token_alignment.Aligner((str(own), token_alignment.default_paths()[1]))
+    text = "It's a test, isn't it?  <|endoftext|>"
+    assert m.encode_a([text]) == token_alignment.aligner(None).encode_a([text])

@@ -28,17 +28,13 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in SEPARATORS)) + "]+")
 #: Keys that a worker remembers at a time, in each of two halves; the older half is dropped when the newer one is full.
 REMEMBERED = 100_000
-TOKENS_REMEMBERED = 250_000
+TOKENS_REMEMBERED, PIECES_REMEMBERED = 250_000, 150_000
 #: A full stop or comma after another mark, which together are one piece.
 AFTER_MARK = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])")
 #: Bits for a symbol's place in the queue's numbers: few for all but monstrous pieces, so that the numbers stay small.
 SHORT, LONG = 12, 40
-
-
-#: No rank; no pair.
-NONE, ABSENT = (1 << 31) - 1, (1 << 64) - 1
-#: Pieces of more bytes are merged one by one.
-IN_STEP = 48
+#: Bits of an id in a pair's key.
+PAIR = 24
 
 
 def default_path() -> str:
@@ -86,38 +82,6 @@ class Memo(dict):
         if len(key) <= 64:
             self[key] = value
 
-    def lacks(self, keys) -> list:
-        return [k for k in keys if k not in self and k not in self.older]
-
-
-class PairTable:
-    """Ranks of symbol pairs for whole arrays: hash tables, each for what collided in the one before."""
-
-    def __init__(self, pairs: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
-        keys, ranks = pairs.astype(np.uint64), np.arange(len(pairs), dtype=np.int32)
-        while len(keys):
-            bits = max(8, int(len(keys) * 8).bit_length()) + len(self.levels)  # another shift, so what collided parts
-            at, table, rank = self._slots(keys, np.uint64(64 - bits)), np.full(1 << bits, ABSENT, np.uint64), np.full(1 << bits, NONE, np.int32)
-            table[at], rank[at] = keys, ranks
-            self.levels.append((table, rank, np.uint64(64 - bits)))
-            lost = table[at] != keys
-            keys, ranks = keys[lost], ranks[lost]
-
-    @staticmethod
-    def _slots(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> shift
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, NONE where there is none or a symbol is -1."""
-        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        out = np.full(keys.shape, NONE, np.int32)
-        for table, rank, shift in self.levels:
-            at = self._slots(keys, shift)
-            hit = table[at] == keys
-            out[hit] = rank[at[hit]]
-        return out
-
 
 class WordTable:
     """Ids of words, looked up for whole batches of texts at once.
@@ -133,11 +97,15 @@ class WordTable:
         self.encode_words = encode_words
         points = np.arange(0x3002)
         self.space = np.array([chr(c).isspace() for c in points.tolist()])
+        self.reach(self.BLOCK)
+        self.clear()
+
+    def reach(self, n: int) -> None:
+        """Powers of the polynomial's base for texts of so many characters."""
         with np.errstate(over="ignore"):
             base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.BLOCK - 1, base))])
-            self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.BLOCK - 1, inverse))])
-        self.clear()
+            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base))])
+            self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, inverse))])
 
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), 0
@@ -171,6 +139,10 @@ class WordTable:
         ids = self.encode_words(words)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(b) // 4 for b in ids])])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.spell(words)
+
+    def spell(self, words: list[str]) -> None:
+        """Remembers how the next words are spelt."""
         self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum([len(w) for w in words])])
         self.points = np.concatenate([self.points, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")])
         self.n += len(words)
@@ -208,14 +180,12 @@ class WordTable:
             keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             return np.maximum(keys ^ (keys >> np.uint64(29)), np.uint64(1))  # 0 marks a free slot
 
-    def block(self, texts: list[str]) -> list[bytes]:
-        whole = "\n".join(texts) + "\n"
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-        solid = ~self.space[np.minimum(code, 0x3001)]
+    def numbers(self, whole: str, code: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, number) of each word of a text, whose code points solid tells from what is between words; the last one isn't solid."""
         edge = np.flatnonzero(np.diff(solid, prepend=False))
         first, end = edge[::2], edge[1::2]
         if not len(first):
-            return [b""] * len(texts)
+            return first, first
         word = lambda k: whole[first[k] : end[k]]
         keys = self.hashes(code, first, end)
         number = self.find(keys)
@@ -224,7 +194,7 @@ class WordTable:
             new, where = np.unique(keys[lost], return_index=True)
             if self.n and (self.n + len(new) > self.MOST or len(self.points) > self.MOST_POINTS):
                 self.clear()
-                return self.block(texts)
+                return self.numbers(whole, code, solid)
             self.add(new)
             self.learn([word(k) for k in lost[where].tolist()])
             number[lost] = self.find(keys[lost])
@@ -235,6 +205,14 @@ class WordTable:
             if unknown:
                 self.learn(unknown)
             number[list(other)] = [self.odd[w] for w in other.values()]
+        return first, number
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        whole = "\n".join(texts) + "\n"
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        first, number = self.numbers(whole, code, ~self.space[np.minimum(code, 0x3001)])
+        if not len(first):
+            return [b""] * len(texts)
         at, size = self.start[number], self.start[number + 1] - self.start[number]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - before[:-1], size) + np.arange(before[-1])].astype("<u4").tobytes()
@@ -253,53 +231,53 @@ class Codec:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.made = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges]  # by rank
-        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.made)}
+        # by rank: the two symbols and what they become
+        self.left_of, self.right_of, self.merged_of = ([self.vocab[x] for x in column] for column in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
+        self.rank_of = {(a << PAIR) | b: rank for rank, (a, b) in enumerate(zip(self.left_of, self.right_of, strict=True))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.any_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.inner, self.final = ([self.vocab.get(letters[b] + end, -1) for b in range(256)] for end in ("", self.suffix))
+        self.merged = Memo(self._merge, PIECES_REMEMBERED)
         self.known = Memo(self._token, TOKENS_REMEMBERED)
         self.words: WordTable | None = None
-        self._tables: tuple | None = None
 
     def _merge(self, piece: str) -> bytes:
         """Ids of one piece, as bytes, by merging its symbols in the order of rank, the leftmost first among equals."""
-        symbols = list(map(self.letters.__getitem__, piece.encode("utf-8")))
-        symbols[-1] += self.suffix
-        ids = list(map(self.vocab.get, symbols))
-        if None in ids:
-            ids = [i for i in ids if i is not None]  # letters that the vocabulary lacks are dropped
+        raw = piece.encode("utf-8")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        if -1 in ids:
+            ids = [i for i in ids if i >= 0]  # letters that the vocabulary lacks are dropped
         n = len(ids)
         if n < 2:
             return packed(ids)
+        # symbols are a doubly linked list; an entry is the rank of a pair, which names it and what it becomes, and its left place, in one number
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        # an entry is the rank of a pair (which names the pair and what it becomes) and its left place, in one number
-        ranks, made, bits = self.ranks.get, self.made, SHORT if n < 1 << SHORT else LONG
-        queue = [(r << bits) + k for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := ranks(pair)) is not None]
+        rank_of, left_of, right_of, merged_of, bits = self.rank_of.get, self.left_of, self.right_of, self.merged_of, SHORT if n < 1 << SHORT else LONG
+        queue = [(r << bits) + k for k in range(n - 1) if (r := rank_of((ids[k] << PAIR) | ids[k + 1])) is not None]
         heapify(queue)
         while queue:
             top = heappop(queue)
-            left, right, merged = made[top >> bits]
-            k = top & ((1 << bits) - 1)
+            rank, k = top >> bits, top & ((1 << bits) - 1)
+            if ids[k] != left_of[rank]:
+                continue  # stale
             nxt = after[k]
-            if ids[k] != left or nxt < 0 or ids[nxt] != right:
+            if nxt < 0 or ids[nxt] != right_of[rank]:
                 continue  # stale
+            merged = merged_of[rank]
             ids[k], ids[nxt] = merged, -1
             after[k] = nxt = after[nxt]
             if nxt >= 0:
                 before[nxt] = k
-                if (r := ranks((merged, ids[nxt]))) is not None:
+                if (r := rank_of((merged << PAIR) | ids[nxt])) is not None:
                     heappush(queue, (r << bits) + k)
             prev = before[k]
-            if prev >= 0 and (r := ranks((ids[prev], merged))) is not None:
+            if prev >= 0 and (r := rank_of((ids[prev] << PAIR) | merged)) is not None:
                 heappush(queue, (r << bits) + prev)
-        out, k = [], 0
-        while k >= 0:
-            out.append(ids[k])
-            k = after[k]
-        return packed(out)
+        return packed([i for i in ids if i >= 0])
 
     def normal(self, chunk: str) -> str:
         """NFC, then each letter in lower case by itself (a final sigma is not special)."""
@@ -307,56 +285,10 @@ class Codec:
 
     def _token(self, token: str) -> bytes:
         """Ids of a normalised run without white space, as little-endian unsigned 32-bit integers."""
-        return self._merge(token) if token.isalpha() else b"".join([self._merge(p) for p in self.pieces.findall(token)])
-
-    def merge_in_step(self, pieces: list[str]) -> list[bytes]:
-        """What _merge gives for each piece, by array operations: each round makes the first merge of least rank in every piece."""
-        if self._tables is None:
-            first = np.array([self.vocab.get(self.letters[b], -1) for b in range(256)], np.int64)
-            last = np.array([self.vocab.get(self.letters[b] + self.suffix, -1) for b in range(256)], np.int64)
-            made = np.array(self.made, np.int64).reshape(-1, 3)
-            self._tables = first, last, made[:, 2], PairTable((made[:, 0] << 32) | made[:, 1])
-        first, last, merged, table = self._tables
-        raw = [p.encode("utf-8") for p in pieces]
-        size = np.array([len(r) for r in raw], np.int64)
-        out: list[bytes | None] = [None] * len(pieces)
-        for low, width in ((0, 6), (6, 10), (10, 16), (16, 28), (28, IN_STEP)):
-            rows = np.flatnonzero((size > low) & (size <= width))
-            if not len(rows):
-                continue
-            n = size[rows]
-            code = np.frombuffer(b"".join([raw[k].ljust(width, b"\0") for k in rows.tolist()]), np.uint8).reshape(len(rows), width)
-            column = np.arange(width)
-            s = np.where(column < n[:, None] - 1, first[code], np.where(column == n[:, None] - 1, last[code], -1))
-            good = (s >= 0).sum(1) == n  # the others have letters that the vocabulary lacks
-            rank = np.full((len(rows), width), NONE, np.int32)
-            rank[:, :-1] = table.ranks(s[:, :-1], s[:, 1:])
-            at = np.arange(len(rows))
-            while True:
-                k = rank[at].argmin(1)
-                best = rank[at, k]
-                going = best < NONE
-                if not going.any():
-                    break
-                at, k, best = at[going], k[going], best[going]
-                source = np.minimum(column + (column > k[:, None]), width - 1)
-                t = np.take_along_axis(s[at], source, 1)
-                r = np.take_along_axis(rank[at], np.minimum(column + (column >= k[:, None]), width - 1), 1)
-                t[:, -1], r[:, -1] = -1, NONE
-                i = np.arange(len(at))
-                t[i, k] = merged[best]
-                r[i, k] = table.ranks(t[i, k], np.where(k + 1 < width, t[i, np.minimum(k + 1, width - 1)], -1))
-                before = np.flatnonzero(k > 0)
-                r[before, k[before] - 1] = table.ranks(t[before, k[before] - 1], t[before, k[before]])
-                s[at], rank[at] = t, r
-            ids, left = s.astype("<u4").tobytes(), (s >= 0).sum(1)
-            for j, row in enumerate(rows.tolist()):
-                if good[j]:
-                    out[row] = ids[4 * width * j : 4 * (width * j + int(left[j]))]
-        return [self._merge(p) if o is None else o for p, o in zip(pieces, out, strict=True)]
+        return self.merged[token] if token.isalpha() else b"".join([self.merged[p] for p in self.pieces.findall(token)])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """encode_bytes of each text, by array operations over all of them; texts out of the ordinary go one by one."""
+        """encode_bytes of each text: known words are found by array operations over all of them; texts out of the ordinary go one by one."""
         plain = [None if self.any_special is not None and self.any_special.search(t) else self.spaced(t) for t in texts]
         if self.words is None:
             self.words = WordTable(self._new_words)
@@ -365,9 +297,8 @@ class Codec:
 
     def _new_words(self, words: list[str]) -> list[bytes]:
         parts = [[w] if w.isalpha() else self.pieces.findall(w) for w in words]
-        pieces = list({p for ps in parts for p in ps})
-        made = dict(zip(pieces, self.merge_in_step(pieces), strict=True))
-        return [b"".join([made[p] for p in ps]) for ps in parts]
+        merged = self.merged
+        return [merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps]) for ps in parts]
 
     def spaced(self, text: str) -> str | None:
         """A text normalised, with full stops and commas at word ends set apart; None if that takes more than a few passes."""
@@ -446,8 +377,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         c = codec(path)
         for f in frames:
             rows = []
-            for text in f["__t"]:
-                ids = c.encode_bytes(text or "")
+            for ids in c.encode_many([t or "" for t in f["__t"]]):
                 whole = np.frombuffer(ids, "<u4")
                 rows.append((len(whole), sha256(ids).hexdigest(), sha256(c.decode(whole.tolist()).encode("utf-8")).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
