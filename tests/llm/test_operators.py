@@ -241,14 +241,18 @@ def test_one_row_of_each_class_stays(spark):
     assert ngram_join.keep_one(plain).count() == 3
 
 
+def dropped(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: (r["text"], r["n_dropped_lines"]) for r in line_dedup.dedup_lines(df).collect()}
+
+
 def test_line_dedup(spark):
     boiler = "All rights reserved by the owner of site %d today"
-    long = "one two three four five six seven eight nine ten eleven %s thirteen fourteen fifteen"
     rows = [
         (1, f"own line of doc one here\n{boiler % 5}\nThe end.", "x"),
-        (2, f"{boiler % 77}\nThe end.\nanother line that only two has", "x"),
-        (3, long % "alpha", "x"),
-        (4, f"before\n\n{long % 'beta'}\n{long % 'beta'}\nafter", None),
+        (2, f"{boiler % 77}\nanother line that only two has", "x"),
+        (3, "one line alone\n\nbefore", "x"),
+        (4, f"before it\n\n{boiler % 8}\n{boiler % 9}\nafter", None),
         (5, None, None),
         (6, "", None),
         (None, boiler % 5, None),
@@ -256,12 +260,29 @@ def test_line_dedup(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_dropped_lines string")
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_dropped_lines"] == 0  # the first keeps its lines
-    assert got[2]["text"] == "The end.\nanother line that only two has" and got[2]["n_dropped_lines"] == 1  # two words are too few
-    assert got[3]["n_dropped_lines"] == 0 and got[4]["text"] == "before\n\nafter" and got[4]["n_dropped_lines"] == 2
+    assert got[2]["text"] == "another line that only two has" and got[2]["n_dropped_lines"] == 1
+    assert got[3]["text"] == rows[2][1] and got[4]["text"] == "before it\n\nafter" and got[4]["n_dropped_lines"] == 2
     assert got[5]["text"] is None and got[6]["text"] == "" and got[None]["text"] == boiler % 5
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_boilerplate_that_is_short(spark):
+    rng = random.Random(3)
+    line, own = "All rights reserved.", lambda: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('klmn')}{rng.choice('aeiou')}{rng.choice('rst')}" for _ in range(rng.randint(2, 4)))
+    assert sum(n for _, n in dropped(spark, [(k, line) for k in range(40)]).values()) == 39  # all there is
+    assert sum(n for _, n in dropped(spark, [(k, f"{own()}\n{line}") for k in range(40)]).values()) == 39
+    assert sum(n for _, n in dropped(spark, [(k, line) for k in range(9)]).values()) == 8
+
+
+def test_line_dedup_of_two_fields_and_two_templates_in_a_leaf(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    fields = [(k, f"please contact {name()} at our main office in {name()} before the end of the current month to renew") for k in range(60)]
+    assert sum(n for _, n in dropped(spark, fields).values()) == 59
+    kinds = ["order from {} was shipped to the depot", "order from {} was cancelled by our clerk"]
+    assert sum(n for _, n in dropped(spark, [(k, kinds[k % 2].format(name())) for k in range(60)]).values()) == 58
+
+
 def test_line_dedup_variable_fields_and_short_lines(spark):
     rng = random.Random(8)
     names, days, parts = "Anna Boris Clara Dmitri Eva Farid Grace".split(), "Monday Tuesday Friday Sunday".split(), "News Sports Culture".split()
@@ -276,7 +297,16 @@ def test_line_dedup_variable_fields_and_short_lines(spark):
     for r in got:
         own = r["text"].split("\n")
         assert any(x.startswith("Posted by") for x in own) == ("Share this article" in own) == (r["doc_id"] == 0)
-        assert "   " in own and "the of" in own  # two common words meet by chance
+        assert "   " in own
+
+
+def test_line_dedup_leaves_what_meets_by_chance(spark):
+    """Short lines of a few common words recur in prose; few are lost, whatever they are made of."""
+    rng = random.Random(12)
+    words = ["the", "of", "and", "a", "to", "in", "he", "was", "it", "that"] * 6 + [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    rows = [(k, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(30))) for k in range(80)]
+    lines = sum(len(t.split("\n")) for _, t in rows)
+    assert sum(n for _, n in dropped(spark, rows).values()) < 0.01 * lines
 
 
 def test_line_dedup_of_a_very_long_text(spark):

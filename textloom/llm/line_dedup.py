@@ -1,15 +1,17 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line goes down the tree by its token count, then by its leading tokens (tokens with a digit are the variable field
-<*>). A leaf holds templates of three kinds: the line itself; for lines of LONG tokens or more, the line with one of FIELDS
-neighbouring stretches of its further tokens replaced by <*>; for shorter ones, the tokens that most lines of the leaf have in
-their places, and <*> in all others, where those are at least half of the line and two besides the leading ones. A template is recurring if lines of two
-or more documents share it, and its lines are dropped everywhere but in the document of the smallest id, so that no passage
-is lost altogether. Two kinds need more than two documents, since chance makes them too: the leaf's template needs
-FIELD_DOCS, and lines of fewer than LEAST tokens need SHORT_DOCS and RATIO times as many as their tokens would meet by chance.
-
-Nothing is compared pair by pair and no leaf is gathered: a template is a key, and whether it recurs is what Spark
-aggregates for that key before it shuffles. A leaf's template is an aggregate over (leaf, place, token).
+A line goes down the tree by its token count, then by its leading tokens (tokens with a digit are the variable field <*>). A leaf holds
+groups of lines, each with a template: the tokens that its lines share by place, at least half of them, and <*> in all other places. A line itself is
+the narrowest template. Wider ones come from how often a token stands in its place among the leaf's different lines: with each
+of the levels LEAST, LEAST * STEP, LEAST * STEP * STEP, ... a line keeps the tokens that as many lines have there, and lines that keep the same form a
+group. So a leaf has as many groups as it has kinds of lines, and a field that takes few values in many lines still becomes variable.
+
+A template recurs if two or more documents share it (wider ones: LEAST), unless chance would do as much: of N lines of as many tokens, E =
+N * RATIO * (the product of its tokens' shares) would have the template by chance, and N * E ** (d - 1) / d! templates would be met d times. If that is
+below DOUBT, the template is no accident. Shares are counted without the template's own lines, so boilerplate isn't its own expectation. The rule
+is the same at every length. Lines of recurring templates are dropped everywhere but in the document of the smallest id, so that no passage is lost.
+
+Nothing is compared pair by pair and no leaf is gathered: a template is a key, and counts by key are summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import broadcast_if_small, cut
+from textloom.llm.common import broadcast_if_small
 from textloom.llm.quality_rules import let
-
-#: Leading tokens on the path, stretches of the rest that may vary, and the least tokens for such templates.
-DEPTH, FIELDS, LONG = 2, 3, 12
-#: Documents that the common template of a leaf needs.
-FIELD_DOCS = 5
-#: Lines of fewer tokens are judged by how much oftener they occur than by chance, and in how many documents.
-LEAST, SHORT_DOCS, RATIO = 5, 10, 50.0
+from textloom.storage import keep
+
+#: Leading tokens on the path to a leaf.
+DEPTH = 2
+#: Different lines of a leaf, and documents, that a template with variable places needs; and the factor between levels.
+LEAST, STEP = 5, 4
+#: Levels that there can be: more lines than the last one asks for are in no table.
+LEVELS = 25
+#: How much likelier than by independent tokens a line may be by chance, and templates that may be taken for no accident by mistake.
+RATIO, DOUBT = 50.0, 0.01
 #: Up to so many lines to drop are looked up one by one, more by bisection.
 FEW = 24
 
@@ -36,59 +41,68 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, r"\s+"), "")
 
 
-def lead(t: Column) -> Column:
-    return F.array_join(F.slice(t, 1, DEPTH), " ")
-
-
-def templates(t: Column) -> Column:
-    """Keys of the templates that a line of these tokens is an instance of by itself: path and template as one 64-bit hash each."""
-    n, own = F.size(t), lead(t)
-    rest = n - DEPTH
-    exact = F.xxhash64(n, own, F.lit(0), F.array_join(t, " "))
-    varied = []
-    for k in range(FIELDS):
-        a, b = DEPTH + (rest * k / FIELDS).cast("int"), DEPTH + (rest * (k + 1) / FIELDS).cast("int")
-        varied.append(F.xxhash64(n, own, F.lit(k + 1), F.array_join(F.slice(t, F.lit(1), a), " "), F.array_join(F.slice(t, b + 1, n), " ")))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < LONG, F.array(exact)).otherwise(F.array(exact, *varied))
-
-
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__d, __h, __n, __ks, __t) for each document and different line: hash, token count, keys, and the tokens of short lines."""
+    """(d, h, n, k, leaf, t) for each document and different line: hash, token count, key of the line as a template, leaf, tokens."""
     lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
-    each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(lines)).alias("__l"))
-    made = let(tokens(F.col("__l")), lambda t: F.struct(F.size(t).alias("n"), templates(t).alias("ks"), F.when(F.size(t) < LONG, t).alias("t")))
+    each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.explode(F.array_distinct(lines)).alias("l"))
+    leaf = lambda t: F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " "))
+    made = let(tokens(F.col("l")), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.array_join(t, " ")).alias("k"), leaf(t).alias("leaf"), t.alias("t")))
     # computed once, although several joins read it: parsing lines is what costs here
-    return cut(each.select("__d", F.xxhash64("__l").alias("__h"), made.alias("m")).select("__d", "__h", F.col("m.n").alias("__n"), F.col("m.ks").alias("__ks"), F.col("m.t").alias("__t")))
+    return keep(each.select("d", F.xxhash64("l").alias("h"), made.alias("m")).select("d", "h", "m.*").where("n > 0"))
+
+
+def shares(parsed: DataFrame) -> DataFrame:
+    """(last, w, c, every): how often a token is the last of its line, or another, and how often any is."""
+    each = parsed.select("n", F.posexplode("t").alias("i", "w")).groupBy((F.col("i") + 1 == F.col("n")).alias("last"), "w").agg(F.count("*").alias("c"))
+    counts = keep(each)
+    whole = counts.groupBy("last").agg(F.sum("c").alias("every"))  # two rows
+    return counts.join(F.broadcast(whole), "last")
 
 
-def beyond_chance(parsed: DataFrame) -> DataFrame:
-    """(__k, __first) of the short lines that recur: in SHORT_DOCS documents, and RATIO times as many as by chance.
+def beyond_chance(found: DataFrame, own: DataFrame, wide: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(k, first) of the templates found (k, first, docs, lines, n, f: tokens kept) that chance doesn't account for.
 
-    By chance, so many lines of n tokens consist of given tokens as there are such lines, times the share of each token among
-    those of all short lines that are last in their line, or not last, as it is. Rows that share an id count once.
+    docs and lines are the documents and rows that have the template. Where as many of the most frequent token would be no accident, that is
+    enough; for the others the tokens are looked up: own (k, n, t) has those of lines, wide (k, f) those of wider templates.
     """
-    short = cut(parsed.where(f"__n BETWEEN 1 AND {LEAST - 1}").select("__d", "__n", F.get("__ks", F.lit(0)).alias("__k"), "__t").dropDuplicates(["__d", "__k"]))
-    each = short.select("__n", F.posexplode("__t").alias("i", "w")).groupBy((F.col("i") + 1 == F.col("__n")).alias("last"), "w").agg(F.count("*").alias("c"))
-    whole = each.groupBy("last").agg(F.sum("c").alias("all"))  # two rows
-    shares = cut(each.join(F.broadcast(whole), "last").select("last", "w", (F.col("c") / F.col("all")).alias("p")))
-    lines = cut(short.groupBy("__k").agg(F.count("*").alias("docs"), F.min("__d").alias("__first"), F.first("__t").alias("t"), F.first("__n").alias("n")).where(F.col("docs") >= SHORT_DOCS))
-    totals = short.groupBy(F.col("__n").alias("n")).agg(F.count("*").alias("m"))  # LEAST - 1 rows
-    spread = lines.select("__k", "__first", "docs", "n", F.posexplode("t").alias("i", "w")).withColumn("last", F.col("i") + 1 == F.col("n"))
-    chance = spread.join(broadcast_if_small(shares, 64), ["last", "w"]).groupBy("__k", "__first", "docs", "n").agg(F.sum(F.log("p")).alias("lp"))
-    return chance.join(F.broadcast(totals), "n").where(F.log("docs") >= F.log("m") + F.col("lp") + F.log(F.lit(RATIO))).select("__k", "__first")
-
-
-def leaf_templates(parsed: DataFrame) -> DataFrame:
-    """(__d, __h, __k) of the lines that are instances of their leaf's common template, for leaves where it generalises."""
-    middle = parsed.where(f"__n BETWEEN {LEAST} AND {LONG - 1}").select("__d", "__h", "__n", F.xxhash64("__n", lead(F.col("__t"))).alias("leaf"), "__t")
-    sizes = middle.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= FIELD_DOCS)
-    sizes = broadcast_if_small(cut(sizes), 16)
-    within = cut(middle.join(sizes, "leaf"))
-    places = within.select("leaf", "__n", "m", F.posexplode("__t").alias("i", "w")).groupBy("leaf", "__n", "m", "i", "w").agg(F.count("*").alias("c")).where("2 * c > m")
-    # at most one token for each place of a line of fewer than LONG
-    common = places.groupBy("leaf", "__n").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("fixed")).where(f"2 * size(fixed) >= __n AND size(fixed) BETWEEN {DEPTH + 2} AND __n - 1")
-    fits = F.forall("fixed", lambda x: F.get("__t", x["i"]) == x["w"])
-    return within.join(broadcast_if_small(cut(common.select("leaf", "fixed")), 256), "leaf").where(fits).select("__d", "__h", F.xxhash64("leaf", F.lit("leaf")).alias("__k"))
+    counts = shares(parsed)
+    peak = counts.agg(F.max(F.col("c") / F.col("every")).alias("p")).first()["p"]
+    totals = F.broadcast(parsed.groupBy("n").agg(F.count("*").alias("total")))  # a row for each token count
+    d = F.col("docs").cast("double")
+
+    def unlikely(log_product: Column) -> Column:
+        """Whether chance makes less than DOUBT templates of this kind, by Stirling's bound of d!."""
+        log_e = F.log("total") + F.log(F.lit(RATIO)) + log_product
+        return F.log("total") + (d - 1) * log_e - (d * F.log(d) - d) < F.log(F.lit(DOUBT))
+
+    sized = keep(found.join(totals, "n").withColumn("sure", unlikely(F.col("f") * F.log(F.lit(peak or 1.0)))))
+    open_ = sized.where("NOT sure")
+    keys = broadcast_if_small(keep(open_.select("k")), 16)
+    tokens_of = own.join(keys, "k", "left_semi").dropDuplicates(["k"]).select("k", "n", F.posexplode("t").alias("i", "w")).select("k", (F.col("i") + 1 == F.col("n")).alias("last"), "w")
+    tokens_of = tokens_of.unionByName(wide.join(keys, "k", "left_semi").dropDuplicates(["k"]).select("k", F.explode("f").alias("x")).select("k", "x.last", "x.w"))
+    spread = open_.select("k", "lines").join(tokens_of, "k").join(counts, ["last", "w"], "left")
+    # without the template's own lines; a token that has no other use makes the template impossible by chance
+    other = F.greatest(F.col("c") - F.col("lines"), F.lit(0)) / F.greatest(F.col("every") - F.col("lines"), F.lit(1))
+    logs = spread.groupBy("k").agg(F.sum(F.when(other > 0, F.log(other))).alias("lp"), F.bool_or(other <= 0).alias("never"))
+    judged = open_.join(logs, "k").where(F.col("never") | unlikely(F.col("lp")))
+    return sized.where("sure").select("k", "first").unionByName(judged.select("k", "first"))
+
+
+def leaf_groups(parsed: DataFrame) -> DataFrame:
+    """(line, k, n, f): the wider templates of a leaf's lines; line is the key of the line itself, f the tokens kept as array<struct<last, w>>."""
+    different = parsed.select("leaf", "k").distinct().groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST)
+    lines = keep(parsed.join(broadcast_if_small(keep(different.select("leaf")), 16), "leaf").select("leaf", "k", "n", "t").dropDuplicates(["k"]))
+    places = lines.select("leaf", "k", "n", F.posexplode("t").alias("i", "w"))
+    counts = places.groupBy("leaf", "i", "w").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST)
+    common = places.join(counts, ["leaf", "i", "w"]).groupBy("leaf", "k", "n").agg(F.array_sort(F.collect_list(F.struct("i", "w", "c"))).alias("p"))  # no more than a line has tokens
+    common = common.where(2 * F.size("p") >= F.col("n"))
+    most = F.array_max(F.transform("p", lambda x: x["c"]))
+    levels = F.filter(F.array(*[F.lit(LEAST * STEP**j).cast("long") for j in range(LEVELS)]), lambda s: s <= most)
+    kept = F.transform(levels, lambda s: F.filter("p", lambda x: x["c"] >= s))
+    wide = F.array_distinct(F.filter(kept, lambda p: (2 * F.size(p) >= F.col("n")) & (F.size(p) < F.col("n"))))
+    each = common.select(F.col("k").alias("line"), "leaf", "n", F.explode(wide).alias("p"))
+    name = F.xxhash64("leaf", F.array_join(F.transform("p", lambda x: F.concat(x["i"].cast("string"), F.lit(" "), x["w"])), "\n"))
+    return keep(each.select("line", name.alias("k"), "n", F.transform("p", lambda x: F.struct((x["i"] + 1 == F.col("n")).alias("last"), x["w"].alias("w"))).alias("f")))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,14 +111,14 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A line is dropped if one of its templates recurs and occurs in a document of smaller id.
     """
     parsed = parsed_lines(docs, id_col, text_col)
-    keyed = parsed.select("__d", "__h", "__n", F.explode("__ks").alias("__k"))
-    plain = keyed.where(F.col("__n") >= LEAST).groupBy("__k").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").select("__k", "__first")
-    leaves = cut(leaf_templates(parsed))
-    fields = leaves.select("__d", "__k").distinct().groupBy("__k").agg(F.count("*").alias("n"), F.min("__d").alias("__first")).where(F.col("n") >= FIELD_DOCS).select("__k", "__first")
-    common = plain.union(fields).union(beyond_chance(parsed))
+    groups = leaf_groups(parsed)
+    member = keep(parsed.select("d", "h", F.col("k").alias("line")).join(groups.select("line", "k", "n", F.size("f").alias("f")), "line").drop("line"))
+    count = lambda rows, least: rows.groupBy("k").agg(F.min("d").alias("first"), F.count_distinct("d").alias("docs"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("f").alias("f")).where(F.col("docs") >= least)
+    found = count(parsed.select("d", "k", "n", F.col("n").alias("f")), 2).unionByName(count(member, LEAST))
+    common = keep(beyond_chance(found, parsed.select("k", "n", "t"), groups.select("k", "f"), parsed))
     # a hot template is one row on the right, and the adaptive planner splits its rows on the left
-    hit = keyed.select("__d", "__h", "__k").union(leaves.select("__d", "__h", "__k")).join(common, "__k").where("__d <> __first")
-    return hit.groupBy("__d").agg(F.array_sort(F.collect_set("__h")).alias("__drop"))
+    hit = parsed.select("d", "h", "k").unionByName(member.select("d", "h", "k")).join(broadcast_if_small(common, 24), "k").where("d <> first")
+    return hit.groupBy(F.col("d").alias("__d")).agg(F.array_sort(F.collect_set("h")).alias("__drop"))
 
 
 def among(value: Column, ordered: Column) -> Column:

@@ -129,29 +129,24 @@ WITH l AS (
   SELECT doc_id, unnest(list_filter(list_distinct(string_split(text, chr(10))), lambda x: len(x) > 0)) AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), t AS (
   SELECT doc_id, l, list_filter(regexp_split_to_array(regexp_replace(lower(l), '[^ \t\n\x0B\f\r]*[0-9][^ \t\n\x0B\f\r]*', '<*>', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS t FROM l
-), k AS (
-  SELECT doc_id, l, len(t) AS n, unnest(CASE WHEN len(t) < {_D.LONG} THEN ['line ' || array_to_string(t, ' ')]
-    ELSE list_concat(['line ' || array_to_string(t, ' ')], list_transform(range({_D.FIELDS}), lambda f: len(t) || ' ' || f || ' ' ||
-      array_to_string(t[1:{_D.DEPTH} + ((len(t) - {_D.DEPTH}) * f // {_D.FIELDS})], ' ') || ' <*> ' ||
-      array_to_string(t[{_D.DEPTH} + ((len(t) - {_D.DEPTH}) * (f + 1) // {_D.FIELDS}) + 1:], ' '))) END) AS k FROM t WHERE len(t) > 0
-), plain AS (SELECT k, min(doc_id) AS first FROM k WHERE n >= {_D.LEAST} GROUP BY k HAVING min(doc_id) <> max(doc_id))
-, short AS (SELECT DISTINCT doc_id, 'line ' || array_to_string(t, ' ') AS k, t, len(t) AS n FROM t WHERE len(t) BETWEEN 1 AND {_D.LEAST - 1})
-, words AS (SELECT i = n AS last, w, count(*) AS c FROM (SELECT unnest(t) AS w, unnest(range(1, n + 1)) AS i, n FROM short) GROUP BY i = n, w)
-, every AS (SELECT last, sum(c) AS s FROM words GROUP BY last), totals AS (SELECT n, count(*) AS m FROM short GROUP BY n)
-, often AS (SELECT k, any_value(t) AS t, any_value(n) AS n, count(*) AS docs, min(doc_id) AS first FROM short GROUP BY k HAVING count(*) >= {_D.SHORT_DOCS})
-, chance AS (
-  SELECT k, first FROM (SELECT k, first, docs, n, w, i = n AS last FROM (SELECT k, first, docs, n, unnest(t) AS w, unnest(range(1, n + 1)) AS i FROM often)) JOIN words USING (last, w)
-  JOIN every USING (last) JOIN totals USING (n)
-  GROUP BY k, first, docs, n, m HAVING ln(docs) >= ln(m) + sum(ln(c / s)) + ln({_D.RATIO})
-), middle AS (SELECT doc_id, l, t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{_D.DEPTH}], ' ') AS leaf FROM t WHERE len(t) BETWEEN {_D.LEAST} AND {_D.LONG - 1})
-, sizes AS (SELECT leaf, count(*) AS m FROM middle GROUP BY leaf HAVING count(*) >= {_D.FIELD_DOCS})
-, places AS (
-  SELECT leaf, n, m, i, t[i] AS w FROM (SELECT leaf, n, m, t, unnest(range(1, n + 1)) AS i FROM middle JOIN sizes USING (leaf)) GROUP BY leaf, n, m, i, t[i] HAVING 2 * count(*) > m
-), common AS (SELECT leaf, list({{'i': i, 'w': w}}) AS fixed FROM places GROUP BY leaf, n HAVING 2 * count(*) >= n AND count(*) BETWEEN {_D.DEPTH + 2} AND n - 1)
-, fits AS (SELECT doc_id, l, 'leaf ' || leaf AS k FROM middle JOIN common USING (leaf) WHERE len(list_filter(fixed, lambda x: t[x.i] <> x.w)) = 0)
-, fields AS (SELECT k, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, k FROM fits) GROUP BY k HAVING count(*) >= {_D.FIELD_DOCS})
-, m AS (SELECT * FROM plain UNION ALL SELECT * FROM chance UNION ALL SELECT * FROM fields)
-, hits AS (SELECT doc_id, l, k FROM k UNION ALL SELECT doc_id, l, k FROM fits)
+), p AS (SELECT doc_id, l, t, len(t) AS n, 'line ' || array_to_string(t, ' ') AS k, len(t) || ' ' || array_to_string(t[1:{_D.DEPTH}], ' ') AS leaf FROM t WHERE len(t) > 0)
+, various AS (SELECT DISTINCT leaf, k, n, t FROM p), many AS (SELECT leaf FROM various GROUP BY leaf HAVING count(*) >= {_D.LEAST})
+, places AS (SELECT leaf, k, n, unnest(t) AS w, unnest(range(n)) AS i FROM various JOIN many USING (leaf))
+, often AS (SELECT leaf, i, w, count(*) AS c FROM places GROUP BY ALL HAVING count(*) >= {_D.LEAST})
+, common AS (SELECT leaf, k, n, list({{'i': i, 'w': w, 'c': c}} ORDER BY i) AS p FROM places JOIN often USING (leaf, i, w) GROUP BY leaf, k, n HAVING 2 * count(*) >= n)
+, levels AS (SELECT leaf, k, n, list_filter(p, lambda x: x.c >= s) AS f FROM common, (SELECT ({_D.LEAST} * {_D.STEP}::BIGINT ** j)::BIGINT AS s FROM range({_D.LEVELS}) r(j)) WHERE len(list_filter(p, lambda x: x.c >= s)) > 0)
+, wide AS (SELECT DISTINCT k AS line, n, list_transform(f, lambda x: {{'last': x.i + 1 = n, 'w': x.w}}) AS f, 'leaf ' || leaf || chr(10) || array_to_string(list_transform(f, lambda x: x.i || ' ' || x.w), chr(10)) AS k FROM levels WHERE 2 * len(f) >= n AND len(f) < n)
+, member AS (SELECT doc_id, l, wide.k, wide.n, len(f) AS f FROM p JOIN wide ON p.k = wide.line)
+, found AS (SELECT k, min(doc_id) AS first, count(DISTINCT doc_id) AS docs, count(*) AS lines, any_value(n) AS n FROM p GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+  UNION ALL SELECT k, min(doc_id), count(DISTINCT doc_id), count(*), any_value(n) FROM member GROUP BY k HAVING count(DISTINCT doc_id) >= {_D.LEAST})
+, shares AS (SELECT i + 1 = n AS last, w, count(*) AS c FROM (SELECT unnest(t) AS w, unnest(range(n)) AS i, n FROM p) GROUP BY ALL)
+, every AS (SELECT last, sum(c) AS s FROM shares GROUP BY last), totals AS (SELECT n, count(*) AS total FROM p GROUP BY n)
+, kept AS (SELECT k, i + 1 = n AS last, w FROM (SELECT k, n, unnest(t) AS w, unnest(range(n)) AS i FROM (SELECT DISTINCT k, n, t FROM p))
+  UNION ALL SELECT k, x.last, x.w FROM (SELECT k, unnest(f) AS x FROM (SELECT DISTINCT k, f FROM wide)))
+, odds AS (SELECT k, first, docs, total, min(greatest(c - lines, 0)) AS least, sum(CASE WHEN c > lines THEN ln((c - lines)::DOUBLE / greatest(s - lines, 1)) END) AS lp
+  FROM found JOIN totals USING (n) JOIN kept USING (k) JOIN shares USING (last, w) JOIN every USING (last) GROUP BY k, first, docs, total)
+, m AS (SELECT k, first FROM odds WHERE least = 0 OR ln(total) + (docs - 1) * (ln(total) + ln({_D.RATIO}) + lp) - (docs * ln(docs) - docs) < ln({_D.DOUBT}))
+, hits AS (SELECT doc_id, l, k FROM p UNION ALL SELECT doc_id, l, k FROM member)
 , drops AS (SELECT hits.doc_id, list(DISTINCT l) AS gone FROM hits JOIN m USING (k) WHERE hits.doc_id <> m.first GROUP BY hits.doc_id)
 , s AS (SELECT d.doc_id, text, string_split(text, chr(10)) AS a, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)) AS b, gone FROM documents d LEFT JOIN drops USING (doc_id))
 SELECT doc_id, md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string(b, chr(10)) END) AS text_md5,
