@@ -71,7 +71,7 @@ def test_run_and_registry(spark, tables):
     assert set(registry.queries()) | {"pipeline"} <= names and set(__spark_entry__.oracle_sql()) <= names
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, __drop string, node string, p string, r string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __drop string, node string, __id string, r string"
 
 
 @pytest.fixture(scope="module")

@@ -42,11 +42,12 @@ def tokens(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, n, k, leaf, t) for each document and different line: hash, token count, key of the line as a template, leaf, tokens."""
+    """(d, h, n, k, leaf, t) for each document and different line: hash, token count, key of the line as a template, leaf, hashes of its tokens."""
     lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
     each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.explode(F.array_distinct(lines)).alias("l"))
-    leaf = lambda t: F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " "))
-    made = let(tokens(F.col("l")), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.array_join(t, " ")).alias("k"), leaf(t).alias("leaf"), t.alias("t")))
+    leaf = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH))
+    hashed = F.transform(tokens(F.col("l")), lambda w: F.xxhash64(w))
+    made = let(hashed, lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(t).alias("k"), leaf(t).alias("leaf"), t.alias("t")))
     # computed once, although several joins read it: parsing lines is what costs here
     return keep(each.select("d", F.xxhash64("l").alias("h"), made.alias("m")).select("d", "h", "m.*").where("n > 0"))
 
@@ -101,7 +102,7 @@ def leaf_groups(parsed: DataFrame) -> DataFrame:
     kept = F.transform(levels, lambda s: F.filter("p", lambda x: x["c"] >= s))
     wide = F.array_distinct(F.filter(kept, lambda p: (2 * F.size(p) >= F.col("n")) & (F.size(p) < F.col("n"))))
     each = common.select(F.col("k").alias("line"), "leaf", "n", F.explode(wide).alias("p"))
-    name = F.xxhash64("leaf", F.array_join(F.transform("p", lambda x: F.concat(x["i"].cast("string"), F.lit(" "), x["w"])), "\n"))
+    name = F.xxhash64("leaf", F.transform("p", lambda x: F.struct(x["i"], x["w"])))
     return keep(each.select("line", name.alias("k"), "n", F.transform("p", lambda x: F.struct((x["i"] + 1 == F.col("n")).alias("last"), x["w"].alias("w"))).alias("f")))
 
 

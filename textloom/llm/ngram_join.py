@@ -241,11 +241,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """
     signed, found = classes(docs, id_col, text_col, recall, rows)
     found = cut(found.select("node", "root", "class_id"))
-    gone = signed.join(found, "node").where("id IS NOT NULL AND id <> class_id").select(F.col("id").alias("__id"))
+    other = "__id"
+    while other in docs.columns:
+        other += "_"
+    gone = signed.join(found, "node").where("id IS NOT NULL AND id <> class_id").select(F.col("id").alias(other))
     # ids that say which row is meant, and those that don't
-    shared = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias("__id")))
-    aside = broadcast_if_small(cut(gone.union(shared).where("__id IS NOT NULL").distinct()), 16)
-    kept = docs.where(F.col(id_col).isNotNull()).join(aside, F.col(id_col) == F.col("__id"), "left_anti")
+    shared = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias(other)))
+    aside = broadcast_if_small(cut(gone.union(shared).where(F.col(other).isNotNull()).distinct()), 16)
+    kept = docs.where(F.col(id_col).isNotNull()).join(aside, F.col(id_col) == F.col(other), "left_anti")
     if shared.isEmpty():
         return kept
 
@@ -254,7 +257,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         for batch in batches:
             yield pd.Series(pd.array([node_of(shingler(t)) for t in batch], "Int64"))
 
-    odd = docs.join(broadcast_if_small(shared, 16), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    odd = docs.join(broadcast_if_small(shared, 16), F.col(id_col).eqNullSafe(F.col(other)), "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     odd = odd.select(whole.alias("row"), F.pandas_udf(named, "long")(F.col(text_col)).alias("node"))
     judged = odd.where("node IS NOT NULL").join(found, "node").where(F.col("row")[id_col].eqNullSafe(F.col("class_id")))

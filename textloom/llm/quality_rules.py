@@ -44,7 +44,7 @@ def let(value: Column, body) -> Column:
 def repeat_words(words: Column, n: int = 5) -> Column:
     """How many words lie in n-word windows found twice or more in the array, each word counted once.
 
-    Windows are compared by two 64-bit hashes. Sorting (hash, place) pairs takes n log n steps; texts without a
+    Windows are compared by a 64-bit hash. Sorting (hash, place) pairs takes n log n steps; texts without a
     repeated window, which are most, stop after one hash set.
     """
 
