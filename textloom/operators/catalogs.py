@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.storage import broadcast_if_small
+
 
 def nest(regions: DataFrame, nations: DataFrame) -> DataFrame:
     """A row for each region with its nations as an ordered array: a catalog's few levels, not its items."""
@@ -22,7 +24,7 @@ def upsert_at(catalog: DataFrame, new: DataFrame, key: str, at: int) -> DataFram
 
     A catalog holds volumes or chapters, so one window over it is a small one.
     """
-    kept = catalog.join(F.broadcast(new.select(key)), key, "left_anti")
+    kept = catalog.join(broadcast_if_small(new.select(key), 64), key, "left_anti")
     ranked = kept.withColumn("pos", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("int"))
     moved = ranked.withColumn("pos", F.when(F.col("pos") >= at, F.col("pos") + 1).otherwise(F.col("pos")))
     n = kept.groupBy().agg(F.least(F.count("*"), F.lit(at)).cast("int").alias("pos"))
@@ -30,8 +32,9 @@ def upsert_at(catalog: DataFrame, new: DataFrame, key: str, at: int) -> DataFram
 
 
 def with_volume(articles: DataFrame, volumes: DataFrame) -> DataFrame:
-    """articles with what their volume is called, its group and its place; volumes is a table of a few rows."""
-    return articles.join(F.broadcast(volumes.select("volume", F.col("name").alias("volume_name"), "group", F.col("pos").alias("volume_pos"))), "volume", "left")
+    """articles with what their volume is called, its group and its place."""
+    named = volumes.select("volume", F.col("name").alias("volume_name"), "group", F.col("pos").alias("volume_pos"))
+    return articles.join(broadcast_if_small(named, 512), "volume", "left")
 
 
 def in_catalog(articles: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import alignment, containment
 
 
 #: The two first characters that sources use one for the other, and the numerals that a shortened title may lack.
@@ -37,8 +38,8 @@ def resolve(refs: DataFrame, titles: DataFrame) -> DataFrame:
 
     Tiers, the first that succeeds wins: 1 as it is, 2 its first character swapped, 3 and 4 the same without parentheses, 5 loose,
     6 and 7 loose with a numeral, 8 containment: of two texts of six characters or more, one ends with the other or the
-    title's characters occur in the name in order; of several titles the first. All but the last tier are one equi-join. The last is
-    joined by volume and last character, which the texts have in common, for names that are still open.
+    name's characters occur in the title in order; of several titles the first. All but the last tier are one equi-join; the last is for
+    names that are still open.
     """
     keys = title_keys(titles)
     whole = T.norm_link("name")
@@ -47,12 +48,10 @@ def resolve(refs: DataFrame, titles: DataFrame) -> DataFrame:
     tried = refs.select("ref", "vol", F.explode(F.array(*[F.struct(F.lit(n + 1).alias("tier"), F.lit(kind).alias("kind"), key.alias("key")) for n, (kind, key) in enumerate(ways)])).alias("w"))
     hits = tried.select("ref", "vol", "w.*").join(keys.select("vol", "kind", "key", "id"), ["vol", "kind", "key"])
     direct = hits.groupBy("ref").agg(F.min(F.struct("tier", "id")).alias("f")).select("ref", "f.tier", "f.id")
-    open_ = refs.join(direct, "ref", "left_anti").select("ref", "vol", whole.alias("t")).where(F.length("t") >= LEAST_CONTAINED)
-    known = keys.where("kind = 'm' AND key <> ''").select("vol", "ord", "i", "id", F.col("key").alias("k"))
-    ends = lambda c: F.right(F.col(c), F.lit(1))
-    near = open_.withColumn("e", ends("t")).join(known.withColumn("e", ends("k")), ["vol", "e"])
-    fits = F.endswith("k", "t") | (F.endswith("t", "k") & (F.length("k") >= LEAST_CONTAINED)) | T.is_subsequence("t", "k")
-    contained = near.where(fits).groupBy("ref").agg(F.min(F.struct("ord", "i", "id")).alias("f")).select("ref", F.lit(len(ways) + 1).alias("tier"), "f.id")
+    open_ = refs.join(direct, "ref", "left_anti").select("ref", "vol", whole.alias("name"))
+    known = keys.where("kind = 'm' AND key <> ''").select("vol", (2 * F.col("ord") + F.col("i")).cast("long").alias("ord"), "id", F.col("key").alias("title"))
+    near = containment.naming(open_, known, LEAST_CONTAINED).join(known.groupBy("vol", "ord").agg(F.min("id").alias("id")), ["vol", "ord"])
+    contained = open_.join(near, ["vol", "name"]).select("ref", F.lit(len(ways) + 1).alias("tier"), "id")
     return refs.join(direct.unionByName(contained), "ref", "left")
 
 
@@ -63,10 +62,12 @@ def resolve_names(refs: DataFrame, titles: DataFrame) -> DataFrame:
     """
     base = F.regexp_replace("name", "其[一二三四五六七八九十、，\\s]+$", "")
     named = refs.withColumn("__n", T.strip(base))
-    one = lambda vol, tag: resolve(named.select("ref", F.col(vol).alias("vol"), F.col("__n").alias("name")), titles).select("ref", F.col("id").alias(tag))
-    alone = titles.groupBy(T.loose(T.norm_link("title")).alias("__k")).agg(F.count_distinct("id").alias("m"), F.min("id").alias("i3")).where("m = 1").drop("m")
-    out = named.withColumn("__k", T.loose(T.norm_link("__n"))).join(one("first", "i1"), "ref", "left").join(one("second", "i2"), "ref", "left").join(alone, "__k", "left")
-    return out.select(*refs.columns, F.coalesce("i1", "i2", "i3").alias("id"))
+    sides = F.array(*[F.struct(F.lit(k).alias("way"), F.col(c).alias("vol")) for k, c in enumerate(("first", "second"))])
+    both = named.select("ref", F.explode(sides).alias("s"), F.col("__n").alias("name")).select(F.struct("ref", "s.way").alias("ref"), "s.vol", "name")
+    looked = resolve(both, titles).where("id IS NOT NULL").groupBy(F.col("ref.ref").alias("ref")).agg(F.min_by("id", "ref.way").alias("i1"))
+    alone = titles.groupBy(T.loose(T.norm_link("title")).alias("__k")).agg(F.count_distinct("id").alias("m"), F.min("id").alias("i2")).where("m = 1").drop("m")
+    out = named.withColumn("__k", T.loose(T.norm_link("__n"))).join(looked, "ref", "left").join(alone, "__k", "left")
+    return out.select(*refs.columns, F.coalesce("i1", "i2").alias("id"))
 
 
 def set_links(segments: DataFrame, found: DataFrame) -> DataFrame:
@@ -89,9 +90,15 @@ def consume(body: DataFrame, expected: DataFrame, key: str, order: str) -> DataF
 
 
 def unique_by_content(refs: DataFrame, titles: DataFrame, ref_text: str = "quote", body: str = "body", n: int = 20) -> DataFrame:
-    """refs with id of the only title of equal loose form, or that with a numeral, whose body contains the quote's first n characters."""
-    form = T.loose(T.norm_link("name"))
-    keyed = refs.select("ref", F.explode(F.array(form, *[F.concat(form, F.lit(s)) for s in CONTENT_SUFFIXES])).alias("__k"), F.left(T.norm_link(ref_text), F.lit(n)).alias("__h"))
-    known = titles.select(T.loose(T.norm_link("title")).alias("__k"), "id", T.norm_link(body).alias("__b"))
-    hits = keyed.where("__h <> ''").join(known, "__k").where(F.contains("__b", "__h")).groupBy("ref").agg(F.count_distinct("id").alias("m"), F.min("id").alias("id"))
-    return refs.join(hits.where("m = 1").select("ref", "id"), "ref", "left")
+    """refs with id of the only title of equal loose form, or that with a numeral, whose body contains the quote's first n characters.
+
+    Bodies are read once, for the stretches that quotes begin with; what is joined are those stretches, not bodies.
+    """
+    asked = refs.withColumns({"__f": T.loose(T.norm_link("name")), "__h": F.left(T.norm_link(ref_text), F.lit(n))})
+    wanted = asked.where("__h <> ''").select("__f", "__h").distinct()
+    ways = wanted.select("__f", "__h", F.explode(F.array(F.col("__f"), *[F.concat("__f", F.lit(s)) for s in CONTENT_SUFFIXES])).alias("__k"))
+    known = titles.select(F.col("id").alias("__id"), T.loose(T.norm_link("title")).alias("__k"))
+    places = alignment.find_pieces(wanted.select(F.col("__h").alias("piece")), titles.select(F.col("id").alias("__id"), T.norm_link(body).alias("__b")), "__id", "__b", first=True)
+    inside = places.select(F.col("piece").alias("__h"), "__id").join(known, "__id")
+    hits = ways.join(inside, ["__k", "__h"]).groupBy("__f", "__h").agg(F.count_distinct("__id").alias("m"), F.min("__id").alias("id")).where("m = 1").drop("m")
+    return asked.join(hits, ["__f", "__h"], "left").select(*refs.columns, "id")

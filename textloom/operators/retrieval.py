@@ -104,15 +104,19 @@ def rerank(matches: DataFrame, group: str, model: Callable[[DataFrame], DataFram
     return ranked(model(matches).withColumnRenamed("rank", "old_rank"), [group], [F.desc_nulls_last("rerank_score"), F.asc("old_rank")])
 
 
-def hybrid(docs: DataFrame, lexical: DataFrame, vectors: DataFrame, question_vectors: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def best_place(near: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, rank): of several ranked parts of one key the best rank."""
+    return near.groupBy(group, key).agg(F.min("rank").alias("rank"))
+
+
+def hybrid(docs: DataFrame, lexical: DataFrame, near: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(item_id, rank, doc_id, score, passage): lexical and vector ranks fused, de-duplicated by text, reranked, the first eight.
 
-    lexical is what a search of the stored index gave (item_id, rank, doc_id). A vector belongs to the document whose doc_id is its
-    vec_id, a question's to the item of its id. Of the texts only those of candidates are fetched.
+    lexical is what a search of the stored index gave, near what one by vectors gave (item_id, rank, doc_id; a document once for an item).
+    Either may be empty for an item. Of the texts only those of candidates are fetched.
     """
-    words = lexical.select("item_id", F.lit(1).alias("pool"), "rank", "doc_id")
-    near = knn(question_vectors, vectors).select(F.col("query").alias("item_id"), F.lit(0).alias("pool"), "rank", F.col("vec_id").alias("doc_id"))
-    fused = fuse(near.unionByName(words), "item_id", "doc_id").withColumnRenamed("rank", "pos")
+    pool = lambda df, n: df.select("item_id", F.lit(n).alias("pool"), "rank", "doc_id")
+    fused = fuse(pool(near, 0).unionByName(pool(lexical, 1)), "item_id", "doc_id").withColumnRenamed("rank", "pos")
     wanted = docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = wanted.select("doc_id", T.clean_key("text").alias("key"), F.left("text", F.lit(1100)).alias("passage"), F.lit(0).alias("priority"))
     best = dedupe(fused.join(texts, "doc_id"), "item_id", "key", "priority", "score", "pos")

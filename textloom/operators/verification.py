@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import matching
+
 
 def compare_articles(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, kind, seg, line, l, r): all differences of articles (id, title, segments array<array<string>>) that both sides have.
@@ -42,12 +43,12 @@ def missing(expected: DataFrame, have: DataFrame, key: str = "id") -> DataFrame:
 
 
 def opcodes(left: Column | str, right: Column | str) -> Column:
-    """array<struct<op, a1, a2, b1, b2>>: the spans to replace, delete or insert that make the one text the other, in order."""
+    """array<struct<op, a1, a2, b1, b2>>: the spans to replace, delete or insert that make the one text the other, in order; null texts have none."""
 
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in frames:
-            found = [[] if x is None or y is None or x == y else SequenceMatcher(None, x, y).get_opcodes() for x, y in zip(xs, ys, strict=True)]
-            yield pd.Series([[{"op": op, "a1": a1, "a2": a2, "b1": b1, "b2": b2} for op, a1, a2, b1, b2 in ops if op != "equal"] for ops in found])
+            found = [[] if x is None or y is None or x == y else matching.changes(x, y) for x, y in zip(xs, ys, strict=True)]
+            yield pd.Series([[dict(zip(("op", "a1", "a2", "b1", "b2"), c, strict=True)) for c in cs] for cs in found])
 
     return F.pandas_udf(run, "array<struct<op: string, a1: int, a2: int, b1: int, b2: int>>")(left, right)
 

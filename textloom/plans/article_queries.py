@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import catalogs, entries, ingest, pages, verification
+from textloom.operators import alignment, catalogs, entries, ingest, pages, terms, verification
 from textloom.operators import segments as lines
 from textloom.plans.base import query, table
 from textloom.sources import articles as A
@@ -84,6 +84,52 @@ def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.search_text(segments(spark, sf_dir)).select("id", "volume", "title", F.md5("body").alias("body"))
 
 
+@query(f"""
+WITH {_SEG}, b AS (SELECT id, volume, title, list_concat(orig, trans, [ls1]) AS x, seg FROM (SELECT *, orig[1] AS ls1 FROM s)), f AS (SELECT id, volume, title, seg, unnest(x) AS line, unnest(range(len(x))) AS k FROM b)
+, w AS (SELECT id, volume, title, string_agg(line, chr(10) ORDER BY seg, k) AS body FROM f GROUP BY id, volume, title)
+SELECT volume, count(*) AS n, count(DISTINCT md5(body)) AS n_bodies, sum(len(body))::BIGINT AS n_chars FROM w GROUP BY volume
+""")
+def search_corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search corpus written as JSON lines by volume, read again, kept, and counted twice over."""
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    A.write_search_text(segments(spark, sf_dir), path)
+    corpus = A.held(spark.read.schema("id string, title string, body string, volume string").json(path))
+    bodies = corpus.groupBy("volume").agg(F.count_distinct(F.md5("body")).alias("n_bodies"))
+    return corpus.groupBy("volume").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("n_chars")).join(bodies, "volume").select("volume", "n", "n_bodies", "n_chars")
+
+
+@query("""
+WITH k AS (SELECT doc_id % 7 AS w FROM documents WHERE text IS NOT NULL) SELECT count_if(w NOT IN (1, 2)) AS articles, count_if(w = 1) AS broken, count_if(w = 2) AS no_id FROM k
+""")
+def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines, of which some break off and some have no id: what is read, and what is kept apart."""
+    path, k = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}", F.col("doc_id") % 7
+    line = F.to_json(F.struct(F.when(k != 2, F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("title")))
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.when(k == 1, F.left(line, F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
+    found = A.scanned(spark, path, "id string, title string, _corrupt_record string")
+    bad = A.quarantined(found).agg(F.count_if(F.col("reason") == "broken").alias("broken"), F.count_if(F.col("reason") == "no id").alias("no_id"))
+    return A.sound(found).agg(F.count("id").alias("articles")).crossJoin(bad)  # one row each
+
+
+@query(f"""
+WITH {_SEG}, t AS (SELECT DISTINCT term FROM s WHERE term <> ''), h AS (SELECT doc_id, term, strpos(text, term) AS p FROM documents, t WHERE contains(text, term))
+SELECT doc_id, count(*) AS n_terms, sum(p)::BIGINT AS places, max(len(term))::INT AS longest FROM h GROUP BY doc_id
+""")
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of each term of the whole dictionary in each document."""
+    found = terms.occurrences(table(spark, sf_dir, "documents"), A.term_dictionary(segments(spark, sf_dir)))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("at").alias("places"), F.max(F.length("term")).alias("longest"))
+
+
+@query()
+def dictionary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the whole dictionary's terms between tags, longer ones first; tests compare with the marking of single texts."""
+    docs = table(spark, sf_dir, "documents")
+    spans = terms.marks(terms.occurrences(docs, A.term_dictionary(segments(spark, sf_dir))))
+    out = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    return out.select("doc_id", F.size(F.coalesce("spans", F.array().cast("array<struct<at:int,n:int>>"))).alias("n_marks"), F.md5(terms.marked(F.col("text"), F.col("spans"))).alias("marked"))
+
+
 @query(f"""
 WITH {_SEG}, t AS (SELECT id, trim(regexp_replace(regexp_replace(orig[1], '\\[[0-9]{{1,3}}\\]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM s WHERE seg = 0) SELECT id, CASE WHEN len(t) <= 150 THEN t ELSE rtrim(left(t, 149)) || '…' END AS description FROM t
 """)
@@ -243,10 +289,11 @@ def article_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def char_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that make each document's first line its second; tests put them together again."""
-    own = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(own, F.lit(0)).alias("a"), F.get(own, F.lit(1)).alias("b"))
-    return docs.select("doc_id", verification.opcodes("a", "b").alias("ops"))
+    """Spans that make the lines of a document those of the next that begins alike, place by place; tests put them together again."""
+    docs = table(spark, sf_dir, "documents")
+    side = lambda key, line: lines.lines(docs).select(F.col("doc_id").alias(key), "pos", F.col("line").alias(line))
+    both = alignment.neighbours(docs).join(side("a", "x"), "a").join(side("b", "y"), ["b", "pos"])
+    return both.where("x <> y").select("a", "b", "pos", verification.opcodes("x", "y").alias("ops"))
 
 
 @query("""

@@ -203,7 +203,7 @@ def blank_line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_P}, s AS (SELECT *, min(CASE WHEN n % 5 = 0 THEN pos END) OVER (PARTITION BY file) AS a FROM p), i AS (SELECT *, min(CASE WHEN n % 6 = 1 THEN pos END) OVER (PARTITION BY file) AS z FROM s WHERE pos > a)
+WITH {_P}, s AS (SELECT *, min(CASE WHEN n % 5 = 0 THEN pos END) OVER (PARTITION BY file) AS a FROM p), i AS (SELECT *, min(CASE WHEN n % 6 = 1 AND n % 5 <> 0 THEN pos END) OVER (PARTITION BY file) AS z FROM s WHERE pos > a)
 , k AS (SELECT * FROM i WHERE (z IS NULL OR pos < z) AND n % 5 <> 0) SELECT file, pos, coalesce(max((n % 4 = 0)::INT) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS preface FROM k
 """)
 def list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import indexing
+from textloom.operators import changing, chunking, embedding, indexing, vectors
 from textloom.operators import lexical as L
 from textloom.operators import retrieval as R
 from textloom.plans.base import query, table
+from textloom.plans.text_queries import CHUNKS, MARKS
+from textloom.storage import keep, shared_dir
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -18,11 +22,11 @@ _WORDS = rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text
 _NAIVE = f"(SELECT item_id, text, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'p': list_position(w, x), 'x': x}})), lambda s: s.x)[1:6] AS k FROM (SELECT item_id, text, {_WORDS} AS w FROM benchmark))"
 
 
-def _lexical(terms: str = "k", only: str = "true") -> str:
+def _lexical(terms: str = "k", only: str = "true", docs: str = "documents") -> str:
     """CTEs up to lex: BM25 over phrases, for terms of the questions (k: their content words)."""
     return rf"""
 q AS (SELECT item_id, {terms} AS terms FROM {_NAIVE})
-, dt AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
+, dt AS (SELECT doc_id, {_TOKENS} AS t FROM {docs})
 , st AS (SELECT count(*) AS n, avg(len(coalesce(t, []))) AS mean FROM dt)
 , ex AS (SELECT doc_id, len(t) AS len, unnest(t) AS token, unnest(range(len(t))) AS pos FROM dt)
 , tm AS (SELECT item_id, unnest(terms) AS text, unnest(range(len(terms))) AS phrase FROM q)
@@ -85,6 +89,24 @@ def lexical_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search(spark, index(spark, sf_dir), asked, only="only")
 
 
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat_ws(' ', lang, text, 'again') ELSE text END AS text FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 1 AND doc_id % 10 <> 2 OR doc_id % 20 = 2 AND text IS NOT NULL)"
+
+
+@query(f"WITH {_lexical(docs=_CHANGED)} SELECT item_id, rank::INT AS rank, doc_id, score FROM lex")
+def changing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents indexed in two batches, some replaced, some deleted, some of those put back, one batch failing; then searched, after a merge of what was there first."""
+    docs, k = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text"), F.col("doc_id") % 10
+    index = changing.ChangingIndex(spark, f"{shared_dir(spark)}/changing-{uuid.uuid4().hex}")
+    plain = docs.select("doc_id", "text")
+    index.add(plain.where("doc_id % 2 = 0"), 0)
+    index.add(plain.where("doc_id % 2 = 1"), 1)
+    index.merge()
+    index.add(docs.where(k <= 2).select("doc_id", F.when(k == 0, F.concat_ws(" ", "lang", "text", F.lit("again"))).alias("text")), 2)
+    index.add(docs.select("doc_id"), 3)  # has no text to index
+    index.add(plain.where("doc_id % 20 = 2"), 4)
+    return L.search(spark, index.opened(), L.rewritten(table(spark, sf_dir, "benchmark")))
+
+
 @query(rf"""
 WITH q AS (SELECT item_id, text, k FROM {_NAIVE}), r AS (SELECT item_id, 'new ' || left(text, 20) AS rw, item_id % 4 AS way FROM benchmark)
 SELECT item_id, CASE WHEN way = 0 THEN [text, trim(rw)] ELSE [text] END AS queries, CASE WHEN way = 0 THEN ['first word', 'second'] ELSE k END AS terms FROM q JOIN r USING (item_id)
@@ -155,16 +177,123 @@ def dedupe_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dedupe(docs, "lang", "key", "priority", "n_chars", "doc_id").select("lang", "doc_id", "priority", "n_chars", "rank")
 
 
+#: A chunk's number is its document's times this, and its part; a document of so many chunks would have hundreds of millions of characters.
+PARTS = 1 << 20
+
+# the hashing embedder written again: slots of tokens and pairs by md5, their counts over all chunks, signed sums by dimension, unit length
+_EMBED = rf"""
+{CHUNKS}
+, ck AS (SELECT doc_id * {PARTS} + row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS id, chunk AS text FROM p WHERE chunk <> '')
+, em AS (SELECT 'c' AS side, id, text FROM ck UNION ALL SELECT 'q', item_id, text FROM benchmark)
+, et AS (SELECT side, id, {_TOKENS} AS t FROM em)
+, ef AS (SELECT side, id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS x FROM et)
+, es AS (SELECT side, id, ('0x' || left(md5(x), 8))::BIGINT % {embedding.SLOTS} AS slot, count(*) AS tf FROM ef GROUP BY ALL)
+, en AS (SELECT slot, count(*) AS n FROM es WHERE side = 'c' GROUP BY slot)
+, ew AS (SELECT side, id, slot, tf, tf * (ln(((SELECT count(*) FROM ck) + 1)::DOUBLE / (coalesce(n, 0) + 1)) + 1) AS w FROM es LEFT JOIN en USING (slot))
+, ed AS (SELECT side, id, slot % {embedding.DIMS} AS d, sum(CASE WHEN (slot // {embedding.DIMS}) % 2 = 0 THEN w ELSE -w END) AS v, sum(tf) AS nf FROM ew GROUP BY ALL)
+, el AS (SELECT side, id, sqrt(sum(v * v)) AS l, sum(nf)::INT AS n_features FROM ed GROUP BY side, id), eu AS (SELECT side, id, d, v / l AS v, n_features FROM ed JOIN el USING (side, id) WHERE l > 1e-9)
+"""
+# a few figures of a vector that tell it from others: a weighted sum, and its greatest component
+_FIGURES = "round(sum(v * (d + 1)), 6) AS mix, round(max(abs(v)), 6) AS peak"
+_NEAR_CHUNKS = f"""
+{_EMBED}
+, nc AS (SELECT q.id AS item_id, c.id, round(sum(q.v * c.v), 6) AS score FROM eu q JOIN eu c USING (d) WHERE q.side = 'q' AND c.side = 'c' GROUP BY ALL)
+, al AS (SELECT q.id AS item_id, c.id, coalesce(nc.score, 0) AS score FROM (SELECT DISTINCT id FROM eu WHERE side = 'q') q CROSS JOIN (SELECT DISTINCT id FROM eu WHERE side = 'c') c LEFT JOIN nc ON nc.item_id = q.id AND nc.id = c.id)
+, nr AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM al QUALIFY rank <= 40)
+"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc_id, part, text) of all chunks of the documents."""
+    made = chunking.chunk_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), marks=MARKS)
+    return made.select((F.col("doc_id") * PARTS + F.col("part")).alias("id"), "doc_id", "part", F.col("chunk").alias("text"))
+
+
+def figures(vector: str) -> list:
+    mix = F.aggregate(F.transform(vector, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [F.round(mix, 6).alias("mix"), F.round(F.array_max(F.transform(vector, F.abs)), 6).alias("peak")]
+
+
+@query(f"WITH RECURSIVE {_EMBED} SELECT id // {PARTS} AS doc_id, (id % {PARTS})::INT AS part, n_features, {_FIGURES} FROM eu WHERE side = 'c' GROUP BY id, n_features")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each chunk of each document, by the embedder that is fitted on them."""
+    made = keep(embedding.with_slots(chunks(spark, sf_dir)))
+    return embedding.Embedder(made).embed(made).where("vector IS NOT NULL").select("doc_id", "part", "n_features", *figures("vector"))
+
+
+@query(f"WITH RECURSIVE {_EMBED} SELECT id AS item_id, n_features, {_FIGURES} FROM eu WHERE side = 'q' GROUP BY id, n_features")
+def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions' vectors, with what is rare among the chunks."""
+    own = embedding.Embedder(keep(embedding.with_slots(chunks(spark, sf_dir)).select("slots")))
+    asked = own.embed(embedding.with_slots(table(spark, sf_dir, "benchmark")))
+    return asked.where("vector IS NOT NULL").select("item_id", "n_features", *figures("vector"))
+
+
+@query("SELECT item_id, CASE WHEN item_id // 10 % 3 = 1 THEN NULL ELSE len(text) END::DOUBLE AS first, CASE WHEN item_id // 10 % 3 = 1 THEN 'refused' END AS error FROM benchmark")
+def embedding_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that answers in another order, and refuses every third ten of questions."""
+
+    def model(texts: list[str]) -> list[tuple[int, list[float]]]:
+        if any(int(t.split(" ", 1)[0]) // 10 % 3 == 1 for t in texts):
+            raise RuntimeError("refused")
+        return [(k, [len(t.split(" ", 1)[1])]) for k, t in reversed(list(enumerate(texts)))]
+
+    numbered = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(" "), "text").alias("text"))
+    # calls are cut from the batch that a task gets, so questions of a call are brought together
+    calls = numbered.repartition(F.floor(F.col("item_id") / 10)).sortWithinPartitions("item_id")
+    return embedding.embed_with(model, calls, "item_id", call=10).select("item_id", F.get("vector", F.lit(0)).alias("first"), "error")
+
+
+def near_chunks(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    """(item_id, id, score, rank): the 40 chunks nearest to each question, by the corpus's own embedder."""
+    made = keep(embedding.with_slots(chunks(spark, sf_dir)).select("id", "slots"))
+    own = embedding.Embedder(made)
+    corpus = own.embed(made).select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
+    asked = own.embed(embedding.with_slots(items)).select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    return R.knn(keep(asked), keep(corpus)).select(F.col("query").alias("item_id"), F.col("vec_id").alias("id"), "score", "rank")
+
+
+@query(f"WITH RECURSIVE {_NEAR_CHUNKS} SELECT item_id, id // {PARTS} AS doc_id, (id % {PARTS})::INT AS part, score, rank::INT AS rank FROM nr")
+def question_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_chunks(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+    return near.select("item_id", F.floor(F.col("id") / PARTS).alias("doc_id"), (F.col("id") % PARTS).cast("int").alias("part"), "score", "rank")
+
+
 @query(rf"""
-WITH {_FUSED}, t AS (SELECT doc_id, substr(regexp_replace(text, '\s+', '', 'g'), 1, 80) AS key, left(text, 1100) AS passage FROM documents)
+WITH RECURSIVE {_NEAR_CHUNKS}, {_BM25}
+, pools AS (SELECT item_id, 0 AS pool, min(rank) AS rank, id // {PARTS} AS doc_id FROM nr GROUP BY item_id, id // {PARTS} UNION ALL SELECT item_id, 1, rank, doc_id FROM lex)
+, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(pool * 1000 + rank) AS seen FROM pools GROUP BY item_id, doc_id)
+, fused AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, seen) AS pos FROM f)
+, t AS (SELECT doc_id, substr(regexp_replace(text, '\s+', '', 'g'), 1, 80) AS key, left(text, 1100) AS passage FROM documents)
 , k AS (SELECT item_id, doc_id, score, key, passage, min(pos) OVER (PARTITION BY item_id, key) AS first,
     row_number() OVER (PARTITION BY item_id, key ORDER BY score DESC, pos) AS n FROM fused JOIN t USING (doc_id) WHERE key <> '')
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first))::INT AS rank, doc_id, score, passage FROM k WHERE n = 1 QUALIFY rank <= 8
 """)
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
-    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return R.hybrid(docs, lexical(spark, sf_dir, items), vectors, asked)
+    """The flagship: both pools from the documents and questions themselves, chunks by their own vectors and documents by their words."""
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    near = near_chunks(spark, sf_dir, items).select("item_id", "rank", F.floor(F.col("id") / PARTS).alias("doc_id"))
+    return R.hybrid(docs, lexical(spark, sf_dir, items), R.best_place(near, "item_id", "doc_id"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, (label % 3)::VARCHAR AS space FROM embeddings), n AS (SELECT space, count(*) AS n FROM v GROUP BY space)
+SELECT space, count(*) AS n_queries, sum(least(40, n))::BIGINT AS n_exact, true AS recalled, true AS reads_less FROM v JOIN n USING (space) WHERE vec_id % 20 = 0 GROUP BY space
+""")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index against exact search, by namespace: whether 95 per cent of the nearest are found, and less is read than all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).cast("string").alias("space"), "vec_id", "embedding")
+    path = f"{shared_dir(spark)}/vectors-{L.source_name(spark, f'{sf_dir}/embeddings.parquet')}"
+    if not L.exists(spark, f"{path}/lists/_SUCCESS"):
+        vectors.build(rows.select("space", F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), path)
+    asked = rows.where("vec_id % 20 = 0")
+    found = vectors.search(spark, path, asked.select("space", F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))).select("query", "key", F.lit(1).alias("hit"))
+    # the exact ones of a namespace: what it has labels, as knn has
+    space = F.col("space").cast("int")
+    exact = R.knn(asked.withColumn("wanted", space), rows.withColumn("own", space), label="own").select("query", F.col("vec_id").alias("key"))
+    both = exact.join(found, ["query", "key"], "left").join(asked.select(F.col("vec_id").alias("query"), "space"), "query")
+    recall = both.groupBy("space").agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_exact"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.95).alias("recalled"))
+    return recall.join(vectors.share_scanned(spark, path), "space").select("space", "n_queries", "n_exact", "recalled", (F.col("bytes_read") < F.col("bytes_all")).alias("reads_less"))
 
 
 @query(rf"""

@@ -13,6 +13,7 @@ from textloom.operators import evaluation as E
 from textloom.operators import indexing as X
 from textloom.operators import pages as P
 from textloom.plans.base import query, table
+from textloom.plans.text_queries import SPACES
 from textloom.storage import shared_dir
 
 
@@ -218,9 +219,12 @@ def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.contexts(shown).select("query", F.md5("context").alias("context")).join(listed, "query")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR len(text) > 30 THEN text ELSE 'x ' || text END AS kept FROM conversations WHERE text = trim(text)")
+@query(f"""
+WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN '' ELSE regexp_replace('x ' || text, '^{SPACES}+|{SPACES}+$', '', 'g') END AS r FROM conversations)
+SELECT conv_id, turn, CASE WHEN r <> '' AND r <> text AND len(r) <= 32 THEN r ELSE text END AS kept FROM r
+""")
 def rewrite_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").where("text = trim(text)")
+    t = table(spark, sf_dir, "conversations")
     rewrite = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("x "), "text"))
     return t.select("conv_id", "turn", P.accept_rewrite(F.col("text"), rewrite, 32).alias("kept"))
 

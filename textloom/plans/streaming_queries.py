@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators import serving
 from textloom.plans.base import query, table
 from textloom.plans.retrieval_queries import _TOKENS
 from textloom.storage import shared_dir
@@ -80,3 +81,48 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     jobs.progress(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.max_by("pct", "batch").alias("pct"))
+
+
+def pieces_of(lines: DataFrame, spark: SparkSession, size: int, files: int) -> DataFrame:
+    """A stream of files with the texts of lines (doc_id, body) in pieces of so many characters, and the end of each; a file has every files-th piece."""
+    path = work_dir(spark)
+    starts = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int"))
+    cut = F.concat(F.transform(starts, lambda k: F.substr("body", k * size + 1, F.lit(size))), F.array(F.lit(None).cast("string")))
+    each = lines.select("doc_id", F.posexplode(cut).alias("seq", "piece"))
+    each.withColumn("file", F.col("seq") % files).repartition(files, "file").write.partitionBy("file").parquet(path)
+    return spark.readStream.schema("doc_id long, seq int, piece string, file int").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """What a stream appends until its input is used up."""
+    path = work_dir(spark)
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+_REPLIES = "SELECT doc_id, string_split(text, chr(10)) AS d, {whole} AS whole FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""
+WITH r AS ({_REPLIES.format(whole='doc_id % 3 > 0')}), b AS (SELECT doc_id, 'browser' AS policy, d, true AS complete FROM r UNION ALL SELECT doc_id, 'client', d, whole FROM r)
+SELECT doc_id, policy, md5(array_to_string(d, chr(10))) AS reply, len(d) AS n_deltas, complete FROM b
+""")
+def ndjson_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a reply, a delta a line, in pieces out of order; every third one's last line has no line feed."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = serving.event_lines(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = lines.withColumn("body", F.when(F.col("doc_id") % 3 > 0, F.concat("body", F.lit("\n"))).otherwise(F.col("body")))
+    found = [to_end(jobs.replies(pieces_of(body, spark, 997, 3).drop("file"), "doc_id", policy), spark).withColumn("policy", F.lit(policy)) for policy in (jobs.BROWSER, jobs.CLIENT)]
+    return found[0].unionByName(found[1]).select("doc_id", "policy", F.md5("reply").alias("reply"), "n_deltas", "complete")
+
+
+@query(f"""
+WITH r AS ({_REPLIES.format(whole='doc_id % 2 > 0')}) SELECT doc_id, md5(array_to_string(d, '')) AS reply, len(d) AS n_deltas, whole AS complete FROM r
+""")
+def sse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a server-sent stream; every other one breaks off before its end mark."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    say = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    body = F.concat(F.lit(": hello\n\n"), F.array_join(F.transform(F.split("text", "\n"), say), ""), F.when(F.col("doc_id") % 2 > 0, F.lit("data: [DONE]\n\n")).otherwise(F.lit("")))
+    stream = jobs.replies(pieces_of(docs.select("doc_id", body.alias("body")), spark, 1499, 2).drop("file"), "doc_id", jobs.CLIENT, "sse")
+    return to_end(stream, spark).select("doc_id", F.md5("reply").alias("reply"), "n_deltas", "complete")

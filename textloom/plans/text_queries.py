@@ -72,8 +72,9 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("s").alias("n_units"), F.md5(F.array_join("s", "|")).alias("units"))
 
 
-@query(rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^{SPACES}+|{SPACES}+$', '', 'g') AS t FROM documents), c AS (
+#: CTEs up to p (doc_id, part, chunk, ctx): chunks of documents; parts count blank ones too.
+CHUNKS = rf"""
+d AS (SELECT doc_id, regexp_replace(text, '^{SPACES}+|{SPACES}+$', '', 'g') AS t FROM documents), c AS (
   SELECT doc_id, t, 0 AS part, 0 AS s, CASE WHEN len(t) <= 720 THEN len(t) ELSE 0 END AS e0 FROM d WHERE t <> ''
   UNION ALL
   SELECT doc_id, t, part + 1, greatest(s + 1, e - 80), 0 FROM (
@@ -84,6 +85,11 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^{SPACES}+|{SPACES}+$'
   SELECT *, CASE WHEN s + 720 >= len(t) THEN len(t) ELSE s + CASE WHEN cut > 324 THEN cut + 1 ELSE 720 END END AS e FROM (
     SELECT *, len(regexp_extract(substr(t, s + 1, 720), '(?s)^.*[.;!?\n]')) - 1 AS cut FROM c)
 ), p AS (SELECT doc_id, part, regexp_replace(substr(t, s + 1, e - s), '^{SPACES}+|{SPACES}+$', '', 'g') AS chunk, left(t, 1100) AS ctx FROM x)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {CHUNKS}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS part, len(chunk)::INT AS n_chars, md5(chunk) AS chunk_md5, md5(ctx) AS ctx_md5 FROM p WHERE chunk <> ''
 """)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +130,13 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH l AS ({LINES}), c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS back FROM l GROUP BY doc_id)
+WITH l AS ({LINES}), c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS back FROM l WHERE doc_id % 3 > 0 OR pos % 5 <> 4 GROUP BY doc_id)
 SELECT doc_id, regexp_replace(back, '{SPACES}+', '', 'g') = regexp_replace(text, '{SPACES}+', '', 'g') AS same, len(regexp_replace(back, '{SPACES}+', '', 'g'))::INT AS n FROM documents JOIN c USING (doc_id)
 """)
 def reconstruct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against their lines, of which every third document has lost some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return segments.reconstruct(docs, segments.lines(docs)).select("doc_id", "same", "n")
+    return segments.reconstruct(docs, segments.lines(docs).where("doc_id % 3 > 0 OR pos % 5 <> 4")).select("doc_id", "same", "n")
 
 
 @query(r"""
@@ -157,7 +164,7 @@ def function_word_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, '{"@context":"https://schema.org","@type":"WebPage","url":"' || url || '","path":"/a/' || page_id || '/","n_bytes":' || strlen(html) || ',"safe":"' || replace(substr(html, 1, 1), '<', '\\u003c') || '","text":"' || trim(regexp_replace(html, '<[^>]*>|[^A-Za-z0-9]+', ' ', 'g')) || '"}' AS jsonld FROM pages
+SELECT page_id, '{"@context":"https://schema.org","@type":"WebPage","url":"' || url || '","path":"/a/' || page_id || '/","n_bytes":' || strlen(html) || ',"safe":' || replace(to_json(html)::VARCHAR, '<', '\\u003c') || ',"text":"' || trim(regexp_replace(html, '<[^>]*>|[^A-Za-z0-9]+', ' ', 'g')) || '"}' AS jsonld FROM pages
 """.replace("\\\\u", "\\u"))
 def jsonld_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -167,7 +174,7 @@ def jsonld_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url",
         T.article_path(F.col("page_id").cast("string")).alias("path"),
         F.octet_length("html").alias("n_bytes"),
-        F.left("html", F.lit(1)).alias("safe"),
+        F.col("html").alias("safe"),
         F.trim(F.regexp_replace("html", "<[^>]*>|[^A-Za-z0-9]+", " ")).alias("text"),
     )
     return pages.select("page_id", F.replace(F.to_json(body), F.lit("<"), F.lit("\\u003c")).alias("jsonld"))

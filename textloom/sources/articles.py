@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.storage import keep
+
 NOTE = "struct<n:int,term:string,text:string>"
 SEGMENT = f"struct<orig:array<string>,trans:array<string>,notes:array<{NOTE}>,src:string,srcId:string>"
 BACKREF = "struct<id:string,title:string,n:int>"
@@ -48,6 +50,29 @@ def read_indexed(spark: SparkSession, path: str, index: DataFrame, key: str = "k
     return named.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
 
 
+def scanned(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row for each JSON line under path with its file, also for those that don't parse, whose text _corrupt_record has; read once and kept."""
+    found = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return keep(found.withColumn("file", F.regexp_extract(F.input_file_name(), r"[^/]*$", 0)))
+
+
+def sound(found: DataFrame) -> DataFrame:
+    """The articles of a scan: what parses and has an id."""
+    return found.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
+
+
+def quarantined(found: DataFrame) -> DataFrame:
+    """(file, reason, record) of what a scan couldn't take: broken lines as they are, and articles without an id."""
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "broken").otherwise("no id")
+    return found.where("_corrupt_record IS NOT NULL OR id IS NULL").select("file", reason.alias("reason"), F.col("_corrupt_record").alias("record"))
+
+
+def scan_report(found: DataFrame) -> DataFrame:
+    """(articles, broken, no_id): what a scan gave, in one row."""
+    bad = F.col("_corrupt_record").isNotNull()
+    return found.agg(F.count_if(~bad & F.col("id").isNotNull()).alias("articles"), F.count_if(bad).alias("broken"), F.count_if(~bad & F.col("id").isNull()).alias("no_id"))
+
+
 def one(articles: DataFrame, article: str) -> DataFrame:
     """One article: the filter goes to the scan."""
     return articles.where(F.col("id") == article)

@@ -5,6 +5,7 @@ Each gives, once a source is exhausted, what its batch twin gives for the whole
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -103,3 +104,68 @@ def incremental_index(docs: DataFrame, path: str, checkpoint: str) -> StreamingQ
         batch.unpersist()
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+BROWSER, CLIENT = "browser", "client"
+
+
+def replies(pieces: DataFrame, key: str, policy: str, form: str = "ndjson", seq: str = "seq", piece: str = "piece") -> DataFrame:
+    """(key, reply, n_deltas, complete): replies put together from a stream of pieces that break lines anywhere, each emitted once it is done.
+
+    Pieces (key, seq from 0, piece) may come in any order and more than once; a null piece is the end of the connection. form is ndjson, lines of
+    JSON of type delta with text, or done; or sse, lines of data: whose choices[0].delta.content is text, and data: [DONE]. What can't be
+    read is skipped. A last line without a line feed counts for a browser, and not for a client, which reads whole lines only. A reply is
+    complete if it was done before the connection ended. A key's state is the pieces that wait for one before them, the line that is not whole
+    yet and the text so far; when the reply is out, what is left is a mark that later pieces are for nothing.
+    """
+    kind = pieces.schema[key].dataType.simpleString()
+    joint = "\n" if form == "ndjson" else ""
+
+    def delta(line: str) -> tuple[str | None, bool]:
+        """(text, whether the reply is done) of a line."""
+        if form == "sse":
+            if not line.startswith("data:"):
+                return None, False
+            line = line[5:].strip()
+            if line == "[DONE]":
+                return None, True
+        try:
+            e = json.loads(line)
+            if form == "sse":
+                text = e["choices"][0]["delta"].get("content")
+                return text if isinstance(text, str) else None, False
+            return (e.get("text") if e.get("type") == "delta" else None), e.get("type") == "done"
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
+            return None, False
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, rest, held = state.get if state.exists else (0, "", "[[], {}]")
+        texts, waiting = json.loads(held)
+        if at < 0:
+            return
+        for f in frames:
+            for n, p in zip(f[seq].tolist(), f[piece].tolist(), strict=True):
+                if n >= at:
+                    waiting[str(n)] = p
+        finished = ended = False
+        while not finished and not ended and str(at) in waiting:
+            p = waiting.pop(str(at))
+            at, ended = at + 1, p is None
+            lines = (rest + (p or "")).split("\n")
+            rest = lines.pop()
+            if ended and policy == BROWSER:
+                lines.append(rest)
+            for line in lines:
+                text, finished = delta(line)
+                if text is not None:
+                    texts.append(text)
+                if finished:
+                    break
+        if finished or ended:
+            state.update((-1, "", "[[], {}]"))
+            yield pd.DataFrame({key: [name[0]], "reply": [joint.join(texts)], "n_deltas": [len(texts)], "complete": [finished]})
+        else:
+            state.update((at, rest, json.dumps([texts, waiting])))
+
+    out = f"{key} {kind}, reply string, n_deltas long, complete boolean"
+    return pieces.groupBy(key).applyInPandasWithState(step, out, "next long, rest string, held string", "append", GroupStateTimeout.NoTimeout)
