@@ -37,7 +37,9 @@ FEW = 24
 
 def tokens(line: Column) -> Column:
     """Lower-case tokens of a line; those with a digit are <*>."""
-    masked = F.regexp_replace(F.lower(line), r"[^\s]*\d[^\s]*", "<*>")
+    low = F.lower(line)
+    # tried at the beginnings of tokens alone, and only where there is a digit
+    masked = F.when(low.rlike(r"\d"), F.regexp_replace(low, r"(?<![^\s])[^\s]*\d[^\s]*", "<*>")).otherwise(low)
     return F.array_remove(F.split(masked, r"\s+"), "")
 
 
@@ -48,8 +50,8 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     leaf = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH))
     hashed = F.transform(tokens(F.col("l")), lambda w: F.xxhash64(w))
     made = let(hashed, lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(t).alias("k"), leaf(t).alias("leaf"), t.alias("t")))
-    # computed once, although several joins read it: parsing lines is what costs here
-    return keep(each.select("d", F.xxhash64("l").alias("h"), made.alias("m")).select("d", "h", "m.*").where("n > 0"))
+    # computed once, although several joins read it: parsing lines is what costs here; a filter before it is written would parse them twice
+    return keep(each.select("d", F.xxhash64("l").alias("h"), made.alias("m")).select("d", "h", "m.*")).where("n > 0")
 
 
 def shares(parsed: DataFrame) -> DataFrame:
