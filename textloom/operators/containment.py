@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.storage import broadcast_if_small, keep
+from textloom.storage import broadcast_if_small, keep, shuffled
 
 #: Short texts in a trie, and long texts that walk one in a task, at most on average.
 SHORT_BLOCK, LONG_BLOCK = 8192, 16384
@@ -39,7 +39,7 @@ def parts_named(df: DataFrame, text: str, least: int, most: int, begins: bool, e
 def whole_in_parts(inner: DataFrame, outer: DataFrame, least: int, begins: bool, ends: bool) -> DataFrame:
     """(vol, inner, outer_ord) and the rest of both sides: inner (vol, inner, ...) begins or ends outer (vol, outer, ...), both in the same vol."""
     named = inner.select(*inner.columns, *name_of(F.col("inner")))
-    return parts_named(outer, "outer", least, longest(inner, "inner"), begins, ends).join(named, ["vol", "h1", "h2"]).drop("h1", "h2")
+    return parts_named(outer, "outer", least, longest(inner, "inner"), begins, ends).join(shuffled(named), ["vol", "h1", "h2"]).drop("h1", "h2")
 
 
 class Trie:
@@ -105,7 +105,7 @@ def in_order(short: DataFrame, long: DataFrame, mode: str) -> DataFrame:
     every = short.where(F.length("text") > 0).select("vol", end, "text", F.col("ord").cast("long").alias("ord"))
     few, many = keep(every if mode == ALL else least(short)), keep(least(long))
     counts = lambda df, n: df.groupBy("vol", "e").agg(F.count("*").alias(n))
-    sizes = counts(few, "s").join(counts(many, "l"), ["vol", "e"])
+    sizes = counts(few, "s").join(shuffled(counts(many, "l")), ["vol", "e"])
     sizes = sizes.select("vol", "e", F.ceil(F.col("s") / SHORT_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("l") / LONG_BLOCK).cast("int").alias("salts"))
     sizes = broadcast_if_small(keep(sizes), 64)
     own = lambda n: F.pmod(F.xxhash64("text"), n).cast("int")
@@ -154,7 +154,7 @@ def fitting(names: DataFrame, titles: DataFrame, least_name: int, least_short: i
     begun = parts_named(once, "title", least_name, longest(a, "name"), True, False)
     if first:
         begun = begun.groupBy("vol", "h1", "h2").agg(F.min("ord").alias("ord"))
-    begins = a.select("vol", "name", *name_of(F.col("name"))).join(begun, ["vol", "h1", "h2"]).select("vol", "name", "ord")
+    begins = a.select("vol", "name", *name_of(F.col("name"))).join(shuffled(begun), ["vol", "h1", "h2"]).select("vol", "name", "ord")
     walked = in_order(t.where(F.length("title") >= least_short).withColumnRenamed("title", "text"), a.select("vol", F.col("name").alias("text"), F.lit(0).alias("ord")), FIRST if first else ALL)
     both = inside.unionByName(begins).unionByName(walked.withColumnRenamed("text", "name"))
     return both.groupBy("vol", "name").agg(F.min("ord").alias("ord")) if first else both.distinct()
@@ -168,7 +168,7 @@ def naming(names: DataFrame, titles: DataFrame, least: int) -> DataFrame:
     a = keep(names.where(F.length("name") >= least).select("vol", "name").distinct())
     t = keep(titles.where(F.length("title") > 0).groupBy("vol", "title").agg(F.min("ord").cast("long").alias("ord")))
     ended = parts_named(t, "title", least, longest(a, "name"), False, True).groupBy("vol", "h1", "h2").agg(F.min("ord").alias("ord"))
-    ends = a.select("vol", "name", *name_of(F.col("name"))).join(ended, ["vol", "h1", "h2"]).select("vol", "name", "ord")
+    ends = a.select("vol", "name", *name_of(F.col("name"))).join(shuffled(ended), ["vol", "h1", "h2"]).select("vol", "name", "ord")
     inside = whole_in_parts(t.where(F.length("title") >= least).withColumnRenamed("title", "inner"), a.withColumnRenamed("name", "outer"), least, False, True).select("vol", F.col("outer").alias("name"), "ord")
     walked = in_order(a.select("vol", F.col("name").alias("text"), F.lit(0).alias("ord")), t.withColumnRenamed("title", "text"), FIRST_LONG)
     return ends.unionByName(inside).unionByName(walked.withColumnRenamed("text", "name")).groupBy("vol", "name").agg(F.min("ord").alias("ord"))
