@@ -1,6 +1,6 @@
 """What grows with its input must not be held whole: joins of long sides, codes of copies, pieces beyond what is sent, texts of many marks."""
 
-from textloom.operators import containment, contents
+from textloom.operators import alignment, containment, contents, linking
 from textloom.storage import shuffled
 
 
@@ -15,3 +15,23 @@ def test_titles_are_not_broadcast(spark, monkeypatch):
     found = contents.containing_title(names, titles)
     assert [r["canon"] for r in found.collect()] == ["one name"]
     assert "Broadcast" not in plan(found)
+
+
+def test_only_stretches_of_pieces_leave_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "SENT", 3)
+    monkeypatch.setattr(alignment, "HELD", 2)
+    monkeypatch.setattr(alignment, "ONE_BY_ONE", 1)
+    texts = [(1, "abcabcabd"), (2, "xyz" * 50), (3, None), (4, "zab")]
+    pieces = ["abc", "abd", "bca", "zz", "zx", "yzxy", "a", "nowhere"]
+    docs, wanted = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(p,) for p in pieces], "piece string")
+    every = sorted((p, k, i) for k, t in texts if t for p in pieces for i in range(len(t)) if t.startswith(p, i))
+    for first in (False, True):
+        right = [x for x in every if not first or x[2] == min(i for p, k, i in every if (p, k) == x[:2])]
+        assert sorted(tuple(r) for r in alignment.near_pieces(wanted, docs, "k", "t", first).collect()) == right
+        assert sorted(tuple(r) for r in alignment.find_pieces(wanted, docs, "k", "t", first).collect()) == right
+
+
+def test_one_body_holds_the_quote(spark):
+    refs = spark.createDataFrame([(1, "a", "quote"), (2, "a", "other"), (3, "b", "quote")], "ref long, name string, quote string")
+    bodies = spark.createDataFrame([(1, "a", "quote other"), (2, "a一", "other"), (3, "b", "none")], "id long, title string, body string")
+    assert {r["ref"]: r["id"] for r in linking.unique_by_content(refs, bodies).collect()} == {1: 1, 2: None, 3: None}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import alignment, containment
+from textloom.storage import shuffled
 
 
 #: The two first characters that sources use one for the other, and the numerals that a shortened title may lack.
@@ -99,6 +100,7 @@ def unique_by_content(refs: DataFrame, titles: DataFrame, ref_text: str = "quote
     ways = wanted.select("__f", "__h", F.explode(F.array(F.col("__f"), *[F.concat("__f", F.lit(s)) for s in CONTENT_SUFFIXES])).alias("__k"))
     known = titles.select(F.col("id").alias("__id"), T.loose(T.norm_link("title")).alias("__k"))
     places = alignment.find_pieces(wanted.select(F.col("__h").alias("piece")), titles.select(F.col("id").alias("__id"), T.norm_link(body).alias("__b")), "__id", "__b", first=True)
-    inside = places.select(F.col("piece").alias("__h"), "__id").join(known, "__id")
-    hits = ways.join(inside, ["__k", "__h"]).groupBy("__f", "__h").agg(F.count_distinct("__id").alias("m"), F.min("__id").alias("id")).where("m = 1").drop("m")
-    return asked.join(hits, ["__f", "__h"], "left").select(*refs.columns, "id")
+    # the one id is both the least and the greatest, so a text that all bodies have is a row a title and task
+    inside = places.select(F.col("piece").alias("__h"), "__id").join(shuffled(known), "__id").groupBy("__k", "__h").agg(F.min("__id").alias("id"), F.max("__id").alias("__last"))
+    hits = ways.join(shuffled(inside), ["__k", "__h"]).groupBy("__f", "__h").agg(F.min("id").alias("id"), F.max("__last").alias("__last")).where("id = __last").drop("__last")
+    return asked.join(shuffled(hits), ["__f", "__h"], "left").select(*refs.columns, "id")
