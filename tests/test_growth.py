@@ -1,6 +1,8 @@
 """What grows with its input must not be held whole: joins of long sides, codes of copies, pieces beyond what is sent, texts of many marks."""
 
-from textloom.operators import alignment, containment, contents, linking
+import numpy as np
+
+from textloom.operators import alignment, containment, contents, linking, vectors
 from textloom.storage import shuffled
 
 
@@ -35,3 +37,24 @@ def test_one_body_holds_the_quote(spark):
     refs = spark.createDataFrame([(1, "a", "quote"), (2, "a", "other"), (3, "b", "quote")], "ref long, name string, quote string")
     bodies = spark.createDataFrame([(1, "a", "quote other"), (2, "a一", "other"), (3, "b", "none")], "id long, title string, body string")
     assert {r["ref"]: r["id"] for r in linking.unique_by_content(refs, bodies).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_vectors_beyond_the_sample_are_recalled(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "SAMPLE", 128)
+    x = np.random.default_rng(3).normal(size=(2500, 24))
+    x[1000:1300] = x[1000]  # copies
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(x.tolist())], "space string, key long, vector array<double>")
+    path = str(tmp_path / "v")
+    vectors.build(df, path, top=10)
+    asked = [*range(0, 2500, 25)]
+    found = {}
+    for r in vectors.search(spark, path, df.where("key % 25 = 0").withColumnRenamed("key", "query"), top=10).collect():
+        found.setdefault(r["query"], set()).add(r["key"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in asked:
+        near = np.lexsort((np.arange(2500), -np.round(unit @ unit[q], 6)))[:10]
+        hits += len(found[q] & set(near.tolist()))
+    assert hits >= 0.95 * 10 * len(asked)
+    row = vectors.share_scanned(spark, path).first()
+    assert row["bytes_read"] < row["bytes_all"]

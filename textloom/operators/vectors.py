@@ -1,7 +1,7 @@
 """A stored index of vectors by namespace: an inverted file of cells, product-quantised residuals, exact re-ranking.
 
 For each namespace, cells and code books are fitted on a bounded sample, where the vectors are read; so many cells are then opened, and so many
-candidates re-ranked, as the sample needs for the recall asked for. Lists hold 16 bytes a vector beside the vector itself: a search reads
+candidates re-ranked, as queries of the sample need for the recall asked for among all vectors of the namespace. Lists hold 16 bytes a vector beside the vector itself: a search reads
 the codes of the cells it opens, and the vectors of its candidates alone. Namespaces are folders.
 """
 
@@ -23,8 +23,10 @@ SAMPLE, CELLS, PER_CELL = 4096, 512, 64
 PARTS, CODES = 16, 256
 #: Rows of a block that meets a namespace's books in one task.
 BLOCK = 16384
-#: The recall that a sample must have before its settings are taken, and queries of the sample that are asked.
+#: The recall that settings must have before they are taken, and queries of a namespace that are asked for it.
 RECALL, ASKED = 0.97, 100
+#: Shares of the cells that may be opened; a query takes 2, 4, 8, ... times the places asked for as candidates.
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1)
 BOOK = "space string, dims int, cells int, probes int, more int, coarse binary, books binary"
 
 
@@ -55,7 +57,7 @@ class Books:
         self.coarse, self.books, self.probes, self.more = coarse, books, probes, more  # (cells, d), (parts, codes, width)
 
     @classmethod
-    def fit(cls, x: np.ndarray, n: int, top: int) -> Books:
+    def fit(cls, x: np.ndarray, n: int) -> Books:
         coarse = _means(x, max(1, min(CELLS, n // PER_CELL)))
         rest = x - coarse[_nearest(x, coarse)]
         width = -(-x.shape[1] // PARTS)
@@ -64,28 +66,18 @@ class Books:
         for p in range(PARTS):
             means = _means(rest[:, p * width : (p + 1) * width], CODES)
             out.books[p, : len(means)] = means
-        out.settle(x, top)
         return out
 
-    def settle(self, x: np.ndarray, top: int) -> None:
-        """The fewest cells, and candidates in multiples of top, that give the sample's own queries the recall asked for."""
-        cell, codes = self.code(x)
-        step = max(1, len(x) // ASKED)
-        q = x[::step]
-        exact = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :top]
-        rough, order = self.rough(q, cell, codes), np.argsort(-(q @ self.coarse.T), axis=1)
+    def met(self, q: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """At which probe of each query vectors of these cells are met."""
+        order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
-        place = rank[:, cell]  # at which probe a vector is met
-        for more in (2, 4, 8, 16):
-            for probes in sorted({max(1, round(len(self.coarse) * share)) for share in (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1)}):
-                seen = np.where(place < probes, rough, -np.inf)
-                kept = np.argpartition(-seen, min(more * top, len(x)) - 1, axis=1)[:, : more * top]
-                hits = sum(len(np.intersect1d(a, b)) for a, b in zip(exact, kept, strict=True))
-                if hits >= RECALL * exact.size:
-                    self.probes, self.more = probes, more
-                    return
-        self.probes, self.more = len(self.coarse), 16
+        return rank[:, cell]
+
+    def levels(self) -> list[int]:
+        """The numbers of cells that may be opened."""
+        return sorted({max(1, round(len(self.coarse) * share)) for share in SHARES})
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, codes) of unit vectors."""
@@ -113,14 +105,14 @@ class Books:
         return cls(coarse, np.frombuffer(r["books"]).reshape(PARTS, -1, width), r["probes"], r["more"])
 
 
-def fit(vectors: DataFrame, top: int) -> DataFrame:
+def fit(vectors: DataFrame) -> DataFrame:
     """A row of books for each namespace of vectors (space, key, vector)."""
     nth = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("key"), "key"))
     some = vectors.withColumn("__n", nth).where(F.col("__n") <= SAMPLE).drop("__n").join(vectors.groupBy("space").agg(F.count("*").alias("n")), "space")
 
     def train(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("key")
-        return pd.DataFrame([Books.fit(_unit(f["vector"]), int(f["n"].iloc[0]), top).row(f["space"].iloc[0])])
+        return pd.DataFrame([Books.fit(_unit(f["vector"]), int(f["n"].iloc[0])).row(f["space"].iloc[0])])
 
     return some.groupBy("space").applyInPandas(train, BOOK)
 
@@ -148,6 +140,67 @@ def with_books(rows: DataFrame, books: DataFrame, each, schema: str) -> DataFram
     return own.unionByName(theirs).repartition("space", "salt").sortWithinPartitions("space", "salt", "plain").mapInPandas(run, schema)
 
 
+def settled(coded: DataFrame, books: DataFrame, top: int) -> DataFrame:
+    """books with the least that queries of each namespace read for the recall asked for, of cells to open and candidates.
+
+    ASKED vectors of a namespace, by least hash, are its queries. Their exact nearest are found among all its vectors; then each block of vectors (space,
+    key, cell, codes, vector) counts, for every number of cells, how many of its own come before each of those by their codes.
+    """
+    nth = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("key", F.lit("asked")), "key"))
+    asked = keep(coded.select("space", "key", "vector").withColumn("__n", nth).where(F.col("__n") <= ASKED).select("space", F.col("key").alias("query"), "vector"))
+    of_block = [F.col("space"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt")]
+    salts = broadcast_if_small(keep(coded.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))), 64)
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    blocks = keep(coded.join(salts, "space").select(*of_block, "key", "cell", "codes", "vector"))
+    pairs = lambda df: blocks.groupBy("space", "salt").cogroup(df.join(salts, "space").select("space", every, *[c for c in df.columns if c != "space"]).groupBy("space", "salt"))
+
+    def exact(at: tuple, f: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        score = _unit(qs["vector"]) @ _unit(f["vector"]).T
+        key = f["key"].to_numpy(np.int64)
+        kept = np.lexsort((np.broadcast_to(key, score.shape), -np.round(score, 6)), axis=1)[:, :top]
+        return pd.DataFrame({"space": pd.Series([at[0]] * kept.size, dtype=object), "query": np.repeat(qs["query"].to_numpy(np.int64), kept.shape[1]), "key": key[kept.ravel()], "score": np.round(np.take_along_axis(score, kept, 1), 6).ravel()})
+
+    near = retrieval.ranked(pairs(asked).applyInPandas(exact, "space string, query long, key long, score double"), ["space", "query"], [F.desc("score"), F.asc("key")], top)
+    # a row a query: its nearest with their cells and codes
+    own = near.join(coded.select("space", "key", "cell", "codes"), ["space", "key"]).groupBy("space", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "cell", "codes"))).alias("near"))
+    targets = keep(own.join(asked, ["space", "query"]).join(books, "space"))
+    fields = ["dims", "cells", "probes", "more", "coarse", "books"]
+
+    def count(at: tuple, f: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        b = Books.read({c: qs[c].iloc[0] if c in ("coarse", "books") else int(qs[c].iloc[0]) for c in fields})
+        codes = lambda rows: np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PARTS)
+        f = f.sort_values("key")
+        key, cell, levels, out = f["key"].to_numpy(np.int64), f["cell"].to_numpy(np.int64), b.levels(), []
+        packed = codes(f["codes"])
+        for query, vector, rows in zip(qs["query"], qs["vector"], qs["near"], strict=True):
+            q = _unit(pd.Series([vector]))
+            wanted, places = np.array([r["key"] for r in rows], np.int64), np.array([r["cell"] for r in rows], np.int64)
+            theirs, mine = b.rough(q, places, codes([r["codes"] for r in rows]))[0], b.rough(q, cell, packed)[0]
+            met, met_theirs = b.met(q, cell)[0], b.met(q, places)[0]
+            for level in levels:
+                rough, keys = -mine[met < level], key[met < level]
+                order = np.argsort(rough, kind="stable")  # keys ascend
+                rough, keys = rough[order], keys[order]
+                lo, hi = np.searchsorted(rough, -theirs, "left"), np.searchsorted(rough, -theirs, "right")
+                before = [int(i + np.searchsorted(keys[i:j], k)) for i, j, k in zip(lo, hi, wanted, strict=True)]
+                out += [(at[0], level, query, k, n) for k, n, m in zip(wanted.tolist(), before, met_theirs.tolist(), strict=True) if m < level]
+        return pd.DataFrame(out, columns=["space", "level", "query", "key", "before"])
+
+    counted = pairs(targets).applyInPandas(count, "space string, level int, query long, key long, before long")
+    each = counted.groupBy("space", "level", "query", "key").agg(F.sum("before").alias("before"))
+    # the least power of two of candidates that takes in a near one, then for each number of cells the least one that takes in enough of them
+    fold = F.greatest(F.lit(1), F.ceil(F.log2((F.col("before") + 1) / top))).cast("int")
+    hits = each.groupBy("space", "level", fold.alias("fold")).agg(F.count("*").alias("n"))
+    hits = hits.withColumn("hits", F.sum("n").over(Window.partitionBy("space", "level").orderBy("fold")))
+    all_near = near.groupBy("space").agg(F.count("*").alias("all_near"))
+    sizes = coded.groupBy("space").agg(F.count("*").alias("size"), F.max(F.size("vector")).alias("d"))
+    good = hits.join(all_near, "space").where(F.col("hits") >= RECALL * F.col("all_near")).join(sizes, "space").join(books.select("space", "cells"), "space")
+    more = F.pow(F.lit(2), F.col("fold")).cast("int")
+    read = F.col("size") * PARTS * F.col("level") / F.col("cells") + F.least(F.col("size"), more * top) * F.col("d") * 8
+    best = good.groupBy("space").agg(F.min(F.struct(read.alias("read"), "level", more.alias("m"))).alias("b")).select("space", "b.level", "b.m")
+    return books.join(best, "space", "left").select("space", "dims", "cells", F.coalesce("level", "probes").alias("probes"), F.coalesce("m", "more").alias("more"), "coarse", "books")
+
+
 def build(vectors: DataFrame, path: str, top: int = retrieval.VECTOR_TOP) -> None:
     """Writes the index of vectors (space, key, vector) under path; rows without key, space, or with a null or zero vector aren't in it.
 
@@ -155,14 +208,15 @@ def build(vectors: DataFrame, path: str, top: int = retrieval.VECTOR_TOP) -> Non
     """
     sound = vectors.where("space IS NOT NULL AND key IS NOT NULL AND vector IS NOT NULL").select(F.col("space").cast("string").alias("space"), F.col("key").cast("long").alias("key"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     sound = keep(sound.where(F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))))
-    fit(sound, top).write.mode("overwrite").parquet(f"{path}/books")
-    books = sound.sparkSession.read.parquet(f"{path}/books")
+    books = keep(fit(sound))
 
     def each(b: Books, f: pd.DataFrame) -> pd.DataFrame:
         cell, codes = b.code(_unit(f["vector"]))
         return pd.DataFrame({"space": pd.Series(f["space"].to_numpy(), dtype=object), "key": f["key"].to_numpy().astype(np.int64), "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "vector": f["vector"].to_numpy()})
 
     lists = with_books(sound, books, each, "space string, key long, cell int, codes binary, vector array<double>")
+    lists = keep(lists)
+    settled(lists, books, top).write.mode("overwrite").parquet(f"{path}/books")
     lists.hint("rebalance", "space", "cell").sortWithinPartitions("space", "cell", "key").write.partitionBy("space").mode("overwrite").parquet(f"{path}/lists")
 
 
@@ -195,7 +249,8 @@ def candidates(spark: SparkSession, path: str, queries: DataFrame, top: int) ->
         q = _unit(qs["vector"])
         found = b.rough(q, np.full(len(codes), key[1]), np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(codes), PARTS))
         n = min(len(codes), b.more * top)
-        kept = np.argpartition(-found, n - 1, axis=1)[:, :n]
+        codes = codes.reset_index(drop=True)
+        kept = np.lexsort((np.broadcast_to(codes["key"].to_numpy(np.int64), found.shape), -found), axis=1)[:, :n]  # of copies the smallest keys
         return pd.DataFrame({"query": np.repeat(qs["query"].to_numpy().astype(np.int64), n), "space": pd.Series([key[0]] * kept.size, dtype=object), "key": codes["key"].to_numpy().astype(np.int64)[kept.ravel()], "rough": np.take_along_axis(found, kept, 1).ravel(), "more": b.more})
 
     own = ask.unionByName(at, allowMissingColumns=True)
