@@ -35,9 +35,10 @@ def reading_list(lists: DataFrame, key: str, body: str) -> DataFrame:
     """
     cut = F.regexp_replace(F.col(body), r"（以上(?U)\s*([^）]*)）", "\n§$1\n")
     parts = lists.select(key, F.posexplode(F.split(cut, "\n")).alias("p", "s"))
-    after = Window.partitionBy(key).orderBy("p").rowsBetween(0, Window.unboundedFollowing)
+    # from the last row on: a frame that grows is kept up, one that shrinks is computed anew for each row
+    after = Window.partitionBy(key).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     title = F.when(F.col("s").startswith("§"), F.replace(T.squash_ws(F.substr("s", F.lit(2))), F.lit("."), F.lit("·")))
-    named = parts.withColumn("sec", F.coalesce(F.first(title, ignorenulls=True).over(after), F.lit("其他"))).where(~F.col("s").startswith("§"))
+    named = parts.withColumn("sec", F.coalesce(F.last(title, ignorenulls=True).over(after), F.lit("其他"))).where(~F.col("s").startswith("§"))
     own = T.strip("s")
     names = F.array_remove(F.split(T.strip(F.regexp_replace(own, "^◎+", "")), r"(?U)\s+"), "")
     each = named.select(key, "p", "sec", own.startswith("◎").alias("m"), F.posexplode(names).alias("i", "name"))
