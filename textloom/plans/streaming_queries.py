@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.operators import serving
 from textloom.plans.base import query, table
 from textloom.plans.retrieval_queries import _TOKENS
-from textloom.storage import shared_dir
+from textloom.storage import keep, shared_dir
 from textloom.streaming import jobs
 
 
@@ -83,14 +83,23 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.max_by("pct", "batch").alias("pct"))
 
 
+#: Characters of the pieces of one file on average.
+FILE_CHARS = 16 << 20
+
+
 def pieces_of(lines: DataFrame, spark: SparkSession, size: int, files: int) -> DataFrame:
-    """A stream of files with the texts of lines (doc_id, body) in pieces of so many characters, and the end of each; a file has every files-th piece."""
+    """A stream of files with the texts of lines (doc_id, body) in pieces of so many characters, and the end of each; a folder has every files-th piece.
+
+    A folder has as many files as its pieces need, and a batch takes as many files, so neither a file nor a task grows with the texts.
+    """
     path = work_dir(spark)
     starts = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int"))
     cut = F.concat(F.transform(starts, lambda k: F.substr("body", k * size + 1, F.lit(size))), F.array(F.lit(None).cast("string")))
-    each = lines.select("doc_id", F.posexplode(cut).alias("seq", "piece"))
-    each.withColumn("file", F.col("seq") % files).repartition(files, "file").write.partitionBy("file").parquet(path)
-    return spark.readStream.schema("doc_id long, seq int, piece string, file int").option("maxFilesPerTrigger", 1).parquet(path)
+    lines = keep(lines)
+    parts = max(1, -(-(lines.agg(F.sum(F.length("body"))).first()[0] or 0) // (FILE_CHARS * files)))
+    each = lines.select("doc_id", F.posexplode(cut).alias("seq", "piece")).withColumn("file", F.col("seq") % files).withColumn("part", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(parts)).cast("int"))
+    each.repartition(files * parts, "file", "part").drop("part").write.partitionBy("file").parquet(path)
+    return spark.readStream.schema("doc_id long, seq int, piece string, file int").option("maxFilesPerTrigger", parts).parquet(path)
 
 
 def to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
