@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import alignment, containment, contents, documents, lexical, linking, vectors
+from textloom.operators import alignment, containment, contents, documents, lexical, linking, terms, vectors
 from textloom.plans import streaming_queries
 from textloom.storage import shuffled
 
@@ -90,3 +90,15 @@ def test_files_of_pieces_do_not_grow_with_the_texts(spark, monkeypatch):
     assert sum(map(sum, seen)) == 40 * (143 + 1)
     assert max(map(max, seen)) < 1500
     assert 2 <= len(seen) <= 4
+
+
+def test_a_dictionary_of_many_letters_is_one_tree_and_marks_hold_no_list(spark):
+    words = [chr(0x4E00 + k) + chr(0x4E00 + (7 * k) % 9000) + "x" * (k % 3) for k in range(9000)]
+    known = spark.createDataFrame([(w,) for w in words], "term string")
+    assert [len(x) for x in terms.dealt(known, "term")] == [9000]
+    texts = ["-".join(words[k::500]) + "\0" + words[0] for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = terms.occurrences(docs, known)
+    want = {(k, w, t.index(w) + 1) for k, t in enumerate(texts) for w in words if w in t}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "collect_list" not in plan(terms.marks(found))
