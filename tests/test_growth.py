@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import alignment, containment, contents, documents, lexical, linking, terms, vectors
+from textloom.operators import alignment, changing, containment, contents, documents, lexical, linking, terms, vectors
 from textloom.plans import streaming_queries
 from textloom.storage import shuffled
 
@@ -102,3 +102,29 @@ def test_a_dictionary_of_many_letters_is_one_tree_and_marks_hold_no_list(spark):
     want = {(k, w, t.index(w) + 1) for k, t in enumerate(texts) for w in words if w in t}
     assert {tuple(r) for r in found.collect()} == want
     assert "collect_list" not in plan(terms.marks(found))
+
+
+def test_places_are_not_shuffled_by_phrase_and_document(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "of the river the of the " * (1 + k % 3)) for k in range(300)], "doc_id long, text string")
+    lexical.build(docs, str(tmp_path / "i"))
+    postings = lexical.read_postings(spark, str(tmp_path / "i"))
+    assert postings.schema["places"].dataType.simpleString() == "array<int>"
+    phrases = spark.createDataFrame([("of the", ["of", "the"]), ("the of the", ["the", "of", "the"]), ("of of", ["of", "of"])], "name string, tokens array<string>")
+    found = lexical.phrase_entries(postings, phrases)
+    assert "Generate explode(arrays_zip" not in plan(found) and "collect_list" not in plan(found)
+    tf = {(r["name"], k): n for r in found.collect() for k, n in zip(r["keys"], r["tfs"], strict=True)}
+    assert len(tf) == 600 and all(tf["of the", k] == 2 * (1 + k % 3) and tf["the of the", k] == 1 + 2 * (k % 3) for k in range(300))
+
+
+def test_postings_of_dead_documents_go_without_a_row_each(spark, tmp_path):
+    index = changing.ChangingIndex(spark, str(tmp_path / "c"))
+    index.add(spark.createDataFrame([(k, f"a b{k} a c") for k in range(30)], "doc_id long, text string"), 0)
+    index.add(spark.createDataFrame([(k, None if k % 2 else "a d") for k in range(0, 30, 3)], "doc_id long, text string"), 1)
+    view = index.opened()
+    rows = view.live(view._read("postings", ["block"]).drop("batch"))
+    assert "collect_list" not in plan(rows)
+    got = {}
+    for r in rows.collect():
+        assert r["n"] == len(r["keys"]) == len(r["tfs"]) == len(r["lens"]) and len(r["places"]) == sum(r["tfs"]) and r["most"] == max(r["tfs"])
+        got.setdefault(r["token"], set()).update(r["keys"])
+    assert got["a"] == {k for k in range(30) if k % 3 or not k % 2} and got["c"] == {k for k in range(30) if k % 3} and got["d"] == set(range(0, 30, 6)) and "b3" not in got

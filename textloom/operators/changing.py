@@ -8,7 +8,10 @@ segments as one; blocks stay as they are. A batch is written under its number an
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,30 @@ from textloom.storage import broadcast_if_small, exists, keep, remove
 LOG = "batch long, state string, path string, first_block long, blocks long, error string"
 
 
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings without the entries whose keys are in gone; rows of which nothing is left go."""
+    for batch in batches:
+        own = {c: batch.column(c) for c in batch.schema.names}
+        offsets = own["keys"].offsets.to_numpy()
+        keys, gone = own["keys"].flatten(), own["gone"].flatten()
+        code = pa.concat_arrays([keys, gone]).dictionary_encode()
+        code, many = code.indices.to_numpy().astype(np.int64), len(code.dictionary) + 1
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        of = np.repeat(np.arange(batch.num_rows), np.diff(own["gone"].offsets.to_numpy()))
+        live = ~np.isin(row * many + code[: len(keys)], of * many + code[len(keys) :])
+        lens, tfs, places = (own[c].flatten().to_numpy() for c in ("lens", "tfs", "places"))
+        n = np.bincount(row[live], minlength=batch.num_rows)
+        left = np.flatnonzero(n)
+        first = np.cumsum(n[left]) - n[left]
+        lens, kept = lens[live], tfs[live]
+        places = places[np.repeat(live, tfs)]
+        lists = lambda sizes, x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), x)
+        reduced = lambda f, x: f.reduceat(x, first) if len(first) else x[:0]
+        made = [own[c].take(pa.array(left)) for c in ("bucket", "token", "block")] + [pa.array(n[left].astype(np.int64)), pa.array(reduced(np.maximum, kept)), pa.array(reduced(np.minimum, lens))]
+        made += [lists(n[left], x) for x in (keys.filter(pa.array(live)), pa.array(lens), pa.array(kept))] + [lists(reduced(np.add, kept), pa.array(places))]
+        yield pa.RecordBatch.from_arrays(made, names=batch.schema.names[:-1])
+
+
 class Segments(lexical.Index):
     """The live rows of several segments as one index."""
 
@@ -46,16 +73,12 @@ class Segments(lexical.Index):
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Postings without the entries of documents that a later batch has; blocks without such documents pass as they are."""
-        dead = self.docs.where("NOT live")
-        touched = broadcast_if_small(keep(dead.select("block").distinct()), 8)
-        whole = rows.join(touched, "block", "left_anti")
-        fields = ["keys", "lens", "tfs", "places"]
-        each = rows.join(touched, "block", "left_semi").select("bucket", "token", "block", F.explode(F.arrays_zip(*fields)).alias("e"))
-        kept = each.join(dead.select("block", F.col("key").alias("__k")), (F.col("e.keys") == F.col("__k")) & (each["block"] == dead["block"]), "left_anti")
-        again = kept.groupBy("bucket", "token", "block").agg(F.array_sort(F.collect_list("e")).alias("e"))  # no more than a block has documents
-        own = [F.col(f"e.{c}").alias(c) for c in fields]
-        again = again.select("bucket", "token", "block", *own).withColumns({"n": F.size("keys").cast("long"), "most": F.array_max("tfs"), "shortest": F.array_min("lens")})
-        return whole.select(*again.columns).unionByName(again)
+        gone = self.docs.where("NOT live").groupBy("block").agg(F.collect_list("key").alias("gone"))  # no more than a block has documents
+        gone = broadcast_if_small(keep(gone), 8 * lexical.BLOCK)
+        names = ["bucket", "token", "block", "n", "most", "shortest", "keys", "lens", "tfs", "places"]
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+        whole = rows.join(gone, "block", "left_anti").select(*names)
+        return whole.unionByName(rows.join(gone, "block").select(*names, "gone").mapInArrow(_without, kinds))
 
     def postings(self, tokens: DataFrame) -> DataFrame:
         return keep(self.live(self._read("postings", ["block"]).drop("batch").join(broadcast_if_small(tokens, 64), ["bucket", "token"], "left_semi")))
