@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import alignment, changing, containment, contents, documents, lexical, linking, terms, vectors
-from textloom.plans import streaming_queries
-from textloom.storage import shuffled
+from textloom.operators import alignment, changing, chunking, containment, contents, documents, lexical, linking, retrieval, terms, vectors
+from textloom.plans import retrieval_queries, streaming_queries
+from textloom.storage import keep, shuffled
 
 
 def plan(df):
@@ -128,3 +128,18 @@ def test_postings_of_dead_documents_go_without_a_row_each(spark, tmp_path):
         assert r["n"] == len(r["keys"]) == len(r["tfs"]) == len(r["lens"]) and len(r["places"]) == sum(r["tfs"]) and r["most"] == max(r["tfs"])
         got.setdefault(r["token"], set()).update(r["keys"])
     assert got["a"] == {k for k in range(30) if k % 3 or not k % 2} and got["c"] == {k for k in range(30) if k % 3} and got["d"] == set(range(0, 30, 6)) and "b3" not in got
+
+
+def test_pairs_of_blocks_reach_python_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DATA_BLOCK", 8)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    rows = []
+    monkeypatch.setattr(retrieval, "keep", lambda df: rows.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or keep(df), raising=False)
+    x = np.random.default_rng(5).integers(-2, 3, (60, 3)).astype(float)  # many ties, some without a direction
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in retrieval.knn(df.where("vec_id % 5 = 0"), df, top=7).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["vec_id"])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    assert got == {q: np.lexsort((np.arange(60), -np.round(unit @ unit[q], 6)))[:7].tolist() for q in range(0, 60, 5)}
+    assert rows == ["1"]

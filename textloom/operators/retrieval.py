@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.storage import keep, rows_to_python
 
 # Fixed values of the retrieval pipeline.
 LEXICAL_TOP, VECTOR_TOP, RRF_K, POOL, TOP = 30, 40, 60, 16, 8
@@ -51,27 +52,34 @@ def knn(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str
     d = blocks(vectors, key, vector, DATA_BLOCK, label).select("block", "rows")
     tiers = [0, 1] if label else [0]
 
-    def unit(rows: list) -> np.ndarray:
-        x = np.array([r["v"] for r in rows])
+    def unit(rows: pa.StructArray) -> np.ndarray:
+        v = rows.field("v")
+        dims = np.diff(v.offsets.to_numpy())
+        if len(dims) and (dims != dims[0]).any():
+            raise ValueError("vectors of a search have different lengths")
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for qs, ds in zip(f["q"], f["rows"], strict=True):
-                qid, did = np.array([r["id"] for r in qs]), np.array([r["id"] for r in ds])
-                want, have = np.array([r["label"] for r in qs]), np.array([r["label"] for r in ds])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, ds = batch.column("q")[i].values, batch.column("rows")[i].values
+                qid, did, want, have = (x.to_numpy() for x in (qs.field("id"), ds.field("id"), qs.field("label"), ds.field("label")))
                 score = np.round(unit(qs) @ unit(ds).T, 6)
-                out = []
+                score[~np.isfinite(score)] = -np.inf
                 for tier in tiers:
                     s = np.where(want[:, None] == have[None, :], score, -np.inf) if label and tier == 0 else score
-                    order = np.lexsort((np.broadcast_to(did, s.shape), -s), axis=1)[:, :top]
-                    kept = np.take_along_axis(s, order, 1)
-                    r, c = np.nonzero(np.isfinite(kept))
-                    out.append(pd.DataFrame({"query": qid[r], "tier": tier, key: did[order[r, c]], "score": kept[r, c]}))
-                yield pd.concat(out, ignore_index=True)
-
-    found = q.crossJoin(d).mapInPandas(run, f"query long, tier int, {key} long, score double")
-    best = ranked(found, ["query", "tier"], [F.desc("score"), F.asc(key)], top)
+                    least = np.partition(s, -top, axis=1)[:, -top] if s.shape[1] > top else np.full(len(s), -np.inf)
+                    r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # the first top and what ties with the last of them
+                    order = np.lexsort((did[c], -s[r, c], r))
+                    r, c = r[order], c[order]
+                    first = np.arange(len(r)) - np.searchsorted(r, r) < top
+                    r, c = r[first], c[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r], pa.int64()), pa.array(np.full(len(r), tier, np.int32)), pa.array(did[c], pa.int64()), pa.array(s[r, c])], names=["query", "tier", key, "score"])
+
+    found = q.crossJoin(d).mapInArrow(run, f"query long, tier int, {key} long, score double")
+    with rows_to_python(queries.sparkSession, 1):  # a pair of blocks is megabytes
+        best = keep(ranked(found, ["query", "tier"], [F.desc("score"), F.asc(key)], top))
     lowest = F.min("tier").over(Window.partitionBy("query"))
     return best.withColumn("__t", lowest).where("tier = __t").drop("__t")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,15 @@ def fingerprint(spark: SparkSession, path: str) -> str:
         f = walk.next()
         parts.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
     return "\n".join(sorted(parts))
+
+
+@contextmanager
+def rows_to_python(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows at a time to Python, for what is run inside the block: long rows must not fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
