@@ -143,3 +143,11 @@ def test_pairs_of_blocks_reach_python_one_by_one(spark, monkeypatch):
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     assert got == {q: np.lexsort((np.arange(60), -np.round(unit @ unit[q], 6)))[:7].tolist() for q in range(0, 60, 5)}
     assert rows == ["1"]
+
+
+def test_few_texts_at_a_time_are_cut_to_chunks(spark, monkeypatch, tmp_path):
+    rows = []
+    monkeypatch.setattr(retrieval_queries, "keep", lambda df: rows.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or keep(df))
+    spark.createDataFrame([(k, f"a text of some words {k}.") for k in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert retrieval_queries.embedded_chunks(spark, str(tmp_path)).count() == 9
+    assert rows == [str(chunking.TEXTS)]

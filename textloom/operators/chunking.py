@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 SIZE, OVERLAP, CONTEXT, LEAST = 720, 80, 1100, 0.45
+#: Texts that Python should get at a time, as they may be long.
+TEXTS = 256
 
 
 def split_text(text: str, marks: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:

@@ -18,8 +18,8 @@ from textloom.functions import text as T
 
 #: Slots that features are hashed to (2 MB of counts), and dimensions of vectors.
 SLOTS, DIMS = 1 << 18, 64
-#: Texts that a model gets in one call.
-CALL = 50
+#: Texts that a model gets in one call, and that are embedded together.
+CALL, TOGETHER = 50, 512
 
 
 def slots(text: Column | str) -> Column:
@@ -50,13 +50,17 @@ class Embedder:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             rarity = shared.value
             for batch in batches:
-                n = batch.map(len).to_numpy(np.int64)
-                at = np.concatenate([*batch.to_numpy(), np.zeros(0, np.int32)]).astype(np.int64)
-                signed = np.where((at // DIMS) % 2 == 0, rarity[at], -rarity[at])
-                v = np.bincount(np.repeat(np.arange(len(n)) * DIMS, n) + at % DIMS, weights=signed, minlength=len(n) * DIMS).astype(float).reshape(-1, DIMS)
-                length = np.sqrt((v * v).sum(1))
-                v /= np.maximum(length, 1e-300)[:, None]
-                yield pd.Series([x if ok else None for x, ok in zip(v, length > 1e-9, strict=True)], dtype=object)
+                out = []
+                for a in range(0, len(batch), TOGETHER):
+                    some = batch.iloc[a : a + TOGETHER]
+                    n = some.map(len).to_numpy(np.int64)
+                    at = np.concatenate([*some.to_numpy(), np.zeros(0, np.int32)]).astype(np.int64)
+                    signed = np.where((at // DIMS) % 2 == 0, rarity[at], -rarity[at])
+                    v = np.bincount(np.repeat(np.arange(len(n)) * DIMS, n) + at % DIMS, weights=signed, minlength=len(n) * DIMS).astype(float).reshape(-1, DIMS)
+                    length = np.sqrt((v * v).sum(1))
+                    v /= np.maximum(length, 1e-300)[:, None]
+                    out += [x if ok else None for x, ok in zip(v, length > 1e-9, strict=True)]
+                yield pd.Series(out, dtype=object)
 
         made = F.pandas_udf(run, "array<double>")
         return texts.withColumn("n_features", F.size("slots")).withColumn(name, made("slots")).drop("slots")

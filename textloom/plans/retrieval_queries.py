@@ -13,7 +13,7 @@ from textloom.operators import lexical as L
 from textloom.operators import retrieval as R
 from textloom.plans.base import query, table
 from textloom.plans.text_queries import CHUNKS, MARKS
-from textloom.storage import keep, shared_dir
+from textloom.storage import keep, rows_to_python, shared_dir
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -209,6 +209,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select((F.col("doc_id") * PARTS + F.col("part")).alias("id"), "doc_id", "part", F.col("chunk").alias("text"))
 
 
+def kept_slots(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The chunks with their slots, kept; of the columns named, if any are. Python gets few texts at a time, as they may be long."""
+    made = embedding.with_slots(chunks(spark, sf_dir))
+    with rows_to_python(spark, chunking.TEXTS):
+        return keep(made.select(*columns) if columns else made)
+
+
 def figures(vector: str) -> list:
     mix = F.aggregate(F.transform(vector, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return [F.round(mix, 6).alias("mix"), F.round(F.array_max(F.transform(vector, F.abs)), 6).alias("peak")]
@@ -217,14 +224,14 @@ def figures(vector: str) -> list:
 @query(f"WITH RECURSIVE {_EMBED} SELECT id // {PARTS} AS doc_id, (id % {PARTS})::INT AS part, n_features, {_FIGURES} FROM eu WHERE side = 'c' GROUP BY id, n_features")
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each chunk of each document, by the embedder that is fitted on them."""
-    made = keep(embedding.with_slots(chunks(spark, sf_dir)))
+    made = kept_slots(spark, sf_dir, "doc_id", "part", "slots")
     return embedding.Embedder(made).embed(made).where("vector IS NOT NULL").select("doc_id", "part", "n_features", *figures("vector"))
 
 
 @query(f"WITH RECURSIVE {_EMBED} SELECT id AS item_id, n_features, {_FIGURES} FROM eu WHERE side = 'q' GROUP BY id, n_features")
 def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions' vectors, with what is rare among the chunks."""
-    own = embedding.Embedder(keep(embedding.with_slots(chunks(spark, sf_dir)).select("slots")))
+    own = embedding.Embedder(kept_slots(spark, sf_dir, "slots"))
     asked = own.embed(embedding.with_slots(table(spark, sf_dir, "benchmark")))
     return asked.where("vector IS NOT NULL").select("item_id", "n_features", *figures("vector"))
 
@@ -246,7 +253,7 @@ def embedding_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_chunks(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     """(item_id, id, score, rank): the 40 chunks nearest to each question, by the corpus's own embedder."""
-    made = keep(embedding.with_slots(chunks(spark, sf_dir)).select("id", "slots"))
+    made = kept_slots(spark, sf_dir, "id", "slots")
     own = embedding.Embedder(made)
     corpus = own.embed(made).select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
     asked = own.embed(embedding.with_slots(items)).select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding"))
