@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import alignment, changing, chunking, containment, contents, documents, lexical, linking, retrieval, terms, vectors
 from textloom.plans import retrieval_queries, streaming_queries
-from textloom.storage import keep, shuffled
+from textloom.storage import keep, rows_to_python, shuffled
 
 
 def plan(df):
@@ -151,3 +152,25 @@ def test_few_texts_at_a_time_are_cut_to_chunks(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(k, f"a text of some words {k}.") for k in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert retrieval_queries.embedded_chunks(spark, str(tmp_path)).count() == 9
     assert rows == [str(chunking.TEXTS)]
+
+
+def test_scores_are_added_up_where_a_block_lies(spark, tmp_path):
+    texts = [(k, " ".join(f"w{k * j % 7}" for j in range(1, 3 + k % 5))) for k in range(60)] + [(60, None), (61, ""), (62, "... "), (63, "般若波羅 Ab٣ ǅ")]
+    lexical.build(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, ["w0", "w1"]), (2, ["w3 w6"]), (3, ["若波", "w2"])], "item_id long, terms array<string>")
+    search = lambda top: lexical.Search(lexical.Index(spark, str(tmp_path / "i")), asked, "item_id", "terms", None, top)
+    some = search(3)
+    scores = some.scores(some.bounds().select("item_id", "block"))
+    assert "Generate" not in plan(scores)  # no row for each term and document is shuffled
+    every = sorted(((r["item_id"], -r["score"], r["doc_id"]) for r in scores.collect()))
+    assert {r[2] for r in every if r[0] == 1} == {k for k, t in texts if t and {"w0", "w1"} & set(t.split())} and [r[2] for r in every if r[0] == 3 and r[2] > 59] == [63]
+    with rows_to_python(spark, 1):  # blocks go on from batch to batch
+        assert sorted(((r["item_id"], -r["score"], r["doc_id"]) for r in some.scores(some.bounds().select("item_id", "block")).collect())) == every
+    first = [r for i in (1, 2, 3) for r in [x for x in every if x[0] == i][:3]]
+    assert sorted((r["item_id"], -r["score"], r["doc_id"]) for r in some.found().collect()) == first
+
+
+def test_tokens_as_one_text(spark):
+    texts = ["", None, " ,", "One  two_three İ ΣΑΣ", "般若 a般b x", "⺀ 〇 々", "٣ ½ é é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.bigrams("t").alias("a"), T.spaced("t").alias("b"))
+    assert all(r["b"] == " ".join(r["a"]) for r in df.collect())

@@ -130,16 +130,29 @@ def cn_to_num(x: Column | str) -> Column:
     return let(F.replace(F.replace(_c(x), F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十")), read)
 
 
+def _words(x: Column | str) -> tuple[Column, Column, Column]:
+    """(whether there are Han characters, the text with a space for all between its runs, tokens of a text with Han characters)."""
+    # letters first, and no Han character lies below U+2E80: looking a script up takes longest
+    plain = _re(F.coalesce(_c(x), F.lit("")), r"[^\p{L}\p{N}\p{IsHan}]+", " ")
+    runs = F.array_remove(F.split(plain, " +"), "")
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
+    mixed = F.flatten(F.transform(runs, lambda t: F.when(~t.rlike(r"\p{IsHan}"), F.array(F.lower(t))).when(F.length(t) == 1, F.array(t)).otherwise(pairs(t))))
+    return _c(x).rlike(r"[\x{2E80}-\x{10FFFF}&&\p{IsHan}]"), plain, mixed
+
+
 def bigrams(x: Column | str) -> Column:
     """Tokens: runs of letters and digits in lower case; runs with Han characters as overlapping pairs; single ones as they are.
 
     Texts without Han characters, which need no look at each run, take one split.
     """
-    plain = _re(F.coalesce(_c(x), F.lit("")), r"[^\p{IsHan}\p{L}\p{N}]+", " ")
-    runs = F.array_remove(F.split(plain, " +"), "")
-    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
-    mixed = F.flatten(F.transform(runs, lambda t: F.when(~t.rlike(r"\p{IsHan}"), F.array(F.lower(t))).when(F.length(t) == 1, F.array(t)).otherwise(pairs(t))))
-    return F.when(_c(x).rlike(r"\p{IsHan}"), mixed).otherwise(F.array_remove(F.split(F.lower(plain), " +"), ""))
+    han, plain, mixed = _words(x)
+    return F.when(han, mixed).otherwise(F.array_remove(F.split(F.lower(plain), " +"), ""))
+
+
+def spaced(x: Column | str) -> Column:
+    """The tokens of bigrams as one text, a space between them, which costs less to hand to Python than an array."""
+    han, plain, mixed = _words(x)
+    return F.when(han, F.array_join(mixed, " ")).otherwise(F.trim(F.lower(plain)))
 
 
 def lex_text(x: Column | str) -> Column:
