@@ -174,3 +174,13 @@ def test_tokens_as_one_text(spark):
     texts = ["", None, " ,", "One  two_three İ ΣΑΣ", "般若 a般b x", "⺀ 〇 々", "٣ ½ é é"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.bigrams("t").alias("a"), T.spaced("t").alias("b"))
     assert all(r["b"] == " ".join(r["a"]) for r in df.collect())
+
+
+def test_a_name_is_looked_up_once(spark, monkeypatch):
+    seen, resolve = [], linking.resolve
+    monkeypatch.setattr(linking, "resolve", lambda refs, titles: seen.append((refs.count(), titles.count())) or resolve(refs, titles))
+    refs = [(k, *[("复一个名字", "a", "b"), ("other title其三", "b", "a"), ("alone", "x", None), (None, "a", "b"), ("twice", "x", "a"), ("nothing", "a", "b")][k % 6]) for k in range(60)]
+    titles = [("a", 3 + k, "与一个名字", 10 + k) for k in range(20)] + [("b", 2, "复一个名字", 2), ("a", 1, "other title", 3), ("c", 1, "alone（注）", 4), ("c", 1, "alone", 4), ("c", 2, "twice", 5), ("d", 2, "twice", 6)]
+    found = linking.resolve_names(spark.createDataFrame(refs, "ref long, name string, first string, second string"), spark.createDataFrame(titles, "vol string, ord int, title string, id long"))
+    assert sorted((r["ref"], r["id"]) for r in found.collect()) == [(k, [10, 3, 4, None, None, None][k % 6]) for k in range(60)]
+    assert seen == [(12, 7)]

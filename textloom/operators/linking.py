@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import alignment, containment
-from textloom.storage import shuffled
+from textloom.storage import broadcast_if_small, keep, shuffled
 
 
 #: The two first characters that sources use one for the other, and the numerals that a shortened title may lack.
@@ -59,16 +59,23 @@ def resolve(refs: DataFrame, titles: DataFrame) -> DataFrame:
 def resolve_names(refs: DataFrame, titles: DataFrame) -> DataFrame:
     """refs (ref, name, first, second) with id: looked up in the first volume, then in the second, then by its loose form in all of them.
 
-    A final "其" with numerals is no part of a name. The last way counts only if one title in all has that form.
+    A final "其" with numerals is no part of a name. The last way counts only if one title in all has that form. A name is looked up once
+    for its two volumes, however many refs have it.
     """
     base = F.regexp_replace("name", "其[一二三四五六七八九十、，\\s]+$", "")
-    named = refs.withColumn("__n", T.strip(base))
-    sides = F.array(*[F.struct(F.lit(k).alias("way"), F.col(c).alias("vol")) for k, c in enumerate(("first", "second"))])
+    few = refs.select("name", "first", "second").distinct().withColumn("__n", T.strip(base)).withColumn("ref", F.struct("name", "first", "second"))
+    named = keep(few.select("ref", "__n"))
+    sides = F.array(*[F.struct(F.lit(k).alias("way"), F.col(f"ref.{c}").alias("vol")) for k, c in enumerate(("first", "second"))])
     both = named.select("ref", F.explode(sides).alias("s"), F.col("__n").alias("name")).select(F.struct("ref", "s.way").alias("ref"), "s.vol", "name")
-    looked = resolve(both, titles).where("id IS NOT NULL").groupBy(F.col("ref.ref").alias("ref")).agg(F.min_by("id", "ref.way").alias("i1"))
-    alone = titles.groupBy(T.loose(T.norm_link("title")).alias("__k")).agg(F.count_distinct("id").alias("m"), F.min("id").alias("i2")).where("m = 1").drop("m")
+    # of equal titles of a volume the first counts, and whether a form has more than one id is seen by the least and the greatest
+    once = keep(titles.groupBy("vol", "title").agg(F.min(F.struct("ord", "id")).alias("f"), F.min("id").alias("least"), F.max("id").alias("most")))
+    looked = resolve(both, once.select("vol", "f.ord", "title", "f.id")).where("id IS NOT NULL").groupBy(F.col("ref.ref").alias("ref")).agg(F.min_by("id", "ref.way").alias("i1"))
+    alone = once.groupBy(T.loose(T.norm_link("title")).alias("__k")).agg(F.min("least").alias("i2"), F.max("most").alias("most")).where("i2 = most").drop("most")
     out = named.withColumn("__k", T.loose(T.norm_link("__n"))).join(looked, "ref", "left").join(alone, "__k", "left")
-    return out.select(*refs.columns, F.coalesce("i1", "i2").alias("id"))
+    found = keep(out.select("ref.*", F.coalesce("i1", "i2").alias("__id")).where("__id IS NOT NULL"))
+    held = broadcast_if_small(found.select(*[F.col(c).alias(f"__{c}") for c in ("name", "first", "second")], "__id"), 256)
+    same = (F.col("name") == F.col("__name")) & F.col("first").eqNullSafe(F.col("__first")) & F.col("second").eqNullSafe(F.col("__second"))
+    return refs.join(held, same, "left").select(*refs.columns, F.col("__id").alias("id"))
 
 
 def set_links(segments: DataFrame, found: DataFrame) -> DataFrame:
