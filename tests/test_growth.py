@@ -1,5 +1,7 @@
 """What grows with its input must not be held whole: joins of long sides, codes of copies, pieces beyond what is sent, texts of many marks."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -176,6 +178,15 @@ def test_tokens_as_one_text(spark):
     assert all(r["b"] == " ".join(r["a"]) for r in df.collect())
 
 
+def test_sentences_are_cut_without_steps_back(spark):
+    texts = ["", None, "\x1fOne! \x1cTwo…？”） three\n\nfour\x1c\n。。”five's.six", "a.b!」x」。", "……？\n!?", " 　七 。\x85八", "x" * 3000, "”one”? two"]
+    space = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    units = lambda t: [s.strip(space) for s in re.findall("[^。！？!?…\n]*[。！？!?…][」』）)】》”’]*|[^。！？!?…\n]+", t or "") if re.search("[一-鿿A-Za-z0-9]", s)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.sentences("t").alias("s"))
+    assert all(r["s"] == units(r["t"]) for r in df.collect())
+    assert "regexp_extract_all" not in plan(df)
+
+
 def test_a_name_is_looked_up_once(spark, monkeypatch):
     seen, resolve = [], linking.resolve
     monkeypatch.setattr(linking, "resolve", lambda refs, titles: seen.append((refs.count(), titles.count())) or resolve(refs, titles))

@@ -26,6 +26,8 @@ FOLLOW_UP = "它|他|她|这|那|上(面|述|文)|继续|再|还有|为什[么
 HARD = "区别|不同|对比|對比|比较|比較|异同|異同|关系|關係|为何|為何|界限|混滥|混濫|双修|雙修|与.{0,8}[的之]?(区别|不同|关系)"
 SCOPED = "本篇|本文|此篇|这篇|這篇|此文|这封|這封|这段|這段|此段|上文|文中|这里|這裡|此处|此處|这一段|這一段"
 TRANSLATION_MARK = "（白话）"
+#: Every white space character, U+001C to U+001F included.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _c(x: Column | str) -> Column:
@@ -235,8 +237,9 @@ def mark_all(x: Column | str, keyword: str) -> Column:
 
 def sentences(x: Column | str) -> Column:
     """Sentences with their end marks and closing quotes; line feeds end them too; those of symbols alone are dropped."""
-    found = F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(rf"([^{SENTENCE_END}\n]*[{SENTENCE_END}][{SENTENCE_CLOSE}]*|[^{SENTENCE_END}\n]+)"), 1)
-    return F.filter(F.transform(found, strip), lambda s: s.rlike("[一-鿿A-Za-z0-9]"))
+    # no sentence has a line feed, so one after each end is where to cut: no step back over a line without an end
+    cut = F.split(_re(F.coalesce(_c(x), F.lit("")), f"[{SENTENCE_END}][{SENTENCE_CLOSE}]*", "$0\n"), "\n")
+    return F.transform(F.filter(cut, lambda s: s.rlike("[一-鿿A-Za-z0-9]")), lambda s: F.btrim(s, F.lit(SPACE)))
 
 
 def marker_density(x: Column | str, words: tuple[str, ...] = FUNCTION_WORDS) -> Column:
