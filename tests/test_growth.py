@@ -1,13 +1,14 @@
 """What grows with its input must not be held whole: joins of long sides, codes of copies, pieces beyond what is sent, texts of many marks."""
 
 import datetime
+import random
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import alignment, changing, chunking, containment, contents, documents, lexical, linking, retrieval, terms, vectors
+from textloom.operators import alignment, changing, chunking, containment, contents, documents, lexical, linking, matching, retrieval, terms, vectors
 from textloom.plans import retrieval_queries, streaming_queries
 from textloom.storage import keep, rows_to_python, shuffled
 from textloom.streaming import jobs
@@ -224,3 +225,14 @@ def test_streams_keep_groups_of_keys(spark, tmp_path, monkeypatch):
     users = {r[0]: r[1] for r in rows}
     assert {(r["event_id"], r["user_id"], r["nth"], r["accepted"]) for r in run(jobs.quota(source, 2), "quota")} == {(e, users[e], n, n <= 2) for e, n in nth.items()}
     assert {(r["event_id"], r["user_id"], r["hit"]) for r in run(jobs.answer_cache(source, ["user_id", "event_type"], seconds=100_000), "cache")} == {(e, users[e], h) for e, h in hit.items()}
+
+
+def test_lines_are_searched_and_not_made_automata_of(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for letters in ("ab", "abc ", "般若x") for _ in range(40)]
+    pairs = [(a, b) for a in texts[::3] for b in texts[::5]]
+    with monkeypatch.context() as m:
+        m.setattr(matching, "SEARCHED", -1)
+        right = [matching.changes(a, b) for a, b in pairs]
+    monkeypatch.setattr(matching, "Automaton", None)
+    assert [matching.changes(a, b) for a, b in pairs] == right
