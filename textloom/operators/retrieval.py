@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.storage import keep, rows_to_python
+from textloom.storage import BROADCAST_BYTES, broadcast_if_small, keep, rows_to_python
 
 # Fixed values of the retrieval pipeline.
 LEXICAL_TOP, VECTOR_TOP, RRF_K, POOL, TOP = 30, 40, 60, 16, 8
@@ -84,6 +84,45 @@ def knn(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str
     return best.withColumn("__t", lowest).where("tier = __t").drop("__t")
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = VECTOR_TOP) -> DataFrame:
+    """(query, key, score, rank) as of knn, for queries that are few by their count: each task gets them all and meets its vectors as they are computed,
+    which are neither written nor shuffled. More queries than that take knn.
+    """
+    asked = keep(queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    n = asked.count()
+    dims = asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()["d"]
+    if n * 8 * (dims + top) > BROADCAST_BYTES:
+        return knn(asked.select(F.col("id").alias(key), F.col("v").alias(vector)), keep(vectors), key, vector, top=top).drop("tier")
+    rows = asked.collect()  # counted above
+    ids, x = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows]).reshape(n, -1)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        bar = np.full(len(ids), -np.inf)  # as many vectors as asked for have reached it
+        for batch in batches:
+            v = batch.column("v")
+            if not len(v) or not len(ids):
+                continue
+            if (v.value_lengths().to_numpy() != x.shape[1]).any():
+                raise ValueError("vectors of a search have different lengths")
+            d, did = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), batch.column("id").to_numpy()
+            s = np.round(x @ (d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)).T, 6)
+            s[~np.isfinite(s)] = -np.inf
+            if s.shape[1] > top:
+                bar = np.maximum(bar, np.partition(s, -top, axis=1)[:, -top])
+            r, c = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+            order = np.lexsort((did[c], -s[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < top
+            r, c = r[first], c[first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(did[c], pa.int64()), pa.array(s[r, c])], names=["query", key, "score"])
+
+    each = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    with rows_to_python(queries.sparkSession, DATA_BLOCK):
+        return keep(ranked(each.mapInArrow(run, f"query long, {key} long, score double"), ["query"], [F.desc("score"), F.asc(key)], top))
+
+
 def merge_pools(pools: DataFrame, group: str = "query", key: str = "vec_id") -> DataFrame:
     """(group, key, score, rank) from rows (group, pool, rank, key, score): the best score of each key, in the order first seen."""
     seen = F.struct("pool", "rank")
@@ -125,7 +164,9 @@ def hybrid(docs: DataFrame, lexical: DataFrame, near: DataFrame, model: Callable
     """
     pool = lambda df, n: df.select("item_id", F.lit(n).alias("pool"), "rank", "doc_id")
     fused = fuse(pool(near, 0).unionByName(pool(lexical, 1)), "item_id", "doc_id").withColumnRenamed("rank", "pos")
-    wanted = docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = wanted.select("doc_id", T.clean_key("text").alias("key"), F.left("text", F.lit(1100)).alias("passage"), F.lit(0).alias("priority"))
+    fused = keep(fused)
+    wanted = docs.join(broadcast_if_small(fused.select("doc_id").distinct(), 64), "doc_id", "left_semi")
+    # kept, as a condition on the key would be looked up for every document otherwise
+    texts = keep(wanted.select("doc_id", T.clean_key("text").alias("key"), F.left("text", F.lit(1100)).alias("passage"), F.lit(0).alias("priority")))
     best = dedupe(fused.join(texts, "doc_id"), "item_id", "key", "priority", "score", "pos")
     return rerank(best, "item_id", model).where(F.col("rank") <= TOP).select("item_id", "rank", "doc_id", "score", "passage")

@@ -210,10 +210,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_slots(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The chunks with their slots, kept; of the columns named, if any are. Python gets few texts at a time, as they may be long."""
-    made = embedding.with_slots(chunks(spark, sf_dir))
+    """The columns named of the chunks, and their slots, kept. Python gets few texts at a time, as they may be long."""
     with rows_to_python(spark, chunking.TEXTS):
-        return keep(made.select(*columns) if columns else made)
+        return keep(embedding.with_slots(chunks(spark, sf_dir).select(*columns, "text")))
 
 
 def figures(vector: str) -> list:
@@ -224,14 +223,14 @@ def figures(vector: str) -> list:
 @query(f"WITH RECURSIVE {_EMBED} SELECT id // {PARTS} AS doc_id, (id % {PARTS})::INT AS part, n_features, {_FIGURES} FROM eu WHERE side = 'c' GROUP BY id, n_features")
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each chunk of each document, by the embedder that is fitted on them."""
-    made = kept_slots(spark, sf_dir, "doc_id", "part", "slots")
+    made = kept_slots(spark, sf_dir, "doc_id", "part")
     return embedding.Embedder(made).embed(made).where("vector IS NOT NULL").select("doc_id", "part", "n_features", *figures("vector"))
 
 
 @query(f"WITH RECURSIVE {_EMBED} SELECT id AS item_id, n_features, {_FIGURES} FROM eu WHERE side = 'q' GROUP BY id, n_features")
 def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions' vectors, with what is rare among the chunks."""
-    own = embedding.Embedder(kept_slots(spark, sf_dir, "slots"))
+    own = embedding.Embedder(kept_slots(spark, sf_dir))
     asked = own.embed(embedding.with_slots(table(spark, sf_dir, "benchmark")))
     return asked.where("vector IS NOT NULL").select("item_id", "n_features", *figures("vector"))
 
@@ -253,11 +252,11 @@ def embedding_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_chunks(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     """(item_id, id, score, rank): the 40 chunks nearest to each question, by the corpus's own embedder."""
-    made = kept_slots(spark, sf_dir, "id", "slots")
+    made = kept_slots(spark, sf_dir, "id")
     own = embedding.Embedder(made)
     corpus = own.embed(made).select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
     asked = own.embed(embedding.with_slots(items)).select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding"))
-    return R.knn(keep(asked), keep(corpus)).select(F.col("query").alias("item_id"), F.col("vec_id").alias("id"), "score", "rank")
+    return R.nearest(asked, corpus).select(F.col("query").alias("item_id"), F.col("vec_id").alias("id"), "score", "rank")
 
 
 @query(f"WITH RECURSIVE {_NEAR_CHUNKS} SELECT item_id, id // {PARTS} AS doc_id, (id % {PARTS})::INT AS part, score, rank::INT AS rank FROM nr")
