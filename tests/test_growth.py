@@ -1,6 +1,7 @@
 """What grows with its input must not be held whole: joins of long sides, codes of copies, pieces beyond what is sent, texts of many marks."""
 
 import datetime
+import hashlib
 import random
 import re
 
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import alignment, changing, chunking, containment, contents, documents, lexical, linking, matching, retrieval, terms, vectors
+from textloom.operators import alignment, changing, chunking, containment, contents, documents, embedding, lexical, linking, matching, retrieval, terms, vectors
 from textloom.plans import retrieval_queries, streaming_queries
 from textloom.storage import keep, rows_to_python, shuffled
 from textloom.streaming import jobs
@@ -236,3 +237,44 @@ def test_lines_are_searched_and_not_made_automata_of(monkeypatch):
         right = [matching.changes(a, b) for a, b in pairs]
     monkeypatch.setattr(matching, "Automaton", None)
     assert [matching.changes(a, b) for a, b in pairs] == right
+
+
+def test_features_are_hashed_together(spark):
+    texts = ["", None, " .", "one", "One two, two", "x" * 55 + " " + "y" * 56, "é " * 700, "般若波羅 a" + "z" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens = {r["id"]: r["t"] for r in df.select("id", T.bigrams("text").alias("t")).collect()}
+    features = {k: t + [f"{a} {b}" for a, b in zip(t, t[1:], strict=False)] for k, t in tokens.items()}
+    got = embedding.with_slots(df)
+    assert "md5" not in plan(got)
+    assert {r["id"]: r["slots"] for r in got.collect()} == {k: [int(hashlib.md5(f.encode()).hexdigest()[:8], 16) % embedding.SLOTS for f in x] for k, x in features.items()}
+
+
+def test_vectors_are_not_shuffled_to_few_queries(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "keep", lambda df: kept.append(plan(df)) or keep(df))
+    x = np.random.default_rng(7).integers(-2, 3, (90, 3)).astype(float)  # many ties, some without a direction
+    df = spark.createDataFrame([(k, v if k % 9 else None) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 5 = 0")
+    first = lambda found: sorted((r["query"], r["rank"], r["vec_id"], r["score"]) for r in found.select("query", "rank", "vec_id", "score").collect())
+    right = first(retrieval.knn(asked, df, top=7))
+    kept.clear()
+    assert first(retrieval.nearest(asked, df, top=7)) == right
+    assert "collect_list" not in kept[-1] and "CartesianProduct" not in kept[-1] and "NestedLoop" not in kept[-1]
+    with rows_to_python(spark, 2):
+        monkeypatch.setattr(retrieval, "DATA_BLOCK", 2)
+        assert first(retrieval.nearest(asked, df, top=1)) == [r for r in right if r[1] == 1]
+    assert retrieval.nearest(asked.where("vec_id < 0"), df).count() == 0
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)  # more queries than are sent
+    assert first(retrieval.nearest(asked, df, top=7)) == right
+
+
+def test_passages_are_made_for_candidates_alone(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "keep", lambda df: kept.append(plan(df)) or keep(df))
+    docs = spark.createDataFrame([(k, f"text {k % 3}") for k in range(30)] + [(30, None), (31, " ")], "doc_id long, text string")
+    near = spark.createDataFrame([(1, 1, 4), (1, 2, 30), (1, 3, 31)], "item_id long, rank int, doc_id long")
+    words = spark.createDataFrame([(1, 1, 7), (1, 2, 5)], "item_id long, rank int, doc_id long")
+    found = retrieval.hybrid(docs, words, near)
+    assert [(r["rank"], r["doc_id"], r["passage"]) for r in found.orderBy("rank").collect()] == [(1, 4, "text 1"), (2, 5, "text 2")]
+    texts = [p for p in kept if "passage" in p]
+    assert len(texts) == 1 and "Filter" not in texts[0].split("LeftSemi")[0]  # no condition on a text's key, which would be met for all documents

@@ -94,7 +94,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector:
     if n * 8 * (dims + top) > BROADCAST_BYTES:
         return knn(asked.select(F.col("id").alias(key), F.col("v").alias(vector)), keep(vectors), key, vector, top=top).drop("tier")
     rows = asked.collect()  # counted above
-    ids, x = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows]).reshape(n, -1)
+    ids, x = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float).reshape(n, dims)
     shared = queries.sparkSession.sparkContext.broadcast((ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
