@@ -223,6 +223,47 @@ def test_vector_index(spark, tmp_path, monkeypatch):
     assert read["even"]["bytes_read"] < 0.6 * read["even"]["bytes_all"] and set(read) == {"even", "odd", "one"}
 
 
+def test_a_search_keeps_no_row_for_each_query_and_cell(spark, tmp_path, monkeypatch):
+    from textloom import storage
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 20))  # point anywhere, so many cells are opened
+    df = spark.createDataFrame([("a", k, v.tolist()) for k, v in enumerate(x)], "space string, key long, vector array<double>")
+    path, kept = str(tmp_path / "v"), []
+    vectors.build(df, path, top=10)
+
+    def keep(frame, *more):
+        out = storage.keep(frame, *more)
+        kept.append(out.count())
+        return out
+
+    for module in (vectors, retrieval):
+        monkeypatch.setattr(module, "keep", keep)
+    asked = df.where("key % 4 = 0").withColumnRenamed("key", "query")
+    found = {(r["query"], r["key"]) for r in vectors.search(spark, path, asked, top=10).collect()}
+    assert spark.read.parquet(f"{path}/books").first()["probes"] > 1 and max(kept) <= 300  # a row for each query and block
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, k) for q in range(0, 1200, 4) for k in np.argsort(-np.round(unit @ unit[q], 6), kind="stable")[:10].tolist()}
+    assert len(found) == 3000 and len(found & want) >= 0.95 * len(want)
+
+
+def test_nearest_within_a_namespace_with_copies(spark, monkeypatch):
+    for name, n in (("GROUP", 7), ("SLICE", 3), ("DATA_BLOCK", 40)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6)).astype(np.float32)[rng.integers(0, 60, 400)]  # about seven copies of each
+    rows = [("a" if k % 3 else "b", k, v.tolist()) for k, v in enumerate(x)] + [("a", 900, None), (None, 901, x[0].tolist()), ("one", 902, x[1].tolist())]
+    df = spark.createDataFrame(rows, "space string, key long, vector array<float>")
+    found = {}
+    for r in retrieval.nearest_within(df.where("key % 5 = 0 OR key >= 900").withColumnRenamed("key", "query"), df, top=10).collect():
+        found.setdefault(r["query"], []).append((-r["score"], r["key"]))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {902: [(-1.0, 902)]}
+    for q in range(0, 400, 5):
+        want[q] = sorted((-s, k) for k, s in enumerate(np.round(unit @ unit[q], 6).tolist()) if (k % 3 == 0) == (q % 3 == 0))[:10]
+    assert {q: sorted(v) for q, v in found.items()} == want
+
+
 # matching blocks
 
 

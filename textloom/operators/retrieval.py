@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ LEXICAL_TOP, VECTOR_TOP, RRF_K, POOL, TOP = 30, 40, 60, 16, 8
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Vectors in a block of the blocked search.
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
+#: Queries that the blocks of a namespace are sent to together, and those of them that meet a block at once.
+GROUP, SLICE = 2048, 256
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,6 +126,102 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector:
         return keep(ranked(each.mapInArrow(run, f"query long, {key} long, score double"), ["query"], [F.desc("score"), F.asc(key)], top))
 
 
+class Best:
+    """The best of each of n queries among blocks of scores that come one after the other: the highest, of equal ones those of the least key."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.bar, self.tag = top, np.full(n, -np.inf), np.zeros(0, np.int32)
+        self.row, self.key, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, score: np.ndarray, key: np.ndarray, digits: int, tag: int = 0) -> None:
+        """Takes scores (queries, keys), minus infinity for what isn't met, that are equal when they are in so many digits."""
+        room = 10.0**-digits
+        if np.count_nonzero(score >= self.bar[:, None] - room) > 4 * self.top * len(score):
+            self.bar = np.maximum(self.bar, np.partition(score, -self.top, axis=1)[:, -self.top] - room)
+        r, c = np.nonzero((score >= self.bar[:, None] - room) & (score > -np.inf))
+        if not len(r):
+            return
+        row, keys = np.concatenate([self.row, r]), np.concatenate([self.key, key[c]])
+        scores, tags = np.concatenate([self.score, np.round(score[r, c], digits)]), np.concatenate([self.tag, np.full(len(r), tag, np.int32)])
+        order = np.lexsort((keys, -scores, row))
+        nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        kept = order[nth < self.top]
+        self.row, self.key, self.score, self.tag = row[kept], keys[kept], scores[kept], tags[kept]
+        last = order[nth == self.top - 1]
+        self.bar[row[last]] = scores[last]
+
+
+def grouped(queries: DataFrame, size: int) -> DataFrame:
+    """(space, grp, ids, x, dims): queries (space, query, vector) in rows of about so many, ids and vectors as bytes."""
+    many = broadcast_if_small(keep(queries.groupBy("space").agg(F.ceil(F.count("*") / size).cast("int").alias("many"))), 64)
+
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(f["vector"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"space": [at[0]], "grp": [at[1]], "ids": [f["query"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "dims": [x.shape[1]]})
+
+    each = queries.join(many, "space").select("space", F.pmod(F.xxhash64("query"), "many").cast("int").alias("grp"), "query", "vector")
+    return keep(each.groupBy("space", "grp").applyInPandas(pack, "space string, grp int, ids binary, x binary, dims int"))
+
+
+def in_turn(groups: DataFrame, blocks: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run over the rows of groups (space, grp, ...), kept, each with all blocks (space, blk from 0, ...) of its space behind it, a row at a time; its own blk is -1. Kept, so that the number of rows holds."""
+    n = groups.count()
+    sent = blocks.join(broadcast_if_small(groups.select("space", "grp"), 64), "space").unionByName(groups.withColumn("blk", F.lit(-1)), allowMissingColumns=True)
+    with rows_to_python(groups.sparkSession, 4):
+        return keep(sent.repartition(min(2000, max(1, 4 * n)), "space", "grp").sortWithinPartitions("space", "grp", "blk").mapInArrow(run, schema))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest_within(queries: DataFrame, vectors: DataFrame, top: int = VECTOR_TOP) -> DataFrame:
+    """(query, key, score): the nearest of each query (space, query, vector) among vectors (space, key, vector) of its namespace by cosine, ties by key, itself included.
+
+    Exact: a namespace's blocks of vectors go by groups of its queries, which keep their best so far, so a task holds a block and a group, and rows for each
+    query are as many as it asks for. Null vectors are neither asked for nor found.
+    """
+    sound = lambda df, key: df.where(f"space IS NOT NULL AND {key} IS NOT NULL AND vector IS NOT NULL").select(F.col("space").cast("string").alias("space"), key, "vector")
+    wanted, all_rows = sound(queries, "query"), sound(vectors, "key")
+    many = broadcast_if_small(keep(all_rows.groupBy("space").agg(F.ceil(F.count("*") / DATA_BLOCK).cast("int").alias("many"))), 64)
+
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(f["vector"].to_numpy())  # floats stay floats until they meet
+        return pd.DataFrame({"space": [at[0]], "blk": [at[1]], "keys": [f["key"].to_numpy(np.int64).tobytes()], "v": [x.tobytes()]})
+
+    each = all_rows.join(many, "space").select("space", F.pmod(F.xxhash64("key"), "many").cast("int").alias("blk"), "key", "vector")
+    packed = keep(each.groupBy("space", "blk").applyInPandas(pack, "space string, blk int, keys binary, v binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for a, b in enumerate(best):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a * SLICE + b.row]), pa.array(b.key), pa.array(b.score)], names=["query", "key", "score"])
+
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            if r["blk"] < 0:
+                if ids is not None:
+                    yield from done()
+                ids, dims = np.frombuffer(r["ids"], np.int64), r["dims"]
+                x = unit_rows(np.frombuffer(r["x"]).reshape(-1, dims))
+                best = [Best(len(x[a : a + SLICE]), top) for a in range(0, len(x), SLICE)]
+                continue
+            key = np.frombuffer(r["keys"], np.int64)
+            v = np.frombuffer(r["v"], np.float32 if len(r["v"]) == len(key) * dims * 4 else np.float64)
+            if len(v) != len(key) * dims:
+                raise ValueError("vectors of a search have different lengths")
+            v = unit_rows(v.reshape(-1, dims).astype(np.float64)).T
+            for a, b in enumerate(best):
+                score = x[a * SLICE : (a + 1) * SLICE] @ v
+                score[~np.isfinite(score)] = -np.inf
+                b.add(score, key, 6)
+        if ids is not None:
+            yield from done()
+
+    return in_turn(grouped(wanted, GROUP), packed, run, "query long, key long, score double")
+
+
 def merge_pools(pools: DataFrame, group: str = "query", key: str = "vec_id") -> DataFrame:
     """(group, key, score, rank) from rows (group, pool, rank, key, score): the best score of each key, in the order first seen."""
     seen = F.struct("pool", "rank")

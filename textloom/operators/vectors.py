@@ -11,18 +11,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import retrieval
-from textloom.storage import broadcast_if_small, keep
+from textloom.storage import BROADCAST_BYTES, broadcast_if_small, keep
 
 #: Vectors of a namespace that its cells and books are fitted on, cells at most, vectors of a cell on average.
 SAMPLE, CELLS, PER_CELL = 4096, 512, 64
 #: Stretches of a vector with a code each, and codes of a stretch at most.
 PARTS, CODES = 16, 256
-#: Rows of a block that meets a namespace's books in one task.
-BLOCK = 16384
+#: Rows of a block that meets a namespace's books in one task, and queries that its codes are sent to together.
+BLOCK, GROUP = 16384, 512
+#: Queries whose candidates in a block of vectors are re-ranked in one task.
+RANKED = 8192
+#: Digits of an inner product with a coded vector.
+DIGITS = 9
 #: The recall that settings must have before they are taken, and queries of a namespace that are asked for it.
 RECALL, ASKED = 0.97, 100
 #: Shares of the cells that may be opened; a query takes 2, 4, 8, ... times the places asked for as candidates.
@@ -70,10 +75,14 @@ class Books:
 
     def met(self, q: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """At which probe of each query vectors of these cells are met."""
+        return self.turns(q)[:, cell]
+
+    def turns(self, q: np.ndarray) -> np.ndarray:
+        """At which probe of each query each cell is opened."""
         order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
-        return rank[:, cell]
+        rank = np.empty(order.shape, np.int16)
+        np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int16)[None, :], 1)
+        return rank
 
     def levels(self) -> list[int]:
         """The numbers of cells that may be opened."""
@@ -85,15 +94,14 @@ class Books:
         rest = np.pad(x - self.coarse[cell], ((0, 0), (0, width * PARTS - x.shape[1])))
         return cell, np.stack([_nearest(rest[:, p * width : (p + 1) * width], self.books[p]) for p in range(PARTS)], 1).astype(np.uint8)
 
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        rest = self.books[np.arange(PARTS), codes].reshape(len(codes), -1)
+        return self.coarse[cell] + rest[:, : self.coarse.shape[1]]
+
     def rough(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with coded vectors, by tables of the queries with all codes."""
-        width = self.books.shape[2]
-        padded = np.pad(q, ((0, 0), (0, width * PARTS - q.shape[1]))).reshape(len(q), PARTS, width)
-        tables = np.einsum("qpw,pcw->qpc", padded, self.books)
-        out = (q @ self.coarse.T)[:, cell]
-        for p in range(PARTS):
-            out += tables[:, p, codes[:, p]]
-        return out
+        """Inner products of queries with coded vectors, in as many digits as are equal wherever a vector's copies stand."""
+        return np.round(q @ self.decoded(cell, codes).T, DIGITS)
 
     def row(self, space: str) -> dict:
         return {"space": space, "dims": self.coarse.shape[1], "cells": len(self.coarse), "probes": self.probes, "more": self.more, "coarse": self.coarse.tobytes(), "books": self.books.tobytes()}
@@ -108,7 +116,9 @@ class Books:
 def fit(vectors: DataFrame) -> DataFrame:
     """A row of books for each namespace of vectors (space, key, vector)."""
     nth = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("key"), "key"))
-    some = vectors.withColumn("__n", nth).where(F.col("__n") <= SAMPLE).drop("__n").join(vectors.groupBy("space").agg(F.count("*").alias("n")), "space")
+    # keys alone are sorted by namespace, and only those of the sample get their vectors
+    keys = keep(vectors.select("space", "key").withColumn("__n", nth).where(F.col("__n") <= SAMPLE).select("space", "key"))
+    some = vectors.join(broadcast_if_small(keys, 64), ["space", "key"], "left_semi").join(vectors.groupBy("space").agg(F.count("*").alias("n")), "space")
 
     def train(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("key")
@@ -163,27 +173,31 @@ def settled(coded: DataFrame, books: DataFrame, top: int) -> DataFrame:
     near = retrieval.ranked(pairs(asked).applyInPandas(exact, "space string, query long, key long, score double"), ["space", "query"], [F.desc("score"), F.asc("key")], top)
     # a row a query: its nearest with their cells and codes
     own = near.join(coded.select("space", "key", "cell", "codes"), ["space", "key"]).groupBy("space", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "cell", "codes"))).alias("near"))
-    targets = keep(own.join(asked, ["space", "query"]).join(books, "space"))
     fields = ["dims", "cells", "probes", "more", "coarse", "books"]
+    first = asked.groupBy("space").agg(F.min("query").alias("query"))  # the query that carries a namespace's books, which every block gets once
+    carried = first.join(books, "space").select("space", "query", *fields)
+    targets = keep(own.join(asked, ["space", "query"]).join(carried, ["space", "query"], "left"))
 
     def count(at: tuple, f: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        b = Books.read({c: qs[c].iloc[0] if c in ("coarse", "books") else int(qs[c].iloc[0]) for c in fields})
+        held = qs[qs["coarse"].notna()].iloc[0]
+        b = Books.read({c: held[c] if c in ("coarse", "books") else int(held[c]) for c in fields})
         codes = lambda rows: np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PARTS)
         f = f.sort_values("key")
         key, cell, levels, out = f["key"].to_numpy(np.int64), f["cell"].to_numpy(np.int64), b.levels(), []
-        packed = codes(f["codes"])
+        vectors = b.decoded(cell, codes(f["codes"])).T
         for query, vector, rows in zip(qs["query"], qs["vector"], qs["near"], strict=True):
             q = _unit(pd.Series([vector]))
             wanted, places = np.array([r["key"] for r in rows], np.int64), np.array([r["cell"] for r in rows], np.int64)
-            theirs, mine = b.rough(q, places, codes([r["codes"] for r in rows]))[0], b.rough(q, cell, packed)[0]
-            met, met_theirs = b.met(q, cell)[0], b.met(q, places)[0]
+            theirs, mine = b.rough(q, places, codes([r["codes"] for r in rows]))[0], np.round(q @ vectors, DIGITS)[0]
+            turns = b.turns(q)[0]
+            met_theirs = turns[places]
+            order = np.argsort(-mine, kind="stable")  # keys ascend
+            rough, keys, met = -mine[order], key[order], turns[cell[order]]
+            lo, hi = np.searchsorted(rough, -theirs, "left"), np.searchsorted(rough, -theirs, "right")
+            at_all = np.array([i + np.searchsorted(keys[i:j], k) for i, j, k in zip(lo, hi, wanted, strict=True)], np.int64)
             for level in levels:
-                rough, keys = -mine[met < level], key[met < level]
-                order = np.argsort(rough, kind="stable")  # keys ascend
-                rough, keys = rough[order], keys[order]
-                lo, hi = np.searchsorted(rough, -theirs, "left"), np.searchsorted(rough, -theirs, "right")
-                before = [int(i + np.searchsorted(keys[i:j], k)) for i, j, k in zip(lo, hi, wanted, strict=True)]
-                out += [(at[0], level, query, k, n) for k, n, m in zip(wanted.tolist(), before, met_theirs.tolist(), strict=True) if m < level]
+                before = np.concatenate([[0], np.cumsum(met < level)])[at_all]
+                out += [(at[0], level, query, k, n) for k, n, m in zip(wanted.tolist(), before.tolist(), met_theirs.tolist(), strict=True) if m < level]
         return pd.DataFrame(out, columns=["space", "level", "query", "key", "before"])
 
     counted = pairs(targets).applyInPandas(count, "space string, level int, query long, key long, before long")
@@ -220,43 +234,62 @@ def build(vectors: DataFrame, path: str, top: int = retrieval.VECTOR_TOP) -> Non
     lists.hint("rebalance", "space", "cell").sortWithinPartitions("space", "cell", "key").write.partitionBy("space").mode("overwrite").parquet(f"{path}/lists")
 
 
+def _blocked(spark: SparkSession, path: str) -> DataFrame:
+    """The index's lists, with the block that each vector is dealt to."""
+    lists = spark.read.parquet(f"{path}/lists").withColumn("space", F.col("space").cast("string"))
+    many = broadcast_if_small(keep(lists.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))), 64)
+    return lists.join(many, "space").withColumn("blk", F.pmod(F.xxhash64("key"), "many").cast("int")).drop("many")
+
+
 def candidates(spark: SparkSession, path: str, queries: DataFrame, top: int) -> DataFrame:
-    """(query, space, key): the vectors that queries (query, space, vector) must look at, by their codes."""
-    books, lists = spark.read.parquet(f"{path}/books"), spark.read.parquet(f"{path}/lists").select(F.col("space").cast("string").alias("space"), "cell", "key", "codes")
-
-    def route(b: Books, f: pd.DataFrame) -> pd.DataFrame:
-        q = _unit(f["vector"])
-        near = np.argsort(-(q @ b.coarse.T), axis=1, kind="stable")[:, : b.probes]
-        n = near.shape[1]
-        return pd.DataFrame({"space": pd.Series(np.repeat(f["space"].to_numpy(), n), dtype=object), "query": np.repeat(f["key"].to_numpy().astype(np.int64), n), "cell": near.ravel().astype(np.int32), "vector": np.repeat(f["vector"].to_numpy(), n)})
-
-    asked = queries.select(F.col("space").cast("string").alias("space"), F.col("query").cast("long").alias("key"), F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(F.exists("vector", lambda x: x != 0))
-    routed = keep(with_books(asked, books, route, "space string, query long, cell int, vector array<double>"))
-    # a cell's codes meet its queries in blocks of the queries
-    many = routed.groupBy("space", "cell").agg(F.ceil(F.count("*") / 1024).cast("int").alias("blocks"))
-    many = broadcast_if_small(keep(many), 64)
-    opened = lists.join(many, ["space", "cell"]).select("space", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "codes")
-    ask = routed.join(many, ["space", "cell"]).select("space", "cell", F.pmod(F.xxhash64("query"), "blocks").cast("int").alias("block"), "query", "vector")
+    """(space, blk, part, query, vector, keys): the vectors of each block that queries (query, space, vector) must look at, by their codes.
+
+    A namespace's codes go block by block by groups of its queries, which keep their best so far in the cells they open: what leaves a task is their candidates alone.
+    """
+    books = spark.read.parquet(f"{path}/books")
+    asked = queries.where("space IS NOT NULL").select(F.col("space").cast("string").alias("space"), F.col("query").cast("long").alias("query"), F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(F.exists("vector", lambda x: x != 0))
     fields = ["dims", "cells", "probes", "more", "coarse", "books"]
-    at = many.join(books, "space").select("space", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *fields)  # once for each block
-
-    def scan(key: tuple, codes: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "space": pd.Series([], dtype=object), "key": np.zeros(0, np.int64), "rough": np.zeros(0), "more": np.zeros(0, np.int32)})
-        held, qs = qs[qs["coarse"].notna()], qs[qs["coarse"].isna()]
-        if not len(codes) or not len(qs):
-            return empty
-        b = Books.read({c: held[c].iloc[0] if c in ("coarse", "books") else int(held[c].iloc[0]) for c in fields})
-        q = _unit(qs["vector"])
-        found = b.rough(q, np.full(len(codes), key[1]), np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(codes), PARTS))
-        n = min(len(codes), b.more * top)
-        codes = codes.reset_index(drop=True)
-        kept = np.lexsort((np.broadcast_to(codes["key"].to_numpy(np.int64), found.shape), -found), axis=1)[:, :n]  # of copies the smallest keys
-        return pd.DataFrame({"query": np.repeat(qs["query"].to_numpy().astype(np.int64), n), "space": pd.Series([key[0]] * kept.size, dtype=object), "key": codes["key"].to_numpy().astype(np.int64)[kept.ravel()], "rough": np.take_along_axis(found, kept, 1).ravel(), "more": b.more})
-
-    own = ask.unionByName(at, allowMissingColumns=True)
-    rough = opened.groupBy("space", "cell", "block").cogroup(own.groupBy("space", "cell", "block")).applyInPandas(scan, "query long, space string, key long, rough double, more int")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"), "key"))
-    return rough.withColumn("__n", best).where(F.col("__n") <= F.col("more") * top).select("query", "space", "key")
+    groups = keep(retrieval.grouped(asked, GROUP).drop("dims").join(books.select("space", *fields), "space"))
+
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"space": [at[0]], "blk": [at[1]], "keys": [f["key"].to_numpy(np.int64).tobytes()], "at": [f["cell"].to_numpy(np.int32).tobytes()], "codes": [b"".join(f["codes"])]})
+
+    packed = keep(_blocked(spark, path).select("space", "blk", "key", "cell", "codes").groupBy("space", "blk").applyInPandas(pack, "space string, blk int, keys binary, at binary, codes binary"))
+    names = ["space", "blk", "part", "query", "vector", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for a, b in enumerate(best):
+                order = np.lexsort((b.tag, b.row))
+                row, blk = b.row[order], b.tag[order]
+                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (blk[1:] != blk[:-1])])) if len(row) else np.zeros(0, np.int64)
+                which = a * retrieval.SLICE + row[starts]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[which].ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(b.key[order]))
+                yield pa.RecordBatch.from_arrays([pa.array([space] * len(which), pa.string()), pa.array(blk[starts]), pa.array(np.full(len(which), part, np.int32)), pa.array(ids[which]), vectors, keys], names=names)
+
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            if r["blk"] < 0:
+                if ids is not None:
+                    yield from done()
+                book, ids, space, part = Books.read(r), np.frombuffer(r["ids"], np.int64), r["space"], r["grp"] * GROUP // RANKED
+                x = retrieval.unit_rows(np.frombuffer(r["x"]).reshape(len(ids), -1))
+                turns = book.turns(x)
+                best = [retrieval.Best(len(x[a : a + retrieval.SLICE]), book.more * top) for a in range(0, len(x), retrieval.SLICE)]
+                continue
+            key, cell = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["at"], np.int32)
+            v = book.decoded(cell, np.frombuffer(r["codes"], np.uint8).reshape(-1, PARTS)).T
+            for a, b in enumerate(best):
+                own = slice(a * retrieval.SLICE, (a + 1) * retrieval.SLICE)
+                score = x[own] @ v
+                score[(turns[own] >= book.probes)[:, cell]] = -np.inf
+                b.add(score, key, DIGITS, r["blk"])
+        if ids is not None:
+            yield from done()
+
+    return retrieval.in_turn(groups, packed, run, "space string, blk int, part int, query long, vector array<double>, keys array<long>")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, top: int = retrieval.VECTOR_TOP) -> DataFrame:
@@ -264,12 +297,28 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = retrie
 
     Queries (query, space, vector) have different numbers; one whose namespace isn't in the index, or whose vector is null or zero, finds nothing.
     """
-    near = keep(candidates(spark, path, queries, top))
-    full = spark.read.parquet(f"{path}/lists").select(F.col("space").cast("string").alias("space"), "key", F.col("vector").alias("v"))
-    pairs = full.join(broadcast_if_small(near, 40), ["space", "key"]).join(queries.select(F.col("query").cast("long").alias("query"), F.transform("vector", lambda x: x.cast("double")).alias("q")), "query")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6)
-    return retrieval.ranked(pairs.select("query", "key", cosine.alias("score")), ["query"], [F.desc("score"), F.asc("key")], top)
+    near = candidates(spark, path, queries, top)
+    full = _blocked(spark, path).select("space", "blk", "key", F.col("vector").alias("v"))
+    pairs = near.agg(F.sum(F.size("keys"))).first()[0] or 0
+    if pairs * 40 <= BROADCAST_BYTES:  # of few candidates only their own vectors are sent
+        full = full.join(F.broadcast(near.select("space", F.explode("keys").alias("key")).distinct()), ["space", "key"], "left_semi")
+    tasks = keep(near.select("space", "blk", "part").distinct())
+    full = full.join(broadcast_if_small(tasks, 64), ["space", "blk"])
+
+    def rank(_: tuple, qs: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("key")
+        key, v = f["key"].to_numpy(np.int64), _unit(f["v"])
+        out = []
+        for query, vector, keys in zip(qs["query"].tolist(), qs["vector"], qs["keys"], strict=True):
+            at = np.searchsorted(key, keys)
+            score = np.round(v[at] @ _unit(pd.Series([vector]))[0], 6)
+            first = np.lexsort((keys, -score))[:top]
+            out.append((np.full(len(first), query, np.int64), key[at[first]], score[first]))
+        return pd.DataFrame(dict(zip(("query", "key", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    by = ["space", "blk", "part"]
+    scored = near.groupBy(*by).cogroup(full.groupBy(*by)).applyInPandas(rank, "query long, key long, score double")
+    return retrieval.ranked(scored, ["query"], [F.desc("score"), F.asc("key")], top)
 
 
 def share_scanned(spark: SparkSession, path: str) -> DataFrame:

@@ -294,9 +294,7 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors.build(rows.select("space", F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), path)
     asked = rows.where("vec_id % 20 = 0")
     found = vectors.search(spark, path, asked.select("space", F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))).select("query", "key", F.lit(1).alias("hit"))
-    # the exact ones of a namespace: what it has labels, as knn has
-    space = F.col("space").cast("int")
-    exact = R.knn(asked.withColumn("wanted", space), rows.withColumn("own", space), label="own").select("query", F.col("vec_id").alias("key"))
+    exact = R.nearest_within(asked.select("space", F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), rows.select("space", F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
     both = exact.join(found, ["query", "key"], "left").join(asked.select(F.col("vec_id").alias("query"), "space"), "query")
     recall = both.groupBy("space").agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_exact"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.95).alias("recalled"))
     return recall.join(vectors.share_scanned(spark, path), "space").select("space", "n_queries", "n_exact", "recalled", (F.col("bytes_read") < F.col("bytes_all")).alias("reads_less"))
