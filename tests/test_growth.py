@@ -278,3 +278,28 @@ def test_passages_are_made_for_candidates_alone(spark, monkeypatch):
     assert [(r["rank"], r["doc_id"], r["passage"]) for r in found.orderBy("rank").collect()] == [(1, 4, "text 1"), (2, 5, "text 2")]
     texts = [p for p in kept if "passage" in p]
     assert len(texts) == 1 and "Filter" not in texts[0].split("LeftSemi")[0]  # no condition on a text's key, which would be met for all documents
+
+
+def test_replies_hold_a_row_for_a_group_and_serve_both_policies_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "GROUPS", 4)
+    body = '{"type":"delta","text":"a"}\n{"type":"delta","text":"é b"}\n{"type":"done"}'
+    keys = [*range(60), None]
+    texts = {k: body + "\n" * ((k or 0) % 2) if (k or 0) % 5 < 4 else body.replace("done", "other") for k in keys}
+    rows = [(k, n, p) for k, t in texts.items() for n, p in enumerate([*(t[i : i + 9] for i in range(0, len(t), 9)), None])]
+    for n in range(3):
+        spark.createDataFrame([r for r in rows if r[1] % 3 == n], "id int, seq int, piece string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, seq int, piece string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(df, name):
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+        return spark.read.parquet(str(tmp_path / name)).collect(), max(held)
+
+    one, held = run(jobs.replies(stream, "id", jobs.CLIENT), "one")
+    assert held <= 8
+    got, held = run(jobs.replies_by(stream, "id", [jobs.BROWSER, jobs.CLIENT]), "both")
+    assert held <= 8
+    want = {(k, p): ("a\né b", 2, "done" in t and (p == jobs.BROWSER or t.endswith("\n"))) for k, t in texts.items() for p in (jobs.BROWSER, jobs.CLIENT)}
+    assert len(got) == len(want) and {(r["id"], r["policy"]): (r["reply"], r["n_deltas"], r["complete"]) for r in got} == want
+    assert {r["id"]: (r["reply"], r["n_deltas"], r["complete"]) for r in one} == {k: v for (k, p), v in want.items() if p == jobs.CLIENT}

@@ -89,11 +89,15 @@ def validate_citations(answers: DataFrame, reply: str, contexts: str) -> DataFra
     return out.withColumn("faithful", (F.col("invalid") == 0) & (F.col("quote_ok") == F.col("quote_checked"))).drop("__n", "__q")
 
 
-def event_lines(answers: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, seq, line): an answer as JSON lines, one meta, a delta for each line of text, one done."""
+def events_of(text: str) -> Column:
+    """An answer as an array of JSON lines, one meta, a delta for each line of text, one done."""
     deltas = F.transform(F.split(text, "\n"), lambda t: F.to_json(F.struct(F.lit("delta").alias("type"), t.alias("text"))))
-    lines = F.concat(F.array(F.lit('{"type":"meta"}')), deltas, F.array(F.lit('{"type":"done"}')))
-    return answers.select(key, F.posexplode(lines).alias("seq", "line"))
+    return F.concat(F.array(F.lit('{"type":"meta"}')), deltas, F.array(F.lit('{"type":"done"}')))
+
+
+def event_lines(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, seq, line): an answer as JSON lines."""
+    return answers.select(key, F.posexplode(events_of(text)).alias("seq", "line"))
 
 
 def assemble(lines: DataFrame, key: str) -> DataFrame:

@@ -119,10 +119,10 @@ SELECT doc_id, policy, md5(array_to_string(d, chr(10))) AS reply, len(d) AS n_de
 def ndjson_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a reply, a delta a line, in pieces out of order; every third one's last line has no line feed."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    lines = serving.event_lines(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    body = lines.withColumn("body", F.when(F.col("doc_id") % 3 > 0, F.concat("body", F.lit("\n"))).otherwise(F.col("body")))
-    found = [to_end(jobs.replies(pieces_of(body, spark, 997, 3).drop("file"), "doc_id", policy), spark).withColumn("policy", F.lit(policy)) for policy in (jobs.BROWSER, jobs.CLIENT)]
-    return found[0].unionByName(found[1]).select("doc_id", "policy", F.md5("reply").alias("reply"), "n_deltas", "complete")
+    body = F.concat(F.array_join(serving.events_of("text"), "\n"), F.when(F.col("doc_id") % 3 > 0, F.lit("\n")).otherwise(F.lit("")))
+    pieces = pieces_of(docs.select("doc_id", body.alias("body")), spark, 997, 3).drop("file")
+    found = jobs.replies_by(pieces, "doc_id", [jobs.BROWSER, jobs.CLIENT])
+    return to_end(found.select("doc_id", "policy", F.md5("reply").alias("reply"), "n_deltas", "complete"), spark)
 
 
 @query(f"""
