@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.operators import serving
 from textloom.plans.base import query, table
 from textloom.plans.retrieval_queries import _TOKENS
-from textloom.storage import keep, shared_dir
+from textloom.storage import remove, shared_dir
 from textloom.streaming import jobs
 
 
@@ -95,10 +95,13 @@ def pieces_of(lines: DataFrame, spark: SparkSession, size: int, files: int) -> D
     path = work_dir(spark)
     starts = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / size).cast("int"))
     cut = F.concat(F.transform(starts, lambda k: F.substr("body", k * size + 1, F.lit(size))), F.array(F.lit(None).cast("string")))
-    lines = keep(lines)
+    held = work_dir(spark)
+    lines.write.option("compression", "zstd").parquet(held)
+    lines = spark.read.parquet(held)
     parts = max(1, -(-(lines.agg(F.sum(F.length("body"))).first()[0] or 0) // (FILE_CHARS * files)))
     each = lines.select("doc_id", F.posexplode(cut).alias("seq", "piece")).withColumn("file", F.col("seq") % files).withColumn("part", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(parts)).cast("int"))
-    each.repartition(files * parts, "file", "part").drop("part").write.partitionBy("file").parquet(path)
+    each.repartition(files * parts, "file", "part").drop("part").write.partitionBy("file").option("compression", "zstd").parquet(path)
+    remove(spark, held)  # pieces are all that is read from here on
     return spark.readStream.schema("doc_id long, seq int, piece string, file int").option("maxFilesPerTrigger", parts).parquet(path)
 
 
